@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from labelmatch.functions.storage import table
-from labelmatch.llm import bpe, langid, simhash, toxicity
+from labelmatch.llm import bpe, langid, licenses, mixing, pii, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_langid": lambda spark, d: langid.op2_langid(table(spark, d, "documents")),
         "op3_simhash": lambda spark, d: simhash.op3_simhash(table(spark, d, "documents")),
+        "op4_mixing": lambda spark, d: mixing.op4_mixing(table(spark, d, "documents")),
         "op5_bpe": lambda spark, d: bpe.op5_bpe(table(spark, d, "documents")),
+        "op6_license": lambda spark, d: licenses.op6_license(table(spark, d, "documents")),
         "op8_toxicity": lambda spark, d: toxicity.op8_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op9_pii": lambda spark, d: pii.op9_pii(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": mixing.oracle_sql()}
