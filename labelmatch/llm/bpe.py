@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from labelmatch.functions.storage import written
 
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 12_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,12 +40,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+def _pack(*arrays: np.ndarray, raw: bytes = b"") -> bytes:
+    """Arrays of uint32, each with its lowest bytes first and its highest last, then ``raw``; compressed."""
+    planes = [np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(a) for a in arrays], "<u4").tobytes() + b"".join(planes) + raw)
 
 
-def _unpack(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+def _unpack(data: bytes, n_arrays: int) -> tuple[list[np.ndarray], bytes]:
+    held = zstandard.ZstdDecompressor().decompress(data)
+    at, out = 4 * n_arrays, []
+    for n in np.frombuffer(held, "<u4", n_arrays).tolist():
+        planes = np.frombuffer(held, np.uint8, 4 * n, at).reshape(4, n)
+        out.append(np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64))
+        at += 4 * n
+    return out, held[at:]
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -72,20 +81,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int, lim
                 size += len(texts[at] or "")
                 at += 1
             coded = pa.array(tokens, pa.string()).dictionary_encode()
-            words = [w.encode() for w in coded.dictionary.to_pylist()]
+            words, codes = [w.encode() for w in coded.dictionary.to_pylist()], coded.indices.to_numpy(zero_copy_only=False)
             bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int64, len(words))
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(words), np.uint32)
-            place[order] = np.arange(len(words), dtype=np.uint32)
+            order = pc.sort_indices(pa.table({"b": bucket, "w": pa.array(words, pa.binary())}), [("b", "ascending"), ("w", "ascending")]).to_numpy()
+            place, rank = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            frequent = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # small codes for frequent words
+            rank[frequent] = np.arange(len(words))
             block = (TaskContext.get().partitionId() << 32) + made
             made += 1
-            codes = place[coded.indices.to_numpy(zero_copy_only=False)] if tokens else np.empty(0, np.uint32)
-            rows = [(block, -1, 0, _pack(np.array(counts, np.uint32), codes))]
+            rows = [(block, -1, 0, _pack(np.array(counts, np.int64), place[frequent], rank[codes] if tokens else np.empty(0, np.int64)))]
             edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 mine = [words[i] for i in order[edges[b] : edges[b + 1]]]
-                lengths = np.array([len(mine), *map(len, mine)], np.uint32)
-                rows.append((block, int(b), int(edges[b]), _pack(lengths, np.frombuffer(b"".join(mine), np.uint8))))
+                rows.append((block, int(b), int(edges[b]), _pack(np.array(list(map(len, mine)), np.int64), raw=b"".join(mine))))
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
             held = ids.slice(start, at - start).to_pylist()
             cols.append(pa.array([held] + [None] * (len(rows) - 1), pa.list_(ids.type)))
@@ -97,32 +106,24 @@ def _answer(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern:
     for batch in batches:
         out = []
         for data in batch.column("data").to_pylist():
-            raw = _unpack(data)
-            n = int(np.frombuffer(raw, np.uint32, 1)[0])
-            lengths = np.frombuffer(raw, np.uint32, n, 4)
-            ends = (4 + 4 * n + np.cumsum(lengths, dtype=np.int64)).tolist()
-            found = [encode(raw[e - k : e]) for e, k in zip(ends, lengths.tolist(), strict=True)]
-            sizes = np.array([n, *map(len, found)], np.uint32)
-            out.append(_pack(sizes, np.array([i for f in found for i in f], np.uint32)))
+            (lengths,), raw = _unpack(data, 1)
+            found = [encode(raw[e - k : e]) for e, k in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True)]
+            out.append(_pack(np.array(list(map(len, found)), np.int64), np.array([i for f in found for i in f], np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), batch.column("first"), pa.array(out, pa.binary()), pa.nulls(len(out), batch.schema.field("ids").type)], names=["block", "bucket", "first", "data", "ids"])
 
 
 def _reassemble(group: pa.Table) -> pa.Table:
     rows = sorted(group.select(["bucket", "first", "data"]).to_pylist(), key=lambda r: (r["bucket"] >= 0, r["first"]))
     held = next(x for x in group.column("ids").to_pylist() if x is not None)
-    sizes, ids = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
-    for row in rows[1:]:
-        raw = _unpack(row["data"])
-        n = int(np.frombuffer(raw, np.uint32, 1)[0])
-        sizes.append(np.frombuffer(raw, np.uint32, n, 4))
-        ids.append(np.frombuffer(raw, np.uint32, offset=4 + 4 * n))
-    sizes, ids = np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
+    answers = [_unpack(row["data"], 2)[0] for row in rows[1:]]
+    sizes = np.concatenate([np.empty(0, np.int64), *(a for a, _ in answers)])
+    ids = np.concatenate([np.empty(0, np.int64), *(b for _, b in answers)])
     starts = np.cumsum(sizes) - sizes
-    raw = _unpack(rows[0]["data"])
-    counts, codes = np.frombuffer(raw, np.uint32, len(held)), np.frombuffer(raw, np.uint32, offset=4 * len(held))
+    (counts, place, ranks), _ = _unpack(rows[0]["data"], 3)
+    codes = place[ranks]
     lengths = sizes[codes]
     tokens = ids[_ranges(starts[codes], lengths)]
-    ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts.astype(np.int64))])]
+    ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
     kind = group.schema.field("ids").type.value_type
     return pa.table([pa.array(held, kind), _split(ends, tokens)], names=["id", "ids"])
 
