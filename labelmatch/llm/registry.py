@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from labelmatch.functions.storage import table
-from labelmatch.llm import bpe, langid, licenses, mixing, pii, simhash, toxicity
+from labelmatch.llm import bpe, forest, langid, licenses, mixing, pii, pivots, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,8 +17,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": lambda spark, d: mixing.op4_mixing(table(spark, d, "documents")),
         "op5_bpe": lambda spark, d: bpe.op5_bpe(table(spark, d, "documents")),
         "op6_license": lambda spark, d: licenses.op6_license(table(spark, d, "documents")),
+        "op7_near_embeddings": lambda spark, d: pivots.op7_near_embeddings(table(spark, d, "embeddings")),
         "op8_toxicity": lambda spark, d: toxicity.op8_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
         "op9_pii": lambda spark, d: pii.op9_pii(table(spark, d, "documents")),
+        "op10_nearest": lambda spark, d: forest.op10_nearest(table(spark, d, "embeddings")),
     }
 
 
