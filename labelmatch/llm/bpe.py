@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from labelmatch.functions.storage import written
 
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 6_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -70,17 +70,21 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int, lim
     find = regex.compile(pattern).findall
     made = 0
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        ids, texts = batch.column(0), batch.column(1)
         at = 0
         while at < len(texts):
             tokens, counts, size, start = [], [], 0, at
-            while at < len(texts) and (at == start or size + len(texts[at] or "") <= limit):
-                words = find(texts[at] or "")
+            while at < len(texts):
+                text = texts[at].as_py() or ""
+                if at > start and size + len(text) > limit:
+                    break
+                words = find(text)
                 tokens.extend(words)
                 counts.append(len(words))
-                size += len(texts[at] or "")
+                size += len(text)
                 at += 1
             coded = pa.array(tokens, pa.string()).dictionary_encode()
+            del tokens
             words, codes = [w.encode() for w in coded.dictionary.to_pylist()], coded.indices.to_numpy(zero_copy_only=False)
             bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int64, len(words))
             order = pc.sort_indices(pa.table({"b": bucket, "w": pa.array(words, pa.binary())}), [("b", "ascending"), ("w", "ascending")]).to_numpy()
@@ -90,7 +94,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int, lim
             rank[frequent] = np.arange(len(words))
             block = (TaskContext.get().partitionId() << 32) + made
             made += 1
-            rows = [(block, -1, 0, _pack(np.array(counts, np.int64), place[frequent], rank[codes] if tokens else np.empty(0, np.int64)))]
+            rows = [(block, -1, 0, _pack(np.array(counts, np.int64), place[frequent], rank[codes]))]
             edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 mine = [words[i] for i in order[edges[b] : edges[b + 1]]]
