@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from labelmatch.functions.storage import table
-from labelmatch.llm import bpe, forest, langid, licenses, mixing, pii, pivots, simhash, toxicity
+from labelmatch.llm import bpe, forest, langid, licenses, mixing, pii, pivots, simhash, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffixes": lambda spark, d: suffixes.op1_suffixes(table(spark, d, "documents")),
         "op2_langid": lambda spark, d: langid.op2_langid(table(spark, d, "documents")),
         "op3_simhash": lambda spark, d: simhash.op3_simhash(table(spark, d, "documents")),
         "op4_mixing": lambda spark, d: mixing.op4_mixing(table(spark, d, "documents")),
