@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +82,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(labels, "fp").select("id", "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of which one of each component stays: that of least id.
+
+    Of rows with one id in a component, repeated rows among them, one stays; a component of null ids keeps one.
+    """
+    row_key = lambda a, b: [F.xxhash64(F.lit(7), a, b).alias("k1"), F.xxhash64(F.lit(11), b, a).alias("k2")]
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row_key(F.col(id_col), F.col(text_col)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = pa.array([simhash(t.as_py(), shingle) for t in batch.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), marks], names=["id", "k1", "k2", "fp"])
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("fp", T.LongType())])
+    marks = written(keyed.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema), "simhash-rows")
+    fps = marks.select("fp").distinct()
+    found = connected_components(links(fps))
+    group = F.coalesce("component", "fp")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("first")
+    # A partial minimum for each fingerprint first, so that a large group of copies crosses the shuffle as few rows.
+    kept = marks.groupBy("fp").agg(first).join(found, F.col("fp") == F.col("node"), "left").groupBy(group.alias("g")).agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(F.col(id_col), F.col(text_col)))
+    numbered = row.join(kept, ["k1", "k2"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0))))
+    return numbered.where("n = 1").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def op3_simhash(docs: DataFrame) -> DataFrame:
     out = near_duplicates(docs)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
