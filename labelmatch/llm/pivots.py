@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmatch.functions.storage import written
+from labelmatch.llm.lists import deal, roots, sides, walk
 from labelmatch.llm.vectors import matrix, typed, unit, usable
 from labelmatch.operators.components import connected_components
 
@@ -41,78 +42,32 @@ def _canonical(left: np.ndarray, right: np.ndarray, p: np.ndarray, q: np.ndarray
     return (first == p) & (second == q)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest of n places that each is connected with by the pairs (a, b)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
-def _pairs(rows: np.ndarray, one: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a list's pairs at or above ``limit``; with two chunks, only pairs across them."""
-    side = np.flatnonzero(one), np.flatnonzero(~one)
-    a, b = (side[0], side[0]) if not len(side[1]) else side
-    i, j = np.nonzero(rows[a] @ rows[b].T >= limit)
-    i, j = a[i], b[j]
-    keep = i < j if not len(side[1]) else i != j
-    return i[keep], j[keep]
-
-
-def _verify(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
-    """Lists arrive whole, one after the other; a list has at most two chunks of rows, so one is held at a time."""
-    held: list[pa.RecordBatch] = []
-    names = ["label", "p", "q", "c", "d"]
-
-    def lists(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        part = part.combine_chunks()
-        keys = [part.column(k).to_numpy() if k != "label" else np.array(part.column(k).to_pylist(), object) for k in names]
-        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        starts, stops = np.append(0, change), np.append(change, len(part))
-        ids, mult, mine = part.column("id").to_numpy(), part.column("mult").to_numpy(), part.column("mine").to_numpy(zero_copy_only=False)
-        out_a, out_b = [], []
-        for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
-            if e - s < 2 or (keys[3][s] != keys[4][s] and mine[s:e].all() | (~mine[s:e]).all()):
-                continue
-            piece = part.slice(s, e - s)
-            rows = unit(matrix(piece.column("vec").combine_chunks()))
-            near = np.sort(matrix(piece.column("near").combine_chunks()).astype(np.int64), axis=1)
-            a, b = _pairs(rows, mine[s:e], limit)
-            for at in range(0, len(a), 200_000):
-                x, y = a[at : at + 200_000], b[at : at + 200_000]
-                good = _canonical(near[x], near[y], keys[1][s], keys[2][s])
-                out_a.append(x[good] + s)
-                out_b.append(y[good] + s)
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-        if not len(a):
-            return
+def _verify(part: pa.Table, bounds: list[tuple[int, int]], limit: float) -> Iterator[pa.RecordBatch]:
+    """For each vector of these lists: its links here, and the least vector it is connected with."""
+    p, q, mine = (part.column(k).to_numpy(zero_copy_only=False) for k in ("p", "q", "mine"))
+    ids, mult = part.column("id").to_numpy(), part.column("mult").to_numpy()
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for s, e in bounds:
+        left, right = sides(mine[s:e])
+        piece = part.slice(s, e - s)
+        rows = unit(matrix(piece.column("vec").combine_chunks()))
+        near = np.sort(matrix(piece.column("near").combine_chunks()).astype(np.int64), axis=1)
+        i, j = np.nonzero(rows[left] @ rows[right].T >= limit)
+        i, j = left[i], right[j]
+        once = i < j if mine[s:e].all() else i != j
+        i, j = i[once], j[once]
+        for at in range(0, len(i), 200_000):
+            x, y = i[at : at + 200_000], j[at : at + 200_000]
+            good = _canonical(near[x], near[y], p[s], q[s])
+            out_a.append(x[good] + s)
+            out_b.append(y[good] + s)
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    if len(a):
         every, at = np.unique(ids, return_inverse=True)
-        links = np.bincount(at[a], mult[b], len(every)) + np.bincount(at[b], mult[a], len(every))
-        roots = _roots(len(every), at[a], at[b])
-        hit = links > 0
-        yield pa.RecordBatch.from_arrays([pa.array(every[hit]), pa.array(every[roots[hit]]), pa.array(links[hit].astype(np.int64))], names=["u", "v", "links"])
-
-    for batch in batches:
-        held.append(batch)
-        part = pa.Table.from_batches(held)
-        last = part.slice(len(part) - 1).select(names).to_pylist()[0] if len(part) else None
-        same = np.ones(len(part), bool)
-        for k in names:
-            same &= np.array(part.column(k).to_pylist(), object) == last[k] if last else same
-        cut = len(part) - int(same.sum())
-        if cut:
-            yield from lists(part.slice(0, cut))
-        held = part.slice(cut).to_batches()
-    if held:
-        yield from lists(pa.Table.from_batches(held))
+        found = np.bincount(at[a], mult[b], len(every)) + np.bincount(at[b], mult[a], len(every))
+        root = roots(len(every), at[a], at[b])
+        hit = found > 0
+        yield pa.RecordBatch.from_arrays([pa.array(every[hit]), pa.array(every[root[hit]]), pa.array(found[hit].astype(np.int64))], names=["u", "v", "links"])
 
 
 def links(reps: DataFrame, limit: float, n_pivots: int = PIVOTS, nearest: int = NEAREST, chunk: int = CHUNK) -> DataFrame:
@@ -142,12 +97,8 @@ def links(reps: DataFrame, limit: float, n_pivots: int = PIVOTS, nearest: int =
     # With fewer than two pivots there is one list of all; a vector may otherwise meet itself in no list.
     pairs = "if(size(near) < 2, array(struct(near[0] as p, near[0] as q)), flatten(transform(array_sort(near), (p, i) -> transform(slice(array_sort(near), i + 2, size(near)), q -> struct(p as p, q as q)))))"
     posted = described.withColumn("pq", F.explode(F.expr(pairs))).select("label", "pq.p", "pq.q", "id", "mult", "near", "vec")
-    hot = written(posted.select("label", "p", "q").groupBy("label", "p", "q").count().where(F.col("count") > chunk), "pivot-hot")
-    chunked = posted.join(hot, ["label", "p", "q"], "left").withColumn("n", F.coalesce(F.ceil(F.col("count") / chunk), F.lit(1)).cast("int"))
-    mine = chunked.withColumn("m", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = mine.select("label", "p", "q", F.least("m", "other").alias("c"), F.greatest("m", "other").alias("d"), (F.col("m") <= F.col("other")).alias("mine"), "id", "mult", "near", "vec")
-    keys = ["label", "p", "q", "c", "d"]
-    return dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _verify(b, limit), "u long, v long, links long")
+    keys = ["label", "p", "q"]
+    return deal(posted, keys, "id", chunk).mapInArrow(lambda b: walk(b, keys, lambda part, bounds: _verify(part, bounds, limit)), "u long, v long, links long")
 
 
 def near_duplicates(vectors: DataFrame, limit: float = 0.93, id_col: str = "vec_id", label_col: str = "label", vec_col: str = "embedding", **index) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmatch.functions.storage import written
+from labelmatch.llm.lists import deal, edges, sides, walk
 from labelmatch.operators.components import connected_components
 
 SEED = 42
@@ -82,30 +83,139 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(labels, "fp").select("id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, of which one of each component stays: that of least id.
+#: Of the wide fingerprint: words of 64 bits, bits of a segment, bits that may differ in all and in the first word.
+WORDS, SEGMENT_BITS, DIFFER, DIFFER_FIRST = 3, 16, 42, 19
+#: Rows of a segment's table that are compared in pairs by a join; longer ones are dealt out in chunks.
+SHORT, CHUNK, TEXT_CHUNK = 200, 2000, 400
+SEGMENTS = WORDS * 64 // SEGMENT_BITS
 
-    Of rows with one id in a component, repeated rows among them, one stays; a component of null ids keeps one.
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """A hash for each run of ``shingle`` words, repeats included; one for all words of a shorter text, none without words."""
+    words = (text or "").encode().lower().split()
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)] * bool(words)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(g, SEED) for g in grams], dtype="<u8")
+
+
+def wide_simhash(text: str | None, shingle: int) -> list[int]:
+    """WORDS signed words: the fingerprint of :func:`simhash`, continued with further hashes of each shingle."""
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return [0] * WORDS
+    wide = np.empty((len(h), WORDS), "<u8")
+    for i in range(WORDS):
+        wide[:, i] = h
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    ones = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(wide), bitorder="little").view("<i8").tolist()
+
+
+def _differ(a: str, b: str) -> str:
+    return " + ".join(f"bit_count({a}{i} ^ {b}{i})" for i in range(WORDS))
+
+
+def close_fingerprints(reps: DataFrame) -> DataFrame:
+    """Edges ``(u, v)`` that connect the nodes of ``reps(node, f0, f1, ...)`` whose wide fingerprints differ in DIFFER bits or fewer.
+
+    Each segment has a table of its values. A fingerprint looks up its own value and those with one more bit set (the pair
+    is met from the other side where a bit is to be cleared); matches are verified on the first word, then on all.
+    """
+    fs = [f"f{i}" for i in range(WORDS)]
+    values = ", ".join(f"int(shiftrightunsigned(f{j * SEGMENT_BITS // 64}, {j * SEGMENT_BITS % 64}) & {(1 << SEGMENT_BITS) - 1})" for j in range(SEGMENTS))
+    table = reps.selectExpr("node", "f0", f"posexplode(array({values})) as (seg, val)")
+    # At most SEGMENTS * 2**SEGMENT_BITS rows, whatever the input.
+    long = F.broadcast(written(table.groupBy("seg", "val").count().where(F.col("count") > SHORT).select("seg", "val"), "simhash-long"))
+    masks = ", ".join(str(1 << b) for b in range(SEGMENT_BITS))
+    probes = table.selectExpr("node", "f0", "seg", "val as own", f"explode(concat(array(val), transform(filter(array({masks}), m -> (val & m) = 0), m -> val | m))) as val")
+    left = probes.join(long, ["seg", "val"], "left_anti").withColumnsRenamed({"node": "a", "f0": "fa"})
+    right = table.join(long, ["seg", "val"], "left_anti").withColumnsRenamed({"node": "b", "f0": "fb"})
+    met = left.join(right, ["seg", "val"]).where(f"a <> b and (own <> val or a < b) and bit_count(fa ^ fb) <= {DIFFER_FIRST}")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda n: reps.select(F.col("node").alias(n), *[F.col(f).alias(f"{n}_{f}") for f in fs])
+    short = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{_differ('a_f', 'b_f')} <= {DIFFER}").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    rows = probes.join(long, ["seg", "val"], "left_semi").select("seg", "val", "node").distinct().join(reps.select("node", *fs), "node")
+
+    def verify(part: pa.Table, bounds: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        words = np.stack([part.column(f).to_numpy() for f in fs], axis=1).view(np.uint64)
+        ids, mine = part.column("node").to_numpy(), part.column("mine").to_numpy(zero_copy_only=False)
+        for s, e in bounds:
+            left, right = sides(mine[s:e])
+            apart = sum(np.bitwise_count(words[s:e][left][:, None, i] ^ words[s:e][right][None, :, i]).astype(np.int32) for i in range(WORDS))
+            i, j = np.nonzero(apart <= DIFFER)
+            yield edges(ids[s:e], left[i], right[j])
+
+    keys = ["seg", "val"]
+    dealt = deal(rows, keys, "node", CHUNK)
+    return short.unionByName(dealt.mapInArrow(lambda b: walk(b, keys, verify), "u long, v long"))
+
+
+def jaccard(texts: list[str | None], shingle: int) -> np.ndarray:
+    """The Jaccard similarity of the shingle sets of each text with each; 1 between texts without words."""
+    sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+    sizes = np.array([len(s) for s in sets], np.float64)
+    _, column, times = np.unique(np.concatenate([*sets, np.empty(0, "<u8")]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    shared = times[column] > 1
+    dense = np.cumsum(times > 1) - 1
+    owner, column = owner[shared], dense[column[shared]]
+    both = np.zeros((len(sets), len(sets)))
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+        a, z = np.searchsorted(column, (at, at + 8192))
+        block = np.zeros((len(sets), 8192), np.float32)
+        block[owner[a:z], column[a:z] - at] = 1
+        both += block @ block.T
+    both[np.arange(len(sets)), np.arange(len(sets))] = sizes
+    union = sizes[:, None] + sizes[None, :] - both
+    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of which one of each group stays: that of least id.
+
+    Texts are linked if the Jaccard similarity of their shingle sets is ``similarity`` or more: wide fingerprints
+    find the candidates, and within each group of candidates the sets are compared. Equal texts are
+    one text. Null and empty texts are linked with each other; of rows with one id in a group, repeated rows among
+    them, one stays; a group of null ids keeps one.
     """
     row_key = lambda a, b: [F.xxhash64(F.lit(7), a, b).alias("k1"), F.xxhash64(F.lit(11), b, a).alias("k2")]
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row_key(F.col(id_col), F.col(text_col)))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), *row_key(F.col(id_col), F.col(text_col)), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(3), text).alias("t2"))
+    fs = [f"f{i}" for i in range(WORDS)]
+    names = ["id", "k1", "k2", "t1", "t2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = pa.array([simhash(t.as_py(), shingle) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), marks], names=["id", "k1", "k2", "fp"])
-
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("fp", T.LongType())])
-    marks = written(keyed.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema), "simhash-rows")
-    fps = marks.select("fp").distinct()
-    found = connected_components(links(fps))
-    group = F.coalesce("component", "fp")
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("first")
-    # A partial minimum for each fingerprint first, so that a large group of copies crosses the shuffle as few rows.
-    kept = marks.groupBy("fp").agg(first).join(found, F.col("fp") == F.col("node"), "left").groupBy(group.alias("g")).agg(F.min("first").alias("first"))
+            marks = np.array([wide_simhash(t.as_py(), shingle) for t in batch.column(1)], np.int64).reshape(-1, WORDS)
+            kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(np.ascontiguousarray(marks[:, i])) for i in range(WORDS)]], names=[*names, *fs])
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in (*names[1:], *fs)]])
+    marks = written(keyed.mapInArrow(run, schema), "simhash-rows")
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("first")
+    texts = marks.groupBy("t1", "t2", *fs).agg(least)  # equal texts, merged before the shuffle
+    reps = written(texts.select(F.monotonically_increasing_id().alias("node"), "first", *fs), "simhash-texts")
+    near = connected_components(close_fingerprints(reps)).withColumnRenamed("component", "list")
+    row = docs.select(F.col(text_col).cast("string").alias("text"), *row_key(F.col(id_col), F.col(text_col)))
+    members = near.join(reps, "node").select("node", "list", "first.k1", "first.k2").join(row, ["k1", "k2"]).groupBy("node", "list").agg(F.first("text").alias("text"))
+
+    def verify(part: pa.Table, bounds: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        ids, mine = part.column("node").to_numpy(), part.column("mine").to_numpy(zero_copy_only=False)
+        for s, e in bounds:
+            left, right = sides(mine[s:e])
+            alike = jaccard(part.column("text").slice(s, e - s).to_pylist(), shingle)
+            i, j = np.nonzero(alike[np.ix_(left, right)] >= similarity)
+            yield edges(ids[s:e], left[i], right[j])
+
+    dealt = deal(members, ["list"], "node", TEXT_CHUNK)
+    found = connected_components(dealt.mapInArrow(lambda b: walk(b, ["list"], verify), "u long, v long"))
+    kept = reps.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("g")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(F.col(id_col), F.col(text_col)))
-    numbered = row.join(kept, ["k1", "k2"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0))))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(F.col(id_col), F.col(text_col)))
+    numbered = whole.join(kept, ["k1", "k2"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0))))
     return numbered.where("n = 1").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
