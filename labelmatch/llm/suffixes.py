@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from labelmatch.functions.storage import written
 
-LENGTH, BLOCK_BYTES, PIECE_BYTES, SUFFIX_BYTES = 50, 4_000_000, 1_000_000, 100_000
+LENGTH, BLOCK_BYTES, PIECE_BYTES, SUFFIX_BYTES, STRETCHES = 50, 4_000_000, 1_000_000, 50000, 6
 GRAM = LENGTH // 2
 SHIFTS = LENGTH - GRAM + 1
 AROUND = 2 * SHIFTS + GRAM - 2
@@ -51,41 +51,60 @@ def suffix_array(text: bytes) -> list[int]:
     below, above = list(range(-1, 256)), list(range(1, 258))
     done = bytearray(257)
     group, reach, prev = list(text), [1] * n, [-1] * n
+    live = [len(m) for m in members]
+
+    def split(old: int, moved: list[int]) -> None:
+        """A new group next above ``old``; a group that moves whole stays where it is."""
+        if live[old] == len(moved):
+            return
+        new, up = len(members), above[old]
+        members.append(moved)
+        live.append(len(moved))
+        live[old] -= len(moved)
+        for q in moved:
+            group[q] = new
+        done.append(0)
+        below.append(old)
+        above.append(up)
+        above[old] = below[up] = new
+
     g = 255
     while g >= 0:
-        mine = [s for s in members[g] if group[s] == g]
-        members[g] = mine
         done[g] = 1
-        if mine:
+        if live[g]:
+            mine = members[g]
+            if live[g] < len(mine):
+                members[g] = mine = [s for s in mine if group[s] == g]
             length = reach[mine[0]]
-            times: dict[int, int] = {}
-            for s in mine:
+            if len(mine) == 1:
+                s = mine[0]
                 q = s - 1
                 while q >= 0 and done[group[q]]:
                     q = prev[q]
                 prev[s] = q
                 if q >= 0:
-                    times[q] = times.get(q, 0) + 1
-            moved: dict[tuple[int, int], list[int]] = {}
-            for q, k in times.items():
-                reach[q] += k * length
-                moved.setdefault((group[q], -k), []).append(q)
-            for old, k in sorted(moved):  # fewest repeats end next above the old group
-                new = len(members)
-                members.append(moved[old, k])
-                for q in members[new]:
-                    group[q] = new
-                done.append(0)
-                up = above[old]
-                below.append(old)
-                above.append(up)
-                above[old] = new
-                below[up] = new
+                    reach[q] += length
+                    split(group[q], [q])
+            else:
+                times: dict[int, int] = {}
+                for s in mine:
+                    q = s - 1
+                    while q >= 0 and done[group[q]]:
+                        q = prev[q]
+                    prev[s] = q
+                    if q >= 0:
+                        times[q] = times.get(q, 0) + 1
+                moved: dict[tuple[int, int], list[int]] = {}
+                for q, k in times.items():
+                    reach[q] += k * length
+                    moved.setdefault((group[q], -k), []).append(q)
+                for old, k in sorted(moved) if len(moved) > 1 else moved:  # fewest repeats end next above the old group
+                    split(old, moved[old, k])
         g = below[g]
     head, at, g = [0] * len(members), 1, 0
     while g != 256:
         head[g] = at
-        at += len(members[g])
+        at += live[g]
         g = above[g]
     out = [n] * (n + 1)
     for i in range(n + 1):
@@ -106,6 +125,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(32))) >> np.uint64(16)) | np.uint64(1)
 
 
+def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (hashes >> np.uint64(1)) % np.uint64(n)  # the lowest bit is always set
+
+
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(BASE), n, 1 << 64))
 
@@ -227,11 +250,11 @@ class _Block:
         self.hashes = _hash_at(self.data, self.places)
         self.n_buckets = n_buckets
         self.known, self.at = np.unique(self.hashes, return_inverse=True)
-        order = np.lexsort((self.known, self.known % np.uint64(n_buckets)))
+        order = np.lexsort((self.known, _bucket(self.known, n_buckets)))
         self.known, back = self.known[order], np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.at = back[self.at]  # place of each anchor's hash in the list by bucket, then hash
-        self.cuts = np.searchsorted(self.known % np.uint64(n_buckets), np.arange(n_buckets + 1))
+        self.cuts = np.searchsorted(_bucket(self.known, n_buckets), np.arange(n_buckets + 1))
         digests = [xxhash.xxh3_128_digest(self.text[a:b]) for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
         words = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         part = np.flatnonzero(self.ids != NONE)
@@ -271,7 +294,7 @@ class _Block:
         shown = self.data[np.clip(index, 0, max(len(self.data) - 1, 0))] if len(mine) else np.empty((0, AROUND), np.uint8)
         shown[outside] = PAD
         keyed = np.empty((len(mine), AROUND + 4), np.uint8)
-        keyed[:, :4] = (self.hashes[mine] % np.uint64(self.n_buckets)).astype(">u4").view(np.uint8).reshape(-1, 4)
+        keyed[:, :4] = _bucket(self.hashes[mine], self.n_buckets).astype(">u4").view(np.uint8).reshape(-1, 4)
         keyed[:, 4:] = shown
         distinct, which = np.unique(np.ascontiguousarray(keyed).view(f"V{AROUND + 4}").reshape(-1), return_inverse=True)
         raw = np.frombuffer(distinct.tobytes(), np.uint8).reshape(-1, AROUND + 4)
@@ -329,6 +352,23 @@ def _show(group: pa.Table, n_buckets: int) -> pa.Table:
     return pa.Table.from_batches([_rows(out)])
 
 
+def _may_share(shown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shift, and the one after the last, of each surroundings whose string may stand in another; none where they are equal.
+
+    A necessary test, no match is lost: a string at shift o holds SHIFTS - 1 - o bytes before the anchor and o after it;
+    for each stretch of shifts, the bytes that all of its strings hold must stand in two surroundings.
+    """
+    first, last = np.full(len(shown), SHIFTS), np.zeros(len(shown), np.int64)
+    cuts = np.linspace(0, SHIFTS, STRETCHES + 1).astype(int).tolist()
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        part = np.ascontiguousarray(shown[:, high - 1 : SHIFTS - 1 + GRAM + low])
+        _, which, times = np.unique(part.view(f"V{part.shape[1]}").reshape(-1), return_inverse=True, return_counts=True)
+        some = times[which] > 1
+        first[some] = np.minimum(first[some], low)
+        last[some] = high
+    return np.minimum(first, last), last
+
+
 def least_ids(shown: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For distinct surroundings and the least id of each: the least id of each of their SHIFTS strings, NONE outside a document.
 
@@ -341,21 +381,25 @@ def least_ids(shown: np.ndarray, ids: np.ndarray) -> np.ndarray:
     inside = (offsets >= left[:, None]) & (offsets <= (SHIFTS - 1 - right)[:, None])
     out = np.where(inside, ids[:, None], NONE)
     gram = np.ascontiguousarray(shown[:, SHIFTS - 1 : SHIFTS - 1 + GRAM]).view(f"V{GRAM}").reshape(-1)
-    order = np.argsort(gram, kind="stable")
+    first, last = _may_share(shown)
+    order = np.flatnonzero(first < last)
+    order = order[np.argsort(gram[order], kind="stable")]
     edges = np.append(np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1])), len(order)) if len(order) else np.zeros(1, np.int64)
     chosen: list[int] = []
-    stride = AROUND + 1
+    size = 0
     for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if z - a > 1:
             chosen.extend(order[a:z].tolist())
-        if chosen and (len(chosen) * stride >= SUFFIX_BYTES or z == len(order)):
-            text = np.full((len(chosen), stride), PAD, np.uint8)
-            text[:, :AROUND] = shown[chosen]
-            text = text.tobytes()
+            size += (z - a) * AROUND
+        if chosen and (size >= SUFFIX_BYTES or z == len(order)):
+            pieces = [shown[i, first[i] : last[i] + LENGTH - 1].tobytes() + bytes([PAD]) for i in chosen]
+            text = b"".join(pieces)
+            begins = np.cumsum([0, *map(len, pieces)])
             starts = np.array(suffix_array(text)[1:], np.int64)
-            number, offset = starts // stride, starts % stride
+            number = np.searchsorted(begins, starts, "right") - 1
             rows = np.array(chosen)[number]
-            good = (offset < SHIFTS) & inside[rows, np.minimum(offset, SHIFTS - 1)]
+            offset = starts - begins[number] + first[rows]
+            good = (offset < last[rows]) & inside[rows, np.minimum(offset, SHIFTS - 1)]
             starts, rows, offset = starts[good], rows[good], offset[good]
             strings = [text[s : s + LENGTH] for s in starts.tolist()]
             fresh = np.array([True, *(x != y for x, y in zip(strings[1:], strings, strict=False))][: len(strings)], bool)
@@ -363,7 +407,7 @@ def least_ids(shown: np.ndarray, ids: np.ndarray) -> np.ndarray:
             least = np.full(run.max(initial=-1) + 1, NONE)
             np.minimum.at(least, run, ids[rows])
             out[rows, offset] = least[run]
-            chosen = []
+            chosen, size = [], 0
     return out
 
 
