@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 from labelmatch.functions.storage import written
 
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 14_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,10 +58,18 @@ def _unpack(data: bytes, n_arrays: int) -> tuple[list[np.ndarray], bytes]:
     return out, held[at:]
 
 
+def _by_frequency(times: np.ndarray) -> np.ndarray:
+    return np.argsort(-times, kind="stable")
+
+
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the pieces [start, start + length), one after the other."""
     ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, int(starts.max(initial=0)) + int(lengths.max(initial=0))) < 1 << 31 else np.int64
+    out = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def _split(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -73,28 +83,30 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int, lim
         ids, texts = batch.column(0), batch.column(1)
         at = 0
         while at < len(texts):
-            tokens, counts, size, start = [], [], 0, at
+            places: defaultdict = defaultdict()
+            places.default_factory = places.__len__  # a new word takes the next place
+            codes, counts, size, start = array("I"), [], 0, at
             while at < len(texts):
                 text = texts[at].as_py() or ""
                 if at > start and size + len(text) > limit:
                     break
                 words = find(text)
-                tokens.extend(words)
+                codes.extend(map(places.__getitem__, words))
                 counts.append(len(words))
                 size += len(text)
                 at += 1
-            coded = pa.array(tokens, pa.string()).dictionary_encode()
-            del tokens
-            words, codes = [w.encode() for w in coded.dictionary.to_pylist()], coded.indices.to_numpy(zero_copy_only=False)
+            words, codes = [w.encode() for w in places], np.frombuffer(codes, np.uint32)
             bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int64, len(words))
             order = pc.sort_indices(pa.table({"b": bucket, "w": pa.array(words, pa.binary())}), [("b", "ascending"), ("w", "ascending")]).to_numpy()
-            place, rank = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+            place = np.empty(len(words), np.int64)
             place[order] = np.arange(len(words))
-            frequent = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # small codes for frequent words
-            rank[frequent] = np.arange(len(words))
+            codes = place[codes]
+            times = np.bincount(codes, minlength=len(words))
+            rank = np.empty(len(words), np.int64)
+            rank[_by_frequency(times)] = np.arange(len(words))  # small codes for frequent words
             block = (TaskContext.get().partitionId() << 32) + made
             made += 1
-            rows = [(block, -1, 0, _pack(np.array(counts, np.int64), place[frequent], rank[codes]))]
+            rows = [(block, -1, 0, _pack(np.array(counts, np.int64), times, rank[codes]))]
             edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 mine = [words[i] for i in order[edges[b] : edges[b + 1]]]
@@ -121,10 +133,11 @@ def _reassemble(group: pa.Table) -> pa.Table:
     held = next(x for x in group.column("ids").to_pylist() if x is not None)
     answers = [_unpack(row["data"], 2)[0] for row in rows[1:]]
     sizes = np.concatenate([np.empty(0, np.int64), *(a for a, _ in answers)])
-    ids = np.concatenate([np.empty(0, np.int64), *(b for _, b in answers)])
+    ids = np.concatenate([np.empty(0, np.int32), *(b.astype(np.int32) for _, b in answers)])
+    del answers
     starts = np.cumsum(sizes) - sizes
-    (counts, place, ranks), _ = _unpack(rows[0]["data"], 3)
-    codes = place[ranks]
+    (counts, times, ranks), _ = _unpack(rows[0]["data"], 3)
+    codes = _by_frequency(times)[ranks]
     lengths = sizes[codes]
     tokens = ids[_ranges(starts[codes], lengths)]
     ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
