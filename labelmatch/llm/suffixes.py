@@ -20,7 +20,7 @@ when its next smaller suffix is met. Nothing is renamed or sorted recursively.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from labelmatch.functions.storage import written
 
-LENGTH, BLOCK_BYTES, PIECE_BYTES, SUFFIX_BYTES, STRETCHES = 50, 4_000_000, 1_000_000, 50000, 6
+LENGTH, BLOCK_BYTES, PIECE_BYTES, SUFFIX_BYTES, STRETCHES = 50, 4_000_000, 1_000_000, 50_000, 13
 GRAM = LENGTH // 2
 SHIFTS = LENGTH - GRAM + 1
 AROUND = 2 * SHIFTS + GRAM - 2
@@ -42,14 +42,14 @@ NONE = np.iinfo(np.int64).max
 PAD = 0xFF  # no byte of UTF-8
 
 
-def suffix_array(text: bytes) -> list[int]:
-    """Starts of the suffixes of ``text`` in order, the empty suffix first."""
-    n = len(text)
-    members: list[list[int]] = [[] for _ in range(257)]  # 256 is the end of the list of groups
+def suffix_array(text: Sequence[int]) -> list[int]:
+    """Starts of the suffixes of ``text`` in order, the empty suffix first; its symbols are small whole numbers."""
+    n, end = len(text), max(text, default=0) + 1
+    members: list[list[int]] = [[] for _ in range(end + 1)]  # ``end`` is the end of the list of groups
     for i, c in enumerate(text):
         members[c].append(i)
-    below, above = list(range(-1, 256)), list(range(1, 258))
-    done = bytearray(257)
+    below, above = list(range(-1, end)), list(range(1, end + 2))
+    done = bytearray(end + 1)
     group, reach, prev = list(text), [1] * n, [-1] * n
     live = [len(m) for m in members]
 
@@ -68,7 +68,7 @@ def suffix_array(text: bytes) -> list[int]:
         above.append(up)
         above[old] = below[up] = new
 
-    g = 255
+    g = end - 1
     while g >= 0:
         done[g] = 1
         if live[g]:
@@ -102,7 +102,7 @@ def suffix_array(text: bytes) -> list[int]:
                     split(old, moved[old, k])
         g = below[g]
     head, at, g = [0] * len(members), 1, 0
-    while g != 256:
+    while g != end:
         head[g] = at
         at += live[g]
         g = above[g]
@@ -385,29 +385,49 @@ def least_ids(shown: np.ndarray, ids: np.ndarray) -> np.ndarray:
     order = np.flatnonzero(first < last)
     order = order[np.argsort(gram[order], kind="stable")]
     edges = np.append(np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1])), len(order)) if len(order) else np.zeros(1, np.int64)
-    chosen: list[int] = []
-    size = 0
-    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if z - a > 1:
-            chosen.extend(order[a:z].tolist())
-            size += (z - a) * AROUND
-        if chosen and (size >= SUFFIX_BYTES or z == len(order)):
-            pieces = [shown[i, first[i] : last[i] + LENGTH - 1].tobytes() + bytes([PAD]) for i in chosen]
-            text = b"".join(pieces)
-            begins = np.cumsum([0, *map(len, pieces)])
-            starts = np.array(suffix_array(text)[1:], np.int64)
-            number = np.searchsorted(begins, starts, "right") - 1
-            rows = np.array(chosen)[number]
-            offset = starts - begins[number] + first[rows]
-            good = (offset < last[rows]) & inside[rows, np.minimum(offset, SHIFTS - 1)]
-            starts, rows, offset = starts[good], rows[good], offset[good]
-            strings = [text[s : s + LENGTH] for s in starts.tolist()]
-            fresh = np.array([True, *(x != y for x, y in zip(strings[1:], strings, strict=False))][: len(strings)], bool)
-            run = np.cumsum(fresh) - 1
-            least = np.full(run.max(initial=-1) + 1, NONE)
-            np.minimum.at(least, run, ids[rows])
-            out[rows, offset] = least[run]
-            chosen, size = [], 0
+    ranked = ids[order]
+    held: list[tuple[int, int, list[int]]] = []  # anchor, least id and the rows that have a piece in common
+    pieces: list[list[int]] = []
+    opened = 0
+
+    def sort() -> None:
+        """Equal strings of the pieces at hand get their least id. An anchor's k-gram is one symbol, so that a string has SHIFTS of them."""
+        text = [c for piece in pieces for c in piece]
+        begins = np.cumsum([0, *map(len, pieces)])
+        starts = np.array(suffix_array(text)[1:], np.int64)
+        piece = np.searchsorted(begins, starts, "right") - 1
+        one = np.array([rows[0] for _, _, rows in held])[piece]
+        offset = starts - begins[piece] + first[one]
+        good = (offset < last[one]) & inside[one, np.minimum(offset, SHIFTS - 1)]
+        starts, piece, offset = starts[good], piece[good], offset[good]
+        strings = [text[s : s + SHIFTS] for s in starts.tolist()]
+        fresh = np.array([True, *(x != y for x, y in zip(strings[1:], strings, strict=False))][: len(strings)], bool)
+        run = np.cumsum(fresh) - 1
+        least = np.full(run.max(initial=-1) + 1, NONE)
+        np.minimum.at(least, run, np.array([m for _, m, _ in held])[piece])
+        table = np.full((len(held), SHIFTS), NONE)
+        table[piece, offset] = least[run]
+        for n, (_, _, rows) in enumerate(held):
+            out[rows, first[rows[0]] : last[rows[0]]] = table[n, first[rows[0]] : last[rows[0]]]
+
+    for n, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        alike: dict[tuple[int, bytes], list[int]] = {}
+        for i in order[a:z].tolist() if z - a > 1 else ():
+            alike.setdefault((first[i], shown[i, first[i] : last[i] + LENGTH - 1].tobytes()), []).append(i)
+        if len(alike) == 1:  # the same strings in all: nothing to sort
+            rows = order[a:z]
+            where = inside[rows[0]] & (offsets >= first[rows[0]]) & (offsets < last[rows[0]])
+            out[np.ix_(rows, np.flatnonzero(where))] = ranked[a:z].min()
+        for (begin, piece), rows in alike.items() if len(alike) > 1 else ():
+            middle = SHIFTS - 1 - begin
+            pieces.append([*piece[:middle], 256 + n - opened, *piece[middle + GRAM :], PAD])
+            held.append((n, int(ids[rows].min()), rows))
+        if pieces and (len(pieces) * AROUND >= SUFFIX_BYTES or z == len(order)):
+            sort()
+            held.clear()
+            pieces.clear()
+        if not pieces:
+            opened = n + 1
     return out
 
 
