@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,15 +18,16 @@ def coded_blocks(batch: pa.RecordBatch, find: Callable[[str], list[str]], limit:
     texts = batch.column(text_at)
     at = 0
     while at < len(texts):
-        start, size, found, counts = at, 0, [], []
+        places: defaultdict = defaultdict()
+        places.default_factory = places.__len__  # a new word takes the next place
+        start, size, codes, counts = at, 0, array("I"), []
         while at < len(texts):
             text = texts[at].as_py() or ""
             if at > start and size + len(text) > limit:
                 break
             words = find(text)
-            found.extend(words)
+            codes.extend(map(places.__getitem__, words))
             counts.append(len(words))
             size += len(text)
             at += 1
-        coded = pa.array(found, pa.string()).dictionary_encode()
-        yield start, at, np.array(counts, np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        yield start, at, np.array(counts, np.int64), np.frombuffer(codes, np.uint32), list(places)

@@ -27,8 +27,8 @@ from labelmatch.llm.tokens import coded_blocks
 WORDS = r"[\p{L}\p{N}\p{M}]+"
 FEATURES = 1 << 18
 PREFIXES = (3, 4, 5, 6)
-BLOCK_CHARS = 12_000_000
-KEPT_WORDS = 300_000
+BLOCK_CHARS = 6_000_000
+KEPT_WORDS = 150_000
 #: A word is labelled T if it is so many times as frequent in toxic documents, in so many of them.
 RATIO, LEAST = 8.0, 4
 #: Words in a training sequence.
