@@ -10,6 +10,8 @@ value and sum give the document's score by a logistic fit on the training docume
 
 from __future__ import annotations
 
+import math
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,12 +31,19 @@ FEATURES = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 BLOCK_CHARS = 6_000_000
 KEPT_WORDS = 150_000
-#: A word is labelled T if it is so many times as frequent in toxic documents, in so many of them.
-RATIO, LEAST = 8.0, 4
+#: A word is labelled T if it is so many times as frequent in toxic documents, and the G statistic of that is so high.
+RATIO, SIGNIFICANT = 8.0, 18.0
 #: Words in a training sequence.
 SEQUENCE = 40
 
 
+def _g(a: int, n: int, b: int, m: int) -> float:
+    """The G statistic of a in n against b in m."""
+    share = (a + b) / (n + m)
+    parts = ((a, n * share), (n - a, n * (1 - share)), (b, m * share), (m - b, m * (1 - share)))
+    return 2 * sum(x * math.log(x / e) for x, e in parts if x)
+
+
 def _features(word: str) -> list[int]:
     names = ["w" + word, "s" + word[-3:], *(f"p{word[:n]}" for n in PREFIXES if len(word) >= n)]
     return [zlib.crc32(x.encode()) % FEATURES for x in names]
@@ -49,7 +58,7 @@ class Model:
     weights: np.ndarray
     #: Scores of O->O, O->T, T->O, T->T, and of T at the start.
     moves: np.ndarray
-    #: Of the document's score: constant, largest log odds, log1p of the sum of marginals.
+    #: Of the document's score: constant, largest log odds, log1p of the sum of marginals, log of their share of the words.
     document: np.ndarray
 
     def emission(self, word: str) -> float:
@@ -120,7 +129,7 @@ def _train_chain(sequences: list[tuple[list[str], list[int]]], rounds: int, l2:
 
 
 def _summaries(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log odds of T at each word; a row for each document: 1, largest log odds, log1p of the sum of marginals."""
+    """The log odds of T at each word; a row for each document: the values that ``Model.document`` weighs."""
     if len(scores):
         ahead, back = messages(scores, counts, moves)
         odds = np.clip(np.log(ahead) + np.log(back), -15, 15)
@@ -129,7 +138,7 @@ def _summaries(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> tup
     starts = np.cumsum(counts) - counts
     top = np.where(counts > 0, np.maximum.reduceat(np.append(odds, -15.0), starts), -15.0) if len(counts) else np.empty(0)
     total = np.where(counts > 0, np.add.reduceat(np.append(1 / (1 + np.exp(-odds)), 0.0), starts), 0.0) if len(counts) else np.empty(0)
-    return odds, np.stack([np.ones(len(counts)), top, np.log1p(total)], axis=1)
+    return odds, np.stack([np.ones(len(counts)), top, np.log1p(total), np.log((total + 0.1) / (counts + 10))], axis=1)
 
 
 def _logistic(rows: np.ndarray, truth: np.ndarray, l2: float = 1.0) -> np.ndarray:
@@ -160,19 +169,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, rounds: int =
     find = regex.compile(WORDS).findall
     rows, begun = [], set()
     for text, toxic in sample(docs, labels, per_class).toPandas().itertuples(index=False):
-        words = find(text.lower())
+        words = list(map(sys.intern, find(text.lower())))
         if (key := (toxic, *words[:12])) not in begun:  # copies and near copies of a document count once
             begun.add(key)
             rows.append((words, int(toxic)))
     n_toxic = sum(y for _, y in rows)
-    none = Model(np.zeros(FEATURES, np.float32), np.array([0.0, -3.0, 0.0, 0.0, -3.0]), np.array([-1.0, 0.0, 0.0]))
+    none = Model(np.zeros(FEATURES, np.float32), np.array([0.0, -3.0, 0.0, 0.0, -3.0]), np.array([-1.0, 0.0, 0.0, 0.0]))
     if not n_toxic or n_toxic == len(rows):
         return none
     met = (Counter(), Counter())
     for words, toxic in rows:
         met[toxic].update({k for w in set(words) for k in _keys(w)})
     rate = (len(rows) - n_toxic + 1) / (n_toxic + 1)
-    guilty = {k for k, n in met[1].items() if n >= LEAST and (n + 0.5) * rate / (met[0][k] + 0.5) >= RATIO}
+    guilty = {k for k, n in met[1].items() if (n + 0.5) * rate / (met[0][k] + 0.5) >= RATIO and _g(n, n_toxic, met[0][k], len(rows) - n_toxic) >= SIGNIFICANT}
     sequences = []
     for words, toxic in rows:
         marks = [int(bool(toxic) and any(k in guilty for k in _keys(w))) for w in words]
