@@ -10,10 +10,8 @@ value and sum give the document's score by a logistic fit on the training docume
 
 from __future__ import annotations
 
-import math
-import sys
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,11 +35,13 @@ RATIO, SIGNIFICANT = 8.0, 18.0
 SEQUENCE = 40
 
 
-def _g(a: int, n: int, b: int, m: int) -> float:
-    """The G statistic of a in n against b in m."""
-    share = (a + b) / (n + m)
-    parts = ((a, n * share), (n - a, n * (1 - share)), (b, m * share), (m - b, m * (1 - share)))
-    return 2 * sum(x * math.log(x / e) for x, e in parts if x)
+def _guilty(toxic: np.ndarray, n: int, clean: np.ndarray, m: int) -> np.ndarray:
+    """Which keys stand in so many of n toxic and so few of m clean documents that they mark toxic words."""
+    share = (toxic + clean) / (n + m)
+    g = np.zeros(len(toxic))
+    for x, e in ((toxic, n * share), (n - toxic, n * (1 - share)), (clean, m * share), (m - clean, m * (1 - share))):
+        g += 2 * np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(e, 1e-12)), 0)
+    return ((toxic + 0.5) * (m + 1) / ((clean + 0.5) * (n + 1)) >= RATIO) & (g >= SIGNIFICANT)
 
 
 def _features(word: str) -> list[int]:
@@ -49,10 +49,6 @@ def _features(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) % FEATURES for x in names]
 
 
-def _keys(word: str) -> list[str]:
-    return [word + "$", *(word[:n] for n in PREFIXES[1:] if len(word) >= n)]
-
-
 @dataclass
 class Model:
     weights: np.ndarray
@@ -92,12 +88,10 @@ def messages(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> tuple
     return ahead, back
 
 
-def _train_chain(sequences: list[tuple[list[str], list[int]]], rounds: int, l2: float) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood with an L2 penalty, by Adam over all sequences."""
-    place: dict[str, int] = {}
-    codes = np.array([place.setdefault(w, len(place)) for words, _ in sequences for w in words], np.int64)
-    truth = np.array([y for _, ys in sequences for y in ys], float)
-    counts = np.array([len(words) for words, _ in sequences], np.int64)
+def _train_chain(codes: np.ndarray, truth: np.ndarray, counts: np.ndarray, words: list[str], rounds: int, l2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood with an L2 penalty, by Adam over all sequences: ``counts`` words each, ``words[codes]`` with their labels."""
+    place, codes = np.unique(codes, return_inverse=True)
+    place = [words[i] for i in place.tolist()]
     per_word = [_features(w) for w in place]
     feature = np.array([f for fs in per_word for f in fs], np.int64)
     owner = np.repeat(np.arange(len(per_word)), [len(fs) for fs in per_word])
@@ -167,41 +161,49 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, rounds: int =
     no toxic word and its scores are the share of toxic rows, at most 0.49.
     """
     find = regex.compile(WORDS).findall
-    rows, begun = [], set()
-    for text, toxic in sample(docs, labels, per_class).toPandas().itertuples(index=False):
-        words = list(map(sys.intern, find(text.lower())))
-        if (key := (toxic, *words[:12])) not in begun:  # copies and near copies of a document count once
-            begun.add(key)
-            rows.append((words, int(toxic)))
-    n_toxic = sum(y for _, y in rows)
     none = Model(np.zeros(FEATURES, np.float32), np.array([0.0, -3.0, 0.0, 0.0, -3.0]), np.array([-1.0, 0.0, 0.0, 0.0]))
-    if not n_toxic or n_toxic == len(rows):
+    places: defaultdict = defaultdict()
+    places.default_factory = places.__len__
+    rows, toxic, begun = [], [], set()
+    held = sample(docs, labels, per_class).toArrow().sort_by([("text", "ascending"), ("toxic", "ascending")])
+    for text, mark in zip(held.column("text"), held.column("toxic").to_pylist(), strict=True):
+        codes = np.fromiter(map(places.__getitem__, find(text.as_py().lower())), np.int32)
+        if (key := (mark, codes[:12].tobytes())) not in begun:  # copies and near copies of a document count once
+            begun.add(key)
+            rows.append(codes)
+            toxic.append(mark)
+    del held
+    truth = np.array(toxic, bool)
+    n_toxic, n_clean = int(truth.sum()), int((~truth).sum())
+    if not n_toxic or not n_clean:
         return none
-    met = (Counter(), Counter())
-    for words, toxic in rows:
-        met[toxic].update({k for w in set(words) for k in _keys(w)})
-    rate = (len(rows) - n_toxic + 1) / (n_toxic + 1)
-    guilty = {k for k, n in met[1].items() if (n + 0.5) * rate / (met[0][k] + 0.5) >= RATIO and _g(n, n_toxic, met[0][k], len(rows) - n_toxic) >= SIGNIFICANT}
-    sequences = []
-    for words, toxic in rows:
-        marks = [int(bool(toxic) and any(k in guilty for k in _keys(w))) for w in words]
-        for at in range(0, len(words), SEQUENCE):
-            part = words[at : at + SEQUENCE], marks[at : at + SEQUENCE]
-            if any(part[1]) or zlib.crc32(" ".join(part[0]).encode()) % 8 == 0:
-                sequences.append(part)
-    if not any(any(y) for _, y in sequences):
+    words = list(places)
+    parts: defaultdict = defaultdict()
+    parts.default_factory = parts.__len__
+    prefixes = np.array([[parts[w[:n]] if len(w) >= n else -1 for n in PREFIXES[1:]] for w in words], np.int32).reshape(len(words), -1)
+    met = {kind: [np.zeros(len(words)), np.zeros(len(parts))] for kind in (True, False)}
+    for codes, kind in zip(rows, truth.tolist(), strict=True):
+        own = np.unique(codes)
+        met[kind][0][own] += 1
+        begin = np.unique(prefixes[own])
+        met[kind][1][begin[begin >= 0]] += 1
+    by_word, by_prefix = (_guilty(met[True][i], n_toxic, met[False][i], n_clean) for i in (0, 1))
+    guilty = by_word | (np.append(by_prefix, False)[prefixes]).any(axis=1)  # -1 is the last: no such prefix
+    kept, marks = [], []
+    for codes, kind in zip(rows, truth.tolist(), strict=True):
+        for at in range(0, len(codes), SEQUENCE):
+            part = codes[at : at + SEQUENCE]
+            label = guilty[part] & kind
+            if label.any() or zlib.crc32(part.tobytes()) % 8 == 0:
+                kept.append(part)
+                marks.append(label)
+    if not any(m.any() for m in marks):
         return none
-    weights, moves = _train_chain(sequences, rounds, l2)
+    weights, moves = _train_chain(np.concatenate(kept), np.concatenate(marks).astype(float), np.array(list(map(len, kept)), np.int64), words, rounds, l2)
     model = Model(weights.astype(np.float32), moves, none.document)
-    emit: dict[str, float] = {}
-    for words, _ in rows:
-        for w in words:
-            if w not in emit:
-                emit[w] = model.emission(w)
-    counts = np.array([len(words) for words, _ in rows], np.int64)
-    scores = np.array([emit[w] for words, _ in rows for w in words])
-    _, seen = _summaries(scores, counts, moves)
-    model.document = _logistic(seen, np.array([y for _, y in rows], float))
+    emit = np.fromiter(map(model.emission, words), np.float64, len(words))
+    _, seen = _summaries(emit[np.concatenate(rows)], np.array(list(map(len, rows)), np.int64), moves)
+    model.document = _logistic(seen, truth.astype(float))
     return model
 
 
