@@ -170,14 +170,14 @@ def text_rerank(spark: SparkSession, d: str) -> DataFrame:
     near = nearest(spark, d, k=20).withColumn("similarity", F.round(1 - F.col("distance"), 6))
     named = near.join(docs.select(F.col("id").alias("query_id"), F.col("text").alias("query_text")), "query_id").join(docs.select(F.col("id").alias("product_id"), F.col("text").alias("description"), F.col("source").alias("title")), "product_id")
     out = decide.rerank_by_text(named, 10)
-    return out.select("query_id", "product_id", "rank", "new_rank", F.round("text_score", 6).alias("text_score"))
+    return out.select("query_id", "product_id", "rank", "new_rank", F.round(F.col("text_score").cast("decimal(18,9)"), 6).cast("double").alias("text_score"))
 
 
 def evidence_rerank(spark: SparkSession, d: str) -> DataFrame:
     near = nearest(spark, d, k=10).withColumn("similarity", F.round(1 - F.col("distance"), 6))
     proof = near.withColumn("good", F.col("vector_id") % 400).withColumn("inliers", F.when(F.col("vector_id") % 7 != 0, F.floor(F.col("vector_id") % 400 / 2)))
     out = decide.rerank_by_match_evidence(proof, 0.35)
-    return out.select("query_id", "product_id", "rank", "new_rank", F.round("evidence", 6).alias("evidence"))
+    return out.select("query_id", "product_id", "rank", "new_rank", F.round(F.col("evidence").cast("decimal(18,9)"), 6).cast("double").alias("evidence"))
 
 
 _E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL)"
@@ -257,10 +257,10 @@ SQL = {
     "text_rerank": rf"""WITH {_E}, {_near("", 20)}, w AS (SELECT n.query_id, n.product_id, rk, round(1 - dist, 6) AS sim, lower(coalesce(q.text, '')) AS a, lower(concat_ws(' ', p.text, p.source)) AS b FROM near n JOIN documents q ON q.doc_id = n.query_id JOIN documents p ON p.doc_id = n.product_id),
   t AS (SELECT *, list_distinct(regexp_extract_all(a, '[a-zа-яё0-9]{{2,}}')) AS x, list_distinct(regexp_extract_all(b, '[a-zа-яё0-9]{{2,}}')) AS y, regexp_extract(a, '\b(1[89]\d{{2}}|20[012]\d)\b', 1) AS ya, regexp_extract(b, '\b(1[89]\d{{2}}|20[012]\d)\b', 1) AS yb FROM w),
   s AS (SELECT *, 0.5 * sim + CASE WHEN ya <> '' AND ya = yb THEN 0.3 ELSE 0 END + CASE WHEN len(x) > 0 AND len(y) > 0 THEN 0.2 * len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) ELSE 0 END AS score FROM t)
-  SELECT query_id, product_id, rk::INT AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rk > 10, CASE WHEN rk <= 10 THEN -score ELSE 0 END, rk)::INT AS new_rank, round(score, 6) AS text_score FROM s""",
+  SELECT query_id, product_id, rk::INT AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rk > 10, CASE WHEN rk <= 10 THEN -score ELSE 0 END, rk)::INT AS new_rank, round(score::DECIMAL(18, 9), 6)::DOUBLE AS text_score FROM s""",
     "evidence_rerank": f"""WITH {_E}, {_near("", 10)}, s AS (SELECT query_id, product_id, rk, round(1 - dist, 6) AS sim, vector_id % 400 AS good, CASE WHEN vector_id % 7 <> 0 THEN floor((vector_id % 400) / 2) END AS inl FROM near),
   t AS (SELECT *, 0.4 * sim + coalesce(0.3 * least(1.0, inl / 300) + 0.3 * inl / greatest(1, good), 0) AS ev, max(sim) FILTER (rk = 1) OVER (PARTITION BY query_id) AS first FROM s)
-  SELECT query_id, product_id, rk::INT AS rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN first >= 0.35 THEN -ev ELSE 0 END, rk)::INT AS new_rank, round(ev, 6) AS evidence FROM t""",
+  SELECT query_id, product_id, rk::INT AS rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN first >= 0.35 THEN -ev ELSE 0 END, rk)::INT AS new_rank, round(ev::DECIMAL(18, 9), 6)::DOUBLE AS evidence FROM t""",
 }
 
 QUERIES = {f.__name__: f for f in (nearest_products, average_views, votes_pool, votes_scoped, max_similarity, fusion_rank, cascade_answers, predict_top1, twin_pairs, twin_clusters, near_duplicate_audit, approx_twin_pairs, hit_at_1, recall_at_pool, recognition_report, diff_runs, calibrate, confusable_pairs, text_rerank, evidence_rerank)}
