@@ -27,5 +27,13 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder in ``n`` buckets of ``key``: grouping by it later moves no row."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "uncompressed").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
