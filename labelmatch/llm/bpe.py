@@ -2,7 +2,7 @@
 
 1. Texts are cut into pre-tokens; a block of neighbouring documents keeps, for each of its
    distinct words, one place in a word list, and for each document the places of its pre-tokens
-   in order (the positions). Blocks are written once to the shared folder.
+   in order (the positions). Blocks are written once, in buckets, to the shared folder.
 2. The word lists are dealt out by the word's hash, so all mentions of a word meet in one task,
    which encodes each distinct word once and answers with the ids, still under the block's places.
 3. The answers return to their block, and each document is put together by position.
@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelmatch.functions.storage import written
+from labelmatch.functions.storage import bucketed
 
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 14_000_000
+BLOCK_CHARS = 8_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -128,20 +128,20 @@ def _answer(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern:
         yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), batch.column("first"), pa.array(out, pa.binary()), pa.nulls(len(out), batch.schema.field("ids").type)], names=["block", "bucket", "first", "data", "ids"])
 
 
-def _reassemble(group: pa.Table) -> pa.Table:
-    rows = sorted(group.select(["bucket", "first", "data"]).to_pylist(), key=lambda r: (r["bucket"] >= 0, r["first"]))
-    held = next(x for x in group.column("ids").to_pylist() if x is not None)
-    answers = [_unpack(row["data"], 2)[0] for row in rows[1:]]
+def _reassemble(block: pa.Table, told: pa.Table) -> pa.Table:
+    held = block.column("ids")[0].as_py()
+    told = told.select(["first", "data"]).sort_by("first")
+    answers = [_unpack(data.as_py(), 2)[0] for data in told.column("data")]
     sizes = np.concatenate([np.empty(0, np.int64), *(a for a, _ in answers)])
     ids = np.concatenate([np.empty(0, np.int32), *(b.astype(np.int32) for _, b in answers)])
     del answers
     starts = np.cumsum(sizes) - sizes
-    (counts, times, ranks), _ = _unpack(rows[0]["data"], 3)
+    (counts, times, ranks), _ = _unpack(block.column("data")[0].as_py(), 3)
     codes = _by_frequency(times)[ranks]
     lengths = sizes[codes]
     tokens = ids[_ranges(starts[codes], lengths)]
     ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-    kind = group.schema.field("ids").type.value_type
+    kind = block.schema.field("ids").type.value_type
     return pa.table([pa.array(held, kind), _split(ends, tokens)], names=["id", "ids"])
 
 
@@ -158,11 +158,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     schema = T.StructType().add("block", "long").add("bucket", "integer").add("first", "integer").add("data", "binary").add("ids", T.ArrayType(kind))
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))  # of fixed size: the vocabulary
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = written(source.mapInArrow(lambda b: _blocks(b, pattern, n_buckets, BLOCK_CHARS), schema), "bpe-blocks", "uncompressed")
+    blocks = bucketed(source.mapInArrow(lambda b: _blocks(b, pattern, n_buckets, BLOCK_CHARS), schema), "bpe_blocks", "block", n_buckets)
     asked = blocks.where("bucket >= 0").repartition(n_buckets, "bucket")
     answers = asked.mapInArrow(lambda b: _answer(b, ranks.value, pattern), schema)
-    both = blocks.where("bucket < 0").unionByName(answers)
-    return both.groupBy("block").applyInArrow(_reassemble, T.StructType().add("id", kind).add("ids", T.ArrayType(T.IntegerType())))
+    texts = blocks.where("bucket < 0")  # in buckets already: only words and answers are shuffled
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble, T.StructType().add("id", kind).add("ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
