@@ -124,17 +124,15 @@ def close_fingerprints(reps: DataFrame) -> DataFrame:
     """
     fs = [f"f{i}" for i in range(WORDS)]
     values = ", ".join(f"int(shiftrightunsigned(f{j * SEGMENT_BITS // 64}, {j * SEGMENT_BITS % 64}) & {(1 << SEGMENT_BITS) - 1})" for j in range(SEGMENTS))
-    table = reps.selectExpr("node", "f0", f"posexplode(array({values})) as (seg, val)")
+    table = reps.selectExpr("node", *fs, f"posexplode(array({values})) as (seg, val)")
     # At most SEGMENTS * 2**SEGMENT_BITS rows, whatever the input.
     long = F.broadcast(written(table.groupBy("seg", "val").count().where(F.col("count") > SHORT).select("seg", "val"), "simhash-long"))
     masks = ", ".join(str(1 << b) for b in range(SEGMENT_BITS))
-    probes = table.selectExpr("node", "f0", "seg", "val as own", f"explode(concat(array(val), transform(filter(array({masks}), m -> (val & m) = 0), m -> val | m))) as val")
-    left = probes.join(long, ["seg", "val"], "left_anti").withColumnsRenamed({"node": "a", "f0": "fa"})
-    right = table.join(long, ["seg", "val"], "left_anti").withColumnsRenamed({"node": "b", "f0": "fb"})
-    met = left.join(right, ["seg", "val"]).where(f"a <> b and (own <> val or a < b) and bit_count(fa ^ fb) <= {DIFFER_FIRST}")
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda n: reps.select(F.col("node").alias(n), *[F.col(f).alias(f"{n}_{f}") for f in fs])
-    short = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{_differ('a_f', 'b_f')} <= {DIFFER}").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    probes = table.selectExpr("node", *fs, "seg", "val as own", f"explode(concat(array(val), transform(filter(array({masks}), m -> (val & m) = 0), m -> val | m))) as val")
+    side = lambda df, n: df.join(long, ["seg", "val"], "left_anti").withColumnsRenamed({"node": n, **{f: f"{n}_{f}" for f in fs}})
+    met = side(probes, "a").join(side(table, "b"), ["seg", "val"])
+    near = met.where(f"a <> b and (own <> val or a < b) and bit_count(a_f0 ^ b_f0) <= {DIFFER_FIRST} and {_differ('a_f', 'b_f')} <= {DIFFER}")
+    short = near.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     rows = probes.join(long, ["seg", "val"], "left_semi").select("seg", "val", "node").distinct().join(reps.select("node", *fs), "node")
 
     def verify(part: pa.Table, bounds: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
