@@ -37,7 +37,7 @@ _RULES = {
         r"{t} rlike r'[0-9]\.[0-9]'",
         "{t}",
         r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-        r"m rlike r'^(?:0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$'",
+        r"m rlike r'^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$'",
     ),
     "card": (
         r"{t} rlike r'[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]'",

@@ -211,3 +211,11 @@ def test_mixing_edges(spark):
     assert out.columns == docs.columns and out.count() >= 4
     assert mixing.mix(docs.where("false")).count() == 0
     assert out.where(F.col("doc_id") == 1).count() == 4
+
+
+def test_addresses_with_zero_octets_are_found(spark):
+    found = ["10.0.0.1", "0.0.0.0", "00.1.2.3", "127.0.0.1", "1.2.3.00", "000.0255.010.0"]
+    rows = [(i, f"at {x} now") for i, x in enumerate([*found, "256.0.0.1", "0.0.0.0256", "0.0.0"])]
+    got = {r.doc_id: r.n_ip for r in pii.op9_pii(frame(spark, rows)).collect()}
+    assert got == {i: len([m for m in plain_pii(t) if m[0] == "ip"]) for i, t in rows} == {i: int(i < len(found)) for i, _ in rows}
+    assert pii.sanitise(frame(spark, rows[:1])).first().text == "at [IP] now"
