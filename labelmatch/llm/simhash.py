@@ -99,8 +99,8 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 
 def wide_simhash(text: str | None, shingle: int) -> list[int]:
-    """WORDS signed words: the fingerprint of :func:`simhash`, continued with further hashes of each shingle."""
-    h = shingle_hashes(text, shingle)
+    """WORDS signed words: a fingerprint over the distinct shingles, as :func:`jaccard` compares them, with further hashes of each."""
+    h = np.unique(shingle_hashes(text, shingle))
     if not len(h):
         return [0] * WORDS
     wide = np.empty((len(h), WORDS), "<u8")

@@ -113,6 +113,17 @@ def test_near_copies_leave_one_of_each_group(spark, prose, monkeypatch, short):
     assert simhash.drop_near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_copies_with_repeated_lines_leave_one(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        line = words[100:116]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:116] + line * 12 + words[116:]))]
+    assert all(len(shingles(a) & shingles(b)) >= 0.9 * len(shingles(a) | shingles(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True))
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()) == [i for i, _ in rows[::2]]
+
+
 def test_suffix_array_equals_sorting():
     rng = random.Random(2)
     for _ in range(400):
