@@ -7,6 +7,9 @@ fingerprints differ in at most two bits exactly if their balls share a key, so t
 met in the middle and no side has to enumerate radius 2. A key has at most 65 owners whatever
 the data holds, so there are no hot buckets and no list of pairs: each owner is linked to the
 smallest owner, that link is verified on the complete 64 bits, and components follow.
+
+The corpus pipeline's stage asks for the similarity of shingle sets, which no fingerprint decides;
+its candidates are found by the openings of ordered sets, without loss.
 """
 
 from __future__ import annotations
@@ -83,11 +86,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(labels, "fp").select("id", "fp", "component_id")
 
 
-#: Of the wide fingerprint: words of 64 bits, bits of a segment, bits that may differ in all and in the first word.
-WORDS, SEGMENT_BITS, DIFFER, DIFFER_FIRST = 3, 16, 42, 19
-#: Rows of a segment's table that are compared in pairs by a join; longer ones are dealt out in chunks.
-SHORT, CHUNK, TEXT_CHUNK = 200, 2000, 400
-SEGMENTS = WORDS * 64 // SEGMENT_BITS
+#: Bits of the sketch of a text's shingles, in words of 64.
+WORDS = 8
+#: Rows of a list that are compared at once; longer lists, and longer groups of texts, are dealt out in chunks.
+SHORT, TEXT_CHUNK = 2000, 400
+#: Texts that are looked at for frequent shingles; how many of them hold one; how many shingles are kept.
+SAMPLE, FREQUENT, KEPT = 20_000, 20, 100_000
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -98,55 +102,92 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(g, SEED) for g in grams], dtype="<u8")
 
 
-def wide_simhash(text: str | None, shingle: int) -> list[int]:
-    """WORDS signed words: a fingerprint over the distinct shingles, as :func:`jaccard` compares them, with further hashes of each."""
-    h = np.unique(shingle_hashes(text, shingle))
+def sketch(h: np.ndarray) -> np.ndarray:
+    """WORDS signed words: which cells hold an odd number of the distinct hashes. Two sets differ in at least as many shingles as their sketches in bits."""
+    cells = np.bincount((h >> np.uint64(20)).astype(np.int64) % (WORDS * 64), minlength=WORDS * 64) & 1
+    return np.packbits(cells.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def opening(h: np.ndarray, similarity: float, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The hashes of a set by which it is looked up; zero without shingles.
+
+    All sets are put in one order: shingles that are not in ``frequent`` (sorted) by hash, then those by ``times``. Two sets
+    of at least the similarity s share one of the first n - ceil(s n) + 1 of their n shingles, whatever the order is.
+    """
     if not len(h):
-        return [0] * WORDS
-    wide = np.empty((len(h), WORDS), "<u8")
-    for i in range(WORDS):
-        wide[:, i] = h
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    ones = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(wide), bitorder="little").view("<i8").tolist()
+        return np.zeros(1, "<u8")
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        h = h[np.lexsort((h, np.where(frequent[at] == h, times[at], 0)))]
+    return h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+
 
+def frequent_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of shingles that many texts of a sample hold, and their numbers. They decide what is fast, not what is found."""
+    share = min(1.0, SAMPLE / max(docs.count(), 1))
+    text = F.col(text_col).cast("string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), shingle)).view("<i8"))], names=["h"])
 
-def _differ(a: str, b: str) -> str:
-    return " + ".join(f"bit_count({a}{i} ^ {b}{i})" for i in range(WORDS))
+    chosen = docs.select(text.alias("text")).where(F.xxhash64("text", F.lit("simhash")) / 2.0**64 + 0.5 < share)
+    counts = chosen.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    found = counts.orderBy(F.desc("n"), "h").limit(KEPT).toArrow()  # of fixed size
+    h = found.column("h").to_numpy().view("<u8")
+    order = np.argsort(h)
+    return h[order], found.column("n").to_numpy()[order]
 
 
-def close_fingerprints(reps: DataFrame) -> DataFrame:
-    """Edges ``(u, v)`` that connect the nodes of ``reps(node, f0, f1, ...)`` whose wide fingerprints differ in DIFFER bits or fewer.
+def close_sets(reps: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``(u, v)`` that connect all nodes of ``reps(node, size, sketch, opening)`` whose sets have the similarity or more, and few others.
 
-    Each segment has a table of its values. A fingerprint looks up its own value and those with one more bit set (the pair
-    is met from the other side where a bit is to be cleared); matches are verified on the first word, then on all.
+    Each hash of the openings has a list of its owners. Owners of one list are a candidate if, by the numbers of their
+    shingles and by their sketches, their sets can be so similar; both tests never turn away a pair that is.
     """
+    most = (1 - similarity) / (1 + similarity)  # shingles in one of two sets only, of those in each
+    owned = reps.select("node", F.explode("opening").alias("h")).withColumn("owners", F.count("*").over(Window.partitionBy("h"))).where("owners > 1").select("h", "node")
+    rows = owned.join(reps.select("node", "size", *[F.col("sketch")[i].alias(f"f{i}") for i in range(WORDS)]), "node")
     fs = [f"f{i}" for i in range(WORDS)]
-    values = ", ".join(f"int(shiftrightunsigned(f{j * SEGMENT_BITS // 64}, {j * SEGMENT_BITS % 64}) & {(1 << SEGMENT_BITS) - 1})" for j in range(SEGMENTS))
-    table = reps.selectExpr("node", *fs, f"posexplode(array({values})) as (seg, val)")
-    # At most SEGMENTS * 2**SEGMENT_BITS rows, whatever the input.
-    long = F.broadcast(written(table.groupBy("seg", "val").count().where(F.col("count") > SHORT).select("seg", "val"), "simhash-long"))
-    masks = ", ".join(str(1 << b) for b in range(SEGMENT_BITS))
-    probes = table.selectExpr("node", *fs, "seg", "val as own", f"explode(concat(array(val), transform(filter(array({masks}), m -> (val & m) = 0), m -> val | m))) as val")
-    side = lambda df, n: df.join(long, ["seg", "val"], "left_anti").withColumnsRenamed({"node": n, **{f: f"{n}_{f}" for f in fs}})
-    met = side(probes, "a").join(side(table, "b"), ["seg", "val"])
-    near = met.where(f"a <> b and (own <> val or a < b) and bit_count(a_f0 ^ b_f0) <= {DIFFER_FIRST} and {_differ('a_f', 'b_f')} <= {DIFFER}")
-    short = near.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    rows = probes.join(long, ["seg", "val"], "left_semi").select("seg", "val", "node").distinct().join(reps.select("node", *fs), "node")
+    few = 48
 
     def verify(part: pa.Table, bounds: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         words = np.stack([part.column(f).to_numpy() for f in fs], axis=1).view(np.uint64)
-        ids, mine = part.column("node").to_numpy(), part.column("mine").to_numpy(zero_copy_only=False)
-        for s, e in bounds:
-            left, right = sides(mine[s:e])
-            apart = sum(np.bitwise_count(words[s:e][left][:, None, i] ^ words[s:e][right][None, :, i]).astype(np.int32) for i in range(WORDS))
-            i, j = np.nonzero(apart <= DIFFER)
-            yield edges(ids[s:e], left[i], right[j])
+        ids, mine, n = part.column("node").to_numpy(), part.column("mine").to_numpy(zero_copy_only=False), part.column("size").to_numpy()
+
+        def close(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            limit = most * (n[i] + n[j]) + 1e-6
+            apart = sum(np.bitwise_count(words[i, k] ^ words[j, k]).astype(np.int32) for k in range(WORDS))
+            return (apart <= limit) & (np.abs(n[i] - n[j]) <= limit)
 
-    keys = ["seg", "val"]
-    dealt = deal(rows, keys, "node", CHUNK)
-    return short.unionByName(dealt.mapInArrow(lambda b: walk(b, keys, verify), "u long, v long"))
+        # Many short lists at once: each row with the next, the one after that, and so on.
+        ends, whole = np.zeros(len(part), np.int64), np.zeros(len(part), bool)
+        for s, e in bounds:
+            if e - s <= few:
+                ends[s:e] = e
+                whole[s:e] = mine[s:e].all()
+            else:
+                left, right = sides(mine[s:e])
+                for at in range(0, len(left), 256):
+                    block = left[at : at + 256]
+                    i, j = np.nonzero(close(s + block[:, None], s + right[None, :]))
+                    yield edges(ids[s:e], block[i], right[j])
+        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for d in range(1, few):
+            i = np.flatnonzero(np.arange(len(part)) + d < ends)
+            if not len(i):
+                break
+            i = i[whole[i] | (mine[i] != mine[i + d])]
+            i = i[close(i, i + d)]
+            us.append(np.maximum(ids[i], ids[i + d]))
+            vs.append(np.minimum(ids[i], ids[i + d]))
+        pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).astype(np.int64)) for k in (0, 1)], names=["u", "v"])
+
+    dealt = deal(rows, ["h"], "node", SHORT)
+    return dealt.mapInArrow(lambda b: walk(b, ["h"], verify), "u long, v long").distinct()
 
 
 def jaccard(texts: list[str | None], shingle: int) -> np.ndarray:
@@ -174,29 +215,37 @@ def jaccard(texts: list[str | None], shingle: int) -> np.ndarray:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which one of each group stays: that of least id.
 
-    Texts are linked if the Jaccard similarity of their shingle sets is ``similarity`` or more: wide fingerprints
-    find the candidates, and within each group of candidates the sets are compared. Equal texts are
-    one text. Null and empty texts are linked with each other; of rows with one id in a group, repeated rows among
-    them, one stays; a group of null ids keeps one.
+    Texts are linked if the Jaccard similarity of their shingle sets is ``similarity`` or more; every such pair is
+    found: the openings of the ordered sets find the candidates, and within each group of candidates the sets are
+    compared. Texts of equal sets are one text. Null and empty texts are linked with each other; of rows with one id in a
+    group, repeated rows among them, one stays; a group of null ids keeps one.
     """
     row_key = lambda a, b: [F.xxhash64(F.lit(7), a, b).alias("k1"), F.xxhash64(F.lit(11), b, a).alias("k2")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), *row_key(F.col(id_col), F.col(text_col)), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(3), text).alias("t2"))
-    fs = [f"f{i}" for i in range(WORDS)]
-    names = ["id", "k1", "k2", "t1", "t2"]
+    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), *row_key(F.col(id_col), F.col(text_col)))
+    frequent, times = frequent_shingles(docs, text_col, shingle)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, times))  # at most KEPT
+    names = ["id", "k1", "k2"]
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([wide_simhash(t.as_py(), shingle) for t in batch.column(1)], np.int64).reshape(-1, WORDS)
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+            keys = [pa.array([xxhash.xxh64_intdigest(h.tobytes(), seed) for h in sets], pa.uint64()).view(pa.int64()) for seed in (3, 5)]
+            sizes = pa.array([len(h) for h in sets], pa.int64())
+            sketches = pa.array([sketch(h) for h in sets], longs)
+            openings = pa.array([opening(h, similarity, *shared.value).view("<i8") for h in sets], longs)
             kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(np.ascontiguousarray(marks[:, i])) for i in range(WORDS)]], names=[*names, *fs])
+            yield pa.RecordBatch.from_arrays([*kept, *keys, sizes, sketches, openings], names=[*names, "s1", "s2", "size", "sketch", "opening"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in (*names[1:], *fs)]])
+    many = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("k1", "k2", "s1", "s2", "size")], T.StructField("sketch", many), T.StructField("opening", many)])
     marks = written(keyed.mapInArrow(run, schema), "simhash-rows")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("first")
-    texts = marks.groupBy("t1", "t2", *fs).agg(least)  # equal texts, merged before the shuffle
-    reps = written(texts.select(F.monotonically_increasing_id().alias("node"), "first", *fs), "simhash-texts")
-    near = connected_components(close_fingerprints(reps)).withColumnRenamed("component", "list")
+    # Equal sets, merged before the shuffle.
+    texts = marks.groupBy("s1", "s2").agg(least, *[F.first(c).alias(c) for c in ("size", "sketch", "opening")])
+    reps = written(texts.select(F.monotonically_increasing_id().alias("node"), "first", "size", "sketch", "opening"), "simhash-texts")
+    near = connected_components(close_sets(reps, similarity)).withColumnRenamed("component", "list")
     row = docs.select(F.col(text_col).cast("string").alias("text"), *row_key(F.col(id_col), F.col(text_col)))
     members = near.join(reps, "node").select("node", "list", "first.k1", "first.k2").join(row, ["k1", "k2"]).groupBy("node", "list").agg(F.first("text").alias("text"))
 

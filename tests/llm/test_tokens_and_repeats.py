@@ -124,6 +124,32 @@ def test_copies_with_repeated_lines_leave_one(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()) == [i for i, _ in rows[::2]]
 
 
+def test_all_pairs_of_the_similarity_are_found(spark, monkeypatch):
+    """Short texts, and copies at or just above the limit with the changed words in one place or dealt over the text."""
+    monkeypatch.setattr(simhash, "FREQUENT", 2)
+    rng = random.Random(12)
+    fresh = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for n in (8, 9, 13, 14, 30, 100, 400):
+        for _ in range(30):
+            words = [fresh() for _ in range(n)]
+            rows.append(" ".join(words))
+            rows.append(" ".join([*words, fresh()]))
+            other = list(words)
+            for at in rng.sample(range(n), max(1, n // 50)):
+                other[at] = fresh()
+            rows.append(" ".join(other))
+            rows.append(" ".join([*words[: n - n // 12], *(fresh() for _ in range(n // 12))]))
+    line = " ".join(fresh() for _ in range(12))
+    rows = [(i, t if i % 3 else f"{line} {t}") for i, t in enumerate(rows)]
+    sets = [(i, shingles(t)) for i, t in rows]
+    want = groups(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert 100 < len(rows) - len(set(want.values()))
+    for short in (2000, 3):
+        monkeypatch.setattr(simhash, "SHORT", short)
+        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()) == sorted(set(want.values()))
+
+
 def test_suffix_array_equals_sorting():
     rng = random.Random(2)
     for _ in range(400):
