@@ -219,3 +219,16 @@ def test_addresses_with_zero_octets_are_found(spark):
     got = {r.doc_id: r.n_ip for r in pii.op9_pii(frame(spark, rows)).collect()}
     assert got == {i: len([m for m in plain_pii(t) if m[0] == "ip"]) for i, t in rows} == {i: int(i < len(found)) for i, _ in rows}
     assert pii.sanitise(frame(spark, rows[:1])).first().text == "at [IP] now"
+
+
+def test_documents_with_one_header_are_all_learned_from(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(200)]
+    header = "this page was printed from the board of our town on monday morning"
+    text = lambda *more: " ".join([header, *rng.choices(words, k=30), *more])
+    rows = [(i, text("zwrxq", "zwrxq") if i % 2 else text()) for i in range(120)]
+    docs = frame(spark, [*rows, (200, rows[0][1])])
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(200, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r.id: r.score >= 0.5 for r in toxicity.score(frame(spark, [(1, text("zwrxq")), (2, text())]), model).collect()}
+    assert got == {1: True, 2: False}
