@@ -1,11 +1,11 @@
 """License scans with a positional rare-token index.
 
-Document frequencies of all template words are counted over the whole corpus. Each template's
-rarest words (highest inverse document frequency) form a positional index: word -> (template,
-position). A file looks up its occurrences of those words; postings that agree on the place
-where the template would begin are intersected, and the candidate is kept if all of the
-template's key phrases stand at their relative positions there. Its score is the share of the
-template's words that stand in place.
+Document frequencies of all template words are counted over the whole corpus. The rarest words
+(highest inverse document frequency) of each template's key phrases form a positional index:
+word -> (template, position). A file looks up its occurrences of those words; postings that agree
+on the place where the template would begin, which may be before the file, are intersected, and
+the candidate is kept if all of the template's key phrases stand at their relative positions
+there. Its score is the share of the template's words that stand in place.
 """
 
 from __future__ import annotations
@@ -78,33 +78,32 @@ def document_frequencies(docs: DataFrame, vocabulary: set[str], text_col: str =
 
 
 def index(templates: list[tuple[str, str, list[str]]], n_docs: int, frequencies: dict[str, int], rare: int = RARE) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
-    """Postings of each template's ``rare`` words of highest IDF; how many of them must agree."""
+    """Postings of the ``rare`` words of highest IDF in each template's key phrases; how many of them must agree."""
     postings, needed = defaultdict(list), []
-    for t, (_, text, _) in enumerate(templates):
+    for t, (_, text, keys) in enumerate(templates):
         words = text.split()
-        idf = {w: math.log((n_docs + 1) / (frequencies.get(w, 0) + 1)) for w in words}
+        idf = {w: math.log((n_docs + 1) / (frequencies.get(w, 0) + 1)) for k in keys for w in k.split()}
         chosen = set(sorted(idf, key=lambda w: (-idf[w], w))[:rare])
         for at, w in enumerate(words):
             if w in chosen:
                 postings[w].append((t, at))
-        needed.append(min(AGREE, sum(w in chosen for w in words)))
+        needed.append(min(AGREE, len(chosen)))
     return dict(postings), needed
 
 
 def match(words: list[str], templates, postings, needed) -> list[tuple[str, int, float]]:
-    """``(label, start, score)`` of each place where a template's key phrases stand."""
+    """``(label, start, score)`` of each place where a template's key phrases stand; it starts at 0 if words before them are cut off."""
     votes: Counter = Counter()
     for at, w in enumerate(words):
         for t, place in postings.get(w, ()):
-            if at >= place:
-                votes[t, at - place] += 1
+            votes[t, at - place] += 1
     out = []
     for (t, start), n in sorted(votes.items()):
         label, text, keys = templates[t]
         wanted = text.split()
-        here = words[start : start + len(wanted)]
+        here = [""] * -start + words[max(start, 0) : max(start + len(wanted), 0)]
         if n >= needed[t] and all(any(here[p : p + len(k)] == k for p in _find(wanted, tuple(k))) for k in map(str.split, keys)):
-            out.append((label, start, sum(a == b for a, b in zip(here, wanted, strict=False)) / len(wanted)))
+            out.append((label, max(start, 0), sum(a == b for a, b in zip(here, wanted, strict=False)) / len(wanted)))
     return out
 
 

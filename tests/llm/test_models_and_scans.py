@@ -110,6 +110,19 @@ def test_every_template_finds_itself():
         assert (label, 1, 1.0) in licenses.match(words, licenses.TEMPLATES, postings, needed)
 
 
+def test_key_phrases_are_found_at_the_first_word():
+    for frequencies in ({}, {w: 9 for label, text, keys in licenses.TEMPLATES for k in keys for w in k.split()}):  # the second: words outside the phrases are rarer
+        postings, needed = licenses.index(licenses.TEMPLATES, 10, frequencies)
+        for label, text, keys in licenses.TEMPLATES:
+            first = min(licenses._find(text.split(), tuple(k.split()))[0] for k in keys)
+            last = max(licenses._find(text.split(), tuple(k.split()))[0] + len(k.split()) for k in keys)
+            for before in ([], ["so"], ["so"] * 50):
+                found = licenses.match([*before, *text.split()[first:last], "end"], licenses.TEMPLATES, postings, needed)
+                assert label in {x for x, _, _ in found} and all(at >= 0 for _, at, _ in found)
+        top = lambda text: {x for x, _, _ in licenses.match(licenses.words_of(text), licenses.TEMPLATES, postings, needed)}
+        assert "gpl-3.0" in top("GNU General Public License version 3") and "apache-2.0" in top("Apache License, Version 2.0") and "mpl-2.0" in top("Mozilla Public License v. 2.0")
+
+
 def luhn(digits):
     return sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
