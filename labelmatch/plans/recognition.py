@@ -115,7 +115,7 @@ def twin_pairs(spark: SparkSession, d: str) -> DataFrame:
 def twin_clusters(spark: SparkSession, d: str) -> DataFrame:
     from labelmatch.functions.storage import written
 
-    pairs = written(twins.twin_pairs(twin_refs(spark, d), TWINS, LIMIT), "twin-pairs")
+    pairs = written(twins.similar_pairs(twin_refs(spark, d), TWINS), "twin-pairs")  # all of them: LIMIT is the report's
     return twins.twin_clusters(pairs, twin_products(spark, d))
 
 

@@ -100,3 +100,14 @@ def test_p95_and_upper_median_are_index_rules(spark):
     p95 = {r.g: r.x for r in evaluate.at_index(rows, ["g"], "v", evaluate.p95_index(), "x").collect()}
     mid = {r.g: r.x for r in evaluate.at_index(rows, ["g"], "v", evaluate.upper_median_index(), "x").collect()}
     assert (p95, mid) == ({"a": 9, "b": 5}, {"a": 6, "b": 5})
+
+
+def test_clusters_are_built_from_all_pairs(spark, tmp_path):
+    from labelmatch.plans import recognition
+
+    vec = lambda g: [float(i == g) for i in range(64)]
+    rows = [(i, vec(0)) for i in range(70)] + [(100, vec(1)), (101, [0.0, 1.0, 1.0, *[0.0] * 61])]  # 2,415 pairs of equal vectors, then a less similar one
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(i, f"n{i:03}", "m") for i, _ in rows], "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.cluster_id: r["size"] for r in recognition.twin_clusters(spark, str(tmp_path)).collect()}
+    assert got == {0: 70, 100: 2}
