@@ -50,7 +50,7 @@ def _name():
 
 def feature_sweetness(spark: SparkSession, d: str) -> DataFrame:
     level, why = X.sweetness(_name(), F.col("source"), F.col("text"), LEX)
-    return docs(spark, d).select("doc_id", level.alias("level"), why.alias("evidence"), X.sparkling(_name(), F.col("source"), F.lit(""), LEX).alias("sparkling"))
+    return docs(spark, d).select("doc_id", level.alias("level"), why.alias("evidence"), X.sparkling(_name(), F.col("source"), F.col("text"), LEX).alias("sparkling"))
 
 
 def feature_levels(spark: SparkSession, d: str) -> DataFrame:

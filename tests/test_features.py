@@ -110,3 +110,11 @@ def test_merge_keeps_what_was_said(spark):
     rows = spark.createDataFrame(texts, "s long, n int, t string").select("s", "n", R.parse_context(F.col("t")).alias("context"))
     got = R.merge_contexts(rows, "s", "n").first().context
     assert (got.colors, got.experience, got.avoid_oak, got.dish) == (["Белое", "Красное"], "expert", True, None)
+
+
+def test_sparkling_is_sought_in_the_whole_text(spark, tmp_path):
+    from labelmatch.plans import text
+
+    rows = [(1, "x" * 80 + " whst"), (2, "x" * 80), (3, "whst")]
+    spark.createDataFrame([(i, t, "src9", "en") for i, t in rows], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.sparkling for r in text.feature_sweetness(spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: True}
