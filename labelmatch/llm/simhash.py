@@ -1,10 +1,10 @@
-"""SimHash near-duplicates by multi-index hashing.
+"""SimHash near-duplicates by keys of one flipped bit, met in the middle.
 
-Fingerprints are 64 bits over word shingles. The index enumerates, segment by segment, the
-small Hamming ball of every *distinct* fingerprint: with the other segments held, each bit of a
-segment is flipped in turn (radius 1), which with the unflipped key makes 65 table keys. Two
-fingerprints differ in at most two bits exactly if their balls share a key, so the tables are
-met in the middle and no side has to enumerate radius 2. A key has at most 65 owners whatever
+Fingerprints are 64 bits over word shingles. This replaces the segment tables of multi-index
+hashing: the index enumerates the Hamming ball of radius 1 of every *distinct* fingerprint over
+all its bits, which with the unflipped key makes 65 table keys. Two
+fingerprints differ in at most two bits exactly if their balls share a key, so they
+meet in the middle and no side has to enumerate radius 2. A key has at most 65 owners whatever
 the data holds, so there are no hot buckets and no list of pairs: each owner is linked to the
 smallest owner, that link is verified on the complete 64 bits, and components follow.
 
