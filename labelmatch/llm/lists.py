@@ -77,9 +77,17 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def edges(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """``(u, v)``: each id that a pair touches, and the least id it is connected with here."""
-    every, at = np.unique(ids, return_inverse=True)
-    root = roots(len(every), at[a], at[b])
-    hit = np.flatnonzero(root != np.arange(len(every)))
-    return pa.RecordBatch.from_arrays([pa.array(every[hit].astype(np.int64)), pa.array(every[root[hit]].astype(np.int64))], names=["u", "v"])
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the pairs (a, b) of n places, fewer than n, that connect what all of them connect."""
+    reached = roots(n, a, b) == np.arange(n)
+    keep_a, keep_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    a, b = np.concatenate([a, b]), np.concatenate([b, a])
+    while True:
+        new = np.flatnonzero(reached[a] & ~reached[b])
+        if not len(new):
+            return np.concatenate(keep_a), np.concatenate(keep_b)
+        _, first = np.unique(b[new], return_index=True)
+        new = new[first]
+        keep_a.append(a[new])
+        keep_b.append(b[new])
+        reached[b[new]] = True

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmatch.functions.storage import written
-from labelmatch.llm.lists import deal, edges, sides, walk
+from labelmatch.llm.lists import deal, sides, spanning, walk
+from labelmatch.llm.tokens import in_characters
 from labelmatch.operators.components import connected_components
 
 SEED = 42
@@ -75,7 +76,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable over links of two or fewer differing bits, itself
     included. Null and empty texts have fingerprint zero and are linked like any other; repeated
     rows give repeated rows; null ids never become a component_id unless a component has no
-    other; no rows give no rows; further columns are ignored.
+    other; no rows give no rows; further columns are ignored; a text of any length counts whole.
     """
     marks = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
     first = written(marks.groupBy("fp").agg(F.min("id").alias("first")), "simhash-fp")
@@ -86,26 +87,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(labels, "fp").select("id", "fp", "component_id")
 
 
-#: Bits of the sketch of a text's shingles, in words of 64.
-WORDS = 8
-#: Rows of a list that are compared at once; longer lists, and longer groups of texts, are dealt out in chunks.
-SHORT, TEXT_CHUNK = 2000, 400
+#: Words of 64 bits in the sketch of a text's shingles; shingles up to which all of them are in it.
+WORDS, WHOLE = 8, 256
+#: Rows of a list that are compared at once, and copies of one text that are; longer lists are dealt out in chunks.
+SHORT, STAR = 2000, 400
+#: Characters of texts whose shingles are held at once.
+BLOCK_CHARS = 1_000_000
 #: Texts that are looked at for frequent shingles; how many of them hold one; how many shingles are kept.
 SAMPLE, FREQUENT, KEPT = 20_000, 20, 100_000
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """A hash for each run of ``shingle`` words, repeats included; one for all words of a shorter text, none without words."""
+    """The distinct hashes, in order, of the runs of ``shingle`` words; one for all words of a shorter text, none without words."""
     words = (text or "").encode().lower().split()
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)] * bool(words)
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(g, SEED) for g in grams], dtype="<u8")
+    return np.unique(np.array([digest(g, SEED) for g in grams], dtype="<u8"))
+
+
+def level_of(n: np.ndarray) -> np.ndarray:
+    """0 up to WHOLE shingles, one more with each doubling: on level k about one shingle of 2 ** k is in the sketch."""
+    return np.ceil(np.log2(np.maximum(n, WHOLE) / WHOLE)).astype(np.int64)
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """WORDS signed words: which cells hold an odd number of the distinct hashes. Two sets differ in at least as many shingles as their sketches in bits."""
-    cells = np.bincount((h >> np.uint64(20)).astype(np.int64) % (WORDS * 64), minlength=WORDS * 64) & 1
-    return np.packbits(cells.astype(np.uint8), bitorder="little").view("<i8")
+    """WORDS signed words: which cells hold an odd number of the set's hashes; the first half those that the next level has too."""
+    level = np.uint64(level_of(np.array(len(h))))
+    mine = h[(h >> np.uint64(40)) & ((np.uint64(1) << level) - np.uint64(1)) == 0]
+    half = WORDS * 32
+    cells = (mine >> np.uint64(20)) % np.uint64(half) + np.uint64(half) * ((mine >> (np.uint64(40) + level)) & np.uint64(1))
+    return np.packbits((np.bincount(cells.astype(np.int64), minlength=2 * half) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+class Sketches:
+    """Sizes and sketches of sets, and whether two sets can have a similarity.
+
+    Two sets differ in at least as many shingles as their sketches in bits, those of a level or of two neighbouring ones.
+    On level 0 the test never turns away a pair of the similarity; above it the sketch is a sample of the shingles by
+    their hashes, and the test leaves so much room that a pair is turned away with a probability below 1e-10.
+    """
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, similarity: float):
+        self.n, self.words, self.most = sizes, words, (1 - similarity) / (1 + similarity)
+        self.level, self.folded = level_of(sizes), words[:, : WORDS // 2] ^ words[:, WORDS // 2 :]
+
+    def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        differ = self.most * (self.n[i] + self.n[j])  # shingles in one of the two sets only, at most
+        k = np.maximum(self.level[i], self.level[j])
+        drawn = differ / (1 << k)
+        limit = drawn + np.where(k > 0, 7 * np.sqrt(drawn) + 8, 1e-6)
+        alike = self.level[i] == self.level[j]
+        bits = np.zeros(np.broadcast_shapes(i.shape, j.shape), np.int32)
+        for w in range(WORDS // 2):
+            first = lambda x: np.where(alike | (self.level[x] < k), self.words[x, w], self.folded[x, w])  # noqa: E731, B023
+            bits += np.bitwise_count(first(i) ^ first(j))
+            bits += np.where(alike, np.bitwise_count(self.words[i, w + WORDS // 2] ^ self.words[j, w + WORDS // 2]), 0)
+        return (bits <= limit) & (np.abs(self.n[i] - self.n[j]) <= differ + 1e-6)
 
 
 def opening(h: np.ndarray, similarity: float, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -130,7 +167,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), shingle)).view("<i8"))], names=["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py(), shingle).view("<i8"))], names=["h"])
 
     chosen = docs.select(text.alias("text")).where(F.xxhash64("text", F.lit("simhash")) / 2.0**64 + 0.5 < share)
     counts = chosen.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
@@ -140,27 +177,33 @@ def frequent_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.
     return h[order], found.column("n").to_numpy()[order]
 
 
+_SKETCH = [f"f{i}" for i in range(WORDS)]
+
+
+def _columns(part: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray, Sketches]:
+    words = np.stack([part.column(f).to_numpy() for f in _SKETCH], axis=1).view(np.uint64)
+    return part.column("node").to_numpy(), part.column("mine").to_numpy(zero_copy_only=False), Sketches(part.column("size").to_numpy(), words, similarity)
+
+
+def _pairs(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
+    """Distinct pairs ``(u, v)``, the greater node first."""
+    a, b = np.concatenate([np.empty(0, np.int64), *u]), np.concatenate([np.empty(0, np.int64), *v])
+    both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)[a != b], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], names=["u", "v"])
+
+
 def close_sets(reps: DataFrame, similarity: float) -> DataFrame:
-    """Edges ``(u, v)`` that connect all nodes of ``reps(node, size, sketch, opening)`` whose sets have the similarity or more, and few others.
+    """Pairs ``(u, v)``, u > v, of nodes of ``reps(node, size, f0.., opening)`` whose sets may have the similarity: enough to connect all that do.
 
     Each hash of the openings has a list of its owners. Owners of one list are a candidate if, by the numbers of their
-    shingles and by their sketches, their sets can be so similar; both tests never turn away a pair that is.
+    shingles and by their sketches, their sets can be so similar.
     """
-    most = (1 - similarity) / (1 + similarity)  # shingles in one of two sets only, of those in each
     owned = reps.select("node", F.explode("opening").alias("h")).withColumn("owners", F.count("*").over(Window.partitionBy("h"))).where("owners > 1").select("h", "node")
-    rows = owned.join(reps.select("node", "size", *[F.col("sketch")[i].alias(f"f{i}") for i in range(WORDS)]), "node")
-    fs = [f"f{i}" for i in range(WORDS)]
+    rows = owned.join(reps.select("node", "size", *_SKETCH), "node")
     few = 48
 
     def verify(part: pa.Table, bounds: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-        words = np.stack([part.column(f).to_numpy() for f in fs], axis=1).view(np.uint64)
-        ids, mine, n = part.column("node").to_numpy(), part.column("mine").to_numpy(zero_copy_only=False), part.column("size").to_numpy()
-
-        def close(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            limit = most * (n[i] + n[j]) + 1e-6
-            apart = sum(np.bitwise_count(words[i, k] ^ words[j, k]).astype(np.int32) for k in range(WORDS))
-            return (apart <= limit) & (np.abs(n[i] - n[j]) <= limit)
-
+        ids, mine, sets = _columns(part, similarity)
         # Many short lists at once: each row with the next, the one after that, and so on.
         ends, whole = np.zeros(len(part), np.int64), np.zeros(len(part), bool)
         for s, e in bounds:
@@ -169,56 +212,87 @@ def close_sets(reps: DataFrame, similarity: float) -> DataFrame:
                 whole[s:e] = mine[s:e].all()
             else:
                 left, right = sides(mine[s:e])
+                a, b = [], []
                 for at in range(0, len(left), 256):
                     block = left[at : at + 256]
-                    i, j = np.nonzero(close(s + block[:, None], s + right[None, :]))
-                    yield edges(ids[s:e], block[i], right[j])
-        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                    i, j = np.nonzero(sets.close(s + block[:, None], s + right[None, :]))
+                    a.append(block[i])
+                    b.append(right[j])
+                    i, j = spanning(e - s, np.concatenate(a), np.concatenate(b))
+                    a, b = [i], [j]  # no more pairs than rows are held
+                yield _pairs([ids[s:e][a[0]]], [ids[s:e][b[0]]])
+        us, vs = [], []
         for d in range(1, few):
             i = np.flatnonzero(np.arange(len(part)) + d < ends)
             if not len(i):
                 break
             i = i[whole[i] | (mine[i] != mine[i + d])]
-            i = i[close(i, i + d)]
-            us.append(np.maximum(ids[i], ids[i + d]))
-            vs.append(np.minimum(ids[i], ids[i + d]))
-        pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).astype(np.int64)) for k in (0, 1)], names=["u", "v"])
+            i = i[sets.close(i, i + d)]
+            us.append(ids[i])
+            vs.append(ids[i + d])
+        yield _pairs(us, vs)
 
     dealt = deal(rows, ["h"], "node", SHORT)
     return dealt.mapInArrow(lambda b: walk(b, ["h"], verify), "u long, v long").distinct()
 
 
-def jaccard(texts: list[str | None], shingle: int) -> np.ndarray:
-    """The Jaccard similarity of the shingle sets of each text with each; 1 between texts without words."""
-    sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-    sizes = np.array([len(s) for s in sets], np.float64)
-    _, column, times = np.unique(np.concatenate([*sets, np.empty(0, "<u8")]), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
-    shared = times[column] > 1
-    dense = np.cumsum(times > 1) - 1
-    owner, column = owner[shared], dense[column[shared]]
-    both = np.zeros((len(sets), len(sets)))
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
-        a, z = np.searchsorted(column, (at, at + 8192))
-        block = np.zeros((len(sets), 8192), np.float32)
-        block[owner[a:z], column[a:z] - at] = 1
-        both += block @ block.T
-    both[np.arange(len(sets)), np.arange(len(sets))] = sizes
-    union = sizes[:, None] + sizes[None, :] - both
-    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
+def unsettled(members: DataFrame, similarity: float) -> DataFrame:
+    """All pairs ``(u, v)``, u > v, of ``members(list, node, known, size, f0..)`` that may have the similarity, within a list but not of one ``known`` component."""
+
+    def look(part: pa.Table, bounds: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        ids, mine, sets = _columns(part, similarity)
+        known = part.column("known").to_numpy()
+        for s, e in bounds:
+            left, right = sides(mine[s:e])
+            for at in range(0, len(left), 256):
+                a, b = (s + left[at : at + 256])[:, None], (s + right)[None, :]
+                i, j = np.nonzero((known[a] != known[b]) & sets.close(a, b))
+                yield _pairs([ids[a[i, 0]]], [ids[b[0, j]]])
+
+    return deal(members, ["list"], "node", SHORT).mapInArrow(lambda b: walk(b, ["list"], look), "u long, v long").distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The ``pairs(u, v)`` whose texts, of ``texts(node, text)``, have shingle sets of the Jaccard similarity; without words both count as 1.
+
+    Each v meets its partners in stars of STAR of them, so that its text is moved once a star and not once a pair.
+    """
+    stars = pairs.withColumn("n", F.count("*").over(Window.partitionBy("v"))).select("u", "v", F.pmod(F.xxhash64("u"), F.ceil(F.col("n") / STAR)).cast("int").alias("c"))
+    ends = stars.select("v", "c", F.col("u").alias("node"), F.lit(False).alias("head"))
+    heads = stars.select("v", "c").distinct().select("v", "c", F.col("v").alias("node"), F.lit(True).alias("head"))
+    rows = ends.unionByName(heads).join(texts, "node").withColumn("d", F.lit(0))
+    by = ["v", "c", "d"]
+    dealt = rows.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by, F.desc("head"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, np.empty(0, "<u8")
+        for batch in batches:
+            us, vs = [], []
+            for node, v, head, text in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("node", "v", "head", "text")), strict=True):
+                h = shingle_hashes(text.as_py(), shingle)
+                if head.as_py():  # the first of its star
+                    at, own = v.as_py(), h
+                    continue
+                both = len(np.intersect1d(own, h, assume_unique=True))
+                every = len(own) + len(h) - both
+                if at == v.as_py() and (not every or both / every >= similarity):
+                    us.append(node.as_py())
+                    vs.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return dealt.mapInArrow(compare, "u long, v long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which one of each group stays: that of least id.
 
-    Texts are linked if the Jaccard similarity of their shingle sets is ``similarity`` or more; every such pair is
-    found: the openings of the ordered sets find the candidates, and within each group of candidates the sets are
-    compared. Texts of equal sets are one text. Null and empty texts are linked with each other; of rows with one id in a
-    group, repeated rows among them, one stays; a group of null ids keeps one.
+    Texts are linked if the Jaccard similarity of their shingle sets is ``similarity`` or more. Openings of the ordered
+    sets and sketches find the candidates; of each group of candidates, every text is compared with the first it may be
+    linked with, and what that leaves apart is compared pair by pair, so that no link between groups is lost.
+
+    Texts of equal sets are one text. Null and empty texts are linked with each other; of rows with one id in a
+    group, repeated rows among them, one stays; a group of null ids keeps one; no rows give no rows; further columns
+    are carried along; a text of any length is compared whole.
     """
     row_key = lambda a, b: [F.xxhash64(F.lit(7), a, b).alias("k1"), F.xxhash64(F.lit(11), b, a).alias("k2")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -226,39 +300,35 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     frequent, times = frequent_shingles(docs, text_col, shingle)
     shared = docs.sparkSession.sparkContext.broadcast((frequent, times))  # at most KEPT
     names = ["id", "k1", "k2"]
-    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
-            keys = [pa.array([xxhash.xxh64_intdigest(h.tobytes(), seed) for h in sets], pa.uint64()).view(pa.int64()) for seed in (3, 5)]
-            sizes = pa.array([len(h) for h in sets], pa.int64())
-            sketches = pa.array([sketch(h) for h in sets], longs)
-            openings = pa.array([opening(h, similarity, *shared.value).view("<i8") for h in sets], longs)
-            kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, *keys, sizes, sketches, openings], names=[*names, "s1", "s2", "size", "sketch", "opening"])
-
-    many = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("k1", "k2", "s1", "s2", "size")], T.StructField("sketch", many), T.StructField("opening", many)])
+            for part in in_characters(batch, 1, BLOCK_CHARS):
+                sets = [shingle_hashes(t.as_py(), shingle) for t in part.column(1)]
+                keys = [pa.array([xxhash.xxh64_intdigest(h.tobytes(), seed) for h in sets], pa.uint64()).view(pa.int64()) for seed in (3, 5)]
+                sizes = pa.array([len(h) for h in sets], pa.int64())
+                words = np.array([sketch(h) for h in sets])
+                openings = pa.array([opening(h, similarity, *shared.value).view("<i8") for h in sets], pa.list_(pa.int64()))
+                kept = [part.column(part.schema.get_field_index(n)) for n in names]
+                yield pa.RecordBatch.from_arrays([*kept, *keys, sizes, *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)), openings], names=[*names, "s1", "s2", "size", *_SKETCH, "opening"])
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("k1", "k2", "s1", "s2", "size", *_SKETCH)], T.StructField("opening", T.ArrayType(T.LongType()))])
     marks = written(keyed.mapInArrow(run, schema), "simhash-rows")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("first")
     # Equal sets, merged before the shuffle.
-    texts = marks.groupBy("s1", "s2").agg(least, *[F.first(c).alias(c) for c in ("size", "sketch", "opening")])
-    reps = written(texts.select(F.monotonically_increasing_id().alias("node"), "first", "size", "sketch", "opening"), "simhash-texts")
-    near = connected_components(close_sets(reps, similarity)).withColumnRenamed("component", "list")
+    texts = marks.groupBy("s1", "s2").agg(least, *[F.first(c).alias(c) for c in ("size", *_SKETCH, "opening")])
+    reps = written(texts.select(F.monotonically_increasing_id().alias("node"), "first", "size", *_SKETCH, "opening"), "simhash-texts")
+    pairs = written(close_sets(reps, similarity), "simhash-pairs")
+    near = written(connected_components(pairs).withColumnRenamed("component", "list"), "simhash-near")
     row = docs.select(F.col(text_col).cast("string").alias("text"), *row_key(F.col(id_col), F.col(text_col)))
-    members = near.join(reps, "node").select("node", "list", "first.k1", "first.k2").join(row, ["k1", "k2"]).groupBy("node", "list").agg(F.first("text").alias("text"))
-
-    def verify(part: pa.Table, bounds: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-        ids, mine = part.column("node").to_numpy(), part.column("mine").to_numpy(zero_copy_only=False)
-        for s, e in bounds:
-            left, right = sides(mine[s:e])
-            alike = jaccard(part.column("text").slice(s, e - s).to_pylist(), shingle)
-            i, j = np.nonzero(alike[np.ix_(left, right)] >= similarity)
-            yield edges(ids[s:e], left[i], right[j])
-
-    dealt = deal(members, ["list"], "node", TEXT_CHUNK)
-    found = connected_components(dealt.mapInArrow(lambda b: walk(b, ["list"], verify), "u long, v long"))
+    candidates = near.join(reps, "node").select("node", "first.k1", "first.k2").join(row, ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
+    candidates = written(candidates, "simhash-candidates")
+    links = written(similar(pairs.groupBy("u").agg(F.min("v").alias("v")), candidates, similarity, shingle), "simhash-links")
+    known = near.join(connected_components(links), "node", "left").select("node", "list", F.coalesce("component", "node").alias("known"))
+    apart = known.groupBy("list").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a <> b").select("list")
+    left = known.join(apart, "list").join(reps.select("node", "size", *_SKETCH), "node")
+    more = similar(written(unsettled(left, similarity), "simhash-unsettled"), candidates, similarity, shingle)
+    found = connected_components(links.unionByName(more))
     kept = reps.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("g")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(F.col(id_col), F.col(text_col)))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def coded_blocks(batch: pa.RecordBatch, find: Callable[[str], list[str]], limit: int, text_at: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[str]]]:
@@ -31,3 +32,14 @@ def coded_blocks(batch: pa.RecordBatch, find: Callable[[str], list[str]], limit:
             size += len(text)
             at += 1
         yield start, at, np.array(counts, np.int64), np.frombuffer(codes, np.uint32), list(places)
+
+
+def in_characters(batch: pa.RecordBatch, text_at: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of up to ``limit`` bytes of text; a longer text is a slice of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        before = sizes[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(sizes, before + limit, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
