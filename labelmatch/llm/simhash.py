@@ -1,15 +1,16 @@
-"""SimHash near-duplicates by keys of one flipped bit, met in the middle.
+"""SimHash near-duplicates by multi-index hashing.
 
-Fingerprints are 64 bits over word shingles. This replaces the segment tables of multi-index
-hashing: the index enumerates the Hamming ball of radius 1 of every *distinct* fingerprint over
-all its bits, which with the unflipped key makes 65 table keys. Two
-fingerprints differ in at most two bits exactly if their balls share a key, so they
-meet in the middle and no side has to enumerate radius 2. A key has at most 65 owners whatever
-the data holds, so there are no hot buckets and no list of pairs: each owner is linked to the
-smallest owner, that link is verified on the complete 64 bits, and components follow.
+Fingerprints are 64 bits over word shingles, linked at two or fewer differing bits. Each is cut
+into two segments of 32 bits, and a table for each segment maps its value to the fingerprints
+that have it. Two differing bits leave one segment with at most one of them, so each fingerprint
+looks up the ball of radius 1 around each of its segments and verifies the complete distance of
+what it finds. Where one bit differs, one of the two fingerprints has it set: only set bits are
+flipped, which halves the ball and finds each pair once. A table value with more than ``LONG``
+owners is not listed: its owners enumerate the ball around the other segment instead and meet
+at equal keys, which at most 65 fingerprints can share, so no list is hot and no pair is lost.
 
 The corpus pipeline's stage asks for the similarity of shingle sets, which no fingerprint decides;
-its candidates are found by the openings of ordered sets, without loss.
+its candidates are found by the openings of ordered sets.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from labelmatch.llm.tokens import in_characters
 from labelmatch.operators.components import connected_components
 
 SEED = 42
+#: Owners of a segment's value above which it is split.
+LONG = 64
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -58,16 +61,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def links(distinct_fps: DataFrame) -> DataFrame:
-    """Links ``(u, v)`` between distinct fingerprints ``fp`` that connect all pairs at two or fewer bits."""
-    flips = [0] + [1 << i for i in range(63)] + [-(1 << 63)]
-    ball = distinct_fps.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in flips])).alias("m"))
-    keys = ball.groupBy(F.expr("fp ^ m").alias("key")).agg(F.expr("bit_or(m)").alias("bits"), F.max(F.expr("m = 0")).alias("whole"))
-    met = keys.where("bit_count(bits) + int(whole) >= 2")
-    owners = F.expr("""concat(if(whole, array(key), array()),
-        transform(filter(sequence(0, 63), i -> (shiftrightunsigned(bits, i) & 1) = 1), i -> key ^ shiftleft(1L, i)))""")
-    owned = met.select(owners.alias("fps")).select(F.array_min("fps").alias("v"), F.explode("fps").alias("u"))
-    return owned.where("u <> v and bit_count(u ^ v) <= 2").distinct()
+def links(distinct_fps: DataFrame, long: int | None = None) -> DataFrame:
+    """Links ``(u, v)`` between distinct fingerprints ``fp`` that connect all pairs at two or fewer bits; values with more than ``long`` owners are split."""
+    segments = "array(fp & 4294967295L, shiftrightunsigned(fp, 32) + 4294967296L)"  # the second table's keys are above all of the first's
+    table = distinct_fps.select(F.expr(f"explode({segments})").alias("key"), F.col("fp").alias("v"))
+    hot = table.groupBy("key").count().where(F.col("count") > (LONG if long is None else long)).select("key", F.lit(True).alias("hot"))
+    hot = written(hot, "simhash-long")
+    listed = table.join(hot, "key", "left_anti").select("key", "v", F.lit(False).alias("hot")).unionByName(hot.select("key", F.lit(None).cast("long").alias("v"), "hot"))
+    ball = f"transform({segments}, k -> struct(k as key, filter(transform(sequence(0, 31), i -> k & ~shiftleft(1L, i)), x -> x <> k) as near))"
+    seen = distinct_fps.select(F.col("fp").alias("u"), F.expr(f"explode({ball})").alias("b")).select("u", F.expr("explode(concat(array(struct(b.key as key, true as own)), transform(b.near, x -> struct(x as key, false as own))))").alias("p"))
+    probes = seen.select("u", "p.*")
+    met = written(probes.join(listed, "key").where("hot or (if(own, u > v, true) and bit_count(u ^ v) <= 2)"), "simhash-met")
+    other = "if(key < 4294967296L, shiftrightunsigned(u, 32), u & 4294967295L)"
+    around = f"if(own, concat(array({other}), transform(sequence(0, 31), i -> {other} ^ shiftleft(1L, i))), array({other}))"
+    shared = met.where("hot").select("key", "u", F.expr(f"explode({around})").alias("x")).groupBy("key", "x").agg(F.min("u").alias("v"), F.collect_set("u").alias("us"))  # at most 65
+    split = shared.where("size(us) > 1").select(F.explode("us").alias("u"), "v").where("u <> v and bit_count(u ^ v) <= 2")
+    return met.where("not hot").select("u", "v").unionByName(split).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -89,10 +89,23 @@ def test_links_join_all_within_two_bits(spark):
     near = [x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in base for _ in range(6)]
     marks = sorted({*base, *near, 0, (1 << 64) - 1})
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    found = simhash.links(spark.createDataFrame([(signed(m),) for m in marks], "fp long")).collect()
     want = groups([(signed(m), m) for m in marks], lambda a, b: (a ^ b).bit_count() <= 2)
-    have = groups([(signed(m), signed(m)) for m in marks], lambda a, b: (a, b) in links or (b, a) in links) if (links := {(r.u, r.v) for r in found}) else {}
-    assert have == want
+    for long in (64, 1):  # 1: all shared table values are split
+        found = simhash.links(spark.createDataFrame([(signed(m),) for m in marks], "fp long"), long).collect()
+        links = {(r.u, r.v) for r in found}
+        assert all(((u ^ v) & ((1 << 64) - 1)).bit_count() <= 2 for u, v in links)
+        assert groups([(signed(m), signed(m)) for m in marks], lambda a, b: (a, b) in links or (b, a) in links) == want  # noqa: B023
+
+
+def test_links_within_a_family_that_shares_a_segment(spark):
+    rng = random.Random(4)
+    high = rng.getrandbits(32) << 32
+    marks = sorted({high ^ low for x in (rng.getrandbits(32) for _ in range(12)) for low in (x, x ^ 1 << rng.randrange(32), x ^ 3 << rng.randrange(30), x ^ 1 << 33, x ^ 1 << 40 ^ 1 << rng.randrange(32))})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want = groups([(signed(m), m) for m in marks], lambda a, b: (a ^ b).bit_count() <= 2)
+    for long in (64, 10, 1):
+        links = {(r.u, r.v) for r in simhash.links(spark.createDataFrame([(signed(m),) for m in marks], "fp long"), long).collect()}
+        assert groups([(signed(m), signed(m)) for m in marks], lambda a, b: (a, b) in links or (b, a) in links) == want  # noqa: B023
 
 
 def shingles(text, n=5):
@@ -103,7 +116,7 @@ def shingles(text, n=5):
 @pytest.mark.parametrize("short", [200, 1])
 def test_near_copies_leave_one_of_each_group(spark, prose, monkeypatch, short):
     monkeypatch.setattr(simhash, "SHORT", short)  # 1: every table row goes the way of the long lists
-    monkeypatch.setattr(simhash, "TEXT_CHUNK", 3 if short == 1 else 400)
+    monkeypatch.setattr(simhash, "STAR", 3 if short == 1 else 400)
     rows = [*prose, prose[0], (None, "only once"), (None, "only once")]
     out = simhash.drop_near_duplicates(frame(spark, rows))
     assert out.columns == frame(spark, []).columns
@@ -130,8 +143,8 @@ def test_all_pairs_of_the_similarity_are_found(spark, monkeypatch):
     rng = random.Random(12)
     fresh = lambda: f"w{rng.randrange(10**9)}"
     rows = []
-    for n in (8, 9, 13, 14, 30, 100, 400):
-        for _ in range(30):
+    for n in (8, 9, 13, 14, 30, 100, 400, 700, 1500, 5000):
+        for _ in range(30 if n < 500 else 4):
             words = [fresh() for _ in range(n)]
             rows.append(" ".join(words))
             rows.append(" ".join([*words, fresh()]))
