@@ -23,6 +23,8 @@ KINDS = ["email", "ip", "card", "phone"]
 GENERALISE, REMOVE = 0.6, 0.9
 #: Letters of a term, and distinct texts an entity needs for its counts to say anything.
 TERM_LETTERS, SUPPORT = 4, 2
+#: Rows up to which a table of entities or terms is broadcast; parts that it is dealt out in beyond.
+MAX_BROADCAST, SALT = 100_000, 16
 
 _LOCAL = r"A-Za-z0-9._%+\x01-"
 #: kind: a cheap test, the text with marks that cannot match replaced, the pattern, the test of a match m.
@@ -72,36 +74,45 @@ def base_spans(text: str) -> Column:
     return F.expr(f"concat({', '.join(parts)})")
 
 
+def _words(text: str) -> str:
+    """SQL: the distinct words of a text, as they are written."""
+    return rf"array_distinct(regexp_extract_all({text}, r'\p{{L}}+', 0))"
+
+
 def _terms(text: str) -> str:
-    return f"array_distinct(filter(split(lower({text}), r'[^\\p{{L}}]+'), w -> length(w) >= {TERM_LETTERS}))"
+    return f"array_distinct(transform(filter({_words(text)}, w -> length(w) >= {TERM_LETTERS}), w -> lower(w)))"
+
+
+def _met(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``many`` (with ``n``) joined with ``few``, where one key may hold any share of ``many``: ``few`` is broadcast if its rows are within the bound, else dealt out SALT times."""
+    if few.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        return many.join(F.broadcast(few), keys)
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return many.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(SALT)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
 
 
 def disclosures(found: DataFrame, docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
-    """``(entity, terms map<term, share>)`` from the rows with spans and the counts over all of ``docs``."""
-    held = found.select(F.xxhash64("text").alias("h"), F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entities"), F.expr(f"{_terms('text')}").alias("terms"))
-    single = held.select("h", F.explode("entities").alias("entity"), "terms")
+    """``(n, term, share)``: the terms of a row of ``found(n, text, spans)`` that disclose one of its entities, by the counts over all of ``docs``."""
+    held = found.select("n", F.xxhash64("text").alias("h"), F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entities"), F.expr(_terms("text")).alias("terms"))
+    single = written(held.select("n", "h", F.explode("entities").alias("entity"), "terms"), "pii-entities")
     known = single.groupBy("entity").agg(F.count("*").alias("n_e"), F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("entity", "n_e")  # SUPPORT: two distinct texts
-    both = single.join(known, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_both")).where(f"n_both >= {SUPPORT}")
+    each = _met(single.select("n", "entity", "terms"), written(known, "pii-known"), ["entity"]).select("n", "entity", "n_e", F.explode("terms").alias("term"))
+    both = each.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_both")).where(f"n_both >= {SUPPORT}")
     every = docs.select(F.explode(F.expr(_terms("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.agg(F.count("*").alias("n"))
-    joined = both.join(every, "term").crossJoin(F.broadcast(total))  # one row
-    share = F.log(F.col("n_both") * F.col("n") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_e"))
-    scored = joined.where("n > n_e").withColumn("share", share).where(F.col("share") >= generalise)
-    return scored.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms"))  # at most the vocabulary
-
+    total = docs.count()
+    share = F.round(F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(total)) / F.col("n_e")), 9)
+    revealing = both.join(every, "term").where(F.col("n_e") < total).select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    return _met(each.select("n", "entity", "term"), written(revealing, "pii-revealing"), ["entity", "term"]).groupBy("n", "term").agg(F.max("share").alias("share"))
 
-def _fresh(docs: DataFrame, name: str) -> str:
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
 
+def _term_spans(text: str, terms: str) -> str:
+    """SQL: the words of a text that are, in lower case, keys of ``terms``, with their code points.
 
-def _term_spans(docs_text: str, terms: str) -> str:
-    """SQL: the words of a text that are keys of ``terms``, with their code points."""
-    text = f"lower({docs_text})"  # lower() of a few letters changes their number; such texts are matched as they are
-    text = f"if(length({text}) = length({docs_text}), {text}, {docs_text})"
-    return _places(text, r"\p{L}+", "term", "true").replace("s -> true", f"s -> map_contains_key({terms}, s.value)")
+    The pattern lists the words as they are written in this text, so that only these are spans, whatever lower-casing does to lengths.
+    """
+    pattern = rf"concat(r'(?<!\p{{L}})(?:', array_join(filter({_words(text)}, w -> map_contains_key({terms}, lower(w))), '|'), r')(?!\p{{L}})')"
+    found = _places(text, "@", "term", "true").replace("r'@'", pattern)
+    return f"if(size({terms}) = 0, cast(array() as {_SPAN}), {found})"
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,15 +120,14 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     ``spans`` are the pattern spans, then the spans of kind ``term``; ``terms`` maps each disclosing
     term to its share. Null and empty texts have no spans; repeated rows give repeated rows and
-    count as documents, but not as distinct texts; no rows give no rows.
+    count as documents, but not as distinct texts; of two entities a term discloses, the larger share
+    counts; no rows give no rows; further columns are carried in ``row`` whatever their names; texts of
+    any length are searched whole.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
     marked = rows.withColumn("spans", base_spans("text"))
     found = written(marked.where("size(spans) > 0").withColumn("n", F.monotonically_increasing_id()), "pii-found")
-    revealing = disclosures(found, rows)
-    entities = found.select("n", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
-    pairs = entities.join(revealing, "entity").select("n", F.explode("terms").alias("term", "share")).groupBy("n", "term").agg(F.max("share").alias("share"))
-    per_row = pairs.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms"))
+    per_row = disclosures(found, rows).groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms"))  # at most the words of the row
     empty = F.expr("cast(map() as map<string,double>)")
     hit = found.join(per_row, "n", "left").withColumn("spans", F.expr(f"if(terms is null, spans, concat(spans, {_term_spans('text', 'terms')}))"))
     clear = marked.where("size(spans) = 0").select("row", "text", "spans", empty.alias("terms"))
@@ -126,7 +136,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def sanitised(remove: float = REMOVE) -> Column:
     """The text of an annotated row: pattern spans become [KIND], terms [TERM] or nothing; a span that begins inside another is part of it."""
-    tag = f"case when s.kind <> 'term' then concat('[', upper(s.kind), ']') when terms[s.value] >= {remove} then '' else '[TERM]' end"
+    tag = f"case when s.kind <> 'term' then concat('[', upper(s.kind), ']') when terms[lower(s.value)] >= {remove} then '' else '[TERM]' end"
     step = f"""(a, s) -> struct(greatest(a.at, s.end) as at,
         if(s.start >= a.at, concat(a.out, substring(text, a.at + 1, s.start - a.at), {tag}), a.out) as out)"""
     order = "array_sort(spans, (l, r) -> case when l.start <> r.start then l.start - r.start else r.end - l.end end)"
@@ -135,7 +145,11 @@ def sanitised(remove: float = REMOVE) -> Column:
 
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` with the text sanitised; null texts stay null."""
+    """The columns of ``docs`` with the text sanitised.
+
+    Null texts stay null and empty ones empty; of spans that begin at one place the longest is replaced, and what begins
+    inside a replaced span goes with it; repeated rows give repeated rows; no rows give no rows.
+    """
     out = annotate(docs, text_col=text_col).withColumn("clean", sanitised())
     return out.select(*[(F.col("clean") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
@@ -146,3 +160,39 @@ def op9_pii(docs: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "term")
     return out.select(F.col("row.doc_id").alias("doc_id"), *[count(k) for k in KINDS], F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+def _places_sql(source: str, number: int, kind: str, pattern: str, test: str) -> str:
+    return f"""SELECT * FROM (SELECT n, {number} AS k, '{kind}' AS kind, i, m, (sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS s
+      FROM (SELECT n, unnest(range(len(ms))) AS i, unnest(gaps[1:len(ms)]) AS gap, unnest(ms) AS m FROM (SELECT n, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps FROM {source}))
+      WINDOW w AS (PARTITION BY n ORDER BY i)) WHERE {test}"""
+
+
+def oracle_sql(documents: str = "documents") -> str:
+    """The same by DuckDB: the patterns as they are stated, counts over all rows, places by what stands between matches."""
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(length({digits})), lambda i: (substr({digits}, (length({digits}) - i)::BIGINT, 1)::INT * (1 + i % 2)) - CASE WHEN i % 2 = 1 AND substr({digits}, (length({digits}) - i)::BIGINT, 1)::INT > 4 THEN 9 ELSE 0 END)) % 10 = 0"
+    octets = "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(nullif(left(ltrim(x, '0'), 3), '')::INT, 0) <= 255))"
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", octets),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) BETWEEN 16 AND 19 AND {luhn}"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15"),
+    ]
+    words = r"\p{L}+"
+    base = " UNION ALL ".join(_places_sql("d", i, kind, pattern, test) for i, (kind, pattern, test) in enumerate(kinds))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM {documents}),
+base AS ({base}),
+terms AS (SELECT DISTINCT n, lower(unnest(list_filter(regexp_extract_all(t, '{words}'), lambda w: length(w) >= {TERM_LETTERS}))) AS term FROM d),
+entities AS (SELECT DISTINCT n, kind || ':' || m AS entity FROM base),
+known AS (SELECT entity, count(*) AS n_e FROM entities JOIN d USING (n) GROUP BY entity HAVING count(DISTINCT t) >= {SUPPORT}),
+pairs AS (SELECT entity, n_e, term, count(*) AS n_both FROM entities JOIN known USING (entity) JOIN terms USING (n) GROUP BY ALL HAVING count(*) >= {SUPPORT}),
+seen AS (SELECT term, count(*) AS n_t FROM terms GROUP BY term), total AS (SELECT count(*)::DOUBLE AS total FROM d),
+shares AS (SELECT entity, term FROM pairs JOIN seen USING (term), total WHERE n_e < total AND round(ln(n_both * total / (n_e * n_t)) / ln(total / n_e), 9) >= {GENERALISE}),
+told AS (SELECT DISTINCT n, term FROM shares JOIN entities USING (entity) JOIN terms USING (n, term)), holders AS (SELECT n, t FROM d WHERE n IN (SELECT n FROM told)),
+every AS (SELECT n, k, kind, m, s FROM base UNION ALL SELECT n, k, kind, m, s FROM ({_places_sql("holders", 4, "term", words, "true")}) w WHERE (n, lower(m)) IN (SELECT n, term FROM told)),
+shown AS (SELECT n, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+    string_agg(kind || ':' || s || ':' || s + length(m), ',' ORDER BY k, s) FILTER (k < 4) AS b, string_agg(kind || ':' || s || ':' || s + length(m), ',' ORDER BY k, s) AS a FROM every GROUP BY n)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN shown USING (n)
+"""

@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.oracle_sql()}
+    return {"op4_mixing": mixing.oracle_sql(), "op9_pii": pii.oracle_sql()}

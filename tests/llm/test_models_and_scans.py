@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -6,7 +7,9 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from labelmatch.llm import langid, licenses, mixing, pii, toxicity
@@ -169,6 +172,45 @@ def test_pii_terms_that_reveal_are_removed(spark):
     assert pii.sanitise(frame(spark, [(1, None)])).first().text is None
 
 
+def plain_terms(rows):
+    """The term spans by the definition: pairs of an entity and a term counted over all rows, in plain Python."""
+    entities = {n: {(k, t[a:b]) for k, a, b in plain_pii(t or "")} for n, (_, t) in enumerate(rows)}
+    words = {n: {w.lower() for w in regex.findall(r"\p{L}+", t or "") if len(w) >= pii.TERM_LETTERS} for n, (_, t) in enumerate(rows)}
+    told = defaultdict(set)
+    for e in set().union(*entities.values()):
+        own = [n for n in entities if e in entities[n]]
+        if len({rows[n][1] for n in own}) >= pii.SUPPORT and len(own) < len(rows):
+            for term in set().union(*(words[n] for n in own)):
+                both, every = sum(term in words[n] for n in own), sum(term in w for w in words.values())
+                if both >= pii.SUPPORT and round(math.log(both * len(rows) / (len(own) * every)) / math.log(len(rows) / len(own)), 9) >= pii.GENERALISE:
+                    for n in own:
+                        told[n] |= {term} & words[n]
+    return {n: [("term", *m.span()) for m in regex.finditer(r"\p{L}+", t or "") if m[0].lower() in told[n]] for n, (_, t) in enumerate(rows)}
+
+
+def test_pii_terms_equal_brute_force_and_sql(spark, monkeypatch):
+    rng = random.Random(6)
+    names = ["Zeppelin", "Özgür", "İstanbul", "Quark", "Weiß", "Łódź"]
+    mails = [f"{chr(97 + i)}@x{i}.org" for i in range(6)]
+    rows = []
+    for i in range(90):
+        k = rng.randrange(6)
+        said = [rng.choice(["words", "here", "there", "other", "text"]) for _ in range(rng.randrange(1, 12))]
+        rows.append((i, " ".join([names[k] if rng.random() < 0.8 else "", *said, mails[k] if rng.random() < 0.4 else "", names[k].upper() if rng.random() < 0.2 else "", "10.0.0.1" if i % 30 == 0 else ""])))
+    rows += [rows[3], (200, None), (201, ""), (None, "Quark d@x3.org")]
+    want = plain_terms(rows)
+    assert sum(map(len, want.values())) > 20
+    expected = sorted((repr(i), ",".join(f"{k}:{a}:{b}" for k, a, b in [*plain_pii(t or ""), *want[n]])) for n, (i, t) in enumerate(rows))
+    docs = frame(spark, rows)
+    assert sorted((repr(r.doc_id), r.spans) for r in pii.op9_pii(docs).collect()) == expected
+    monkeypatch.setattr(pii, "MAX_BROADCAST", 1)  # the way of large tables
+    assert sorted((repr(r.doc_id), r.spans) for r in pii.op9_pii(docs).collect()) == expected
+    plain = [(i, t) for i, t in rows if "İ" not in (t or "")]  # its lower case has two characters in one engine and one in the other
+    held = pa.table({"doc_id": pa.array([i for i, _ in plain], pa.int64()), "text": pa.array([t for _, t in plain], pa.string())})  # noqa: F841
+    found = duckdb.sql(pii.oracle_sql("held"))
+    assert sorted(map(repr, found.fetchall())) == sorted(repr(tuple(r)) for r in pii.op9_pii(frame(spark, plain)).select(*found.columns).collect())
+
+
 def test_pii_keeps_off_python(spark):
     plan = pii.op9_pii(frame(spark, [(1, "a@b.c")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
