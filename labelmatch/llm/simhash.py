@@ -266,7 +266,8 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int)
 
     Each v meets its partners in stars of STAR of them, so that its text is moved once a star and not once a pair.
     """
-    stars = pairs.withColumn("n", F.count("*").over(Window.partitionBy("v"))).select("u", "v", F.pmod(F.xxhash64("u"), F.ceil(F.col("n") / STAR)).cast("int").alias("c"))
+    large = written(pairs.groupBy("v").count().where(F.col("count") > STAR), "large-stars")
+    stars = pairs.join(large, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce(F.ceil(F.col("count") / STAR), F.lit(1))).cast("int").alias("c"))
     ends = stars.select("v", "c", F.col("u").alias("node"), F.lit(False).alias("head"))
     heads = stars.select("v", "c").distinct().select("v", "c", F.col("v").alias("node"), F.lit(True).alias("head"))
     rows = ends.unionByName(heads).join(texts, "node").withColumn("d", F.lit(0))
