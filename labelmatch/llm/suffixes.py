@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from labelmatch.functions.storage import written
 
+#: Bytes of a repeated string, of a block, of what is hashed at once, of a suffix array; stretches of shifts that are looked at for what may be shared.
 LENGTH, BLOCK_BYTES, PIECE_BYTES, SUFFIX_BYTES, STRETCHES = 50, 4_000_000, 1_000_000, 50_000, 13
 GRAM = LENGTH // 2
 SHIFTS = LENGTH - GRAM + 1
@@ -369,11 +370,30 @@ def _may_share(shown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(first, last), last
 
 
+def _parts(shown: np.ndarray, rows: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Surroundings of one anchor that are too many for one suffix array, in parts of shifts and rows that may share a string there.
+
+    Strings at the shifts low to high - 1 have some bytes in common; only rows equal in these may share one. A part that is still
+    too large is cut again, at last to single shifts.
+    """
+    if len(rows) > 1 and (high - low == 1 or len(rows) * AROUND <= SUFFIX_BYTES):
+        yield low, high, rows
+    elif len(rows) > 1:
+        middle = (low + high) // 2
+        for x, y in ((low, middle), (middle, high)):
+            core = np.ascontiguousarray(shown[rows, y - 1 : SHIFTS - 1 + GRAM + x])
+            _, which = np.unique(core.view(f"V{core.shape[1]}").reshape(-1), return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            for part in np.split(rows[order], np.flatnonzero(np.diff(which[order])) + 1):
+                yield from _parts(shown, part, x, y)
+
+
 def least_ids(shown: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For distinct surroundings and the least id of each: the least id of each of their SHIFTS strings, NONE outside a document.
 
     A string that stands in one of them only has that one's id. Surroundings are dealt with by their
-    anchor; where it has several, equal strings are neighbours in the suffix array over all of these.
+    anchor; where it has several, equal strings are neighbours in the suffix array over all of these. No
+    suffix array is longer than SUFFIX_BYTES and one anchor's part of that size, however common an anchor is.
     """
     padded = shown == PAD
     left, right = padded[:, : SHIFTS - 1].sum(axis=1), padded[:, SHIFTS + GRAM - 1 :].sum(axis=1)
@@ -385,10 +405,9 @@ def least_ids(shown: np.ndarray, ids: np.ndarray) -> np.ndarray:
     order = np.flatnonzero(first < last)
     order = order[np.argsort(gram[order], kind="stable")]
     edges = np.append(np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1])), len(order)) if len(order) else np.zeros(1, np.int64)
-    ranked = ids[order]
-    held: list[tuple[int, int, list[int]]] = []  # anchor, least id and the rows that have a piece in common
+    held: list[tuple[int, int, int, list[int]]] = []  # shifts from and to, least id, and the rows that have a piece in common
     pieces: list[list[int]] = []
-    opened = 0
+    opened, size = 0, 0
 
     def sort() -> None:
         """Equal strings of the pieces at hand get their least id. An anchor's k-gram is one symbol, so that a string has SHIFTS of them."""
@@ -396,38 +415,68 @@ def least_ids(shown: np.ndarray, ids: np.ndarray) -> np.ndarray:
         begins = np.cumsum([0, *map(len, pieces)])
         starts = np.array(suffix_array(text)[1:], np.int64)
         piece = np.searchsorted(begins, starts, "right") - 1
-        one = np.array([rows[0] for _, _, rows in held])[piece]
-        offset = starts - begins[piece] + first[one]
-        good = (offset < last[one]) & inside[one, np.minimum(offset, SHIFTS - 1)]
+        one = np.array([rows[0] for _, _, _, rows in held])[piece]
+        offset = starts - begins[piece] + np.array([low for low, _, _, _ in held])[piece]
+        good = (offset < np.array([high for _, high, _, _ in held])[piece]) & inside[one, np.minimum(offset, SHIFTS - 1)]
         starts, piece, offset = starts[good], piece[good], offset[good]
         strings = [text[s : s + SHIFTS] for s in starts.tolist()]
         fresh = np.array([True, *(x != y for x, y in zip(strings[1:], strings, strict=False))][: len(strings)], bool)
         run = np.cumsum(fresh) - 1
         least = np.full(run.max(initial=-1) + 1, NONE)
-        np.minimum.at(least, run, np.array([m for _, m, _ in held])[piece])
+        np.minimum.at(least, run, np.array([m for _, _, m, _ in held])[piece])
         table = np.full((len(held), SHIFTS), NONE)
         table[piece, offset] = least[run]
-        for n, (_, _, rows) in enumerate(held):
-            out[rows, first[rows[0]] : last[rows[0]]] = table[n, first[rows[0]] : last[rows[0]]]
-
-    for n, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-        alike: dict[tuple[int, bytes], list[int]] = {}
-        for i in order[a:z].tolist() if z - a > 1 else ():
-            alike.setdefault((first[i], shown[i, first[i] : last[i] + LENGTH - 1].tobytes()), []).append(i)
+        for n, (low, high, _, rows) in enumerate(held):
+            out[rows, low:high] = table[n, low:high]
+
+    def add(alike: dict[tuple[int, int, bytes], list[int]]) -> None:
+        """The pieces of one anchor, or of one part of it, under a symbol of their own."""
+        nonlocal opened, size
+        for (low, high, piece), rows in alike.items():
+            middle = SHIFTS - 1 - low
+            pieces.append([*piece[:middle], 256 + opened, *piece[middle + GRAM :], PAD])
+            held.append((low, high, int(ids[rows].min()), rows))
+        opened, size = opened + 1, size + len(alike) * AROUND
+        if size >= SUFFIX_BYTES:
+            flush()
+
+    def flush() -> None:
+        nonlocal opened, size
+        if pieces:
+            sort()
+        held.clear()
+        pieces.clear()
+        opened, size = 0, 0
+
+    def grouped(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict[tuple[int, int, bytes], list[int]]:
+        alike: dict[tuple[int, int, bytes], list[int]] = {}
+        for i, x, y in zip(rows.tolist(), low.tolist(), high.tolist(), strict=True):
+            alike.setdefault((x, y, shown[i, x : y + LENGTH - 1].tobytes()), []).append(i)
+        return alike
+
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        rows = order[a:z]
+        if len(rows) < 2:
+            continue
+        if len(rows) * AROUND > SUFFIX_BYTES:
+            for low, high, part in _parts(shown, rows, int(first[rows].min()), int(last[rows].max())):
+                if high - low == 1:  # the strings themselves
+                    part = part[inside[part, low]]
+                    strings = np.ascontiguousarray(shown[part, low : low + LENGTH]).view(f"V{LENGTH}").reshape(-1)
+                    _, which = np.unique(strings, return_inverse=True)
+                    least = np.full(which.max(initial=-1) + 1, NONE)
+                    np.minimum.at(least, which, ids[part])
+                    out[part, low] = least[which]
+                else:
+                    add(grouped(part, np.full(len(part), low), np.full(len(part), high)))
+            continue
+        alike = grouped(rows, first[rows], last[rows])
         if len(alike) == 1:  # the same strings in all: nothing to sort
-            rows = order[a:z]
             where = inside[rows[0]] & (offsets >= first[rows[0]]) & (offsets < last[rows[0]])
-            out[np.ix_(rows, np.flatnonzero(where))] = ranked[a:z].min()
-        for (begin, piece), rows in alike.items() if len(alike) > 1 else ():
-            middle = SHIFTS - 1 - begin
-            pieces.append([*piece[:middle], 256 + n - opened, *piece[middle + GRAM :], PAD])
-            held.append((n, int(ids[rows].min()), rows))
-        if pieces and (len(pieces) * AROUND >= SUFFIX_BYTES or z == len(order)):
-            sort()
-            held.clear()
-            pieces.clear()
-        if not pieces:
-            opened = n + 1
+            out[np.ix_(rows, np.flatnonzero(where))] = ids[rows].min()
+        else:
+            add(alike)
+    flush()
     return out
 
 
@@ -487,8 +536,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``edges`` are the starts and ends of the removed runs of bytes, in turn; ``kept`` the bytes left.
     Null texts are empty; texts shorter than LENGTH lose nothing; rows with one id take nothing from
     each other; a row with a null id is left whole and takes nothing from others; repeated rows give
-    repeated rows; no rows give no rows; further columns are ignored. ``n_buckets`` is the
-    number of parts of the anchor shuffles, by default ``spark.sql.shuffle.partitions``.
+    repeated rows; no rows give no rows; further columns are ignored; a text longer than a block is a block of
+    its own. ``n_buckets`` is the number of parts of the anchor shuffles, by default
+    ``spark.sql.shuffle.partitions``; a block sends a row to each bucket that has one of its anchors, so rows
+    grow with the anchors, not with the product of blocks and buckets.
     """
     n = n_buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

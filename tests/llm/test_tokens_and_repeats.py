@@ -3,12 +3,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
 
-from labelmatch.llm import bpe, simhash, suffixes
+from labelmatch.llm import bpe, lists, simhash, suffixes
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -198,3 +199,62 @@ def test_repeats_equal_brute_force(spark, prose, monkeypatch, block):
     got = suffixes.op1_suffixes(frame(spark, shuffled)).collect()
     assert sorted((repr(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_repeats(shuffled)
     assert suffixes.op1_suffixes(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("limit", [50_000, 2000, 100])
+def test_common_anchors_are_dealt_with_in_parts(monkeypatch, limit):
+    """Many different surroundings of one k-gram: each string's least id, with suffix arrays of any size."""
+    monkeypatch.setattr(suffixes, "SUFFIX_BYTES", limit)
+    rng = random.Random(11)
+    gram = bytes(rng.randrange(97, 123) for _ in range(suffixes.GRAM))
+    side = suffixes.SHIFTS - 1
+    lefts, rights = ([bytes(rng.choice(b"ab") for _ in range(side)) for _ in range(6)] for _ in range(2))
+    rows = set()
+    for _ in range(150):
+        left, right = rng.choice(lefts), rng.choice(rights)
+        left, right = (bytes(rng.choice(b"abc") for _ in range(k)) + x[k:] for x, k in ((left, rng.randrange(side)), (right[::-1], rng.randrange(side))))
+        pad = rng.choice([0, 0, 0, rng.randrange(side)])
+        rows.add(bytes([suffixes.PAD]) * pad + left[pad:] + gram + right[::-1])
+    rows |= {bytes(rng.choice(b"xy") for _ in range(suffixes.AROUND)) for _ in range(5)}
+    shown = np.frombuffer(b"".join(sorted(rows)), np.uint8).reshape(-1, suffixes.AROUND)
+    ids = np.array(rng.sample(range(10_000), len(rows)))
+    want: dict[bytes, int] = {}
+    strings = [[bytes(r[o : o + suffixes.LENGTH]) for o in range(suffixes.SHIFTS)] for r in shown]
+    for i, own in zip(ids.tolist(), strings, strict=True):
+        for o, x in enumerate(own):
+            want[o, x] = min(want.get((o, x), i), i)
+    got = suffixes.least_ids(shown, ids)
+    for n, own in enumerate(strings):
+        assert got[n].tolist() == [suffixes.NONE if suffixes.PAD in x else want[o, x] for o, x in enumerate(own)]
+
+
+def test_spanning_pairs_connect_what_all_pairs_do():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(rng.integers(1, 30))
+        a, b = rng.integers(0, n, (2, int(rng.integers(0, 60))))
+        x, y = lists.spanning(n, a, b)
+        pairs = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        assert len(x) < n and all(frozenset(p) in pairs for p in zip(x.tolist(), y.tolist(), strict=True))
+        assert (lists.roots(n, a, b) == lists.roots(n, x, y)).all()
+
+
+def test_sketches_turn_away_no_pair_of_the_similarity():
+    rng = np.random.default_rng(6)
+    kept = apart = tried = 0
+    for n in (1, 2, 9, 40, 255, 257, 300, 500, 520, 1000, 3000, 9000):
+        for _ in range(40):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            k = int(n * 0.222) if n < 1000 else int(n * 0.22)  # so many of each are in one set only, up to the limit
+            differ = rng.integers(0, k + 1)
+            left = int(rng.integers(0, differ + 1))
+            b = np.unique(np.concatenate([a[: n - left], rng.integers(0, 1 << 63, differ - left, dtype=np.uint64)]))
+            c = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            a = np.unique(a)
+            sets = simhash.Sketches(np.array(list(map(len, (a, b, c)))), np.stack([simhash.sketch(x) for x in (a, b, c)]).view(np.uint64), 0.8)
+            if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8:
+                assert sets.close(np.array([0]), np.array([1]))[0]
+                kept += 1
+            tried += 1
+            apart += not sets.close(np.array([0]), np.array([2]))[0]
+    assert kept > 200 and apart > 0.9 * tried
