@@ -17,7 +17,6 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,8 @@ from labelmatch.functions.storage import bucketed
 
 #: Characters of text in a block; a longer document is a block of its own.
 BLOCK_CHARS = 8_000_000
+#: Words whose ids a task keeps at a time.
+KEPT_WORDS = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -118,14 +119,25 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int, lim
 
 
 def _answer(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern: str) -> Iterator[pa.RecordBatch]:
-    encode = lru_cache(None)(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece)
+    """Word lists, bucket by bucket: each distinct word of a bucket is encoded once, or again where more than KEPT_WORDS have passed."""
+    encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    known: dict[bytes, list[int]] = {}
+    now = None
     for batch in batches:
-        out = []
-        for data in batch.column("data").to_pylist():
-            (lengths,), raw = _unpack(data, 1)
-            found = [encode(raw[e - k : e]) for e, k in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True)]
-            out.append(_pack(np.array(list(map(len, found)), np.int64), np.array([i for f in found for i in f], np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), batch.column("first"), pa.array(out, pa.binary()), pa.nulls(len(out), batch.schema.field("ids").type)], names=["block", "bucket", "first", "data", "ids"])
+        for at in range(len(batch)):
+            row = batch.slice(at, 1)
+            bucket = row.column("bucket")[0].as_py()
+            if bucket != now or len(known) > KEPT_WORDS:
+                known.clear()
+            now = bucket
+            (lengths,), raw = _unpack(row.column("data")[0].as_py(), 1)
+            words = [raw[e - k : e] for e, k in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True)]
+            for w in words:
+                if w not in known:
+                    known[w] = encode(w)
+            found = [known[w] for w in words]
+            data = _pack(np.array(list(map(len, found)), np.int64), np.array([i for f in found for i in f], np.int64))
+            yield pa.RecordBatch.from_arrays([row.column("block"), row.column("bucket"), row.column("first"), pa.array([data], pa.binary()), row.column("ids")], names=["block", "bucket", "first", "data", "ids"])
 
 
 def _reassemble(block: pa.Table, told: pa.Table) -> pa.Table:
@@ -149,8 +161,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """``(id, ids array<int>)`` for each row of ``docs``: each match of ``pattern`` is encoded separately.
 
     Null and empty texts give an empty array, repeated rows repeated rows, null ids stay null,
-    no rows give no rows, and further columns are ignored whatever their names. ``n_buckets``
-    is the number of parts of the word shuffle, by default ``spark.sql.shuffle.partitions``.
+    no rows give no rows, further columns are ignored whatever their names, and a text longer than
+    a block is a block of its own. ``n_buckets`` is the number of parts of the word shuffle, by default
+    ``spark.sql.shuffle.partitions``; a block sends a list to each bucket that has one of its words, so
+    lists grow with the distinct words of the blocks, not with the product of blocks and buckets.
     """
     spark = docs.sparkSession
     n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -159,7 +173,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))  # of fixed size: the vocabulary
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = bucketed(source.mapInArrow(lambda b: _blocks(b, pattern, n_buckets, BLOCK_CHARS), schema), "bpe_blocks", "block", n_buckets)
-    asked = blocks.where("bucket >= 0").repartition(n_buckets, "bucket")
+    asked = blocks.where("bucket >= 0").repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
     answers = asked.mapInArrow(lambda b: _answer(b, ranks.value, pattern), schema)
     texts = blocks.where("bucket < 0")  # in buckets already: only words and answers are shuffled
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble, T.StructType().add("id", kind).add("ids", T.ArrayType(T.IntegerType())))
