@@ -1,13 +1,14 @@
-"""Nearest neighbours by a hash-prefix forest (LSH Forest, Bawa et al., 2005).
+"""Nearest neighbours by one hash-prefix forest over all rows (after LSH Forest, Bawa et al., 2005).
 
-Every tree gives a vector a long string of hash bits (the sides of random planes) and keeps the
-strings sorted. A query descends each tree to the rows that share its longest prefix, then all
-trees ascend together, one bit at a time, which adds the rows that share a shorter prefix. The
-query stops where a row as near as its k-th best so far would be missed in all trees with
-probability at most ``miss``; every candidate is verified by cosine in double precision.
+Every tree gives a vector a long string of symbols: a symbol is the one of PLANES random directions that the vector
+lies along most, with its sign. The strings of a tree are kept sorted, in lists by their first symbol, and what is
+in a list are strings and places only; the vectors stay in shards. A query is sent to the lists of its own first
+symbols. There it first descends to the rows next to it in order, which share the longest prefixes; their cosines
+give its k-th best so far. Then all trees ascend together to the prefix length at which a row as near as that would
+be missed in all trees with probability at most ``miss``, and the rows that share so much are verified too. Length
+0 is every row: a query whose neighbours are that far is answered by all shards.
 
-Rows are dealt out to shards of bounded size, each with a forest of its own over all its rows;
-the queries visit the shards in batches, and the best of each shard meet by query.
+Every candidate is verified by cosine in double precision.
 """
 
 from __future__ import annotations
@@ -19,116 +20,203 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelmatch.functions.storage import written
 from labelmatch.llm.vectors import matrix, norms, typed, usable
 
-TREES, BITS, SHARD, MISS, SEED = 64, 32, 8192, 0.05, 7
-
-
-class Forest:
-    """Sorted arrays of the hash strings of some rows, one array a tree."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = SEED):
-        self.ids, self.rows, self.norms, self.trees, self.bits = ids, rows, norms(rows), trees, bits
-        self.planes = np.random.default_rng(seed).standard_normal((rows.shape[1], trees * bits))
-        strings = self.strings(rows)
-        self.order = np.argsort(strings, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(strings, self.order, axis=1)
-
-    def strings(self, rows: np.ndarray) -> np.ndarray:
-        """(trees, rows) hash strings, the first bit highest."""
-        powers = (1 << np.arange(self.bits - 1, -1, -1)).astype(np.float64)
-        out = np.empty((self.trees, len(rows)), np.int64)
-        for t in range(self.trees):
-            out[t] = ((rows @ self.planes[:, t * self.bits : (t + 1) * self.bits]) > 0) @ powers
-        return out
-
-    def ranges(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bits + 1, trees, queries): where the rows begin and end that share a prefix of each length."""
-        low = np.empty((self.bits + 1, *strings.shape), np.int32)
-        high = np.empty_like(low)
-        for x in range(self.bits + 1):
-            cut = self.bits - x
-            for t in range(self.trees):
-                first = strings[t] >> cut << cut
-                low[x, t] = np.searchsorted(self.sorted[t], first, "left")
-                high[x, t] = np.searchsorted(self.sorted[t], first + (1 << cut), "left")
-        return low, high
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, miss: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query its place, the ids and the cosines of its ``k`` best rows, itself left out."""
-        lengths = norms(queries)
-        low, high = self.ranges(self.strings(queries))
-        counts = (high - low).sum(axis=1)
-        for q in range(len(queries)):
-            x = int(np.searchsorted(-counts[:, q], -4 * k, "right")) - 1  # the longest prefix that gives enough rows
-            x = max(x, 0)
-            cosines = np.full(len(self.ids), -np.inf)
-            seen = self.ids == query_ids[q]
-            while True:
-                mark = np.zeros(len(self.ids), bool)
-                for t in range(self.trees):
-                    mark[self.order[t, low[x, t, q] : high[x, t, q]]] = True
-                new = np.flatnonzero(mark & ~seen)
-                seen |= mark
-                cosines[new] = (self.rows[new] * queries[q]).sum(axis=1) / (self.norms[new] * lengths[q])
-                best = np.partition(cosines, -k)[-k] if len(cosines) >= k else -np.inf
-                agree = 1 - np.arccos(np.clip(best, -1, 1)) / np.pi
-                if x == 0 or (best > -np.inf and (1 - agree**x) ** self.trees <= miss):
-                    break
-                x -= 1
-            found = np.flatnonzero((cosines >= best) & (cosines > -np.inf))
-            found = found[np.lexsort((self.ids[found], -cosines[found]))][:k]
-            yield q, self.ids[found], cosines[found]
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, miss: float = MISS, trees: int = TREES, bits: int = BITS, seed: int = SEED) -> DataFrame:
+#: Directions of a symbol, and the bits of one.
+PLANES, SYMBOL = 64, 7
+#: Trees, vectors in a shard, strings of a list that one task takes, and the probability that a row is missed.
+TREES, SHARD, CHUNK, MISS, SEED = 48, 8192, 65_536, 0.15, 7
+
+
+def length_of_strings(n: int) -> int:
+    """Symbols that tell n rows apart."""
+    return min(9, max(1, int(np.ceil(np.log(max(n, 2)) / np.log(2 * PLANES)))))
+
+
+def strings(rows: np.ndarray, trees: int, symbols: int, seed: int) -> np.ndarray:
+    """(rows, trees) strings, the first symbol highest."""
+    planes = np.random.default_rng([seed, rows.shape[1]])
+    out = np.zeros((len(rows), trees), np.int64)
+    at = np.arange(len(rows))
+    for t in range(trees):
+        for _ in range(symbols):
+            along = rows @ planes.standard_normal((rows.shape[1], PLANES))
+            best = np.abs(along).argmax(axis=1)
+            out[:, t] = out[:, t] << SYMBOL | best << 1 | (along[at, best] > 0)
+    return out
+
+
+def thresholds(trees: int, symbols: int, miss: float, seed: int) -> list[float]:
+    """For the lengths 1, 2, ...: the least cosine at which a row is missed, with no prefix so long shared in any tree, with probability ``miss`` at most."""
+    rng = np.random.default_rng(seed)
+    cosines, at = np.linspace(0, 1, 41), np.arange(8000)
+    a, more = rng.standard_normal((8000, PLANES)), rng.standard_normal((8000, PLANES))
+    agree = []
+    for c in cosines:
+        b = c * a + np.sqrt(1 - c * c) * more
+        i, j = np.abs(a).argmax(axis=1), np.abs(b).argmax(axis=1)
+        agree.append(np.mean((i == j) & (a[at, i] * b[at, j] > 0)))
+    agree = np.maximum.accumulate(agree)
+    return [float(np.interp((1 - miss ** (1 / trees)) ** (1 / x), agree, cosines)) for x in range(1, symbols + 1)]
+
+
+def _batched(out: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Slices of neighbouring rows with equal keys."""
+    for batch in batches:
+        cols = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1 if len(batch) else np.empty(0, int)
+        for s, e in zip([0, *change.tolist()], [*change.tolist(), len(batch)], strict=True):
+            if e > s:
+                yield tuple(c[s].item() for c in cols), batch.slice(s, e - s)
+
+
+def _number(batches: Iterator[pa.RecordBatch], trees: int, symbols: dict[int, int], seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows by shard: each gets its number in the shard and its strings."""
+    now, n = None, 0
+    for (shard, dim), part in _runs(batches, ["shard", "dim"]):
+        n = 0 if shard != now else n
+        now = shard
+        found = strings(matrix(part.column(part.schema.get_field_index("vec"))), trees, symbols[dim], seed)
+        held = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, trees), pa.int32()), pa.array(found.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.arange(n, n + len(part)), pa.int32()), held], names=[*part.schema.names, "slot", "strings"])
+        n += len(part)
+
+
+_ASKED = [("shard", pa.int32()), ("q", pa.int64()), ("slots", pa.binary())]
+
+
+def _look(batches: Iterator[pa.RecordBatch], symbols: dict[int, int], around: int | None) -> Iterator[pa.RecordBatch]:
+    """Lists, each as its rows in order and then its queries -> the rows that each query has to be compared with, by shard.
+
+    ``around``: so many rows on either side of the query in order; else the rows that share the query's ``level`` of symbols.
+    """
+    now, rows, held = None, [], None
+    for key, part in _runs(batches, ["dim", "tree", "first", "chunk", "asks"]):
+        if key[:4] != now:
+            now, rows, held = key[:4], [], None
+        get = lambda c: part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+        if not key[4]:
+            rows.append((get("s"), get("shard"), get("slot")))
+            continue
+        if not rows:
+            continue
+        held = held or [np.concatenate(x) for x in zip(*rows, strict=True)]
+        s, shard, slot = held
+        asked = get("s")
+        if around is None:
+            cut = SYMBOL * (symbols[key[0]] - get("level").astype(np.int64))
+            low, high = np.searchsorted(s, asked >> cut << cut, "left"), np.searchsorted(s, (asked >> cut) + 1 << cut, "left")
+        else:
+            place = np.searchsorted(s, asked, "left")
+            low, high = np.maximum(place - around, 0), np.minimum(place + around, len(s))
+        out = []
+        for q, a, z in zip(get("q").tolist(), low.tolist(), high.tolist(), strict=True):
+            if z > a:
+                order = np.argsort(shard[a:z], kind="stable")
+                where, begin = np.unique(shard[a:z][order], return_index=True)
+                out += [(int(w), q, p.astype("<i4").tobytes()) for w, p in zip(where, np.split(slot[a:z][order], begin[1:]), strict=True)]
+        if out:
+            yield _batched(out, _ASKED)
+
+
+def _verify(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Shards, each as its rows by number and then what is asked of it -> the ``k`` best rows of each query."""
+    now, parts, held = None, [], None
+    kinds = [("q", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]
+    for (shard, asks), part in _runs(batches, ["shard", "asks"]):
+        if shard != now:
+            now, parts, held = shard, [], None
+        get = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
+        if not asks:
+            parts.append((get("id").to_numpy(), matrix(get("vec"))))
+            continue
+        if not parts:
+            continue
+        if held is None:
+            ids, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
+            held, parts = (ids, rows, norms(rows)), [(ids, rows)]
+        ids, rows, lengths = held
+        asked = matrix(get("vec"))
+        out = []
+        for i, (q, own, length) in enumerate(zip(get("q").to_pylist(), get("id").to_pylist(), norms(asked).tolist(), strict=True)):
+            slots = get("slots")[i].as_py()
+            at = np.arange(len(ids)) if slots is None else np.unique(np.frombuffer(b"".join(slots), "<i4"))
+            at = at[ids[at] != own]
+            cosines = (rows[at] * asked[i]).sum(axis=1) / (lengths[at] * length)
+            if len(at) > k:
+                best = np.flatnonzero(cosines >= np.partition(cosines, -k)[-k])
+                at, cosines = at[best], cosines[best]
+            best = np.lexsort((ids[at], -cosines))[:k]
+            out += [(q, now << 32 | r, i, c) for r, i, c in zip(at[best].tolist(), ids[at[best]].tolist(), cosines[best].tolist(), strict=True)]
+        yield _batched(out, kinds)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, miss: float = MISS, trees: int = TREES, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` rows of largest cosine that each query finds, ties to the smaller id.
 
-    ``is_query`` is a condition on ``id``. A query's own id is no candidate. Vectors that are null,
-    zero, or hold null or non-finite components, and null ids, take no part; vectors are compared
-    with vectors of their length; repeated rows are candidates of their own, and a repeated query is one query.
+    ``is_query`` is a condition on ``id``. A query's own id is no candidate. Vectors that are null, zero, or hold null
+    or non-finite components, and null ids, take no part; vectors are compared with vectors of their length; repeated
+    rows are candidates of their own, and a repeated query is one query; no rows give no rows; further columns are ignored.
     """
+    spark = vectors.sparkSession
     rows = typed(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), "vec").where(usable("vec") & F.col("id").isNotNull())
-    rows = rows.withColumn("dim", F.size("vec"))
-    sizes = {r["dim"]: -(-r["count"] // shard) for r in rows.groupBy("dim").count().collect()}  # a row for each length of vector
-    shards = F.lit(1)
+    # Of equal rows no more than k can be among the k best of a query, so a large group of them is not moved.
+    same = rows.groupBy("id", "vec").agg(F.count("*").alias("n")).withColumn("dim", F.size("vec"))
+    same = same.select("dim", "id", "vec", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k + 1)).cast("int"))).alias("copy"))
+    same = written(same, "forest-rows")
+    sizes = {r["dim"]: r["count"] for r in same.groupBy("dim").count().orderBy("dim").collect()}  # a row for each length of vector
+    symbols = {dim: length_of_strings(n) for dim, n in sizes.items()}
+    shards, first = F.lit(0), 0
     for dim, n in sizes.items():
-        shards = F.when(F.col("dim") == dim, F.lit(int(n))).otherwise(shards)
-    held = rows.select("dim", F.pmod(F.xxhash64("id", "vec"), shards).cast("int").alias("shard"), F.lit(False).alias("asks"), "id", "vec")
-    asks = rows.where(is_query).dropDuplicates(["id", "dim"])
-    asks = asks.select("dim", F.explode(F.sequence(F.lit(0), shards.cast("int") - 1)).alias("shard"), F.lit(True).alias("asks"), "id", "vec")
-    n_parts = max(1, *sizes.values()) if sizes else 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, vecs, forest = None, [], [], None
-        for batch in batches:
-            keys = list(zip(batch.column("dim").to_pylist(), batch.column("shard").to_pylist(), batch.column("asks").to_pylist(), strict=True))
-            at = 0
-            while at < len(keys):
-                stop = at
-                while stop < len(keys) and keys[stop] == keys[at]:
-                    stop += 1
-                part = batch.slice(at, stop - at)
-                dim, number, asking = keys[at]
-                at = stop
-                if (dim, number) != key:
-                    key, ids, vecs, forest = (dim, number), [], [], None
-                if not asking:
-                    ids.append(part.column("id").to_numpy())
-                    vecs.append(matrix(part.column("vec")))
-                    continue
-                if not ids:
-                    continue
-                forest = forest or Forest(np.concatenate(ids), np.concatenate(vecs), trees, bits, seed)
-                mine = part.column("id").to_numpy()
-                out = [(mine[q], i, c) for q, found, cos in forest.search(mine, matrix(part.column("vec")), k, miss) for i, c in zip(found.tolist(), cos.tolist(), strict=True)]
-                cols = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "id", "score"])
-
-    met = held.unionByName(asks).repartition(n_parts, "dim", "shard").sortWithinPartitions("dim", "shard", "asks")
-    found = met.mapInArrow(run, "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        count = -(-n // shard)
+        shards = F.when(F.col("dim") == dim, first + F.pmod(F.xxhash64("id", "vec", "copy"), F.lit(count))).otherwise(shards)
+        first += count
+    parts = max(first, 1)
+    named = same.withColumn("shard", shards.cast("int")).drop("copy").repartition(parts, "shard").sortWithinPartitions("shard", "id")
+    kinds = f"dim int, id long, vec {dict(named.dtypes)['vec']}, shard int, slot int, strings array<long>"
+    index = written(named.mapInArrow(lambda b: _number(b, trees, symbols, seed), kinds), "forest-index")
+    queries = index.where(is_query).groupBy("dim", "id").agg(F.min(F.struct("shard", "slot", "vec", "strings")).alias("m"))
+    queries = written(queries.select(F.shiftleft(F.col("m.shard").cast("long"), 32).bitwiseOR(F.col("m.slot").cast("long")).alias("q"), "dim", "id", "m.vec", "m.strings"), "forest-queries")
+
+    first_of = lambda: F.coalesce(*[F.when(F.col("dim") == dim, F.shiftright("s", SYMBOL * (x - 1))) for dim, x in symbols.items()], F.lit(0)).cast("int")
+    key = ["dim", "tree", "first"]
+    placed = index.select("dim", "shard", "slot", F.posexplode("strings").alias("tree", "s")).withColumn("first", first_of())
+    asking = queries.select("dim", "q", F.posexplode("strings").alias("tree", "s")).withColumn("first", first_of())
+    large = written(placed.groupBy(*key).count().where(F.col("count") > chunk).select(*key, F.ceil(F.col("count") / chunk).cast("int").alias("n")), "forest-large")
+    n = F.coalesce("n", F.lit(1))
+    none = lambda kind: F.lit(None).cast(kind)
+    listed = placed.join(large, key, "left").select(*key, F.pmod(F.xxhash64("shard", "slot"), n).cast("int").alias("chunk"), F.lit(False).alias("asks"), "s", "shard", "slot", none("long").alias("q"), none("int").alias("level"))
+
+    def ask(levels: DataFrame | None, around: int | None) -> DataFrame:
+        """``(q, row, id, score)`` of the rows that the lists name for the queries."""
+        mine = asking.withColumn("level", F.lit(0)) if levels is None else asking.join(levels.where("level > 0"), "q")
+        sent = mine.join(large, key, "left").select(*key, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"), F.lit(True).alias("asks"), "s", none("int").alias("shard"), none("int").alias("slot"), "q", "level")
+        by = [*key, "chunk"]
+        met = listed.unionByName(sent).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by, "asks", "s")
+        wanted = met.mapInArrow(lambda b: _look(b, symbols, around), "shard int, q long, slots binary").groupBy("shard", "q").agg(F.collect_list("slots").alias("slots"))  # at most one a tree and chunk
+        if levels is not None:  # those whose neighbours are too far ask all shards of their length
+            every = index.select("dim", "shard").distinct()
+            wanted = wanted.unionByName(levels.where("level = 0").join(queries.select("q", "dim"), "q").join(every, "dim").select("shard", "q", none("array<binary>").alias("slots")))
+        asked = wanted.join(queries.select("q", "id", "vec"), "q").select("shard", F.lit(True).alias("asks"), none("int").alias("slot"), "q", "id", "vec", "slots")
+        held = index.select("shard", F.lit(False).alias("asks"), "slot", none("long").alias("q"), "id", "vec", none("array<binary>").alias("slots"))
+        return held.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", "asks", "slot").mapInArrow(lambda b: _verify(b, k), "q long, row long, id long, score double")
+
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    best = lambda found: found.dropDuplicates(["q", "row"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    near = written(best(ask(None, 2 * k)), "forest-near")
+    last = near.groupBy("q").agg(F.when(F.count("*") == k, F.min("score")).alias("last"))
+    bounds = thresholds(trees, max(symbols.values(), default=1), miss, seed)
+    level = sum((F.coalesce((F.col("last") >= t).cast("int"), F.lit(0)) for t in bounds), F.lit(0))
+    longest = F.coalesce(*[F.when(F.col("dim") == dim, F.lit(x)) for dim, x in symbols.items()], F.lit(0))
+    levels = written(queries.select("q", "dim").join(last, "q", "left").select("q", F.least(level, longest).cast("int").alias("level")), "forest-levels")
+    found = best(near.drop("rank").unionByName(ask(levels, None))).join(queries.select("q", F.col("id").alias("query_id")), "q")
+    return found.select("query_id", "rank", "id", "score")
 
 
 def op10_nearest(vectors: DataFrame) -> DataFrame:
