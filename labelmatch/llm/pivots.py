@@ -1,11 +1,12 @@
 """Embedding near-duplicates with a pivot-permutation index.
 
-A bounded sample of vectors serves as pivots. Each distinct vector is described by its nearest
-pivots in order; the inverted lists are kept for pairs of pivots, so that two vectors meet in a
-list exactly if they share two of their nearest pivots. Every list is verified by cosine in
-double precision; a pair counts in the list of its two smallest shared pivots only. Lists above
-``CHUNK`` rows are dealt out as pairs of chunks, and a list yields, for each of its vectors, how
-many links it has there and one edge to the smallest vector it is connected with: rows stay
+A bounded sample of vectors that are not like each other serves as pivots, twice the square root of the
+vectors in number, so that lists stay short as a table grows. Each distinct vector is described by its nearest
+pivots in order; the inverted lists are kept for pairs of pivots of which one is among the first LEAD in the
+vector's order. So two vectors meet in a list if they share two of their nearest pivots and each has one of
+these in front. Every list is verified by cosine in double precision; a pair counts in the first list it
+shares only. Lists above ``CHUNK`` rows are dealt out as pairs of chunks, and a list yields, for each of its
+vectors, how many links it has there and one edge to the smallest vector it is connected with: rows stay
 linear in the vectors however large a group of copies is.
 """
 
@@ -24,8 +25,20 @@ from labelmatch.llm.lists import deal, roots, sides, walk
 from labelmatch.llm.vectors import matrix, typed, unit, usable
 from labelmatch.operators.components import connected_components
 
-#: Pivots of the index, nearest pivots of a vector, rows of a list that one task takes.
-PIVOTS, NEAREST, CHUNK = 256, 6, 2000
+#: Pivots at least and at most, nearest pivots of a vector, how many of them lead, rows of a list that one task takes.
+FEWEST, MOST, NEAREST, LEAD, CHUNK = 64, 8192, 7, 3, 2000
+#: Cosine from which a sampled vector is too like a pivot to be one.
+ALIKE = 0.8
+
+
+def choose(rows: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` unit rows that are not like one before."""
+    kept, free = [], np.ones(len(rows), bool)
+    for i in range(len(rows)):
+        if free[i] and len(kept) < n:
+            kept.append(i)
+            free[i + 1 :] &= rows[i + 1 :] @ rows[i] < ALIKE
+    return rows[kept]
 
 
 def describe(rows: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
@@ -33,16 +46,21 @@ def describe(rows: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     return np.argsort(-(rows @ pivots.T), axis=1, kind="stable")[:, :nearest]
 
 
-def _canonical(left: np.ndarray, right: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Whether p and q are the two smallest pivots that the sorted descriptions share."""
-    shared = (left[:, :, None] == right[:, None, :]).any(axis=2)
-    rank = np.cumsum(shared, axis=1)
-    first = np.take_along_axis(left, (shared & (rank == 1)).argmax(axis=1)[:, None], axis=1)[:, 0]
-    second = np.take_along_axis(left, (shared & (rank == 2)).argmax(axis=1)[:, None], axis=1)[:, 0]
-    return (first == p) & (second == q)
+def pairs_of(near: np.ndarray, lead: int) -> np.ndarray:
+    """(rows, pairs, 2): the pairs of each row's pivots of which one is among its first ``lead``, the smaller pivot first."""
+    i, j = np.triu_indices(near.shape[1], 1)
+    i, j = i[i < lead], j[i < lead]
+    return np.sort(np.stack([near[:, i], near[:, j]], axis=2), axis=2)
+
 
+def _canonical(left: np.ndarray, right: np.ndarray, p: int, q: int, lead: int) -> np.ndarray:
+    """Whether (p, q) is the smallest of the pairs of pivots by which both descriptions are listed."""
+    a, b = (x[:, :, 0].astype(np.int64) << 32 | x[:, :, 1] for x in (pairs_of(left, lead), pairs_of(right, lead)))
+    shared = (a[:, :, None] == b[:, None, :]).any(axis=2)
+    return np.where(shared, a, np.iinfo(np.int64).max).min(axis=1) == (int(p) << 32 | int(q))
 
-def _verify(part: pa.Table, bounds: list[tuple[int, int]], limit: float) -> Iterator[pa.RecordBatch]:
+
+def _verify(part: pa.Table, bounds: list[tuple[int, int]], limit: float, lead: int) -> Iterator[pa.RecordBatch]:
     """For each vector of these lists: its links here, and the least vector it is connected with."""
     p, q, mine = (part.column(k).to_numpy(zero_copy_only=False) for k in ("p", "q", "mine"))
     ids, mult = part.column("id").to_numpy(), part.column("mult").to_numpy()
@@ -51,14 +69,14 @@ def _verify(part: pa.Table, bounds: list[tuple[int, int]], limit: float) -> Iter
         left, right = sides(mine[s:e])
         piece = part.slice(s, e - s)
         rows = unit(matrix(piece.column("vec").combine_chunks()))
-        near = np.sort(matrix(piece.column("near").combine_chunks()).astype(np.int64), axis=1)
+        near = matrix(piece.column("near").combine_chunks()).astype(np.int64)
         i, j = np.nonzero(rows[left] @ rows[right].T >= limit)
         i, j = left[i], right[j]
         once = i < j if mine[s:e].all() else i != j
         i, j = i[once], j[once]
-        for at in range(0, len(i), 200_000):
-            x, y = i[at : at + 200_000], j[at : at + 200_000]
-            good = _canonical(near[x], near[y], p[s], q[s])
+        for at in range(0, len(i), 50_000):
+            x, y = i[at : at + 50_000], j[at : at + 50_000]
+            good = _canonical(near[x], near[y], p[s], q[s], lead) if near.shape[1] > 1 else np.ones(len(x), bool)
             out_a.append(x[good] + s)
             out_b.append(y[good] + s)
     a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -70,35 +88,40 @@ def _verify(part: pa.Table, bounds: list[tuple[int, int]], limit: float) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(every[hit]), pa.array(every[root[hit]]), pa.array(found[hit].astype(np.int64))], names=["u", "v", "links"])
 
 
-def links(reps: DataFrame, limit: float, n_pivots: int = PIVOTS, nearest: int = NEAREST, chunk: int = CHUNK) -> DataFrame:
-    """``reps(id, label string, mult, vec)`` of distinct vectors -> ``(u, v, links)``: links of u found in a list, and an edge u - v."""
+def links(reps: DataFrame, limit: float, n_pivots: int | None = None, nearest: int = NEAREST, lead: int = LEAD, chunk: int = CHUNK) -> DataFrame:
+    """``reps(id, label string, mult, vec)`` of distinct vectors -> ``(u, v, links)``: links of u found in a list, and an edge u - v.
+
+    ``n_pivots``: by default twice the square root of the vectors of a length, FEWEST to MOST; beyond MOST lists grow, and long ones are dealt out in chunks.
+    """
     spark = reps.sparkSession
     sizes = reps.groupBy(F.size("vec").alias("dim")).count().collect()  # a row for each length of vector
     pivots = {}
     for row in sizes:
-        sample = reps.where(F.size("vec") == row["dim"]).select("vec").orderBy(F.xxhash64("id", F.lit("pivots")), "id").limit(n_pivots).toArrow()
-        pivots[row["dim"]] = unit(matrix(sample.column("vec").combine_chunks()))
-    shared = spark.sparkContext.broadcast(pivots)  # n_pivots vectors of each length
+        n = n_pivots or int(min(MOST, max(FEWEST, 2 * row["count"] ** 0.5)))
+        sample = reps.where(F.size("vec") == row["dim"]).select("vec").orderBy(F.xxhash64("id", F.lit("pivots")), "id").limit(2 * n).toArrow()
+        pivots[row["dim"]] = choose(unit(matrix(sample.column("vec").combine_chunks())), n)
+    shared = spark.sparkContext.broadcast(pivots)  # MOST vectors of each length at most
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vecs = batch.column("vec")
             lengths = vecs.value_lengths().to_numpy(zero_copy_only=False)
             near: list = [None] * len(batch)
+            lists: list = [None] * len(batch)
             for dim in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == dim)
                 found = describe(unit(matrix(vecs.take(pa.array(at)))), shared.value[dim], nearest)
-                for i, row in zip(at.tolist(), found.tolist(), strict=True):
-                    near[i] = row
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=[*batch.schema.names, "near"])
+                pairs = pairs_of(found, lead) if found.shape[1] > 1 else np.repeat(found, 2, axis=1)[:, None, :]  # one pivot: one list of all
+                for i, row, mine in zip(at.tolist(), found.tolist(), pairs.tolist(), strict=True):
+                    near[i], lists[i] = row, [{"p": a, "q": b} for a, b in mine]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32())), pa.array(lists, kind)], names=[*batch.schema.names, "near", "pq"])
 
-    schema = T.StructType([*reps.schema.fields, T.StructField("near", T.ArrayType(T.IntegerType()))])
+    kind = pa.list_(pa.struct([("p", pa.int32()), ("q", pa.int32())]))
+    schema = T.StructType([*reps.schema.fields, T.StructField("near", T.ArrayType(T.IntegerType())), T.StructField("pq", T.ArrayType(T.StructType().add("p", "integer").add("q", "integer")))])
     described = written(reps.mapInArrow(place, schema), "pivot-described")
-    # With fewer than two pivots there is one list of all; a vector may otherwise meet itself in no list.
-    pairs = "if(size(near) < 2, array(struct(near[0] as p, near[0] as q)), flatten(transform(array_sort(near), (p, i) -> transform(slice(array_sort(near), i + 2, size(near)), q -> struct(p as p, q as q)))))"
-    posted = described.withColumn("pq", F.explode(F.expr(pairs))).select("label", "pq.p", "pq.q", "id", "mult", "near", "vec")
+    posted = described.withColumn("pq", F.explode("pq")).select("label", "pq.p", "pq.q", "id", "mult", "near", "vec")
     keys = ["label", "p", "q"]
-    return deal(posted, keys, "id", chunk).mapInArrow(lambda b: walk(b, keys, lambda part, bounds: _verify(part, bounds, limit)), "u long, v long, links long")
+    return deal(posted, keys, "id", chunk).mapInArrow(lambda b: walk(b, keys, lambda part, bounds: _verify(part, bounds, limit, lead)), "u long, v long, links long")
 
 
 def near_duplicates(vectors: DataFrame, limit: float = 0.93, id_col: str = "vec_id", label_col: str = "label", vec_col: str = "embedding", **index) -> DataFrame:
@@ -107,7 +130,7 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93, id_col: str = "vec_
     Vectors are compared if their labels are equal and not null, and their lengths equal. Rows
     with a null label, or a vector that is null, zero or holds null or non-finite components,
     link with nothing. Exact copies, repeated rows among them, are linked with each other and
-    searched once. A null id is a component of its own; no rows give no rows.
+    searched once. A null id is a component of its own; no rows give no rows; further columns are ignored.
     """
     rows = typed(vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).alias("vec")), "vec")
     able = rows.where(usable("vec") & F.col("label").isNotNull() & F.col("id").isNotNull()).withColumn("label", F.concat_ws("/", F.size("vec").cast("string"), "label"))
