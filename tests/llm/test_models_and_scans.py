@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+from pandas.util import hash_array
 from pyspark.sql import functions as F
 
 from labelmatch.llm import langid, licenses, mixing, pii, toxicity
@@ -48,6 +49,51 @@ def test_unseen_words_use_the_longest_known_grams():
     assert model.word("zz").tolist() == [0, 0]
 
 
+def test_language_predictions_equal_brute_force(spark, prose):
+    """Counting, back-off and posterior once more, word by word; a text of one very long word and one of many words among them."""
+    rows = [(i, t, ["en", "de", "fr"][k % 3]) for k, (i, t) in enumerate(prose)] + [(900, "ß" * 3000, None), (901, "wort " * 20_000, "de"), (902, "zzz qqq", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    letters = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    langs, counts = ["de", "en", "fr"], [defaultdict(lambda: np.zeros(3)) for _ in range(5)]
+    for _, t, lang in rows:
+        for w in letters(t) if lang and t is not None else ():
+            counts[0][w][langs.index(lang)] += 1
+            for n in range(1, 5):
+                held = f"_{w}_" if n > 1 else w
+                for at in range(len(held) - n + 1):
+                    counts[n][held[at : at + n]][langs.index(lang)] += 1
+    tables = []
+    for held in counts:
+        kept = {g: np.where(k >= 2, k, 0) for g, k in held.items() if (k >= 2).any()}
+        total = sum((k + 0.5 for k in kept.values()), np.zeros(3))
+        tables.append({g: np.log(((k + 0.5) / total).astype(np.float32)) for g, k in kept.items()})
+
+    def word(w):
+        if w in tables[0]:
+            found = tables[0][w]
+        else:
+            for n in (4, 3, 2, 1):
+                held = f"_{w}_" if n > 1 else w
+                known = [tables[n][held[at : at + n]] for at in range(len(held) - n + 1) if held[at : at + n] in tables[n]]
+                if known:
+                    found = np.mean(known, axis=0)
+                    break
+            else:
+                return np.zeros(3)
+        return found - np.log(np.exp(found.astype(float)).sum())
+
+    model = langid.fit(docs, per_lang=10**9)
+    got = {r.id: r for r in langid.predict(docs, model).collect()}
+    for i, t, _ in rows:
+        words = letters(t)
+        if not words:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        sums = sum(n * word(w) for w, n in Counter(words).items()) / math.sqrt(len(words))
+        post = np.exp(sums - sums.max()) / np.exp(sums - sums.max()).sum()
+        assert got[i].score == pytest.approx(post.max(), abs=1e-3) and post[langs.index(got[i].lang_pred)] == pytest.approx(post.max(), abs=1e-3)
+
+
 def plain_marginals(scores, moves):
     """Marginals of T over all labellings."""
     n = len(scores)
@@ -71,6 +117,36 @@ def test_forward_backward_equals_enumeration():
     assert odds / (1 + odds) == pytest.approx(want)
 
 
+def test_toxicity_scores_equal_brute_force(spark, prose):
+    """Scores and spans of a model by plain loops over the words, for short, long and odd texts."""
+    rng = np.random.default_rng(8)
+    model = toxicity.Model(rng.normal(0, 1.5, toxicity.FEATURES).astype(np.float32), np.array([0.3, -2.0, -0.5, 0.4, -2.0]), np.array([-1.0, 0.4, 0.7, 0.5]))
+    rows = [*prose, (800, "İstanbul'da SIĞINAK ß"), (801, " ".join(f"w{i % 97}" for i in range(5000)))]
+
+    def emission(w):
+        names = [("word", w), ("suffix", w[-3:]), *((f"prefix {n}", w[:n]) for n in toxicity.PREFIXES if len(w) >= n)]
+        at = [int(hash_array(np.array([x], object), hash_key=k.ljust(16, "-"), categorize=False)[0] % np.uint64(toxicity.FEATURES)) for k, x in names]
+        return float(np.clip(sum(float(model.weights[i]) for i in at), -30, 30))
+
+    oo, ot, to, tt = np.exp(model.moves[:4])
+    got = {r.id: r for r in toxicity.score(frame(spark, rows), model).collect()}
+    for i, t in rows:
+        words = regex.findall(toxicity.WORDS, (t or "").lower())
+        odds = np.exp([emission(w) for w in words])
+        ahead, back = np.ones(len(words)), np.ones(len(words))
+        for k in range(len(words)):
+            ahead[k] = odds[k] * (np.exp(model.moves[4]) if not k else (ot + ahead[k - 1] * tt) / (oo + ahead[k - 1] * to))
+        for k in range(len(words) - 2, -1, -1):
+            r = odds[k + 1] * back[k + 1]
+            back[k] = (to + r * tt) / (oo + r * ot)
+        log = np.clip(np.log(ahead) + np.log(back), -15, 15)
+        total = (1 / (1 + np.exp(-log))).sum()
+        seen = np.array([1, log.max(initial=-15), np.log1p(total), np.log((total + 0.1) / (len(words) + 10))])
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(seen @ model.document))), rel=1e-6)
+        assert len(got[i].spans) == (log >= 0).sum()
+        assert [t[s.start : s.end].lower() for s in got[i].spans] == [w for w, x in zip(words, log, strict=True) if x >= 0] or "İ" in t
+
+
 def test_toxicity_held_out_and_spans(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.op8_toxicity(docs, labels).join(labels, "doc_id").collect()
@@ -92,37 +168,76 @@ def test_toxicity_held_out_and_spans(spark):
     assert {r.score < 0.5 for r in toxicity.score(frame(spark, odd), empty).collect()} == {True}
 
 
+def plain_licences(words):
+    """Every start of every template, tried."""
+    out = []
+    for label, text, keys in licenses.TEMPLATES:
+        wanted = licenses.words_of(text)
+        for start in range(-len(wanted), len(words)):
+            here = [words[start + i] if 0 <= start + i < len(words) else b"" for i in range(len(wanted))]
+            stands = lambda k: any(wanted[p : p + len(k)] == k == here[p : p + len(k)] for p in range(len(wanted)))  # noqa: E731, B023
+            if all(stands(licenses.words_of(k)) for k in keys):
+                out.append((label, max(start, 0), sum(x == y for x, y in zip(here, wanted, strict=True)) / len(wanted)))
+    return sorted(out)
+
+
+def licence_texts():
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            words = rng.choice(licenses.TEMPLATES)[1].split()
+            cut = sorted(rng.sample(range(len(words) + 1), 2)) if rng.random() < 0.3 and len(words) > 2 else (0, len(words))
+            words = words[cut[0] : cut[1]]
+            for at in rng.sample(range(len(words)), len(words) // 30):
+                words[at] = "changed"
+            parts += [" ".join(words), " ".join(rng.choice(["the license", "permission is hereby", "public", "mit", "software", "word"]) for _ in range(rng.randrange(6)))]
+        rows.append((1000 + i, " ".join(parts)))
+    return rows
+
+
 def test_licences_equal_brute_force(spark, prose):
     lines = ["Released under the MIT License.", "MIT LICENSE mit license", "the gnu General Public-License, version 3", "apache license", "licensed under CC BY 4.0 now", "mit éducation license", "Licensed under the Apache License, Version 2.0"]
-    rows = [*prose, *[(400 + i, f"{prose[20 + i][1]} {x} {prose[30][1]}") for i, x in enumerate(lines)]]
-    got = {r.doc_id: r for r in licenses.op6_license(frame(spark, rows)).collect()}
+    rows = [*prose, *[(400 + i, f"{prose[20 + i][1]} {x} {prose[30][1]}") for i, x in enumerate(lines)], *licence_texts(), (None, lines[0]), (400, lines[1])]
+    got = {(r.doc_id, r.n_words): r for r in licenses.op6_license(frame(spark, rows)).collect()}
+    several = 0
     for i, t in rows:
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
         places = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
-        r = got[i]
+        r = got[i, len(words)]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min([k for k, _ in places], default=None), max([k for k, _ in places], default=None))
-        assert r.base_labels == ",".join(sorted({x for _, x in places})) and set(r.base_labels.split(",")) <= {*r.labels.split(","), ""} and 0 <= r.score <= 1
-    assert "mit-notice" in got[400].labels and "cc-by-4.0" in got[404].labels and "apache-2.0" in got[406].labels and got[405].labels == ""
+        found = plain_licences([w.encode() for w in words]) if len(words) < 3000 else []
+        several += len({x for x, _, _ in found}) > 1
+        assert r.base_labels == ",".join(sorted({x for _, x in places}))
+        assert r.labels == ",".join(sorted({x for x, _, _ in found} | {x for _, x in places}))
+        assert r.score == pytest.approx(max([s for _, _, s in found] + [0.5 if places else 0.0]))
+    assert several > 10
+    label_of = lambda i: next(r.labels for (k, _), r in got.items() if k == i)
+    assert "mit-notice" in label_of(400) and "cc-by-4.0" in label_of(404) and "apache-2.0" in label_of(406) and label_of(405) == ""
     assert licenses.op6_license(frame(spark, [])).count() == 0
+    clash = spark.createDataFrame([(1, "mit license", "x", 5)], "doc_id long, text string, id string, n_words int")
+    assert licenses.op6_license(clash).first().n_words == 2
 
 
 def test_every_template_finds_itself():
-    postings, needed = licenses.index(licenses.TEMPLATES, 10, {})
+    known = licenses.index(licenses.TEMPLATES, 10, {})
     for label, text, _ in licenses.TEMPLATES:
-        words = ["so", *text.split(), "end"]
-        assert (label, 1, 1.0) in licenses.match(words, licenses.TEMPLATES, postings, needed)
+        words = [b"so", *licenses.words_of(text), b"end"]
+        assert (label, 1, 1.0) in licenses.match(words, known)
 
 
 def test_key_phrases_are_found_at_the_first_word():
-    for frequencies in ({}, {w: 9 for label, text, keys in licenses.TEMPLATES for k in keys for w in k.split()}):  # the second: words outside the phrases are rarer
-        postings, needed = licenses.index(licenses.TEMPLATES, 10, frequencies)
+    for frequencies in ({}, dict.fromkeys(licenses.vocabulary(licenses.TEMPLATES), 9)):
+        known = licenses.index(licenses.TEMPLATES, 10, frequencies)
         for label, text, keys in licenses.TEMPLATES:
-            first = min(licenses._find(text.split(), tuple(k.split()))[0] for k in keys)
-            last = max(licenses._find(text.split(), tuple(k.split()))[0] + len(k.split()) for k in keys)
-            for before in ([], ["so"], ["so"] * 50):
-                found = licenses.match([*before, *text.split()[first:last], "end"], licenses.TEMPLATES, postings, needed)
+            words = licenses.words_of(text)
+            spots = [(licenses._find(words, tuple(licenses.words_of(k)))[0], len(licenses.words_of(k))) for k in keys]
+            first, last = min(p for p, _ in spots), max(p + n for p, n in spots)
+            for before in ([], [b"so"], [b"so"] * 50):
+                found = licenses.match([*before, *words[first:last], b"end"], known)
                 assert label in {x for x, _, _ in found} and all(at >= 0 for _, at, _ in found)
-        top = lambda text: {x for x, _, _ in licenses.match(licenses.words_of(text), licenses.TEMPLATES, postings, needed)}
+        top = lambda text: {x for x, _, _ in licenses.match(licenses.words_of(text), known)}  # noqa: E731, B023
         assert "gpl-3.0" in top("GNU General Public License version 3") and "apache-2.0" in top("Apache License, Version 2.0") and "mpl-2.0" in top("Mozilla Public License v. 2.0")
 
 
