@@ -98,7 +98,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """``(id, lang_pred, score)`` for each row of ``docs``.
 
     ``und`` with score 0 where the text is null, has no letter, or nothing was learned. Ties go
-    to the first language by name. Repeated rows give repeated rows; further columns are ignored.
+    to the first language by name. Repeated rows give repeated rows; no rows give no rows; further columns
+    are ignored; a text of any length counts whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit's sample
 

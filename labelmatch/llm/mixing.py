@@ -127,7 +127,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Null languages and sources are leaves of their own, named ``''``; null and empty texts count no
     tokens and are taken with the prefix they fall in; rows with one doc_id share an order key
-    and are taken together; no rows give no rows; further columns pass through.
+    and are taken together; no rows give no rows; further columns pass through; a text of any length counts
+    whole. A leaf's sums are by 16 ** DIGITS buckets at most, so a window over a leaf holds no more rows than that.
     """
     chosen = select(docs, plan(docs, **options), options.get("seed", SEED))
     return chosen.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -1,8 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from labelmatch.functions.storage import written
 from labelmatch.llm import forest, pivots
 from labelmatch.llm.vectors import norms
 from tests.llm.test_tokens_and_repeats import shingles
@@ -108,3 +111,33 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     out = corpus_pipeline.tokenise(spark, docs, SMALL)
     joined = sorted((r.doc_id, r.decoded) for r in out.collect())
     assert joined == sorted((r.doc_id, r.text) for r in docs.collect())
+
+
+def test_pipeline_stages_with_odd_rows_and_empty_tables(spark, tmp_path):
+    """Null ids, texts, languages and sources, empty and very long texts, repeated rows, clashing columns, no rows at all."""
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "re") for b in ("ta", "se", "ru", "ni", "po")]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(40), "en", f"src{i % 5}", 1) for i in range(40)]
+    rows += [(100, None, None, None, None), (101, "", "de", "src1", 0), (None, text(20), "fr", None, 2), (102, text(60_000), "en", "src2", 3), (103, "write to a.b@c.org or 10.0.0.1", "en", "src3", 4), rows[0], rows[0], (104, rows[1][1], "en", "src1", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    for name in ("id", "h", "node", "row", "spans", "tokens", "block", "score", "k1"):
+        docs = docs.withColumn(name, F.lit("x"))
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(40)], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for table in (docs, docs.where("false")):
+        held, kept = table, []
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, held, str(tmp_path))
+            if name != "bpe":
+                assert out.columns == docs.columns
+            held = written(out, f"odd-{name}")
+            kept.append((name, held.collect()))
+        if table is docs:
+            ids = {name: [r.doc_id for r in got] for name, got in kept}
+            assert len(ids["toxicity"]) >= len(rows) - 6 and 102 in ids["toxicity"]
+            assert ids["simhash"].count(0) <= 1 and 104 not in ids["simhash"] and len([i for i in ids["simhash"] if i in (100, 101)]) <= 1
+            assert next(r.text for r in dict(kept)["pii"] if r.doc_id == 103) == "write to [EMAIL] or [IP]"
+            assert sorted(map(repr, ids["bpe"])) == sorted(map(repr, ids["mixing"]))
+        else:
+            assert all(not got for _, got in kept)
