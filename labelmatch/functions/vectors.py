@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors in a block; two blocks of 1,000 doubles are 64 MB.
-BLOCK = 4096
+from labelmatch.functions.storage import written
+
+#: Vectors in a block, at most; a part of fewer rows is one block.
+BLOCK = 2048
+#: Bytes of packed vectors up to which the blocks of one side are broadcast; beyond, blocks are paired by partitions.
+MAX_BROADCAST = 64 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -62,6 +66,12 @@ def embed_in_batches(df: DataFrame, embed: Callable[[list], np.ndarray], source:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(to, T.ArrayType(T.DoubleType()))]))
 
 
+def unit_rows(column: pa.Array) -> np.ndarray:
+    """A list column of vectors of one length as a matrix of unit rows."""
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
 def _pack(df: DataFrame, id_col: str, group_col: str, vec: str, name: str) -> DataFrame:
     """Rows of up to BLOCK vectors: ids, groups, and a matrix of unit rows."""
 
@@ -69,8 +79,7 @@ def _pack(df: DataFrame, id_col: str, group_col: str, vec: str, name: str) -> Da
         for part in batches:
             for at in range(0, len(part), BLOCK):
                 piece = part.slice(at, BLOCK)
-                rows = piece.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(piece), -1)
-                rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+                rows = unit_rows(piece.column(2))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([piece.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([piece.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([rows.tobytes()], pa.binary())],
                     names=[f"{name}_ids", f"{name}_groups", f"{name}_rows"],
@@ -84,9 +93,12 @@ def in_blocks(left: DataFrame, right: DataFrame, pick: Callable, schema: str, le
     """``pick(left ids, left groups, right ids, right groups, similarities)`` for each pair of blocks.
 
     Columns are (id, group, vector). The pairing is between blocks, a few thousand vectors each; ``pick`` returns
-    arrays for ``schema`` and should keep little of the block's product.
+    arrays for ``schema`` and should keep little of the block's product. The packed blocks are written once; those of the
+    left side are broadcast if their bytes are within MAX_BROADCAST.
     """
-    pairs = _pack(left, *left_cols, "l").crossJoin(_pack(right, *right_cols, "r"))
+    blocks, others = written(_pack(left, *left_cols, "l"), "left-blocks"), written(_pack(right, *right_cols, "r"), "right-blocks")
+    size = blocks.agg(F.coalesce(F.sum(F.length("l_rows")), F.lit(0))).first()[0]
+    pairs = others.crossJoin(F.broadcast(blocks)) if size <= MAX_BROADCAST else others.hint("shuffle_replicate_nl").crossJoin(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
