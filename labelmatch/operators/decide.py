@@ -6,22 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmatch import config as C
+from labelmatch.functions.storage import written
 from labelmatch.functions.vectors import average_views
 from labelmatch.operators.retrieve import max_similarity_by_product, nearest_products
 
 
-def fuse(candidates: DataFrame, sims: DataFrame, views: list[int], weight: float = C.SECOND_WEIGHT) -> DataFrame:
+def fuse(candidates: DataFrame, sims: DataFrame, views: DataFrame | list[int], weight: float = C.SECOND_WEIGHT) -> DataFrame:
     """``sims(query_id, product_id, model, view, similarity)``: model A is the second, by ``weight``; B the first.
 
-    A candidate without a similarity counts MISSING_SIMILARITY; a query without any similarity of B
-    is ranked by A alone. Order is by the unrounded sum, then the product id as text.
+    ``views`` are the views of every query, or ``(query_id, n_views)``. A view of a candidate without a similarity counts
+    MISSING_SIMILARITY; a query without any similarity of B is ranked by A alone. Order is by the unrounded sum, then the product id as text.
     """
-    has_b = sims.where("model = 'B'").select("query_id").distinct().withColumn("has_b", F.lit(True))
-    cells = {f"{m}{v}": F.max(F.when((F.col("model") == m) & (F.col("view") == v), F.col("similarity"))) for m in "AB" for v in views}
-    wide = sims.groupBy("query_id", "product_id").agg(*[c.alias(n) for n, c in cells.items()], *[F.max(F.when(F.col("model") == m, F.col("similarity"))).alias(f"best_{m.lower()}") for m in "AB"])
-    joined = candidates.select("query_id", "product_id").join(wide, ["query_id", "product_id"], "left").join(has_b, "query_id", "left")
-    total = lambda m: sum((F.coalesce(f"{m}{v}", F.lit(C.MISSING_SIMILARITY)) for v in views), F.lit(0.0))
-    fused = joined.withColumn("fusion_raw", F.when(F.col("has_b"), total("B")).otherwise(0.0) + weight * total("A"))
+    of = lambda m: F.when(F.col("model") == m, F.col("similarity"))
+    cells = [f(of(m)).alias(f"{n}_{m.lower()}") for m in "AB" for f, n in ((F.sum, "sum"), (F.count, "n"), (F.max, "best"))]
+    wide = sims.groupBy("query_id", "product_id").agg(*cells)
+    joined = candidates.select("query_id", "product_id").join(wide, ["query_id", "product_id"], "left")
+    joined = joined.withColumn("n_views", F.lit(len(views))) if isinstance(views, list) else joined.join(views.select("query_id", "n_views"), "query_id")
+    total = lambda m: F.coalesce(f"sum_{m}", F.lit(0.0)) + C.MISSING_SIMILARITY * (F.col("n_views") - F.coalesce(f"n_{m}", F.lit(0)))
+    has_b = F.max(F.coalesce("n_b", F.lit(0))).over(Window.partitionBy("query_id")) > 0
+    fused = joined.withColumn("fusion_raw", F.when(has_b, total("b")).otherwise(0.0) + weight * total("a"))
     order = Window.partitionBy("query_id").orderBy(F.desc("fusion_raw"), F.col("product_id").cast("string"))
     out = fused.withColumn("rank", F.row_number().over(order))
     return out.select("query_id", "product_id", "rank", F.round("fusion_raw", 4).alias("fusion"), F.round("best_a", 4).alias("best_a"), F.round("best_b", 4).alias("best_b"))
@@ -53,18 +56,16 @@ def answers(ranked: DataFrame, queries: DataFrame, found: float, gap: float, rej
     return joined.select("query_id", winner.alias("winner"), "status", "fusion", "margin", F.col("similarity").alias("confidence"), why.alias("reason"))
 
 
-def cascade(queries: DataFrame, refs_a: DataFrame, refs_b: DataFrame, k: int = C.TOP_K, pool: int = C.POOL, weight: float = C.SECOND_WEIGHT) -> DataFrame:
-    """``queries(query_id, view, model, vec)`` -> ranked candidates: A's averaged view finds the pool, both models score its views."""
+def cascade(queries: DataFrame, refs_a: DataFrame, refs_b: DataFrame, k: int = C.TOP_K, pool: int = C.POOL, weight: float = C.SECOND_WEIGHT, without: DataFrame | None = None) -> DataFrame:
+    """``queries(query_id, view, model, vec)`` -> ranked candidates: A's averaged view finds the pool, both models score all its views.
+
+    Products of ``without(query_id, product_id)`` are no candidates of that query.
+    """
     mean = average_views(queries.where("model = 'A'").select("query_id", "vec"), "query_id", "vec")
-    pool_rows = nearest_products(mean, refs_a, max(k, pool)).select("query_id", "product_id")
-    views = [r["view"] for r in queries.select("view").distinct().orderBy("view").limit(16).collect()]
-    sims = None
-    for model, refs in (("A", refs_a), ("B", refs_b)):
-        for view in views:
-            one = queries.where((F.col("model") == model) & (F.col("view") == view)).select("query_id", "vec")
-            part = max_similarity_by_product(one, refs, pool_rows).select("query_id", "product_id", F.lit(model).alias("model"), F.lit(view).alias("view"), "similarity")
-            sims = part if sims is None else sims.unionByName(part)
-    return fuse(pool_rows, sims, views, weight)
+    pool_rows = written(nearest_products(mean, refs_a, max(k, pool), without).select("query_id", "product_id"), "cascade-pool")
+    refs = refs_a.select("product_id", "vector_id", "vec", F.lit("A").alias("model")).unionByName(refs_b.select("product_id", "vector_id", "vec", F.lit("B").alias("model")))
+    sims = max_similarity_by_product(queries, refs, pool_rows, ["model"], ["view"])
+    return fuse(pool_rows, sims, queries.groupBy("query_id").agg(F.countDistinct("view").alias("n_views")), weight)
 
 
 def predict_top1(found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmatch import config as C
+from labelmatch.operators.decide import cascade, classify
 
 
 def hit_at_1(predictions: DataFrame, truth: DataFrame) -> DataFrame:
@@ -24,10 +25,14 @@ def demote_unknown(labels: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def at_index(df: DataFrame, group: list[str], value: str, index: Column, to: str) -> DataFrame:
-    """The value at a zero-based index of the sorted values of each group; ``index`` may use the count ``n``."""
-    w = Window.partitionBy(*group)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.where(F.col("i") == index).select(*group, F.col(value).alias(to))
+    """The value at a zero-based index of the sorted values of each group; ``index`` may use the count ``n``.
+
+    Equal values of a group are counted first, so that a group of any size is sorted as its distinct values.
+    """
+    each = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias(to)).count()
+    every = Window.partitionBy(*group)
+    ordered = each.withColumn("upto", F.sum("count").over(every.orderBy(to).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("count").over(every))
+    return ordered.where(F.col("upto") > index).groupBy(*group).agg(F.min(to).alias(to))
 
 
 def p95_index() -> Column:
@@ -39,7 +44,11 @@ def upper_median_index() -> Column:
 
 
 def recognition_report(rows: DataFrame) -> DataFrame:
-    """``rows(set, kind in|out, status, correct)`` -> a row for each set and one for ALL."""
+    """``rows(set, kind in|out, status, correct, latency_ms)`` -> a row for each set and one for ALL.
+
+    Of what is in the catalog: how many, right first answers, zones (``in_rejected`` are the wrong rejects), right ones among
+    the found; of what is not: zones. Latencies: the median, p95 by its index rule, and the largest.
+    """
     inside, out = F.col("kind") == "in", F.col("kind") == "out"
     status = lambda side, s: F.count_if(side & (F.col("status") == s))
     counts = rows.rollup("set").agg(
@@ -52,8 +61,12 @@ def recognition_report(rows: DataFrame) -> DataFrame:
         status(out, "found").alias("out_found"),
         status(out, "probable").alias("out_probable"),
         status(out, "not_in_catalog").alias("out_rejected"),
+        F.median("latency_ms").alias("median_ms"),
+        F.max("latency_ms").alias("max_ms"),
     )
-    return counts.withColumn("set", F.coalesce("set", F.lit("ALL")))
+    both = rows.select(F.explode(F.array("set", F.lit("ALL"))).alias("set"), "latency_ms")
+    p95 = at_index(both, ["set"], "latency_ms", p95_index(), "p95_ms")
+    return counts.withColumn("set", F.coalesce("set", F.lit("ALL"))).join(p95, "set", "left")
 
 
 def pooled_totals(packs: DataFrame) -> DataFrame:
@@ -76,8 +89,29 @@ def diff_runs(base: DataFrame, other: DataFrame) -> DataFrame:
     return both.select("query_id", change.alias("change"))
 
 
+def replay(queries: DataFrame, refs_a: DataFrame, refs_b: DataFrame, labels: DataFrame, found: float, gap: float, reject: float, pool: int = C.POOL, weight: float = C.SECOND_WEIGHT) -> DataFrame:
+    """``(query_id, kind, similarity, status, correct)``: the cascade's answers to labelled queries, once as they are and once without their own products.
+
+    ``labels(query_id, kind in|out, accepted)``, ``accepted`` holding the products that are right. Queries of kind in with a product are
+    ``positive``, and ``left_out`` with these products taken out of their pools; the others are ``negative``.
+    """
+    known = labels.where((F.col("kind") == "in") & (F.size("accepted") > 0)).select("query_id", "accepted")
+    own = known.select("query_id", F.explode("accepted").alias("product_id")).distinct()
+    kinds = labels.where("kind in ('in', 'out')").join(known.select("query_id", F.lit("positive").alias("positive")), "query_id", "left").select("query_id", F.coalesce("positive", F.lit("negative")).alias("kind"), "accepted")
+    out = None
+    for asked, without in ((queries.join(kinds, "query_id", "left_semi"), None), (queries.join(known, "query_id", "left_semi"), own)):
+        ranked = cascade(asked, refs_a, refs_b, pool=pool, weight=weight, without=without)
+        margin = F.round(F.col("fusion") - F.lead("fusion").over(Window.partitionBy("query_id").orderBy("rank")), 4)
+        first = ranked.withColumn("margin", margin).where("rank = 1").join(kinds, "query_id")
+        similarity = F.coalesce("best_b", "best_a")
+        kind = F.col("kind") if without is None else F.lit("left_out")
+        part = first.select("query_id", kind.alias("kind"), similarity.alias("similarity"), classify(similarity, F.col("margin"), found, gap, reject).alias("status"), F.coalesce(F.array_contains("accepted", F.col("product_id")), F.lit(False)).alias("correct"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def calibrate(scored: DataFrame, safety: float = C.SAFETY) -> DataFrame:
-    """``scored(kind positive|negative|left_out, similarity, status)`` -> zone counts and the bounds that follow.
+    """``scored(kind positive|negative|left_out, similarity, status)``, as of ``replay`` -> zone counts and the bounds that follow.
 
     Rejection stays below every positive, acceptance above every real negative, each by ``safety``.
     """
@@ -90,7 +124,12 @@ def calibrate(scored: DataFrame, safety: float = C.SAFETY) -> DataFrame:
 def batch_summary(answers: DataFrame) -> DataFrame:
     """``answers(status, error, latency_ms)``: counts by status, errors, and the upper median latency."""
     counts = answers.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("found", "probable", "not_in_catalog")], F.count("error").alias("errors"))
-    return counts.crossJoin(at_index(answers.withColumn("g", F.lit(1)), ["g"], "latency_ms", upper_median_index(), "median_ms").drop("g"))
+    return counts.crossJoin(value_at(answers, "latency_ms", upper_median_index(), "median_ms"))
+
+
+def value_at(df: DataFrame, value: str, index: Column, to: str) -> DataFrame:
+    """One row: the value at a zero-based index of all sorted values; what is sorted in one task are distinct values (milliseconds, levels, counts)."""
+    return at_index(df.select(F.lit(1).alias("_all"), value), ["_all"], value, index, to).agg(F.min(to).alias(to))
 
 
 def confusable_pairs(ranked: DataFrame, truth: DataFrame) -> DataFrame:

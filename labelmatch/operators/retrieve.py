@@ -7,11 +7,16 @@ shuffled is one row for each query, product and block at most.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from labelmatch.functions.vectors import in_blocks
+from labelmatch.functions.storage import written
+from labelmatch.functions.vectors import in_blocks, unit_rows
 
 _Q, _R = ("query_id", "query_id", "vec"), ("vector_id", "product_id", "vec")
 
@@ -29,38 +34,51 @@ def _best_in_block(q_ids, _, v_ids, products, sims):
     return q_ids[q], products[starts][p], v_ids[at[q, p]], 1 - best[q, p]
 
 
-def best_per_product(queries: DataFrame, refs: DataFrame) -> DataFrame:
-    """``(query_id, product_id, vector_id, distance)``: the nearest vector of each product."""
-    found = in_blocks(queries, refs, _best_in_block, "query_id long, product_id long, vector_id long, distance double", _Q, _R)
+_FOUND = "query_id long, product_id long, vector_id long, distance double"
+
+
+def _nearest_in_block(pool: int):
+    """The ``pool`` nearest vectors of each query, ties to the smaller vector id; a query's own vector is left out."""
+
+    def pick(q_ids, _, v_ids, products, sims):
+        sims = np.where(q_ids[:, None] == v_ids[None, :], -np.inf, sims)
+        order = np.lexsort((np.broadcast_to(v_ids, sims.shape), -sims), axis=1)[:, :pool]
+        q = np.repeat(np.arange(len(q_ids)), order.shape[1])
+        v = order.reshape(-1)
+        keep = sims[q, v] > -np.inf
+        q, v = q[keep], v[keep]
+        return q_ids[q], products[v], v_ids[v], 1 - sims[q, v]
+
+    return pick
+
+
+def _best(found: DataFrame) -> DataFrame:
     best = F.min(F.struct("distance", "vector_id")).alias("best")
     return found.groupBy("query_id", "product_id").agg(best).select("query_id", "product_id", "best.vector_id", "best.distance")
 
 
+def best_per_product(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """``(query_id, product_id, vector_id, distance)``: the nearest vector of each product."""
+    return _best(in_blocks(queries, refs, _best_in_block, _FOUND, _Q, _R))
+
+
 def top(df: DataFrame, k: int, *order) -> DataFrame:
     """The first ``k`` rows of each query, with their rank."""
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.where(F.col("rank") <= k)
 
 
-def nearest_products(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest products, each by its nearest vector; ties to the smaller product id."""
-    return top(best_per_product(queries, refs), k, "distance", "product_id")
+def nearest_products(queries: DataFrame, refs: DataFrame, k: int, without: DataFrame | None = None) -> DataFrame:
+    """The ``k`` nearest products, each by its nearest vector; ties to the smaller product id; those of ``without(query_id, product_id)`` are left out."""
+    best = best_per_product(queries, refs)
+    if without is not None:
+        best = best.join(without, ["query_id", "product_id"], "left_anti")
+    return top(best, k, "distance", "product_id")
 
 
 def nearest_vectors(queries: DataFrame, refs: DataFrame, pool: int) -> DataFrame:
     """The ``pool`` nearest vectors of each query, whatever their products."""
-
-    def pick(q_ids, _, v_ids, products, sims):
-        sims = np.where(q_ids[:, None] == v_ids[None, :], -np.inf, sims)
-        order = np.lexsort((np.broadcast_to(v_ids, sims.shape), -sims), axis=1)[:, :pool]
-        q = np.repeat(np.arange(len(q_ids)), order.shape[1])
-        v = order.reshape(-1)
-        keep = sims[q, v] > -np.inf
-        q, v = q[keep], v[keep]
-        return q_ids[q], products[v], v_ids[v], 1 - sims[q, v]
-
-    found = in_blocks(queries, refs, pick, "query_id long, product_id long, vector_id long, distance double", _Q, _R)
-    return top(found, pool, "distance", "vector_id")
+    return top(in_blocks(queries, refs, _nearest_in_block(pool), _FOUND, _Q, _R), pool, "distance", "vector_id")
 
 
 def _votes(pool: DataFrame) -> DataFrame:
@@ -80,21 +98,37 @@ def nearest_with_votes(queries: DataFrame, refs: DataFrame, k: int, pool: int, s
     """
     if scope is not None:
         refs = refs.join(scope.select("product_id").distinct(), "product_id", "left_semi")
-    votes = _votes(nearest_vectors(queries, refs, pool)).select("query_id", "product_id", "votes")
-    found = nearest_products(queries, refs, k).join(votes, ["query_id", "product_id"], "left")
-    return found.withColumn("votes", F.coalesce("votes", F.lit(1)))
 
+    def pick(q_ids, groups, v_ids, products, sims):
+        """Both in one pass: a vector that is the best of its product and among the nearest is there twice."""
+        near, best = _nearest_in_block(pool)(q_ids, groups, v_ids, products, sims), _best_in_block(q_ids, groups, v_ids, products, sims)
+        return [np.concatenate(x) for x in zip((*near, np.ones(len(near[0]), bool)), (*best, np.zeros(len(best[0]), bool)), strict=True)]
 
-def max_similarity_by_product(queries: DataFrame, refs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``(query_id, product_id, similarity)`` for the candidates ``(query_id, product_id)`` only.
+    found = written(in_blocks(queries, refs, pick, f"{_FOUND}, near boolean", _Q, _R), "votes")
+    votes = _votes(top(found.where("near"), pool, "distance", "vector_id")).select("query_id", "product_id", "votes")
+    ranked = top(_best(found), k, "distance", "product_id").join(votes, ["query_id", "product_id"], "left")
+    return ranked.withColumn("votes", F.coalesce("votes", F.lit(1)))
 
-    Each query meets the vectors of its candidates by an equality join, not those of other products.
-    """
-    from labelmatch.functions.vectors import cosine_distance
 
-    wanted = candidates.select("query_id", "product_id").distinct().join(queries.select("query_id", F.col("vec").alias("q_vec")), "query_id")
-    pairs = wanted.join(refs.select("product_id", "vector_id", "vec"), "product_id").where("query_id <> vector_id")
-    return pairs.groupBy("query_id", "product_id").agg((1 - F.min(cosine_distance(F.col("q_vec"), F.col("vec")))).alias("similarity"))
+def max_similarity_by_product(queries: DataFrame, refs: DataFrame, candidates: DataFrame, shared: list[str] | None = None, own: list[str] | None = None) -> DataFrame:
+    """``(query_id, product_id, *shared, *own, similarity)`` for the candidates ``(query_id, product_id)`` only.
+
+    Each query meets the vectors of its candidates by an equality join, not those of other products. ``shared`` columns
+    (a model) must be equal in ``queries`` and ``refs``; ``own`` ones (a view) are of the queries.
+    """
+    shared, own = shared or [], own or []
+    keys = ["query_id", "product_id", *shared, *own]
+    wanted = candidates.select("query_id", "product_id").distinct().join(queries.select("query_id", *shared, *own, F.col("vec").alias("q_vec")), "query_id")
+    pairs = wanted.join(refs.select("product_id", "vector_id", *shared, "vec"), ["product_id", *shared]).where("query_id <> vector_id").select(*keys, "q_vec", "vec")
+    kinds = [pairs.schema[k] for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (unit_rows(batch.column(batch.schema.get_field_index(c))) for c in ("q_vec", "vec"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array((a * b).sum(axis=1), pa.float64())], names=[*keys, "similarity"])
+
+    scored = pairs.mapInArrow(run, T.StructType([*kinds, T.StructField("similarity", T.DoubleType())]))
+    return scored.groupBy(*keys).agg(F.max("similarity").alias("similarity"))
 
 
 def vote_ratio(votes: str, pool: int):

@@ -141,7 +141,7 @@ def recognition_report(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("set"), F.col("label") % 3).alias("set"), F.when(F.col("label") >= 7, "out").otherwise("in").alias("kind"))
     first = nearest(spark, d, k=1).join(labels, "query_id").join(truth(spark, d), "query_id")
     status = decide.classify(1 - F.col("distance"), F.lit(None).cast("double"), 0.45, 0.1, 0.40)
-    return evaluate.recognition_report(first.select("set", "kind", status.alias("status"), (F.col("product_id") == F.col("expected")).alias("correct")))
+    return evaluate.recognition_report(first.select("set", "kind", status.alias("status"), (F.col("product_id") == F.col("expected")).alias("correct"), F.floor(F.col("distance") * 1000).alias("latency_ms")))
 
 
 def diff_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -153,11 +153,9 @@ def diff_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calibrate(spark: SparkSession, d: str) -> DataFrame:
-    rows = refs(spark, d)
-    best = retrieve.best_per_product(queries_of(rows), rows).withColumn("own", F.col("product_id") == F.col("query_id") % 100)
-    each = best.groupBy("query_id", "own").agg((1 - F.min("distance")).alias("similarity"))
-    status = decide.classify(F.col("similarity"), F.lit(None).cast("double"), 0.45, 0.1, 0.30)
-    return evaluate.calibrate(each.select(F.when(F.col("own"), "positive").otherwise("negative").alias("kind"), "similarity", status.alias("status")))
+    """The cascade replayed: labels below 7 stand for photos of catalog products, the others for photos of none."""
+    labels = table(spark, d, "embeddings").where("embedding is not null and vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.when(F.col("label") < 7, "in").otherwise("out").alias("kind"), F.array(F.col("vec_id") % 100).alias("accepted"))
+    return evaluate.calibrate(evaluate.replay(views(spark, d), refs(spark, d, "A"), refs(spark, d, "B"), labels, **ZONES))
 
 
 def confusable_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -198,20 +196,27 @@ _VIEWS = f"""halves AS (SELECT vec_id, 'A' AS model, {_UNIT.format(v="v[1:32]")}
   views AS (SELECT query_id, model, 1 AS vw, one AS v FROM mixed UNION ALL SELECT query_id, model, 2, {_UNIT.format(v="two")} FROM mixed)"""
 _MEAN = f"""means AS (SELECT a.query_id, list_transform(list_zip(a.v, b.v), lambda z: (z[1] + z[2]) / 2) AS m FROM views a JOIN views b USING (query_id, model) WHERE a.model = 'A' AND a.vw = 1 AND b.vw = 2),
   avgs AS (SELECT query_id, {_UNIT.format(v="m")} AS v FROM means)"""
-_CASCADE = f"""WITH {_E}, {_VIEWS}, {_MEAN},
-  cand_d AS (SELECT q.query_id, r.vec_id % 100 AS product_id, min(list_cosine_distance(q.v, r.v)) AS dist FROM avgs q JOIN halves r ON r.model = 'A' AND r.vec_id <> q.query_id GROUP BY ALL),
-  cand AS (SELECT * FROM cand_d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, product_id) <= {POOL}),
-  sims AS (SELECT c.query_id, c.product_id, w.model, w.vw, 1 - min(list_cosine_distance(w.v, r.v)) AS s FROM cand c JOIN views w USING (query_id)
+
+
+def _cascade(left_out: str = "false", end: str = "") -> str:
+    """The cascade over the views; products for which ``left_out`` holds are no candidates."""
+    return f"""
+  cand_d{end} AS (SELECT q.query_id, r.vec_id % 100 AS product_id, min(list_cosine_distance(q.v, r.v)) AS dist FROM avgs q JOIN halves r ON r.model = 'A' AND r.vec_id <> q.query_id AND NOT ({left_out}) GROUP BY ALL),
+  cand{end} AS (SELECT * FROM cand_d{end} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, product_id) <= {POOL}),
+  sims{end} AS (SELECT c.query_id, c.product_id, w.model, w.vw, 1 - min(list_cosine_distance(w.v, r.v)) AS s FROM cand{end} c JOIN views w USING (query_id)
     JOIN halves r ON r.model = w.model AND r.vec_id % 100 = c.product_id AND r.vec_id <> c.query_id GROUP BY ALL),
-  raw AS (SELECT c.query_id, c.product_id, coalesce(max(s) FILTER (model = 'B' AND vw = 1), -1) + coalesce(max(s) FILTER (model = 'B' AND vw = 2), -1)
+  raw{end} AS (SELECT c.query_id, c.product_id, coalesce(max(s) FILTER (model = 'B' AND vw = 1), -1) + coalesce(max(s) FILTER (model = 'B' AND vw = 2), -1)
       + 0.3 * (coalesce(max(s) FILTER (model = 'A' AND vw = 1), -1) + coalesce(max(s) FILTER (model = 'A' AND vw = 2), -1)) AS f,
-      max(s) FILTER (model = 'A') AS a, max(s) FILTER (model = 'B') AS b FROM cand c LEFT JOIN sims USING (query_id, product_id) GROUP BY ALL),
-  ranked AS (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, product_id::VARCHAR)::INT AS rank, round(f, 4) AS fusion, round(a, 4) AS best_a, round(b, 4) AS best_b FROM raw),
-  answered AS (SELECT *, round(fusion - lead(fusion) OVER (PARTITION BY query_id ORDER BY rank), 4) AS margin FROM ranked QUALIFY rank = 1),
-  judged AS (SELECT *, CASE WHEN best_b < {ZONES["reject"]} THEN 'not_in_catalog' WHEN best_b >= {ZONES["found"]} AND coalesce(margin >= {ZONES["gap"]}, true) THEN 'found' ELSE 'probable' END AS status FROM answered)"""
+      max(s) FILTER (model = 'A') AS a, max(s) FILTER (model = 'B') AS b FROM cand{end} c LEFT JOIN sims{end} USING (query_id, product_id) GROUP BY ALL),
+  ranked{end} AS (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, product_id::VARCHAR)::INT AS rank, round(f, 4) AS fusion, round(a, 4) AS best_a, round(b, 4) AS best_b FROM raw{end}),
+  answered{end} AS (SELECT *, round(fusion - lead(fusion) OVER (PARTITION BY query_id ORDER BY rank), 4) AS margin FROM ranked{end} QUALIFY rank = 1),
+  judged{end} AS (SELECT *, CASE WHEN best_b < {ZONES["reject"]} THEN 'not_in_catalog' WHEN best_b >= {ZONES["found"]} AND coalesce(margin >= {ZONES["gap"]}, true) THEN 'found' ELSE 'probable' END AS status FROM answered{end})"""
+
+
+_CASCADE = f"WITH {_E}, {_VIEWS}, {_MEAN}, {_cascade()}"
 _TRUTH = "truth AS (SELECT vec_id AS query_id, vec_id % 100 AS expected FROM e WHERE vec_id % 20 = 0)"
 _PAIRS = "pairs AS (SELECT a.vec_id AS p1, b.vec_id AS p2, 1 - list_cosine_distance(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id < b.vec_id)"
-_TWINS = f"{_E}, {_PAIRS}, top AS (SELECT * FROM pairs WHERE s >= {TWINS} ORDER BY s DESC, p1, p2 LIMIT {LIMIT})"
+_TWINS = f"{_E}, {_PAIRS}, top AS (SELECT * FROM pairs WHERE s >= {TWINS})"
 
 SQL = {
     "nearest_products": f"WITH {_E}, {_near('', K)} SELECT query_id, rk::INT AS rank, product_id, vector_id, round(dist, 6) AS distance FROM near",
@@ -229,7 +234,7 @@ SQL = {
     "cascade_answers": f"""{_CASCADE} SELECT query_id, CASE WHEN status <> 'not_in_catalog' THEN product_id END AS winner, status, fusion, margin, best_b AS confidence,
   CASE status WHEN 'not_in_catalog' THEN 'similarity below reject' WHEN 'found' THEN 'similarity and margin' ELSE CASE WHEN best_b < {ZONES["found"]} THEN 'similarity below found' ELSE 'margin too small' END END AS reason FROM judged""",
     "predict_top1": f"{_CASCADE} SELECT query_id, CASE WHEN status = 'not_in_catalog' THEN status ELSE 'found' END AS status, CASE WHEN status <> 'not_in_catalog' THEN product_id END AS winner FROM judged",
-    "twin_pairs": f"WITH {_TWINS} SELECT p1, p2, round(s, 6) AS similarity FROM top",
+    "twin_pairs": f"WITH {_TWINS} SELECT p1, p2, round(s, 6) AS similarity FROM top ORDER BY s DESC, p1, p2 LIMIT {LIMIT}",
     "twin_clusters": f"""WITH RECURSIVE {_TWINS}, edges AS (SELECT p1 AS u, p2 AS v FROM top UNION SELECT p2, p1 FROM top), reach AS (SELECT u, v FROM edges UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u),
   comp AS (SELECT u AS node, least(u, min(v)) AS c FROM reach GROUP BY u), known AS (SELECT node, c, p_name AS title, p_brand AS m FROM comp JOIN part ON p_partkey = node),
   makers AS (SELECT c, m, count(*) AS n FROM known GROUP BY ALL), maker AS (SELECT c, m FROM makers QUALIFY row_number() OVER (PARTITION BY c ORDER BY n DESC, m) = 1), best AS (SELECT c, max(s) AS s FROM top JOIN comp ON node = p1 GROUP BY c)
@@ -242,14 +247,14 @@ SQL = {
     "recall_at_pool": f"""WITH {_E}, {_near("A", POOL)}, {_TRUTH}, h AS (SELECT count(DISTINCT query_id) AS hits FROM near JOIN truth USING (query_id) WHERE product_id = expected), n AS (SELECT count(*) AS n FROM truth)
   SELECT n, hits, round(hits / greatest(n, 1), 4) AS recall FROM n, h""",
     "recognition_report": f"""WITH {_E}, {_near("", 1)}, {_TRUTH}, r AS (SELECT 'set' || (label % 3) AS s, CASE WHEN label >= 7 THEN 'out' ELSE 'in' END AS kind, product_id = expected AS ok,
-    CASE WHEN 1 - dist < 0.40 THEN 'not_in_catalog' WHEN 1 - dist >= 0.45 THEN 'found' ELSE 'probable' END AS status FROM near JOIN e ON vec_id = query_id JOIN truth USING (query_id))
-  SELECT coalesce(s, 'ALL') AS set, count(*) FILTER (kind = 'in') AS n_in, count(*) FILTER (kind = 'in' AND ok) AS top1, count(*) FILTER (kind = 'in' AND status = 'found') AS in_found, count(*) FILTER (kind = 'in' AND status = 'probable') AS in_probable,
+    CASE WHEN 1 - dist < 0.40 THEN 'not_in_catalog' WHEN 1 - dist >= 0.45 THEN 'found' ELSE 'probable' END AS status, floor(dist * 1000)::BIGINT AS ms FROM near JOIN e ON vec_id = query_id JOIN truth USING (query_id))
+  SELECT coalesce(s, 'ALL') AS set, median(ms)::DOUBLE AS median_ms, list_sort(list(ms))[greatest(0, floor(0.95 * count(*))::INT - 1) + 1] AS p95_ms, max(ms) AS max_ms, count(*) FILTER (kind = 'in') AS n_in, count(*) FILTER (kind = 'in' AND ok) AS top1, count(*) FILTER (kind = 'in' AND status = 'found') AS in_found, count(*) FILTER (kind = 'in' AND status = 'probable') AS in_probable,
     count(*) FILTER (kind = 'in' AND status = 'not_in_catalog') AS in_rejected, count(*) FILTER (kind = 'in' AND status = 'found' AND ok) AS found_correct, count(*) FILTER (kind = 'out' AND status = 'found') AS out_found,
     count(*) FILTER (kind = 'out' AND status = 'probable') AS out_probable, count(*) FILTER (kind = 'out' AND status = 'not_in_catalog') AS out_rejected FROM r GROUP BY ROLLUP (s)""",
     "diff_runs": f"""WITH {_E}, {_near("A", 1, "na")}, {_near("B", 1, "nb")}, a AS (SELECT query_id, product_id % 10 = query_id % 10 AS ok FROM na), b AS (SELECT query_id, product_id % 10 = query_id % 10 AS ok FROM nb)
   SELECT query_id, CASE WHEN NOT a.ok AND b.ok THEN 'fixed' WHEN a.ok AND NOT b.ok THEN 'broken' WHEN NOT a.ok AND NOT b.ok THEN 'still failing' ELSE 'same' END AS change FROM a JOIN b USING (query_id)""",
-    "calibrate": f"""WITH {_E}, {_near("", 1)}, s AS (SELECT query_id, CASE WHEN product_id = query_id % 100 THEN 'positive' ELSE 'negative' END AS kind, 1 - min(dist) AS s FROM near_d GROUP BY ALL),
-  t AS (SELECT *, CASE WHEN s < 0.30 THEN 'not_in_catalog' WHEN s >= 0.45 THEN 'found' ELSE 'probable' END AS status FROM s)
+    "calibrate": f"""WITH {_E}, {_VIEWS}, {_MEAN}, {_cascade()}, {_cascade("r.vec_id % 100 = q.query_id % 100", "_x")}, l AS (SELECT vec_id AS query_id, label < 7 AS inside FROM e),
+  t AS (SELECT CASE WHEN inside THEN 'positive' ELSE 'negative' END AS kind, best_b AS s, status FROM judged JOIN l USING (query_id) UNION ALL SELECT 'left_out', best_b, status FROM judged_x JOIN l USING (query_id) WHERE inside)
   SELECT {", ".join(f"count(*) FILTER (kind = '{k}' AND status = '{x}') AS {k}_{x}" for k in ("positive", "negative", "left_out") for x in ("found", "probable", "not_in_catalog"))},
     round(min(s) FILTER (kind = 'positive') - 0.02, 4) AS reject_at_most, round(max(s) FILTER (kind = 'negative') + 0.02, 4) AS found_at_least FROM t""",
     "confusable_pairs": f"""WITH {_E}, {_near("", 2)}, r AS (SELECT query_id, rk, product_id % 5 AS p, query_id % 5 AS x FROM near)
