@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmatch.config import RULES
+from labelmatch.functions.storage import written
+from labelmatch.operators.evaluate import upper_median_index, value_at
 from labelmatch.operators.requests import aroma_links, dish_food_tags
 
 MAX_REQUESTS, RARE, CLASSIC_SHARE, HEAD, FLOOR, SPREAD = 10_000, 8, 0.85, 120, 15.0, 25.0
@@ -25,15 +27,26 @@ def pairs(requests: DataFrame, products: DataFrame) -> DataFrame:
     return products.select(F.struct("*").alias("p")).crossJoin(F.broadcast(r) if small else r)
 
 
+def grape_counts(products: DataFrame) -> DataFrame:
+    """``(grape, n)``: in how many products each grape is named."""
+    return products.select(F.explode("grapes").alias("grape")).groupBy("grape").agg(F.count("*").alias("n"))
+
+
 def catalog_stats(products: DataFrame) -> DataFrame:
-    """One row: ``grape_counts`` (map), ``classic`` (the count at 85 % of the sorted counts), ``red_tannin`` (upper median of the red ones)."""
-    counts = products.select(F.explode("grapes").alias("grape")).groupBy("grape").count()
-    ordered = counts.withColumn("i", F.row_number().over(Window.orderBy("count", "grape")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    classic = ordered.agg(F.max(F.when(F.col("i") == F.floor(F.col("n") * CLASSIC_SHARE), F.col("count"))).alias("classic"), F.map_from_entries(F.collect_list(F.struct("grape", "count"))).alias("grape_counts"))
-    reds = products.where("category = 'Красное' and tannin is not null").groupBy("tannin").count()
-    upto = F.sum("count").over(Window.orderBy("tannin").rowsBetween(Window.unboundedPreceding, 0))
-    middle = reds.select("tannin", upto.alias("upto"), F.sum("count").over(Window.partitionBy()).alias("n")).where("upto > floor(n / 2)").agg(F.min("tannin").alias("red_tannin"))
-    return classic.crossJoin(middle)
+    """One row: ``classic`` (the count at 85 % of the grapes' sorted counts), ``red_tannin`` (upper median of the red ones), ``n_grapes``.
+
+    Both are read off counts of equal values, so nothing sorts all grapes or all products in one task.
+    """
+    counts = grape_counts(products)
+    reds = products.where("category = 'Красное' and tannin is not null")
+    classic = value_at(counts, "n", F.floor(F.col("n") * CLASSIC_SHARE), "classic")
+    return classic.crossJoin(value_at(reds, "tannin", upper_median_index(), "red_tannin")).crossJoin(counts.agg(F.count("*").alias("n_grapes")))
+
+
+def with_common(products: DataFrame) -> DataFrame:
+    """``products`` and ``common``: how often the most frequent of its grapes is named in the catalog; null without grapes."""
+    own = products.select("product_id", F.explode("grapes").alias("grape")).join(grape_counts(products), "grape").groupBy("product_id").agg(F.max("n").alias("common"))
+    return products.join(own, "product_id", "left")
 
 
 def drop_reason(r: Column, p: Column) -> Column:
@@ -68,45 +81,57 @@ def _has(tags: Column, *names: str) -> Column:
     return F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, names))), F.lit(False))
 
 
-def rules(r: Column, p: Column, red_tannin: Column, classic: Column, counts: Column) -> Column:
-    """``array<struct<rule, value, weight>>`` of the rules that say something about the pair; values in -1 to 1."""
+def prepared(requests: DataFrame) -> DataFrame:
+    """``requests`` and what the rules need of a request alone, worked out once for each and not for each pair."""
+    r = {c: F.col(c) for c in requests.columns}
     a, tags = r["axes"], F.coalesce(r["tags"], F.array().cast("array<string>"))
-    dish = a.isNotNull()
+    complement, other = aroma_links(tags)
+    return requests.withColumns({
+        "dish": a.isNotNull(),
+        "slack": F.when(_has(tags, "десерт", "фрукты", "шоколад"), 0.0).otherwise(0.6),
+        "contrast": F.coalesce(_has(tags, "сыр с плесенью", "печень") | (a["heat"] >= 2.5), F.lit(False)),
+        "apart": ~F.coalesce(r["course"].isin("аперитив", "десерт"), F.lit(False)),
+        "hot": F.greatest(a["heat"] / 4, F.greatest(F.lit(0.0), a["salt"] - 1.5) / 2.5),
+        "binds": (a["fat"] >= 2.5) | (_has(tags, "красное мясо", "сыр") & (a["fat"] >= 2)),
+        "complement": complement,
+        "other": other,
+        "foods": dish_food_tags(tags),
+        "applicable": applicable_weight(r),
+    })
+
+
+def rules(r: Column, p: Column, red_tannin: Column, classic: Column) -> list[tuple[str, Column]]:
+    """The rules' values, -1 to 1, null where a rule says nothing about the pair; ``r`` is of ``prepared`` requests, ``p`` of products ``with_common``."""
+    a, dish = r["axes"], r["dish"]
     body, acid, sugar, known = p["body"], p["acidity"], p["sweetness"], p["tannin"]
     out: list[tuple[str, Column]] = [("weight", F.when(dish & body.isNotNull(), 1 - 2 * F.abs(a["intensity"] - body) / 3))]
     out.append(("fat_acid", F.when((a["fat"] >= 2) & acid.isNotNull(), a["fat"] / 4 * (acid - 2) / 1.5)))
-    ds, slack = F.least(F.lit(3.0), a["sweet"]), F.when(_has(tags, "десерт", "фрукты", "шоколад"), 0.0).otherwise(0.6)
-    contrast = _has(tags, "сыр с плесенью", "печень") | (a["heat"] >= 2.5)
-    apart = ~F.coalesce(r["course"].isin("аперитив", "десерт"), F.lit(False))
+    ds, slack = F.least(F.lit(3.0), a["sweet"]), r["slack"]
     sweet = (
         F.when(sugar.isNull(), F.when(ds >= 1, -0.3))
         .when(ds - sugar > slack, -F.least(F.lit(1.0), (ds - sugar - slack) / 1.5))
         .when(ds >= 1, F.when(sugar - ds <= 1, 0.5).otherwise(0.2))
-        .when(contrast & sugar.isin(1, 2), 0.6)
-        .when((sugar >= 2) & (ds < 1) & apart, -0.2 * sugar)
+        .when(r["contrast"] & sugar.isin(1, 2), 0.6)
+        .when((sugar >= 2) & (ds < 1) & r["apart"], -0.2 * sugar)
         .when((sugar <= 1) & (ds < 1), F.when(sugar == 0, 0.4).otherwise(0.2))
     )
     out.append(("sweet", F.when(dish, sweet)))
     t = F.coalesce(known, F.when(p["category"] == "Красное", red_tannin))
-    hot = F.greatest(a["heat"] / 4, F.greatest(F.lit(0.0), a["salt"] - 1.5) / 2.5)
-    bitter = F.when((t >= 2) & (hot > 0.2), -F.least(F.lit(1.0), (t - 1) / 2.5 * hot * 1.6)).otherwise(0.0)
-    binds = (a["fat"] >= 2.5) | (_has(tags, "красное мясо", "сыр") & (a["fat"] >= 2))
-    smooth = F.when((t >= 2) & binds, 0.6 * F.least(F.lit(1.0), t / 3.5) * F.least(F.lit(1.0), a["fat"] / 3)).otherwise(0.0)
+    bitter = F.when((t >= 2) & (r["hot"] > 0.2), -F.least(F.lit(1.0), (t - 1) / 2.5 * r["hot"] * 1.6)).otherwise(0.0)
+    smooth = F.when((t >= 2) & r["binds"], 0.6 * F.least(F.lit(1.0), t / 3.5) * F.least(F.lit(1.0), a["fat"] / 3)).otherwise(0.0)
     value = (bitter + smooth) * F.when(known.isNull(), 0.5).otherwise(1.0)
     out.append(("tannin", F.when(dish & t.isNotNull() & (value != 0), value)))
     out.append(("region", F.when(dish & (r["region"] == p["region"]), 1.0)))
-    complement, other = aroma_links(tags)
     overlap = lambda x, y: F.coalesce(F.arrays_overlap(x, y), F.lit(False))
-    out.append(("aroma", F.when(dish & overlap(complement, p["aroma"]), 0.8)))
-    out.append(("aroma", F.when(dish & overlap(other, p["aroma"]), 0.6)))
-    out.append(("aroma", F.when(dish & overlap(dish_food_tags(tags), p["food"]), 1.0)))
+    out.append(("aroma", F.when(dish & overlap(r["complement"], p["aroma"]), 0.8)))
+    out.append(("aroma", F.when(dish & overlap(r["other"], p["aroma"]), 0.6)))
+    out.append(("aroma", F.when(dish & overlap(r["foods"], p["food"]), 1.0)))
     oc, fizz = r["occasion"], p["sparkling"]
-    common = F.array_max(F.transform(p["grapes"], lambda g: counts[g]))
     occasion = (
         F.when((oc == "celebration") & fizz, 0.7)
         .when((oc == "aperitif") & (fizz | ((p["category"] == "Белое") & (body < 2))), 0.7)
         .when((oc == "aperitif") & (body > 3), -0.5)
-        .when((oc == "business") & (common >= classic), 0.5)
+        .when((oc == "business") & (p["common"] >= classic), 0.5)
         .when(oc.isin("date", "gift") & fizz, 0.3)
     )
     out.append(("occasion", occasion))
@@ -119,11 +144,10 @@ def rules(r: Column, p: Column, red_tannin: Column, classic: Column, counts: Col
         F.when(r["sweet_ok"].isNotNull() & sugar.isNull(), -0.3),
     ]
     out.append(("prefs", F.when(F.coalesce(*wishes).isNotNull(), sum((F.coalesce(w, F.lit(0.0)) for w in wishes), F.lit(0.0)))))
-    each = [F.when(v.isNotNull(), F.struct(F.lit(name).alias("rule"), _clamp(v).alias("value"), F.lit(RULES[name]).alias("weight"))) for name, v in out]
-    return F.array_compact(F.array(*each))
+    return [(name, F.when(v.isNotNull(), _clamp(v))) for name, v in out]
 
 
-def applicable_weight(r: Column) -> Column:
+def applicable_weight(r: dict[str, Column] | Column) -> Column:
     """The weights of the rules that a request can call on."""
     a, w = r["axes"], RULES
     part = lambda cond, name: F.when(F.coalesce(cond, F.lit(False)), w[name]).otherwise(0.0)
@@ -141,20 +165,26 @@ def applicable_weight(r: Column) -> Column:
     )
 
 
-def final_score(contributions: Column, applicable: Column) -> Column:
+def final_score(total: Column, applicable: Column) -> Column:
     """0 to 100: 50 and half the weighted share of the applicable weight, 3 at least."""
-    total = F.aggregate(contributions, F.lit(0.0), lambda s, c: s + c["value"] * c["weight"])
-    value = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + 50 * total / F.greatest(applicable, F.lit(3.0))))
-    return half_up(value, 1)
+    return half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + 50 * total / F.greatest(applicable, F.lit(3.0)))), 1)
 
 
 def score(requests: DataFrame, products: DataFrame, keep_dropped: bool = False) -> DataFrame:
-    """``(r, p, contributions, score)`` of the pairs that pass the hard filter."""
-    stats = F.broadcast(catalog_stats(products))  # one row
-    met = hard_filter(requests, products)
+    """``(r, p, total, n_rules, contributions, score)`` of the pairs that pass the hard filter.
+
+    The score is a sum of columns; ``contributions``, an array of ``(rule, value, weight)``, is only built where it is asked for.
+    """
+    stats = F.broadcast(catalog_stats(products).select("red_tannin", "classic"))  # one row
+    met = hard_filter(prepared(requests), with_common(products))
     met = (met if keep_dropped else met.where("reason is null")).crossJoin(stats)
-    said = met.withColumn("contributions", rules(F.col("r"), F.col("p"), F.col("red_tannin"), F.col("classic"), F.col("grape_counts")))
-    return said.withColumn("score", final_score(F.col("contributions"), applicable_weight(F.col("r"))))
+    values = rules(F.col("r"), F.col("p"), F.col("red_tannin"), F.col("classic"))
+    said = met.select("r", "p", *[v.alias(f"v{i}") for i, (_, v) in enumerate(values)])
+    total = sum((F.coalesce(F.col(f"v{i}") * RULES[name], F.lit(0.0)) for i, (name, _) in enumerate(values)), F.lit(0.0))
+    count = sum((F.col(f"v{i}").isNotNull().cast("long") for i in range(len(values))), F.lit(0).cast("long"))
+    each = [F.when(F.col(f"v{i}").isNotNull(), F.struct(F.lit(name).alias("rule"), F.col(f"v{i}").alias("value"), F.lit(RULES[name]).alias("weight"))) for i, (name, _) in enumerate(values)]
+    summed = said.select("r", "p", total.alias("total"), count.alias("n_rules"), F.array_compact(F.array(*each)).alias("contributions"))
+    return summed.withColumn("score", final_score(F.col("total"), F.col("r.applicable")))
 
 
 def style_similarity(a: Column, b: Column) -> Column:
@@ -174,6 +204,7 @@ def recommend(scored: DataFrame, k: int = 3) -> DataFrame:
     by_score = Window.partitionBy("request_id").orderBy(F.desc("score"), "p.ord")
     single = rows.withColumn("n", F.row_number().over(by_name)).where("n = 1").withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= HEAD)
     left = single.withColumn("best", F.max("score").over(Window.partitionBy("request_id"))).where(F.col("score") >= F.col("best") - FLOOR).withColumn("near", F.lit(0.0))
+    left = written(left, "recommend-head")  # at most HEAD rows a request
     picked = None
     for rank in range(1, k + 1):
         order = Window.partitionBy("request_id").orderBy(F.desc(F.col("score") - SPREAD * F.col("near")), "n")
@@ -186,16 +217,20 @@ def recommend(scored: DataFrame, k: int = 3) -> DataFrame:
     return picked
 
 
-def assign_role(rank: Column, grapes: Column, counts: Column, classic: Column) -> Column:
-    common = F.array_max(F.transform(grapes, lambda g: counts[g]))
+def assign_role(rank: Column, common: Column, classic: Column) -> Column:
+    """By how often the most frequent of a product's grapes is named in the catalog (``with_common``), and the count ``classic`` of ``catalog_stats``."""
     return F.when(rank == 1, "best match").when(common <= RARE, "rare").when(common >= classic, "classic").otherwise("other")
 
 
+def share_below() -> Column:
+    """The share of the catalog that scores lower for the same request."""
+    every = Window.partitionBy("r.request_id")
+    return half_up((F.rank().over(every.orderBy("score")) - 1) / F.count("*").over(every), 2)
+
+
 def dish_rank(scored: DataFrame) -> DataFrame:
     """The share of the catalog that scores lower for the same request, and the best score."""
-    rank = F.rank().over(Window.partitionBy("r.request_id").orderBy("score"))
-    every = Window.partitionBy("r.request_id")
-    return scored.select(F.col("r.request_id").alias("request_id"), F.col("p.product_id").alias("product_id"), "score", half_up((rank - 1) / F.count("*").over(every), 2).alias("share"), F.max("score").over(every).alias("best"))
+    return scored.select(F.col("r.request_id").alias("request_id"), F.col("p.product_id").alias("product_id"), "score", share_below().alias("share"), F.max("score").over(Window.partitionBy("r.request_id")).alias("best"))
 
 
 def best_dishes(scored: DataFrame, k: int = 4, without: DataFrame | None = None) -> DataFrame:
@@ -268,6 +303,35 @@ def group_profile(products: DataFrame, group: str, names: str = "aroma", top: in
     return ranked.select(group, "n", "body", "acidity", "tannin", "rank", "name", "c", "share", "lift")
 
 
+def _top_names(each: DataFrame, group: str, k: int, to: str, *order: Column) -> DataFrame:
+    """``(group, to)``: the first ``k`` values of ``name`` of each group in this order, ties by name."""
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order, "name"))).where(F.col("rank") <= k)
+    return ranked.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda s: s["name"]).alias(to))
+
+
+def group_summary(products: DataFrame, group: str, aroma: str = "aroma", food: str = "food", description: str = "description") -> DataFrame:
+    """One row for each group: size, means of the known scales with how many know them, shares of traits, its four most frequent aromas, the three of
+    largest lift above 1.25 (named in three products and 15 % of the group at least), three regions, three foods, and the names of three longest descriptions.
+    """
+    share = lambda cond, to: half_up(F.count_if(cond) / F.count("*"), 2).alias(to)
+    scales = [x for name in ("body", "acidity", "tannin") for x in (half_up(F.avg(name), 2).alias(name), F.count(name).alias(f"n_{name}"))]
+    shares = [share(F.col("tannin").isNotNull(), "tannin_mention"), share(F.col("sweetness") >= 2, "sweet_share"), share(F.col("sweetness") == 0, "dry_share"), share(F.col("oak"), "oak_share"), share(F.col("sparkling"), "sparkling_share")]
+    sizes = products.groupBy(group).agg(F.count("*").alias("n"), *scales, *shares)
+    counted = lambda c: products.select(group, c.alias("name")).where("name is not null").groupBy(group, "name").agg(F.count("*").alias("c"))
+    scents = counted(F.explode(aroma))
+    every = scents.groupBy("name").agg(F.sum("c").alias("c_all"))
+    total = products.agg(F.count("*").alias("n_all"))
+    lifted = scents.join(every, "name").join(sizes.select(group, "n"), group).crossJoin(F.broadcast(total)).withColumn("lift", F.round(F.col("c") / F.col("n") / (F.col("c_all") / F.col("n_all")), 9))  # one row
+    distinct = lifted.where((F.col("c") >= F.greatest(F.lit(3.0), 0.15 * F.col("n"))) & (F.col("lift") > 1.25))
+    longest = products.select(group, F.col("name"), F.length(description).alias("size"), F.col("product_id"))
+    longest = longest.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("size"), "name", "product_id"))).where("rank <= 3")
+    examples = longest.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda s: s["name"]).alias("examples"))
+    parts = [_top_names(scents, group, 4, "top_aroma", F.desc("c")), _top_names(distinct, group, 3, "distinct_aroma", F.desc("lift")), _top_names(counted(F.col("region")), group, 3, "regions", F.desc("c")), _top_names(counted(F.explode(food)), group, 3, "foods", F.desc("c")), examples]
+    for part in parts:
+        sizes = sizes.join(part, group, "left")
+    return sizes
+
+
 def compare_groups(products: DataFrame, group: str, a: str, b: str, names: str = "aroma", least: float = 0.10, top: int = 4) -> DataFrame:
     """The ``top`` names whose shares in two groups differ by ``least`` or more."""
     sizes = products.groupBy(group).agg(F.count("*").alias("n"))

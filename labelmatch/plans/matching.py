@@ -41,7 +41,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog_stats(spark: SparkSession, d: str) -> DataFrame:
-    return M.catalog_stats(products(spark, d)).select("classic", "red_tannin", F.size("grape_counts").cast("long").alias("n_grapes"))
+    return M.catalog_stats(products(spark, d)).select("classic", "red_tannin", "n_grapes")
 
 
 def hard_filter_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -50,8 +50,7 @@ def hard_filter_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_rules(spark: SparkSession, d: str) -> DataFrame:
-    each = scored(spark, d).select(F.col("r.request_id").alias("request_id"), F.col("p.product_id").alias("product_id"), "score", F.size("contributions").cast("long").alias("n_rules"), F.aggregate("contributions", F.lit(0.0), lambda s, c: s + c["value"] * c["weight"]).alias("total"))
-    return each.select("request_id", "product_id", "score", "n_rules", F.round("total", 6).alias("total"))
+    return scored(spark, d).select(F.col("r.request_id").alias("request_id"), F.col("p.product_id").alias("product_id"), "score", "n_rules", F.round("total", 6).alias("total"))
 
 
 def recommend_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -81,15 +80,26 @@ def group_profile(spark: SparkSession, d: str) -> DataFrame:
     return M.group_profile(products(spark, d), "winery", "grapes")
 
 
+def group_summary(spark: SparkSession, d: str) -> DataFrame:
+    lists = ["top_aroma", "distinct_aroma", "regions", "foods", "examples"]
+    out = M.group_summary(products(spark, d).withColumn("aroma", F.concat("aroma", F.slice("grapes", 1, 1))), "winery", description="name")
+    return out.select(*[F.array_join(c, ",").alias(c) if c in lists else c for c in out.columns])
+
+
 def compare_groups(spark: SparkSession, d: str) -> DataFrame:
     return M.compare_groups(products(spark, d), "category", "Красное", "Белое", "grapes", 0.001, 8)
 
 
 def explain_pick(spark: SparkSession, d: str) -> DataFrame:
     pros, cons = M.explain_pick(F.col("contributions"))
-    every = M.dish_rank(scored(spark, d)).select("request_id", "product_id", "share")
-    said = scored(spark, d).select(F.col("r.request_id").alias("request_id"), F.col("p.product_id").alias("product_id"), F.array_join(pros, ",").alias("pros"), F.array_join(cons, ",").alias("cons"), "contributions")
-    return said.join(every, ["request_id", "product_id"]).select("request_id", "product_id", "pros", "cons", M.pairing_verdict(F.col("share"), F.col("contributions")).alias("verdict"))
+    ranked = scored(spark, d).withColumn("share", M.share_below())
+    return ranked.select(F.col("r.request_id").alias("request_id"), F.col("p.product_id").alias("product_id"), F.array_join(pros, ",").alias("pros"), F.array_join(cons, ",").alias("cons"), M.pairing_verdict(F.col("share"), F.col("contributions")).alias("verdict"))
+
+
+def assign_role(spark: SparkSession, d: str) -> DataFrame:
+    picks = M.recommend(scored(spark, d)).select("request_id", "rank", "product_id")
+    known = M.with_common(products(spark, d)).select("product_id", "common").crossJoin(F.broadcast(M.catalog_stats(products(spark, d))))
+    return picks.join(known, "product_id").select("request_id", "rank", "product_id", M.assign_role(F.col("rank"), F.col("common"), F.col("classic")).alias("role"))
 
 
 def traits(spark: SparkSession, d: str) -> DataFrame:
@@ -142,6 +152,26 @@ _LIKE = """CASE WHEN len(list_intersect(a.grapes, b.grapes)) > 0 THEN 0.35 ELSE
     + CASE WHEN a.tannin IS NOT NULL AND b.tannin IS NOT NULL THEN 0.1 * greatest(0.0, 1 - abs(a.tannin - b.tannin) / 2) ELSE 0 END + CASE WHEN a.acidity IS NOT NULL AND b.acidity IS NOT NULL THEN 0.05 * greatest(0.0, 1 - abs(a.acidity - b.acidity) / 2) ELSE 0 END
     + CASE WHEN a.aroma = b.aroma THEN 0.2 ELSE 0 END + CASE WHEN a.sweetness = b.sweetness THEN 0.05 ELSE 0 END + CASE WHEN a.region = b.region THEN 0.1 ELSE 0 END + CASE WHEN a.oak AND b.oak THEN 0.05 ELSE 0 END"""
 
+
+def _strongest(keep: str, n: int) -> str:
+    return f"array_to_string(list_transform(list_sort(list_transform(list_filter(cs, lambda c: {keep}), lambda c: {{'k': -abs(c.v * c.w), 'i': c.i, 'r': c.rule}}))[1:{n}], lambda c: c.r), ',')"
+
+
+_NEAR = """CASE WHEN len(list_intersect(a.grapes, b.grapes)) > 0 THEN 0.4 ELSE 0.0 END + CASE WHEN a.category = b.category AND a.fizz = b.fizz THEN 0.3 ELSE 0.0 END + CASE WHEN a.p_region = b.p_region THEN 0.15 ELSE 0.0 END
+    + CASE WHEN a.winery = b.winery THEN 0.15 ELSE 0.0 END"""
+
+
+def _pick(rank: int, before: str, near: str) -> str:
+    """The pick of this rank, and what is left with its likeness to the picks so far."""
+    return f"""pick{rank} AS (SELECT * FROM {before} QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score - {M.SPREAD} * {near} DESC, n) = 1),
+  left{rank} AS (SELECT a.*, greatest(a.near{rank - 1}, ({_NEAR})::DOUBLE) AS near{rank} FROM {before} a JOIN pick{rank} b USING (request_id) WHERE a.n <> b.n)"""
+
+
+_PICKS = f"""{_SCORED}, one AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY request_id, name ORDER BY score DESC, product_id) = 1),
+  head AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, product_id) AS n, max(score) OVER (PARTITION BY request_id) AS best FROM one QUALIFY n <= {M.HEAD}),
+  left0 AS (SELECT *, 0.0::DOUBLE AS near0 FROM head WHERE score >= best - {M.FLOOR}), {_pick(1, "left0", "near0")}, {_pick(2, "left1", "near1")}, {_pick(3, "left2", "near2")},
+  picks AS (SELECT request_id, 1 AS rank, product_id, score, common, classic FROM pick1 UNION ALL SELECT request_id, 2, product_id, score, common, classic FROM pick2 UNION ALL SELECT request_id, 3, product_id, score, common, classic FROM pick3)"""
+
 SQL = {
     "catalog_stats": f"WITH {_P}, {_STATS} SELECT classic, red_tannin, n_grapes FROM st",
     "hard_filter_reasons": f"WITH {_P}, {_R} SELECT request_id, coalesce({_REASON}, 'kept') AS reason, count(*) AS n FROM r, p GROUP BY ALL",
@@ -161,11 +191,25 @@ SQL = {
     "group_profile": f"""WITH {_P}, s AS (SELECT winery, count(*) AS n, round(avg(body)::DECIMAL(18, 9), 2)::DOUBLE AS body, round(avg(acidity)::DECIMAL(18, 9), 2)::DOUBLE AS acidity, round(avg(tannin)::DECIMAL(18, 9), 2)::DOUBLE AS tannin FROM p GROUP BY winery), x AS (SELECT winery, unnest(grapes) AS name FROM p), ca AS (SELECT name, count(*) AS c_all FROM x GROUP BY name),
   c AS (SELECT winery, name, count(*) AS c FROM x GROUP BY ALL), t AS (SELECT count(*) AS n_all FROM p)
   SELECT winery, n, body, acidity, tannin, row_number() OVER (PARTITION BY winery ORDER BY c DESC, name)::INT AS rank, name, c, round(c / n, 4) AS share, CASE WHEN c >= greatest(3.0, 0.15 * n) THEN round((c / n) / (c_all / n_all), 4) END AS lift FROM c JOIN ca USING (name) JOIN s USING (winery), t QUALIFY rank <= 4""",
+    "group_summary": f"""WITH {_P}, q AS (SELECT *, [aroma, grapes[1]] AS scents FROM p), t AS (SELECT count(*) AS n_all FROM p), z AS (SELECT winery, count(*) AS n, {", ".join(f"round(avg({x})::DECIMAL(18, 9), 2)::DOUBLE AS {x}, count({x}) AS n_{x}" for x in ("body", "acidity", "tannin"))},
+    {", ".join(f"round((count(*) FILTER ({c}) / count(*))::DECIMAL(18, 9), 2)::DOUBLE AS {to}" for c, to in (("tannin IS NOT NULL", "tannin_mention"), ("sweetness >= 2", "sweet_share"), ("sweetness = 0", "dry_share"), ("oak", "oak_share"), ("sparkling", "sparkling_share")))} FROM p GROUP BY winery),
+  x AS (SELECT winery, unnest(scents) AS name FROM q), c AS (SELECT winery, name, count(*) AS c FROM x GROUP BY ALL), ca AS (SELECT name, sum(c) AS c_all FROM c GROUP BY name), l AS (SELECT winery, name, c, n, round(c / n / (c_all / n_all), 9) AS lift FROM c JOIN ca USING (name) JOIN z USING (winery), t),
+  a1 AS (SELECT winery, string_agg(name, ',' ORDER BY rk) AS top_aroma FROM (SELECT *, row_number() OVER (PARTITION BY winery ORDER BY c DESC, name) AS rk FROM c QUALIFY rk <= 4) GROUP BY winery),
+  a2 AS (SELECT winery, string_agg(name, ',' ORDER BY rk) AS distinct_aroma FROM (SELECT *, row_number() OVER (PARTITION BY winery ORDER BY lift DESC, name) AS rk FROM l WHERE c >= greatest(3.0, 0.15 * n) AND lift > 1.25 QUALIFY rk <= 3) GROUP BY winery),
+  a3 AS (SELECT winery, string_agg(region, ',' ORDER BY rk) AS regions FROM (SELECT winery, region, row_number() OVER (PARTITION BY winery ORDER BY count(*) DESC, region) AS rk FROM p GROUP BY winery, region QUALIFY rk <= 3) GROUP BY winery),
+  a4 AS (SELECT winery, CASE WHEN bool_or(fishy) THEN 'рыба' END AS foods FROM p GROUP BY winery),
+  a5 AS (SELECT winery, string_agg(name, ',' ORDER BY rk) AS examples FROM (SELECT winery, name, row_number() OVER (PARTITION BY winery ORDER BY length(name) DESC, name, product_id) AS rk FROM p QUALIFY rk <= 3) GROUP BY winery)
+  SELECT * FROM z LEFT JOIN a1 USING (winery) LEFT JOIN a2 USING (winery) LEFT JOIN a3 USING (winery) LEFT JOIN a4 USING (winery) LEFT JOIN a5 USING (winery)""",
     "compare_groups": f"""WITH {_P}, s AS (SELECT category, count(*) AS n FROM p GROUP BY ALL), x AS (SELECT category, unnest(grapes) AS name FROM p), c AS (SELECT category, name, count(*) / any_value(n) AS share FROM x JOIN s USING (category) GROUP BY ALL),
   b AS (SELECT coalesce(a.name, b.name) AS name, coalesce(a.share, 0.0)::DOUBLE AS share_a, coalesce(b.share, 0.0)::DOUBLE AS share_b FROM (SELECT * FROM c WHERE category = 'Красное') a FULL JOIN (SELECT * FROM c WHERE category = 'Белое') b ON a.name = b.name)
   SELECT name, share_a, share_b, round(share_a - share_b, 4) AS difference FROM b WHERE abs(round(share_a - share_b, 4)) >= 0.001 ORDER BY abs(difference) DESC, name LIMIT 8""",
+    "explain_pick": f"""{_SCORED}, b AS (SELECT *, round(((rank() OVER (PARTITION BY request_id ORDER BY score) - 1) / count(*) OVER (PARTITION BY request_id))::DECIMAL(18, 9), 2)::DOUBLE AS share FROM sc)
+  SELECT request_id, product_id, {_strongest("c.v > 0.15", 3)} AS pros, {_strongest("c.v < -0.15", 2)} AS cons,
+    CASE WHEN len(list_filter(cs, lambda c: c.rule = 'sweet' AND c.v <= -0.6)) > 0 THEN 'poor' WHEN share >= 0.9 THEN 'great' WHEN share >= 0.7 THEN 'good' WHEN share >= 0.4 THEN 'ok' ELSE 'poor' END AS verdict FROM b""",
+    "recommend_topk": f"{_PICKS} SELECT request_id, rank, product_id, score FROM picks",
+    "assign_role": f"{_PICKS} SELECT request_id, rank, product_id, CASE WHEN rank = 1 THEN 'best match' WHEN common <= {M.RARE} THEN 'rare' WHEN common >= classic THEN 'classic' ELSE 'other' END AS role FROM picks",
     "traits": f"""WITH {_R} SELECT request_id, CASE WHEN dish THEN concat_ws(',', CASE WHEN intensity <= 0.8 THEN 'very light' WHEN intensity <= 1.7 THEN 'light' WHEN intensity <= 2.5 THEN 'medium' WHEN intensity <= 3.3 THEN 'rich' ELSE 'very rich' END, CASE WHEN fat >= 2.5 THEN 'fat' END,
     CASE WHEN acid >= 2 THEN 'acid' END, CASE WHEN sweet >= 1.5 THEN 'sweet' END, CASE WHEN salt >= 3 THEN 'salty' END, CASE WHEN heat >= 2.5 THEN 'hot' WHEN heat >= 1.2 THEN 'peppery' END) END AS traits FROM r""",
 }
 
-QUERIES = {f.__name__: f for f in (catalog_stats, hard_filter_reasons, score_rules, recommend_topk, dish_rank, best_dishes, alternatives, type_fit, group_profile, compare_groups, explain_pick, traits)}
+QUERIES = {f.__name__: f for f in (catalog_stats, hard_filter_reasons, score_rules, recommend_topk, dish_rank, best_dishes, alternatives, type_fit, group_profile, group_summary, compare_groups, explain_pick, assign_role, traits)}

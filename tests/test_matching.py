@@ -47,6 +47,7 @@ def test_alternatives_keep_their_limits(spark):
 
 
 def test_roles(spark):
-    row = spark.range(1).select(F.create_map(F.lit("a"), F.lit(100), F.lit("b"), F.lit(3)).alias("c"))
-    role = lambda rank, g: M.assign_role(F.lit(rank), F.array(F.lit(g)), F.col("c"), F.lit(50))
-    assert list(row.select(role(1, "a"), role(2, "b"), role(2, "a")).first()) == ["best match", "rare", "classic"]
+    role = lambda rank, n: M.assign_role(F.lit(rank), F.lit(n), F.lit(50))
+    assert list(spark.range(1).select(role(1, 100), role(2, 3), role(2, 100), role(2, 20)).first()) == ["best match", "rare", "classic", "other"]
+    products = spark.createDataFrame([(i, ["a"] if i else ["a", "b"]) for i in range(5)] + [(9, [])], "product_id long, grapes array<string>")
+    assert {r.product_id: r.common for r in M.with_common(products).collect()} == {**{i: 5 for i in range(5)}, 9: None}
