@@ -28,9 +28,15 @@ def search_catalog(products: DataFrame, terms: DataFrame, columns: list[str], li
 
 
 def by_id(products: DataFrame, product_id: object) -> DataFrame:
+    """The product of an id; no row where it is unknown."""
     return products.where(F.col("product_id") == product_id)
 
 
+def by_slug(products: DataFrame, slug: str) -> DataFrame:
+    """The product of a slug; no row where it is unknown."""
+    return products.where(F.col("slug") == slug)
+
+
 def by_slugs(products: DataFrame, slugs: DataFrame) -> DataFrame:
     """The products of the slugs given; unknown slugs are absent."""
     return products.join(slugs.select("slug").distinct(), "slug", "left_semi")

@@ -133,4 +133,6 @@ TANNIN_WISHES = [("low", r"не люблю танин|без танин|мало
 LIGHT, LIGHT_FOOD, FULL = r"легк\w+|нетяжел|не тяжел|питк|полегче|воздушн", r"легк\w+ (закуск|салат|ужин|блюд)", r"плотн\w+ вин|мощн\w+ вин|насыщенн\w+ вин|полнотел|погуще"
 BUDGET = r"(до|около|не дороже|не более|в пределах)\s*(\d[\d\s]*)\s*(руб|₽|р\b|т\.?р)|недорог\w+|не сильно дорого|бюджетн\w+|подороже|премиум|дорог\w+"
 EXPERIENCE = [("expert", r"терруар|танинн\w+ структур|винтаж|кюве|ассамбляж|мацерац|бариков|минеральн\w+ тон|послевкус|аппелясьон|урожа[йя]"), ("novice", r"ничего не понимаю|не разбираюсь|новичок|первый раз|впервые|проще|простыми словами|просто\b.*вино|что такое")]
+NAMED_REGIONS = [("Долина Дона", r"донск|долина дона")]
+BUDGET_NOTE = "budget_unsupported"
 # ---- end of fixed values ------------------------------------------------------------------

@@ -155,9 +155,9 @@ def wine_type(category: Column, is_sparkling: Column, level: Column) -> Column:
 
 def extract_features(catalog: DataFrame, lex: Lexicon = RUSSIAN) -> DataFrame:
     """``catalog(name, slug, category, grape, description, ...)`` with ``features``, ``evidence``, ``grapes`` and ``type``; one projection, no Python."""
-    d = norm(F.col("description"))
-    level, why = sweetness(F.col("name"), F.col("slug"), F.col("description"), lex)
-    step = catalog.withColumns({"_acid": acidity(d, lex), "_tannin": window_level(d, *lex.tannin), "_oak": found(d, lex.oak), "_months": aging_months(d, lex), "_sweet": level, "_why": why, "_food": food_mentions(F.col("description"), lex), "_fizz": sparkling(F.col("name"), F.col("slug"), F.col("description"), lex)})
+    catalog, d = catalog.withColumn("_d", norm(F.col("description"))), F.col("_d")  # a column of its own, worked out once
+    level, why = sweetness(F.col("name"), F.col("slug"), d, lex)
+    step = catalog.withColumns({"_acid": acidity(d, lex), "_tannin": window_level(d, *lex.tannin), "_oak": found(d, lex.oak), "_months": aging_months(d, lex), "_sweet": level, "_why": why, "_food": food_mentions(d, lex), "_fizz": sparkling(F.col("name"), F.col("slug"), d, lex)})
     features = F.struct(
         F.col("_sweet").alias("sweetness"),
         F.col("_fizz").alias("sparkling"),
@@ -173,7 +173,7 @@ def extract_features(catalog: DataFrame, lex: Lexicon = RUSSIAN) -> DataFrame:
     )
     evidence = F.map_from_arrays(F.array(*[F.lit(x) for x in ("sweetness", "acidity", "tannin", "oak", "food")]), F.array("_why", "_acid.quote", "_tannin.quote", hit(d, lex.oak), "_food.quote"))
     out = step.withColumns({"features": features, "evidence": F.map_filter(evidence, lambda _, v: v.isNotNull()), "grapes": clean_grapes(F.col("grape"), lex)})
-    return out.withColumn("type", wine_type(F.col("category"), F.col("_fizz"), F.col("_sweet"))).drop("_acid", "_tannin", "_oak", "_months", "_sweet", "_why", "_food", "_fizz")
+    return out.withColumn("type", wine_type(F.col("category"), F.col("_fizz"), F.col("_sweet"))).drop("_d", "_acid", "_tannin", "_oak", "_months", "_sweet", "_why", "_food", "_fizz")
 
 
 def coverage_report(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -183,14 +183,32 @@ def coverage_report(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return row.selectExpr("_all", f"stack({len(columns)}, {pairs}) as (feature, n)").select("feature", "n", F.round(100 * F.col("n") / F.greatest("_all", F.lit(1)), 1).alias("percent"))
 
 
-def split_sections(df: DataFrame, key: str, text: str, sections: list[tuple[str, str]], default: str) -> DataFrame:
-    """``(key, section, text)``: each sentence goes to the section whose word stands first in it, or to that of the sentence before."""
-    each = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?;])\s+|\n+")).alias("pos", "sentence")).where(F.trim("sentence") != "")
-    at = [F.struct(F.regexp_instr("sentence", F.lit(f"(?Ui)({p})")).alias("at"), F.lit(name).alias("name")) for name, p in sections]
+def split_sections(df: DataFrame, key: str, text: str, sections: list[tuple[str, str]], default: str, headings: list[tuple[str, str, bool]] = (), label: str | None = None) -> DataFrame:
+    """``(key, place, section, text)``: the sentences of each section in order; ``place`` is that of the section, ``default`` the last.
+
+    A sentence (``;`` ends one too) goes to the section of the ``headings`` pattern it begins with (taken out of it where the third value
+    says so), else to the section whose word stands first in it, else to that of the sentence before. A ``label`` it begins
+    with goes; it begins with a capital and ends with a stop. Without headings and label sentences stay as they are.
+    """
+    tidy = bool(headings or label)
+    each = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?…;])\s+|\n+" if tidy else r"(?<=[.!?;])\s+|\n+")).alias("pos", "sentence"))
+    each = each.withColumn("sentence", F.trim("sentence")).where("sentence <> ''")
+    low = norm(F.col("sentence")) if tidy else F.col("sentence")
+    at = [F.struct(F.regexp_instr(low, F.lit(f"(?Ui)({p})")).alias("at"), F.lit(name).alias("name")) for name, p in sections]
     first = F.array_min(F.filter(F.array(*at), lambda s: s["at"] > 0))["name"]
+    own = F.coalesce(*[F.when(found(low, f"^{p}"), F.lit(name)) for name, p, _ in headings], first)
     order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    named = each.withColumn("section", F.coalesce(F.last(first, ignorenulls=True).over(order), F.lit(default)))
-    return named.groupBy(key, "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda s: F.trim(s["sentence"])), " ").alias("text"))
+    named = each.withColumn("section", F.coalesce(F.last(own, ignorenulls=True).over(order), F.lit(default)))
+    if tidy:
+        said = F.col("sentence")
+        for _, p, out in headings:
+            said = F.regexp_replace(said, f"(?U)^{p}", "") if out else said
+        said = F.trim(F.regexp_replace(F.trim(F.regexp_replace(said, f"(?Ui)^{label}", "") if label else said), r"[;,]+$", ""))
+        named = named.withColumn("sentence", said).where("sentence <> ''")
+        named = named.withColumn("sentence", F.concat(F.upper(F.substring("sentence", 1, 1)), F.expr("substring(sentence, 2)"), F.when(F.col("sentence").rlike("[.!?…»\"]$"), "").otherwise(".")))
+    places = {name: i for i, name in enumerate([*(n for n, _ in sections), default])}
+    place = F.coalesce(*[F.when(F.col("section") == name, i) for name, i in places.items()])
+    return named.groupBy(key, place.alias("place"), "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda s: s["sentence"]), " ").alias("text"))
 
 
 def scale_profile(level: Column, kind: str) -> Column:

@@ -109,6 +109,19 @@ BANNED_TONE = [
     "за компанию выпейте",
     r"без вина (не )?обойтись",
 ]
+#: Sections of a description: their words, headings (whether these go), and labels that go.
+SECTIONS = [
+    ("color", r"\bцвет\w*|\bокрас\w*"),
+    ("aroma", r"аромат\w*|\bбукет\w*|\bв носу\b"),
+    ("taste", r"вкус\w*|послевкус\w*|танин\w*|текстур\w*|\bфиниш\w*|\bфинал\w*|\bво рту\b"),
+    ("food", r"гастроном\w*|сочета\w*|аперитив\w*|подава\w*|\bподойд\w*|\bподходит к\b|\bк (?:мяс|рыб|сыр|птиц|блюд|дич|морепр|десерт|паст|закуск|салат|фрукт|шашлык|стейк)\w*"),
+    ("tech", r"винификац\w*|фермент\w*|мацерац\w*|\bвыдерж\w*|\bбочк\w*|купаж\w*|\bурожа\w*|\bсбор\w*|брожен\w*|\bсусл\w*|\bлоз\w*|виноградник\w*|\bразлит\w*"),
+]
+SECTION_HEADINGS = [
+    ("tech", r"\s*(технолог\w*|техника винификации|особенности технологии|технологические операции|технология производства)\s*:", True),
+    ("other", r"\s*(награды|сортовой состав|сорта винограда|тираж|декантац\w*)\s*:", False),
+]
+SECTION_LABEL = r"\s*(вкус и аромат|вкус|аромат|цвет|сочетания|гастрономия|финиш|послевкусие)\s*:\s*"
 # ---- end of fixed values ------------------------------------------------------------------
 
 

@@ -94,13 +94,17 @@ def grapes_in(requests: DataFrame, vocabulary: DataFrame, key: str, text: str) -
 
 
 def parse_context(text: Column, regions: list[str] = ()) -> Column:
-    """``struct`` of wishes; null where a wish is not stated. Regions are named by the first five letters of their first word."""
+    """``struct`` of wishes; null where a wish is not stated. Regions are named by the first five letters of their first word, or by NAMED_REGIONS.
+
+    The grapes it names need the catalog's: ``with_grapes`` adds them.
+    """
     t = norm(text)
     refused = F.regexp_extract_all(t, F.lit("не (?:люблю|хочу|надо|нужно) (красн|бел|розов|оранжев)"), F.lit(1))
     colors = F.array_compact(F.array(*[F.when(found(t, p) & ~F.array_contains(refused, stem), F.lit(name)) for name, p, stem in D.COLORS]))
     sweet = F.sort_array(F.array_distinct(F.flatten(F.array_compact(F.array(*[F.when(found(t, p), F.array(*map(F.lit, levels))) for levels, p in D.SWEET_WISHES])))))
     avoided = F.concat_ws(" ", *[F.regexp_extract_all(t, F.lit(f"(?U){p}"), F.lit(1)) for p in D.AVOIDED])
-    named = F.array_compact(F.array(*[F.when(F.contains(t, norm(F.lit(r.split()[0][:5]))), F.lit(r)) for r in regions])) if regions else F.array().cast("array<string>")
+    by_stem = [(F.contains(t, norm(F.lit(r.split()[0][:5]))), r) for r in regions]
+    named = F.array_distinct(F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in [*by_stem, *((found(t, p), r) for r, p in D.NAMED_REGIONS)]])))
     dish = parse_dish(text)
     occasion = F.coalesce(first_rule(t, [(p, n) for n, p in D.OCCASIONS]), F.when(dish["course"] == "аперитив", "aperitif"))
     light = found(t, D.LIGHT) & ~found(t, D.LIGHT_FOOD)
@@ -116,20 +120,36 @@ def parse_context(text: Column, regions: list[str] = ()) -> Column:
         named.alias("regions"),
         occasion.alias("occasion"),
         hit(t, D.BUDGET).alias("budget"),
+        F.when(found(t, D.BUDGET), F.array(F.lit(D.BUDGET_NOTE))).otherwise(F.array().cast("array<string>")).alias("notes"),
         F.coalesce(first_rule(t, [(p, n) for n, p in D.EXPERIENCE]), F.lit("novice")).alias("experience"),
     )
 
 
+def with_grapes(requests: DataFrame, vocabulary: DataFrame, key: str, text: str, context: str = "context") -> DataFrame:
+    """``requests`` whose ``context`` (of ``parse_context``) also says ``grapes_like`` and ``grapes_avoid``: the varieties a message names, and those it names where it refuses."""
+    said, refused = (grapes_in(requests.select(key, F.col(c).alias("t")), vocabulary, key, "t").groupBy(key).agg(F.sort_array(F.collect_set("grape")).alias(to)) for c, to in ((text, "_said"), (f"{context}.avoided_text", "_refused")))
+    none = F.array().cast("array<string>")
+    joined = requests.join(said, key, "left").join(refused, key, "left")
+    avoid = F.coalesce("_refused", none)
+    return joined.withColumn(context, F.col(context).withField("grapes_avoid", avoid).withField("grapes_like", F.array_except(F.coalesce("_said", none), avoid))).drop("_said", "_refused")
+
+
 SETS, SCALARS = ["colors", "sweet_ok", "regions"], ["sparkling", "avoid_oak", "tannin_pref", "body_pref", "occasion", "budget", "experience"]
+#: Further sets, and the list whose order counts; joined where a context has them.
+MORE_SETS, NOTES = ["grapes_like", "grapes_avoid", "excluded_ids"], "notes"
 
 
 def merge_contexts(turns: DataFrame, session: str, turn: str, context: str = "context") -> DataFrame:
-    """``(session, context)``: sets are joined over the turns; of scalars the last that is stated stays (not false, not novice); likewise the dish."""
+    """``(session, context)``: sets are joined over the turns; of scalars the last that is stated stays (not false, not novice); likewise the dish; notes follow each other, each once.
+
+    All turns of a session meet in one row, so a session has to be of bounded length, as ``session_numbers`` cuts it.
+    """
     rows = F.transform(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("n"), F.col(context).alias("c")))), lambda r: r["c"])
     held = turns.groupBy(session).agg(rows.alias("rows"))
+    have = turns.select(f"{context}.*").columns
 
-    def joined(name: str) -> Column:
-        return F.sort_array(F.array_distinct(F.flatten(F.array_compact(F.transform("rows", lambda c: c[name]))))).alias(name)
+    def every(name: str) -> Column:
+        return F.array_distinct(F.flatten(F.array_compact(F.transform("rows", lambda c: c[name]))))
 
     def last(name: str) -> Column:
         said = F.filter(F.transform("rows", lambda c: c[name]), lambda v: v.isNotNull() & (v.cast("string") != "") & ((v.cast("string") != "novice") if name == "experience" else F.lit(True)) & ((v.cast("string") != "false") if name == "avoid_oak" else F.lit(True)))
@@ -137,7 +157,9 @@ def merge_contexts(turns: DataFrame, session: str, turn: str, context: str = "co
         return (F.coalesce(value, F.lit("novice")) if name == "experience" else value).alias(name)
 
     dish = F.filter(F.transform("rows", lambda c: c["dish"]), lambda d: d.isNotNull())
-    return held.select(session, F.struct(F.get(dish, F.size(dish) - 1).alias("dish"), *[joined(s) for s in SETS], *[last(s) for s in SCALARS]).alias("context"))
+    sets = [F.sort_array(every(s)).alias(s) for s in [*SETS, *MORE_SETS] if s in have]
+    notes = [every(NOTES).alias(NOTES)] if NOTES in have else []
+    return held.select(session, F.struct(F.get(dish, F.size(dish) - 1).alias("dish"), *sets, *[last(s) for s in SCALARS], *notes).alias("context"))
 
 
 def route_intent(text: Column, has_dish: Column, n_groups: Column, feedback: str, label_info: str, profile: str, rules: dict[str, str] | None = None) -> Column:

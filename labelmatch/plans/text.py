@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmatch.functions.storage import table
+from labelmatch.functions.storage import spread, table
+from labelmatch.operators import dishes as D
 from labelmatch.operators import features as X
 from labelmatch.operators import requests as R
 from labelmatch.operators.lexicon import Lexicon
@@ -41,7 +44,7 @@ GENERAL = {"fish": (["raw fish"], "tioned")}
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "source", "lang")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source", "lang"))
 
 
 def _name():
@@ -123,6 +126,40 @@ def route_intent(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", R.route_intent(F.col("text"), F.col("dish"), F.col("n"), "whon|eauon", "stre", "ouon|ungen", RULES).alias("intent"))
 
 
+ASKED = ["Хочу красное сухое на день рождения, люблю танинные вина", "не люблю красное, лучше белое полусладкое до 1500 руб", "что-нибудь игристое на свидание, только не брют", "без пузырьков, шампанское не люблю; вино полегче", "посоветуйте донское плотное вино в подарок боссу", "впервые выбираю розовое, мягкие танины, без бочки", "мощное вино, терпкое, с послевкусием", "легкие закуски и вино"]
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """Each message, and a request in Russian by the number of its words."""
+    c = table(spark, d, "conversations")
+    at = F.pmod(F.size(F.split("text", " ")), F.lit(len(ASKED)))
+    return c.select("conv_id", "turn", F.get(F.array(*map(F.lit, ASKED)), at).alias("text"))
+
+
+def parse_context(spark: SparkSession, d: str) -> DataFrame:
+    out = asked(spark, d).select("conv_id", "turn", R.parse_context(F.col("text"), ["Россия", "Долина Дона"]).alias("c"))
+    joined = [F.array_join(F.col(f"c.{s}").cast("array<string>"), ",").alias(s) for s in ("colors", "sweet_ok", "regions", "notes")]
+    return out.select("conv_id", "turn", *joined, *[F.col(f"c.{s}").alias(s) for s in ("sparkling", "avoid_oak", "tannin_pref", "body_pref", "occasion", "experience")], F.col("c.dish").isNotNull().alias("has_dish"))
+
+
+def grapes_in(spark: SparkSession, d: str) -> DataFrame:
+    """Part names said with other endings, against two-word and one-word varieties made of the same words."""
+    p = table(spark, d, "part")
+    one, two = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    vocabulary = p.select(F.explode(F.array(F.concat_ws(" ", one, two), one, two)).alias("grape")).where("p_partkey % 3 = 0 or p_size < 10")
+    said = p.select("p_partkey", F.concat(F.lit("some "), one, F.lit("ish, "), F.when(F.col("p_partkey") % 2 == 0, two).otherwise(F.lit("none")), F.lit("s!")).alias("text"))
+    return R.grapes_in(said, vocabulary, "p_partkey", "text")
+
+
+def grape_wishes(spark: SparkSession, d: str) -> DataFrame:
+    """What is liked and what is refused, from a message about two part names."""
+    p = table(spark, d, "part")
+    one, two = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    said = p.select("p_partkey", F.concat(F.lit("Люблю "), one, F.lit(", но не люблю "), F.when(F.col("p_partkey") % 4 == 0, one).otherwise(two)).alias("text"))
+    out = R.with_grapes(said.withColumn("context", R.parse_context(F.col("text"))), p.select(F.explode(F.array(one, two)).alias("grape")), "p_partkey", "text")
+    return out.select("p_partkey", F.array_join("context.grapes_like", ",").alias("likes"), F.array_join("context.grapes_avoid", ",").alias("avoids"))
+
+
 def merge_contexts(spark: SparkSession, d: str) -> DataFrame:
     """Wishes of each conversation over its turns; what a turn states comes from which of a few words it holds."""
     t = X.norm(F.col("text"))
@@ -207,9 +244,26 @@ def _axis_sql(a: str) -> str:
 _DISH_TAGS = "array_to_string(list_sort(list_distinct(flatten(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {tg} END" for c, _, tg in _PARTS if tg) + ", CASE WHEN " + _AXIS("heat") + " >= 2.5 THEN ['острое'] END], lambda x: x IS NOT NULL)))), ',')"
 _MAINS = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _ON.items()) + "], lambda x: x IS NOT NULL)"
 
+def _re2(p: str) -> str:
+    """A Java pattern with Unicode classes in DuckDB's syntax; only whether it matches counts. What may not stand before is dealt with in the text."""
+    p = p.replace("(?<!не )", "").replace("(?<!полу)", "").replace(r"(?<!\w)", r"\b")
+    p = re.sub(r"\\b(?=\w)", r"(?:^|[^\\p{L}\\p{N}_])", p)
+    return p.replace(r"\b", r"(?:[^\p{L}\p{N}_]|$)").replace(r"\w", r"[\p{L}\p{N}_]")
+
+
+def _listed(parts: list[tuple[str, str]], sort: bool) -> str:
+    held = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {v} END" for c, v in parts) + "], lambda x: x IS NOT NULL)"
+    return f"array_to_string({f'list_sort({held})' if sort else held}, ',')"
+
+
+_STEMS = "w AS (SELECT p_partkey, p_size, split_part(p_name, ' ', 1) AS p1, split_part(p_name, ' ', 2) AS p2 FROM part)"
+_SAID = {"red": "ering", "white": "schung", "has_dry": "tion", "has_sweetish": "heit", "has_north": "ment", "has_south": "aux", "said_and": "and", "said_the": "the", "no_oak": "ndth"}
+_SETS = {"colors": {"red": "red", "white": "white"}, "sweet_ok": {"has_dry": "0", "has_sweetish": "2"}, "regions": {"has_north": "north", "has_south": "south"}}
+_PICKED = {"tannin_pref": [("onwh", "low"), ("reth", "high")], "body_pref": [("lyea", "light"), ("thst", "full")], "occasion": [("erou", "gift"), ("chver", "date")], "budget": [("[0-9]", "some")], "expertise": [("ingti", "expert")]}
+
 SQL = {
     "feature_sweetness": f"""WITH {_T}, {_SWEET} SELECT doc_id, coalesce(by_name, by_slug, by_phrase)::INT AS level, CASE WHEN by_name IS NOT NULL THEN 'name: ' || hit WHEN by_slug IS NOT NULL THEN 'slug: ' || source
-  WHEN by_phrase IS NOT NULL THEN 'description: ' || ph END AS evidence, regexp_matches(n || ' ' || source || ' ', '{LEX.sparkling}') AS sparkling FROM sx JOIN t USING (doc_id)""",
+  WHEN by_phrase IS NOT NULL THEN 'description: ' || ph END AS evidence, regexp_matches(concat_ws(' ', n, source, t), '{LEX.sparkling}') AS sparkling FROM sx JOIN t USING (doc_id)""",
     "feature_levels": f"{_ALL} SELECT doc_id, level AS tannin, quote, acidity FROM base",
     "feature_body": f"{_ALL} SELECT doc_id, oak, months, round({_BODY}, 1) AS body FROM base",
     "aroma_tags": f"WITH {_T} SELECT doc_id, array_to_string({_tags('t', GROUPS)}, ',') AS tags FROM t",
@@ -232,9 +286,27 @@ SQL = {
     CASE WHEN length(t) <= 120 THEN t WHEN e > 60 THEN substr(h, 1, e) ELSE regexp_replace(h, '\s+\S*\z', '') || '…' END AS snippet FROM h""",
     "guardrail_code": f"WITH {_C} SELECT conv_id, turn, {_case('t', [(p, n) for n, p in RULES.items()])} AS code, array_to_string(list_filter([{', '.join(f'''CASE WHEN regexp_matches(t, '{p}') THEN '{p}' END''' for p in ('thoning', 'schte', 'aiel'))}], lambda x: x IS NOT NULL), ',') AS tone FROM c",
     "parse_dish": f"WITH {_C} SELECT conv_id, turn, {', '.join(f'CASE WHEN len({_MAINS}) > 0 THEN round({_axis_sql(a)}, 1) END AS {a}' for a in R.AXES)}, CASE WHEN len({_MAINS}) > 0 THEN {_DISH_TAGS} END AS tags, CASE WHEN len({_MAINS}) > 0 THEN array_to_string({_MAINS}, ',') END AS mains FROM c",
+    "parse_context": f"""WITH a AS (SELECT conv_id, turn, {_N.format(f"{ASKED!r}[len(string_split(text, ' ')) % {len(ASKED)} + 1]")} AS t0, replace(t0, 'не сух', 'не_сух') AS t FROM conversations)
+  SELECT conv_id, turn, {_listed([(f"regexp_matches(t, '{_re2(p)}') AND NOT list_contains(regexp_extract_all(t, 'не (?:люблю|хочу|надо|нужно) (красн|бел|розов|оранжев)', 1), '{stem}')", f"'{n}'") for n, p, stem in D.COLORS], sort=False)} AS colors,
+    nullif(array_to_string(list_sort(list_distinct(flatten([{", ".join(f"CASE WHEN regexp_matches(t, '{_re2(p)}') THEN {list(levels)} ELSE [] END" for levels, p in D.SWEET_WISHES)}]))), ','), '') AS sweet_ok,
+    {_listed([("contains(t, 'росси')", "'Россия'"), ("contains(t, 'долин') OR regexp_matches(t, 'донск|долина дона')", "'Долина Дона'")], sort=False)} AS regions, CASE WHEN regexp_matches(t, '{_re2(D.BUDGET)}') THEN '{D.BUDGET_NOTE}' ELSE '' END AS notes,
+    CASE WHEN regexp_matches(t, '{_re2(D.FIZZ)}') THEN NOT regexp_matches(t, '{_re2(D.NO_FIZZ)}') END AS sparkling, regexp_matches(t, '{_re2(D.NO_OAK)}') AS avoid_oak, {_case("t", [(_re2(p), n) for n, p in D.TANNIN_WISHES])} AS tannin_pref,
+    CASE WHEN regexp_matches(t, '{_re2(D.LIGHT)}') AND NOT regexp_matches(t, '{_re2(D.LIGHT_FOOD)}') THEN 'light' WHEN regexp_matches(t, '{_re2(D.FULL)}') THEN 'full' END AS body_pref, {_case("t", [(_re2(p), n) for n, p in D.OCCASIONS])} AS occasion,
+    coalesce({_case("t", [(_re2(p), n) for n, p in D.EXPERIENCE])}, 'novice') AS experience, {" OR ".join(f"regexp_matches(t, '{_re2(p)}')" for _, p, _, _ in D.MAIN)} AS has_dish FROM a""",
+    "grapes_in": f"""WITH {_STEMS}, v AS (SELECT DISTINCT grape, list_transform(string_split(lower(grape), ' '), lambda x: left(x, greatest(4, length(x) - 2))) AS st FROM (SELECT unnest([p1 || ' ' || p2, p1, p2]) AS grape FROM w WHERE p_partkey % 3 = 0 OR p_size < 10)),
+  s AS (SELECT p_partkey, ' some ' || p1 || 'ish ' || CASE WHEN p_partkey % 2 = 0 THEN p2 ELSE 'none' END || 's ' AS t FROM w), m AS (SELECT p_partkey, grape, st[1] AS f, len(st) > 1 AND list_bool_and(list_transform(st, lambda x: contains(t, ' ' || x))) AS full_name FROM s JOIN v ON contains(t, ' ' || st[1])),
+  g AS (SELECT *, bool_or(full_name) OVER (PARTITION BY p_partkey, f) AS any_full FROM m) SELECT DISTINCT p_partkey, grape FROM g WHERE full_name OR NOT any_full""",
+    "grape_wishes": f"""WITH {_STEMS}, v AS (SELECT DISTINCT grape, left(lower(grape), greatest(4, length(grape) - 2)) AS st FROM (SELECT unnest([p1, p2]) AS grape FROM w)), s AS (SELECT p_partkey, ' люблю ' || p1 || ' но не люблю ' || r || ' ' AS t, ' ' || r || ' ' AS refused FROM (SELECT *, CASE WHEN p_partkey % 4 = 0 THEN p1 ELSE p2 END AS r FROM w)),
+  l AS (SELECT p_partkey, list_sort(list(grape)) AS likes FROM s JOIN v ON contains(t, ' ' || st) GROUP BY ALL), a AS (SELECT p_partkey, list_sort(list(grape)) AS avoids FROM s JOIN v ON contains(refused, ' ' || st) GROUP BY ALL)
+  SELECT p_partkey, coalesce(array_to_string(list_filter(likes, lambda x: NOT list_contains(coalesce(avoids, []), x)), ','), '') AS likes, coalesce(array_to_string(avoids, ','), '') AS avoids FROM s LEFT JOIN l USING (p_partkey) LEFT JOIN a USING (p_partkey)""",
+    "merge_contexts": f"""WITH {_C}, x AS (SELECT *, {_MAINS} AS mains, {", ".join(f"regexp_matches(t, '{p}') AS {n}" for n, p in _SAID.items())},
+    {", ".join(f"{_case('t', rules)} AS {n}" for n, rules in _PICKED.items())} FROM c)
+  SELECT conv_id, {", ".join(f"concat_ws(',', {', '.join(f'CASE WHEN bool_or({n}) THEN {v!r} END' for n, v in sorted(values.items(), key=lambda x: x[1]))}) AS {s}" for s, values in _SETS.items())},
+    (max_by(said_the, turn) FILTER (said_and))::VARCHAR AS sparkling, CASE WHEN bool_or(no_oak) THEN 'true' END AS avoid_oak, {", ".join(f"max_by({n}, turn) FILTER ({n} IS NOT NULL) AS {n}" for n in ("tannin_pref", "body_pref", "occasion", "budget"))},
+    coalesce(max_by(expertise, turn) FILTER (expertise IS NOT NULL), 'novice') AS experience, array_to_string(max_by(mains, turn) FILTER (len(mains) > 0), ',') AS mains FROM x GROUP BY conv_id""",
     "route_intent": f"""WITH {_C}, f AS (SELECT *, regexp_matches(t, 'ering|schung') AS dish, regexp_matches(t, 'tion')::INT + regexp_matches(t, 'heit|ment')::INT AS n FROM c)
   SELECT conv_id, turn, coalesce({_case("t", [(p, "guardrail:" + n) for n, p in RULES.items()])}, CASE WHEN regexp_matches(t, 'whon|eauon') THEN 'feedback' WHEN regexp_matches(t, 'stre') THEN 'label' WHEN n >= 2 AND NOT dish THEN 'compare'
     WHEN regexp_matches(t, 'ouon|ungen') AND n >= 1 THEN 'profile' WHEN dish OR n >= 1 THEN 'recommend' ELSE 'clarify' END) AS intent FROM f""",
 }
 
-QUERIES = {f.__name__: f for f in (feature_sweetness, feature_levels, feature_body, aroma_tags, food_mentions, serve_and_alcohol, clean_grapes, extract_features, coverage_report, split_sections, scales_and_snippets, guardrail_code, parse_dish, route_intent, merge_contexts)}
+QUERIES = {f.__name__: f for f in (feature_sweetness, feature_levels, feature_body, aroma_tags, food_mentions, serve_and_alcohol, clean_grapes, extract_features, coverage_report, split_sections, scales_and_snippets, guardrail_code, parse_dish, route_intent, parse_context, grapes_in, grape_wishes, merge_contexts)}
