@@ -90,9 +90,9 @@ def write_predictions(rows: DataFrame, path: str) -> None:
 
 
 def write_report(rows: DataFrame, path: str, sep: str = "\t") -> None:
-    """A table of text; tabs and line ends inside fields become a space."""
+    """A table of text; tabs and line ends inside fields become a space, quotes are doubled, as the readers here expect."""
     flat = [F.regexp_replace(F.col(f"`{c}`").cast("string"), r"[\t\r\n]+", " ").alias(c) for c in rows.columns]
-    rows.select(*flat).write.csv(path, header=True, sep=sep)
+    rows.select(*flat).write.csv(path, header=True, sep=sep, quote='"', escape='"')
 
 
 def export_snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
@@ -115,7 +115,7 @@ def _mark(df: DataFrame, name: str) -> DataFrame:
 def restore_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of a snapshot, each held against the manifest first."""
     out = {}
-    for want in spark.read.schema("name string, rows bigint, checksum string").json(f"{path}/manifest").limit(1000).collect():
+    for want in spark.read.schema("name string, rows bigint, checksum string").json(f"{path}/manifest").collect():  # a row for each table
         df = spark.read.parquet(f"{path}/{want['name']}")
         if _mark(df, want["name"]).first()[:] != want[:]:
             raise ValueError(f"{want['name']} is not what the manifest says")

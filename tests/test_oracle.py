@@ -6,11 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from labelmatch.plans import catalog, matching, recognition, text
+from labelmatch.plans import catalog, exchange, matching, recognition, text
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CASES = [(name, plans) for plans in (recognition, text, matching, catalog) for name in plans.SQL]
+CASES = [(name, plans) for plans in (recognition, text, matching, catalog, exchange) for name in plans.SQL]
 
 
 @pytest.fixture(scope="module")
