@@ -53,32 +53,71 @@ def pairs_of(near: np.ndarray, lead: int) -> np.ndarray:
     return np.sort(np.stack([near[:, i], near[:, j]], axis=2), axis=2)
 
 
-def _canonical(left: np.ndarray, right: np.ndarray, p: int, q: int, lead: int) -> np.ndarray:
-    """Whether (p, q) is the smallest of the pairs of pivots by which both descriptions are listed."""
-    a, b = (x[:, :, 0].astype(np.int64) << 32 | x[:, :, 1] for x in (pairs_of(left, lead), pairs_of(right, lead)))
-    shared = (a[:, :, None] == b[:, None, :]).any(axis=2)
-    return np.where(shared, a, np.iinfo(np.int64).max).min(axis=1) == (int(p) << 32 | int(q))
+def _canonical(left: np.ndarray, right: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Whether the list ``here`` is the first that both are in; rows of ``left`` and ``right`` are numbers of lists in order."""
+    first = np.ones(len(left), bool)
+    for c in range(left.shape[1]):
+        open_ = np.flatnonzero(first & (left[:, c] < here))  # like vectors share most of their lists, so few stay open
+        if not len(open_):
+            break
+        first[open_] = ~(right[open_] == left[open_, c, None]).any(axis=1)
+    return first
+
+
+#: Rows of a list up to which many lists are looked at together.
+FEW = 48
 
 
 def _verify(part: pa.Table, bounds: list[tuple[int, int]], limit: float, lead: int) -> Iterator[pa.RecordBatch]:
     """For each vector of these lists: its links here, and the least vector it is connected with."""
-    p, q, mine = (part.column(k).to_numpy(zero_copy_only=False) for k in ("p", "q", "mine"))
+    mine = part.column("mine").to_numpy(zero_copy_only=False)
     ids, mult = part.column("id").to_numpy(), part.column("mult").to_numpy()
+    dims = part.column("vec").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
     out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for s, e in bounds:
-        left, right = sides(mine[s:e])
-        piece = part.slice(s, e - s)
+
+    def look(bounds: list[tuple[int, int]]) -> None:
+        """Lists of vectors of one length, one after the other."""
+        begin, end = bounds[0][0], bounds[-1][1]
+        piece = part.slice(begin, end - begin)
         rows = unit(matrix(piece.column("vec").combine_chunks()))
         near = matrix(piece.column("near").combine_chunks()).astype(np.int64)
-        i, j = np.nonzero(rows[left] @ rows[right].T >= limit)
-        i, j = left[i], right[j]
-        once = i < j if mine[s:e].all() else i != j
-        i, j = i[once], j[once]
-        for at in range(0, len(i), 50_000):
-            x, y = i[at : at + 50_000], j[at : at + 50_000]
-            good = _canonical(near[x], near[y], p[s], q[s], lead) if near.shape[1] > 1 else np.ones(len(x), bool)
-            out_a.append(x[good] + s)
-            out_b.append(y[good] + s)
+        pairs = pairs_of(near, lead) if near.shape[1] > 1 else np.repeat(near, 2, axis=1)[:, None, :]
+        lists = np.sort(pairs[:, :, 0] << 32 | pairs[:, :, 1], axis=1)
+        here = piece.column("p").to_numpy().astype(np.int64) << 32 | piece.column("q").to_numpy()
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            for at in range(0, len(i), 100_000):
+                x, y = i[at : at + 100_000], j[at : at + 100_000]
+                good = _canonical(lists[x], lists[y], here[x])
+                out_a.append(x[good] + begin)
+                out_b.append(y[good] + begin)
+
+        ends, whole = np.zeros(end - begin, np.int64), np.zeros(end - begin, bool)
+        for s, e in bounds:
+            s, e = s - begin, e - begin
+            if e - s <= FEW:
+                ends[s:e], whole[s:e] = e, mine[begin + s : begin + e].all()
+                continue
+            left, right = sides(mine[begin + s : begin + e])
+            i, j = np.nonzero(rows[s + left] @ rows[s + right].T >= limit)
+            i, j = left[i], right[j]
+            once = i < j if mine[begin + s : begin + e].all() else i != j
+            keep(s + i[once], s + j[once])
+        for d in range(1, FEW):  # each row of a short list with the next, the one after that, and so on
+            i = np.flatnonzero(np.arange(end - begin) + d < ends)
+            if not len(i):
+                break
+            i = i[whole[i] | (mine[begin + i] != mine[begin + i + d])]
+            i = i[(rows[i] * rows[i + d]).sum(axis=1) >= limit]
+            keep(i, i + d)
+
+    at = 0
+    while at < len(bounds):
+        stop = at + 1
+        while stop < len(bounds) and dims[bounds[stop][0]] == dims[bounds[at][0]]:
+            stop += 1
+        look(bounds[at:stop])
+        at = stop
     a, b = np.concatenate(out_a), np.concatenate(out_b)
     if len(a):
         every, at = np.unique(ids, return_inverse=True)
