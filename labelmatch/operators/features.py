@@ -186,8 +186,8 @@ def coverage_report(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def split_sections(df: DataFrame, key: str, text: str, sections: list[tuple[str, str]], default: str, headings: list[tuple[str, str, bool]] = (), label: str | None = None) -> DataFrame:
     """``(key, place, section, text)``: the sentences of each section in order; ``place`` is that of the section, ``default`` the last.
 
-    A sentence (``;`` ends one too) goes to the section of the ``headings`` pattern it begins with (taken out of it where the third value
-    says so), else to the section whose word stands first in it, else to that of the sentence before. A ``label`` it begins
+    A sentence (``;`` ends one too) goes to the section of the ``headings`` pattern it begins with, whatever its case (taken out of it where the
+    third value says so and the case is the pattern's), else to the section whose word stands first in it, else to that of the sentence before. A ``label`` it begins
     with goes; it begins with a capital and ends with a stop. Without headings and label sentences stay as they are.
     """
     tidy = bool(headings or label)

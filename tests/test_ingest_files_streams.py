@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from labelmatch.operators import catalog, ingest
 from labelmatch.sources import files
+from labelmatch.operators.features import split_sections
+from labelmatch.operators.lexicon import SECTION_HEADINGS, SECTION_LABEL, SECTIONS
+from labelmatch.operators.requests import merge_contexts, parse_context, with_grapes
 from labelmatch.streaming import sessions
 
 BOX = "image_id long, box_id long, width int, height int, x1 double, y1 double, x2 double, y2 double, conf double"
@@ -111,3 +114,39 @@ def test_session_state_and_incremental_import(spark, tmp_path):
     done = sessions.incremental_import(source, lambda df, n: seen.append(df.count()), str(tmp_path / "cp2"))
     done.awaitTermination(120)
     assert sum(seen) == 3
+
+
+def test_contexts_merged_turn_by_turn_equal_the_batch_merge(spark):
+    turns = [("s", 1, "хочу красное сухое до 1500 руб"), ("s", 2, "и белое, без дуба, я новичок"), ("s", 3, "на свидание, с танинами: терпкое"), ("t", 1, "стейк и послевкусие"), ("t", 2, "донское игристое, бюджетное")]
+    rows = spark.createDataFrame(turns, "session_id string, ts long, text string").withColumn("context", parse_context(F.col("text"), ["Россия"]))
+    last = {"s": {}, "t": {}}  # what session_contexts keeps for a session
+    for r in rows.select("session_id", "ts", F.to_json("context", {"ignoreNullFields": "false"}).alias("context")).orderBy("ts").collect():
+        last[r.session_id] = sessions.merged_context(last[r.session_id], json.loads(r.context))
+    batch = {r.session_id: json.loads(r.c) for r in merge_contexts(rows, "session_id", "ts").select("session_id", F.to_json("context", {"ignoreNullFields": "false"}).alias("c")).collect()}
+    stated = lambda c: {k: v for k, v in c.items() if v not in (None, [], False) and (k, v) != ("experience", "novice")}
+    for s in ("s", "t"):
+        assert stated({k: v for k, v in last[s].items() if k != "avoided_text"}) == stated(batch[s])
+    assert sorted(last["s"]["colors"]) == ["Белое", "Красное"] and last["s"]["notes"] == ["budget_unsupported"] and last["t"]["sparkling"] is True
+
+
+def test_contexts_name_grapes_liked_and_refused(spark):
+    rows = spark.createDataFrame([(1, "люблю мерло и каберне совиньон, но не люблю рислинг"), (2, "что-нибудь без муската"), (3, None)], "k long, text string")
+    vocabulary = spark.createDataFrame([(g,) for g in ("Мерло", "Каберне Совиньон", "Каберне Фран", "Рислинг", "Мускат Белый", "Мускат")], "grape string")
+    out = with_grapes(rows.withColumn("context", parse_context(F.col("text"))), vocabulary, "k", "text")
+    got = {r.k: (r.context.grapes_like, r.context.grapes_avoid) for r in out.collect()}
+    assert got == {1: (["Каберне Совиньон", "Мерло"], ["Рислинг"]), 2: ([], ["Мускат", "Мускат Белый"]), 3: ([], [])}
+
+
+def test_descriptions_are_split_by_headings_words_and_labels(spark):
+    text = "Цвет: рубиновый; аромат ягод и ваниль, хороший. Вкус: плотный\nТехнология производства: выдержка в дубе; Награды: золото. И ещё медаль"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "Просто вино"), (4, "технология: сталь")], "k long, t string")
+    out = split_sections(rows, "k", "t", SECTIONS, "other", SECTION_HEADINGS, SECTION_LABEL).orderBy("k", "place").collect()
+    assert [(r.k, r.section, r.text) for r in out] == [
+        (1, "color", "Рубиновый."),
+        (1, "aroma", "Аромат ягод и ваниль, хороший."),
+        (1, "taste", "Плотный."),
+        (1, "tech", "Технология производства: выдержка в дубе."),  # a heading goes as it is written in the pattern only
+        (1, "other", "Награды: золото. И ещё медаль."),
+        (3, "other", "Просто вино."),
+        (4, "tech", "Сталь."),
+    ]
