@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmatch.functions.storage import bucketed
+from labelmatch.llm.tokens import small_batches, trimmed
 
 #: Characters of text in a block; a longer document is a block of its own.
 BLOCK_CHARS = 8_000_000
@@ -78,44 +79,49 @@ def _split(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of neighbouring rows up to ``limit`` characters, over any number of batches; a row for each, and one for each bucket that has words of it."""
     find = regex.compile(pattern).findall
-    made = 0
+    made, kind = 0, None
+    held: list = []
+    places: defaultdict = defaultdict()
+    codes, counts, size = array("I"), [], 0
+
+    def block() -> pa.RecordBatch:
+        words, coded = [w.encode() for w in places], np.frombuffer(codes, np.uint32)
+        bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int64, len(words))
+        order = pc.sort_indices(pa.table({"b": bucket, "w": pa.array(words, pa.binary())}), [("b", "ascending"), ("w", "ascending")]).to_numpy()
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        coded = place[coded]
+        times = np.bincount(coded, minlength=len(words))
+        rank = np.empty(len(words), np.int64)
+        rank[_by_frequency(times)] = np.arange(len(words))  # small codes for frequent words
+        number = (TaskContext.get().partitionId() << 32) + made
+        rows = [(number, -1, 0, _pack(np.array(counts, np.int64), times, rank[coded]))]
+        edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        for b in np.flatnonzero(np.diff(edges)):
+            mine = [words[i] for i in order[edges[b] : edges[b + 1]]]
+            rows.append((number, int(b), int(edges[b]), _pack(np.array(list(map(len, mine)), np.int64), raw=b"".join(mine))))
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
+        cols.append(pa.array([held] + [None] * (len(rows) - 1), pa.list_(kind)))
+        return pa.RecordBatch.from_arrays(cols, names=["block", "bucket", "first", "data", "ids"])
+
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        at = 0
-        while at < len(texts):
-            places: defaultdict = defaultdict()
+        kind = batch.column(0).type
+        for own, text in zip(batch.column(0), batch.column(1), strict=True):
+            said = text.as_py() or ""
+            if counts and size + len(said) > limit:
+                yield block()
+                made += 1
+                held, places, codes, counts, size = [], defaultdict(), array("I"), [], 0
             places.default_factory = places.__len__  # a new word takes the next place
-            codes, counts, size, start = array("I"), [], 0, at
-            while at < len(texts):
-                text = texts[at].as_py() or ""
-                if at > start and size + len(text) > limit:
-                    break
-                words = find(text)
-                codes.extend(map(places.__getitem__, words))
-                counts.append(len(words))
-                size += len(text)
-                at += 1
-            words, codes = [w.encode() for w in places], np.frombuffer(codes, np.uint32)
-            bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int64, len(words))
-            order = pc.sort_indices(pa.table({"b": bucket, "w": pa.array(words, pa.binary())}), [("b", "ascending"), ("w", "ascending")]).to_numpy()
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            codes = place[codes]
-            times = np.bincount(codes, minlength=len(words))
-            rank = np.empty(len(words), np.int64)
-            rank[_by_frequency(times)] = np.arange(len(words))  # small codes for frequent words
-            block = (TaskContext.get().partitionId() << 32) + made
-            made += 1
-            rows = [(block, -1, 0, _pack(np.array(counts, np.int64), times, rank[codes]))]
-            edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            for b in np.flatnonzero(np.diff(edges)):
-                mine = [words[i] for i in order[edges[b] : edges[b + 1]]]
-                rows.append((block, int(b), int(edges[b]), _pack(np.array(list(map(len, mine)), np.int64), raw=b"".join(mine))))
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
-            held = ids.slice(start, at - start).to_pylist()
-            cols.append(pa.array([held] + [None] * (len(rows) - 1), pa.list_(ids.type)))
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "bucket", "first", "data", "ids"])
+            words = find(said)
+            codes.extend(map(places.__getitem__, words))
+            counts.append(len(words))
+            held.append(own.as_py())
+            size += len(said)
+    if counts:
+        yield block()
 
 
 def _answer(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern: str) -> Iterator[pa.RecordBatch]:
@@ -167,14 +173,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     lists grow with the distinct words of the blocks, not with the product of blocks and buckets.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType
     schema = T.StructType().add("block", "long").add("bucket", "integer").add("first", "integer").add("data", "binary").add("ids", T.ArrayType(kind))
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))  # of fixed size: the vocabulary
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = bucketed(source.mapInArrow(lambda b: _blocks(b, pattern, n_buckets, BLOCK_CHARS), schema), "bpe_blocks", "block", n_buckets)
+    blocks = bucketed(source.mapInArrow(trimmed(lambda b: _blocks(b, pattern, n_buckets, BLOCK_CHARS)), schema), "bpe_blocks", "block", n_buckets)
     asked = blocks.where("bucket >= 0").repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    answers = asked.mapInArrow(lambda b: _answer(b, ranks.value, pattern), schema)
+    answers = asked.mapInArrow(trimmed(lambda b: _answer(b, ranks.value, pattern)), schema)
     texts = blocks.where("bucket < 0")  # in buckets already: only words and answers are shuffled
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble, T.StructType().add("id", kind).add("ids", T.ArrayType(T.IntegerType())))
 
@@ -202,7 +209,7 @@ def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", to: str = "
                 out.append(data[_ranges(starts[ids], sizes[ids])].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, to])
 
-    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(to, T.BinaryType())]))
+    return tokens.mapInArrow(trimmed(run), T.StructType([*tokens.schema.fields, T.StructField(to, T.BinaryType())]))
 
 
 def op5_bpe(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from labelmatch.functions.storage import written
 from labelmatch.llm.lists import deal, sides, spanning, walk
-from labelmatch.llm.tokens import in_characters
+from labelmatch.llm.tokens import in_characters, small_batches, trimmed
 from labelmatch.operators.components import connected_components
 
 SEED = 42
@@ -290,7 +290,7 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int)
                     vs.append(at)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return dealt.mapInArrow(compare, "u long, v long")
+    return dealt.mapInArrow(trimmed(compare), "u long, v long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -304,6 +304,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     group, repeated rows among them, one stays; a group of null ids keeps one; no rows give no rows; further columns
     are carried along; a text of any length is compared whole.
     """
+    small_batches(docs.sparkSession)
     row_key = lambda a, b: [F.xxhash64(F.lit(7), a, b).alias("k1"), F.xxhash64(F.lit(11), b, a).alias("k2")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), *row_key(F.col(id_col), F.col(text_col)))
@@ -323,7 +324,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([*kept, *keys, sizes, *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)), openings], names=[*names, "s1", "s2", "size", *_SKETCH, "opening"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("k1", "k2", "s1", "s2", "size", *_SKETCH)], T.StructField("opening", T.ArrayType(T.LongType()))])
-    marks = written(keyed.mapInArrow(run, schema), "simhash-rows")
+    marks = written(keyed.mapInArrow(trimmed(run), schema), "simhash-rows")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("first")
     # Equal sets, merged before the shuffle.
     texts = marks.groupBy("s1", "s2").agg(least, *[F.first(c).alias(c) for c in ("size", *_SKETCH, "opening")])

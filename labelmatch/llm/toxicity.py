@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmatch.functions.storage import written
-from labelmatch.llm.tokens import coded_blocks
+from labelmatch.llm.tokens import coded_blocks, small_batches, trimmed
 
 WORDS = r"[\p{L}\p{N}\p{M}]+"
 FEATURES = 1 << 18
@@ -308,6 +308,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts are scored as texts without words; repeated rows give repeated rows; no rows give no rows;
     further columns are ignored. A text of any length is scored whole: a longer one than BLOCK_CHARS is a block of its own.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
@@ -318,7 +319,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(seen)), pa.array(_probability(seen, shared.value)), pa.array(found, kind)], names=["id", "score", "spans"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
@@ -327,6 +328,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: flo
     Null and empty texts are scored as texts without words; of repeated rows all stay or all go; no rows give no
     rows; a text of any length is scored whole.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -335,7 +337,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: flo
             for start, seen, _ in _summarised(batch, at, shared.value):
                 yield batch.slice(start, len(seen)).filter(pa.array(_probability(seen, shared.value) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
