@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmatch.functions.storage import table
+from labelmatch.functions.storage import spread, table
 from labelmatch.operators import matching as M
 from labelmatch.operators.requests import dish_traits
 
@@ -29,7 +29,7 @@ _REQUEST = f"""struct(cast(n_nationkey as bigint) as request_id,
 
 
 def products(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").selectExpr(f"{_PRODUCT} as p").select("p.*").withColumn("aroma", F.array("a")).drop("a")
+    return spread(table(spark, d, "part")).selectExpr(f"{_PRODUCT} as p").select("p.*").withColumn("aroma", F.array("a")).drop("a")
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
