@@ -6,21 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelmatch.functions.storage import table
+from labelmatch.functions.storage import spread, table
 from labelmatch.llm import bpe, forest, langid, licenses, mixing, pii, pivots, simhash, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_suffixes": lambda spark, d: suffixes.op1_suffixes(table(spark, d, "documents")),
-        "op2_langid": lambda spark, d: langid.op2_langid(table(spark, d, "documents")),
-        "op3_simhash": lambda spark, d: simhash.op3_simhash(table(spark, d, "documents")),
+        "op1_suffixes": lambda spark, d: suffixes.op1_suffixes(spread(table(spark, d, "documents"))),
+        "op2_langid": lambda spark, d: langid.op2_langid(spread(table(spark, d, "documents"))),
+        "op3_simhash": lambda spark, d: simhash.op3_simhash(spread(table(spark, d, "documents"))),
         "op4_mixing": lambda spark, d: mixing.op4_mixing(table(spark, d, "documents")),
-        "op5_bpe": lambda spark, d: bpe.op5_bpe(table(spark, d, "documents")),
-        "op6_license": lambda spark, d: licenses.op6_license(table(spark, d, "documents")),
+        "op5_bpe": lambda spark, d: bpe.op5_bpe(spread(table(spark, d, "documents"))),
+        "op6_license": lambda spark, d: licenses.op6_license(spread(table(spark, d, "documents"))),
         "op7_near_embeddings": lambda spark, d: pivots.op7_near_embeddings(table(spark, d, "embeddings")),
-        "op8_toxicity": lambda spark, d: toxicity.op8_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
-        "op9_pii": lambda spark, d: pii.op9_pii(table(spark, d, "documents")),
+        "op8_toxicity": lambda spark, d: toxicity.op8_toxicity(spread(table(spark, d, "documents")), table(spark, d, "labels")),
+        "op9_pii": lambda spark, d: pii.op9_pii(spread(table(spark, d, "documents"))),
         "op10_nearest": lambda spark, d: forest.op10_nearest(table(spark, d, "embeddings")),
     }
 
