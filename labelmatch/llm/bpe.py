@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmatch.functions.storage import bucketed
-from labelmatch.llm.tokens import small_batches, trimmed
+from labelmatch.llm.tokens import trimmed
 
 #: Characters of text in a block; a longer document is a block of its own.
 BLOCK_CHARS = 8_000_000
@@ -173,7 +173,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     lists grow with the distinct words of the blocks, not with the product of blocks and buckets.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType
     schema = T.StructType().add("block", "long").add("bucket", "integer").add("first", "integer").add("data", "binary").add("ids", T.ArrayType(kind))

@@ -35,8 +35,9 @@ def n_tokens(text: Column) -> Column:
 
 
 def domain_of(source: Column) -> Column:
-    number = F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]+)$", 1)
-    return F.when(number == "", F.lit("none")).otherwise(F.concat(F.lit("d"), (number.cast("decimal(38,0)") % 4).cast("int").cast("string")))
+    """``d`` and the number at the end of the name mod 4, which its last two digits tell; ``none`` without a number."""
+    number = F.regexp_extract(F.coalesce(source, F.lit("")), r"([0-9]{1,2})\z", 1)
+    return F.when(number == "", F.lit("none")).otherwise(F.concat(F.lit("d"), (number.cast("int") % 4).cast("string")))
 
 
 def weight_of(key: Column, weights: dict[str, float], default: float = 1.0) -> Column:
@@ -152,8 +153,8 @@ def _case_sql(key: str, weights: dict[str, float]) -> str:
 def oracle_sql(documents: str = "documents") -> str:
     return rf"""
 WITH light AS (
-  SELECT doc_id, CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) = '' THEN 'none'
-      ELSE 'd' || (regexp_extract(source, '([0-9]+)$', 1)::HUGEINT % 4)::VARCHAR END AS domain,
+  SELECT doc_id, CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,2}})\z', 1) = '' THEN 'none'
+      ELSE 'd' || (regexp_extract(source, '([0-9]{{1,2}})\z', 1)::INT % 4)::VARCHAR END AS domain,
     coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n
   FROM {documents}),

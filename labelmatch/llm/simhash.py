@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from labelmatch.functions.storage import written
 from labelmatch.llm.lists import deal, sides, spanning, walk
-from labelmatch.llm.tokens import in_characters, small_batches, trimmed
+from labelmatch.llm.tokens import in_characters, trimmed
 from labelmatch.operators.components import connected_components
 
 SEED = 42
@@ -304,7 +304,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     group, repeated rows among them, one stays; a group of null ids keeps one; no rows give no rows; further columns
     are carried along; a text of any length is compared whole.
     """
-    small_batches(docs.sparkSession)
     row_key = lambda a, b: [F.xxhash64(F.lit(7), a, b).alias("k1"), F.xxhash64(F.lit(11), b, a).alias("k2")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), *row_key(F.col(id_col), F.col(text_col)))

@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
 
 
 def coded_blocks(batch: pa.RecordBatch, find: Callable[[str], list[str]], limit: int, text_at: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[str]]]:
@@ -47,22 +46,15 @@ def in_characters(batch: pa.RecordBatch, text_at: int, limit: int) -> Iterator[p
         at = stop
 
 
-#: Rows of texts that Spark hands to a Python task at once.
+#: Rows of a batch that an operator on texts works on at once.
 BATCH_ROWS = 2000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Set the session's Arrow batches to BATCH_ROWS rows at most: tasks and executors hold a few megabytes of texts at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
-
-
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the worker, which Spark keeps for later tasks, gives the memory it no longer uses back to the machine."""
+    """``run`` over slices of BATCH_ROWS rows, after which the worker, which Spark keeps for later tasks, gives the memory it no longer uses back to the machine."""
 
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, len(batch), BATCH_ROWS))
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
         if trim:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmatch.functions.storage import written
-from labelmatch.llm.tokens import coded_blocks, small_batches, trimmed
+from labelmatch.llm.tokens import coded_blocks, trimmed
 
 WORDS = r"[\p{L}\p{N}\p{M}]+"
 FEATURES = 1 << 18
@@ -308,7 +308,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts are scored as texts without words; repeated rows give repeated rows; no rows give no rows;
     further columns are ignored. A text of any length is scored whole: a longer one than BLOCK_CHARS is a block of its own.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
@@ -328,7 +327,6 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: flo
     Null and empty texts are scored as texts without words; of repeated rows all stay or all go; no rows give no
     rows; a text of any length is scored whole.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -402,3 +402,22 @@ def test_documents_with_one_header_are_all_learned_from(spark):
     model = toxicity.fit(docs, labels)
     got = {r.id: r.score >= 0.5 for r in toxicity.score(frame(spark, [(1, text("zwrxq")), (2, text())]), model).collect()}
     assert got == {1: True, 2: False}
+
+
+def test_mixing_takes_numbers_of_any_length(spark):
+    names = ["web", "7", "s" + "9" * 38, "s" + "9" * 39, "s" + "1" * 200, "s01\n", "x12y", None]
+    docs = spark.createDataFrame([(i, f"a b {i}", "en", s) for i, s in enumerate(names)], "doc_id long, text string, lang string, source string")
+    got = {r.source: r.d for r in docs.select("source", mixing.domain_of(F.col("source")).alias("d")).collect()}
+    want = {s: "none" if not (m := re.search(r"[0-9]+\Z", s or "")) else f"d{int(m[0]) % 4}" for s in names}
+    assert got == want
+    documents = docs.toArrow()  # noqa: F841 read by the SQL
+    rows = sorted(map(tuple, mixing.op4_mixing(docs).collect()))
+    assert rows == sorted(duckdb.sql(mixing.oracle_sql()).fetchall())
+
+
+def test_operators_leave_the_session_as_it_was(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))).collect()
+    assert spark.conf.get(name) == before
