@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from labelmatch.functions.storage import spread, table
-from labelmatch.llm import bpe, forest, langid, licenses, mixing, pii, pivots, simhash, suffixes, toxicity
+from labelmatch.llm import bpe, forest, langid, licenses, mixing, negatives, pii, pivots, simhash, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": lambda spark, d: toxicity.op8_toxicity(spread(table(spark, d, "documents")), table(spark, d, "labels")),
         "op9_pii": lambda spark, d: pii.op9_pii(spread(table(spark, d, "documents"))),
         "op10_nearest": lambda spark, d: forest.op10_nearest(table(spark, d, "embeddings")),
+        "op11_negatives": lambda spark, d: negatives.op11_negatives(table(spark, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.oracle_sql(), "op9_pii": pii.oracle_sql()}
+    return {"op4_mixing": mixing.oracle_sql(), "op9_pii": pii.oracle_sql(), "op11_negatives": negatives.oracle_sql()}

@@ -1,12 +1,14 @@
+import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from labelmatch.functions.storage import written
-from labelmatch.llm import forest, pivots
+from labelmatch.llm import forest, negatives, pivots
 from labelmatch.llm.vectors import norms
 from tests.llm.test_tokens_and_repeats import shingles
 
@@ -141,3 +143,62 @@ def test_pipeline_stages_with_odd_rows_and_empty_tables(spark, tmp_path):
             assert sorted(map(repr, ids["bpe"])) == sorted(map(repr, ids["mixing"]))
         else:
             assert all(not got for _, got in kept)
+
+
+def plain_negatives(rows, scale=256):
+    """op11's rows by comparing all with all, in Python's integers."""
+    good = []
+    for i, v, label, *_ in rows:
+        if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            good.append((i, (label + 1) % 10 if i % 7 == 0 else label, [math.floor(scale * float(np.float32(x))) for x in v]))
+    out = []
+    for i, label, v in good:
+        if i % 50:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, w)), j, other) for j, other, w in good if j != i)  # noqa: B905 the shorter ends in zeros
+        for p, j, _ in [s for s in scored if s[2] == label][:5]:
+            band = [(-n, q) for n, q, other in scored if other != label and 50 * -p <= 100 * -n <= 95 * -p][:3]
+            out += [(i, j, rank, q, -p, n) for rank, (n, q) in enumerate(band, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("anchors", "batch"), [(1024, 10_000), (3, 17)])
+def test_negatives_equal_brute_force(spark, cloud, monkeypatch, anchors, batch):
+    monkeypatch.setattr(negatives, "ANCHORS", anchors)
+    rows = [*cloud, (None, [1.0] * 16, 1, "", ""), (850, [], 1, "", ""), (900, [-3.0] * 16, 0, "", ""), (901, [-2.0] * 16, 0, "", ""), (902, [-2.5] * 16, 1, "", "")]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, batch)
+    try:
+        got = negatives.op11_negatives(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(map(tuple, got)) == plain_negatives(rows)
+
+
+def test_negatives_equal_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SMALL}/embeddings.parquet'")
+    want = con.sql(negatives.oracle_sql())
+    got = negatives.op11_negatives(spark.read.parquet(f"{SMALL}/embeddings.parquet"))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_negatives_edges(spark):
+    assert negatives.op11_negatives(spark.createDataFrame([], SCHEMA)).count() == 0
+    one = [(50, [1.0, 2.0], 1, "a", "b")] * 3  # repeated rows have no other row
+    assert negatives.op11_negatives(spark.createDataFrame(one, SCHEMA)).count() == 0
+    rows = [(50, [2.0], 1, "", ""), (50, [2.0], 1, "", ""), (51, [2.0], 1, "", ""), (51, [2.0], 1, "", ""), (52, [1.5], 2, "", ""), (52, [1.5], 2, "", "")]
+    got = sorted(map(tuple, negatives.op11_negatives(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert got == plain_negatives(rows) and len(got) == 8
+
+
+@pytest.mark.parametrize("top", [255, 1 << 20, 1 << 30, 1 << 40, (1 << 63) - 1])
+def test_packed_products_are_exact(top):
+    rng = random.Random(top)
+    rows = np.array([[rng.randint(-top, top) for _ in range(5)] for _ in range(40)] + [[-top] * 5, [top] * 5, [0] * 5], np.int64)
+    asked = [[rng.randint(-top, top) for _ in range(5)] for _ in range(20)] + [[top] * 5, [-top] * 5, [0] * 5]
+    packed = negatives.Fields(rows, min(map(min, asked)), max(map(max, asked)))
+    for a in asked:
+        want = [max(-negatives.TOP, min(negatives.TOP, sum(x * y for x, y in zip(a, r, strict=True)))) for r in rows.tolist()]
+        assert packed.scores(a).tolist() == want
