@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from labelmatch.functions.storage import spread, table
-from labelmatch.llm import bpe, forest, langid, lattice, licenses, mixing, negatives, pii, pivots, simhash, suffixes, toxicity
+from labelmatch.llm import alignment, bpe, forest, langid, lattice, licenses, mixing, negatives, pii, pivots, simhash, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_nearest": lambda spark, d: forest.op10_nearest(table(spark, d, "embeddings")),
         "op11_negatives": lambda spark, d: negatives.op11_negatives(table(spark, d, "embeddings")),
         "op12_lattice": lambda spark, d: lattice.op12_lattice(spread(table(spark, d, "documents"))),
+        "op13_alignment": lambda spark, d: alignment.op13_alignment(spread(table(spark, d, "documents"))),
     }
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -7,8 +8,11 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from labelmatch.llm import lattice
+from labelmatch.llm import alignment, lattice
 from tests.llm.test_tokens_and_repeats import frame
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -131,7 +135,108 @@ def test_pieces_learned_from_documents_predict_held_out_ones_better(spark):
     mixed = {i: " ".join("".join(rng.sample(w, len(w))) for w in t.split()) for i, t in texts.items() if t}
     worse = spark.createDataFrame([*((i + 1_000_000_000, t) for i, t in mixed.items())], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(worse)
-    from pyspark.sql import functions as F
-
     again = {r.id: r.score for r in lattice.score(both, weights, (F.col("doc_id") < 1_000_000_000) & (F.crc32(F.col("doc_id").cast("string")) % 10 != 0)).collect()}
     assert sum(again[i] > again[i + 1_000_000_000] for i in mixed if len(mixed[i].split()) > 5) > 0.98 * sum(len(t.split()) > 5 for t in mixed.values())
+
+
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def sides():
+    with open(PIECES, "rb") as file:
+        return alignment.Sides(alignment.read_byte_level(BYTE_LEVEL), public_tokenizers.PATTERN, file.read())
+
+
+def plain_tokens(texts):
+    """For each text the ids and bytes of both sides, by the tokenizers' own libraries over whole texts."""
+    first = Tokenizer.from_file(BYTE_LEVEL)
+    first.encode_special_tokens = True
+    second = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    letters = alignment.byte_letters()
+    out = []
+    for t in texts:
+        a = first.encode(" " + t, add_special_tokens=False).ids if t else []
+        b = second.encode([t], num_threads=1)[0] if t else []
+        bytes_a = [bytes(letters[c] for c in first.id_to_token(i)) for i in a]
+        bytes_b = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("\u2581", " ").encode() for p in map(second.id_to_piece, b)]
+        whole = (" " + (t or "")).encode()
+        out.append(([], [], [], []) if not t or b"".join(bytes_a) != whole or b"".join(bytes_b) != whole else (a, bytes_a, b, bytes_b))
+    return out
+
+
+def plain_alignment(rows):
+    counts, held = Counter(), []
+    for (i, _), (a, bytes_a, b, bytes_b) in zip(rows, plain_tokens([t for _, t in rows]), strict=True):
+        ends_a, ends_b = np.cumsum([len(x) for x in bytes_a]).tolist(), np.cumsum([len(x) for x in bytes_b]).tolist()
+        both = sorted({*ends_a} & {*ends_b})
+        links = [(a[ends_a.index(e)], b[ends_b.index(e)]) for e in both] if len(a) < 3000 else [(dict(zip(ends_a, a))[e], dict(zip(ends_b, b))[e]) for e in both]  # noqa: B905
+        counts.update(links)
+        groups, x, y = [], 0, 0
+        for e in both:
+            u, v = x, y
+            while x < len(a) and ends_a[x] <= e:
+                x += 1
+            while y < len(b) and ends_b[y] <= e:
+                y += 1
+            groups.append(",".join(map(str, a[u:x])) + "|" + ",".join(map(str, b[v:y])))
+        held.append((i, len(a), len(b), links, ";".join(groups)))
+    top = {}
+    for (_, y), n in counts.items():
+        top[y] = max(n, top.get(y, 0))
+    out = []
+    for i, n_a, n_b, links, groups in held:
+        sha = hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+        out.append((i, n_a, n_b, len(links), len(links), sum(counts[x] == top[x[1]] for x in links), sum(counts[x] for x in links), sha))
+    return out, counts, top
+
+
+ODD = ["a  b", "  a", " a ", "a   ", " ", "   ", "a\nb", "\ufb01\u2460", "a\x00b", "\t x", "<s> </s> <|endoftext|> <unk>", "a\u2581b", "\u3000x", "\u00e9 e\u0301", "\ufeffx", "\U0001f600 \U0001f600", "<0x41>", "it's they've", "1234 56 789"]
+
+
+@pytest.mark.parametrize(("block", "fan", "frame", "kept"), [(4_000_000, 64, 4096, 300_000), (3000, 2, 7, 50)])
+def test_alignment_equals_brute_force(spark, prose, monkeypatch, block, fan, frame, kept):
+    for name, value in (("BLOCK_BYTES", block), ("FAN", fan), ("FRAME", frame), ("KEPT", kept)):
+        monkeypatch.setattr(alignment, name, value)
+    rows = [*prose, *((500 + i, t) for i, t in enumerate(ODD)), (None, "the end"), (7, "again the"), (7, "again the")]
+    want, counts, top = plain_alignment(rows)
+    got = alignment.op13_alignment(frame_of(spark, rows))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def frame_of(spark, rows):
+    return frame(spark, rows).repartition(3)
+
+
+def test_pairs_and_texts_of_groups(spark, prose):
+    rows = prose[:30]
+    want, counts, top = plain_alignment(rows)
+    docs = frame(spark, rows)
+    blocks = alignment.blocks_of(docs, BYTE_LEVEL, PIECES, public_tokenizers.PATTERN)
+    counted = alignment.count_pairs(blocks.where("radix >= 0").select("radix", "block", "frames"), blocks.where("radix < 0").count())
+    got = {(r.a, r.b): (r.n, r.best) for r in alignment.pairs_of(counted).collect()}
+    assert got == {(a, b): (n, n == top[b]) for (a, b), n in counts.items()}
+    texts = {r.id: r.groups for r in alignment.alignment(docs, BYTE_LEVEL, PIECES, public_tokenizers.PATTERN).collect()}
+    assert {i: hashlib.sha256(t.encode()).hexdigest() if t else "" for i, t in texts.items()} == {w[0]: w[-1] for w in want}
+    assert alignment.op13_alignment(docs.where("false")).count() == 0
+
+
+def test_tokens_of_stretches_equal_those_of_whole_texts(sides):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["the", "Haus", " ", "  ", "\n", "a", "\u00e9", "\u2581", "x.y", "\t", "12", "\U0001f600"]) for _ in range(rng.randrange(1, 40))) for _ in range(3000)] + ODD
+    (ids_a, _, n_a), (ids_b, _, n_b) = alignment.align(texts, sides)
+    at_a, at_b = np.cumsum(n_a), np.cumsum(n_b)
+    for i, (a, _, b, _) in enumerate(plain_tokens(texts)):
+        assert ids_a[at_a[i] - n_a[i] : at_a[i]].tolist() == a and ids_b[at_b[i] - n_b[i] : at_b[i]].tolist() == b, texts[i]
+
+
+def test_merged_runs_are_the_sums():
+    rng = np.random.default_rng(3)
+    runs, want = [], Counter()
+    for _ in range(9):
+        keys = np.unique(rng.integers(0, 1 << 60, 3)[rng.integers(0, 3, 50)] + rng.integers(0, 2000, 50))
+        n = rng.integers(1, 50, len(keys))
+        runs.append(alignment._pack(keys, n))
+        for k, m in zip(keys.tolist(), n.tolist(), strict=True):
+            want[k] += m
+    assert list(alignment.merged(runs)) == sorted(want.items())
