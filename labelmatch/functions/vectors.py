@@ -1,4 +1,4 @@
-"""Vectors as columns, and similarity of all queries with all references in blocks."""
+"""Vectors as columns."""
 
 from __future__ import annotations
 
@@ -9,13 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmatch.functions.storage import written
-
-#: Vectors in a block, at most; a part of fewer rows is one block.
-BLOCK = 2048
-#: Bytes of packed vectors up to which the blocks of one side are broadcast; beyond, blocks are paired by partitions.
-MAX_BROADCAST = 64 << 20
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -70,43 +63,3 @@ def unit_rows(column: pa.Array) -> np.ndarray:
     """A list column of vectors of one length as a matrix of unit rows."""
     rows = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-
-
-def _pack(df: DataFrame, id_col: str, group_col: str, vec: str, name: str) -> DataFrame:
-    """Rows of up to BLOCK vectors: ids, groups, and a matrix of unit rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            for at in range(0, len(part), BLOCK):
-                piece = part.slice(at, BLOCK)
-                rows = unit_rows(piece.column(2))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([piece.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([piece.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([rows.tobytes()], pa.binary())],
-                    names=[f"{name}_ids", f"{name}_groups", f"{name}_rows"],
-                )
-
-    source = df.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(group_col).cast("long").alias("g"), F.col(vec).alias("v"))
-    return source.mapInArrow(run, f"{name}_ids array<long>, {name}_groups array<long>, {name}_rows binary")
-
-
-def in_blocks(left: DataFrame, right: DataFrame, pick: Callable, schema: str, left_cols: tuple[str, str, str], right_cols: tuple[str, str, str]) -> DataFrame:
-    """``pick(left ids, left groups, right ids, right groups, similarities)`` for each pair of blocks.
-
-    Columns are (id, group, vector). The pairing is between blocks, a few thousand vectors each; ``pick`` returns
-    arrays for ``schema`` and should keep little of the block's product. The packed blocks are written once; those of the
-    left side are broadcast if their bytes are within MAX_BROADCAST.
-    """
-    blocks, others = written(_pack(left, *left_cols, "l"), "left-blocks"), written(_pack(right, *right_cols, "r"), "right-blocks")
-    size = blocks.agg(F.coalesce(F.sum(F.length("l_rows")), F.lit(0))).first()[0]
-    pairs = others.crossJoin(F.broadcast(blocks)) if size <= MAX_BROADCAST else others.hint("shuffle_replicate_nl").crossJoin(blocks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                a = np.frombuffer(row["l_rows"]).reshape(len(row["l_ids"]), -1)
-                b = np.frombuffer(row["r_rows"]).reshape(len(row["r_ids"]), -1)
-                found = pick(np.array(row["l_ids"]), np.array(row["l_groups"]), np.array(row["r_ids"]), np.array(row["r_groups"]), a @ b.T)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
-
-    names = [part.split()[0] for part in schema.split(", ")]
-    return pairs.mapInArrow(run, schema)

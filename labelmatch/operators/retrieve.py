@@ -1,13 +1,17 @@
 """Exact nearest neighbours of all queries: best vector a product, votes, scopes, similarities.
 
-``queries(query_id, vec)`` and ``refs(vector_id, product_id, vec)``; ids are longs. Blocks of queries
-meet blocks of references; each pair of blocks keeps the best vector of each product, so what is
-shuffled is one row for each query, product and block at most.
+``queries(query_id, vec)`` and ``refs(vector_id, product_id, vec)``; ids are longs. References lie in cells around some of
+them. In a first round each query visits the nearest cells, whose vectors give a distance that its k-th best can't exceed;
+in a second one only the cells that can hold something within that distance. Each visit keeps the best vector of each
+product, so what is shuffled is one row for each query, product and visited piece at most.
+
+Queries and references with null ids or vectors, or null or non-finite components, and those of another length than the longest
+references', take no part (``check_dimension`` finds them).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +19,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelmatch.functions.cells import Cells
 from labelmatch.functions.storage import written
-from labelmatch.functions.vectors import in_blocks, unit_rows
+from labelmatch.functions.vectors import unit_rows
+
 
-_Q, _R = ("query_id", "query_id", "vec"), ("vector_id", "product_id", "vec")
+def _open(q_ids, bounds, v_ids, sims):
+    """Similarities without a query's own vector and what lies beyond its bound."""
+    out = (q_ids[:, None] == v_ids[None, :]) | (1 - sims > np.where(np.isnan(bounds), np.inf, bounds + 1e-9)[:, None])
+    return np.where(out, -np.inf, sims)
 
 
-def _best_in_block(q_ids, _, v_ids, products, sims):
-    """The nearest vector of each product for each query, ties to the smaller vector id; a query's own vector is left out."""
-    sims = np.where(q_ids[:, None] == v_ids[None, :], -np.inf, sims)
+def _best_in_cell(_, q_ids, __, bounds, v_ids, products, sims):
+    """The nearest vector of each product for each query, ties to the smaller vector id."""
+    sims = _open(q_ids, bounds, v_ids, sims)
     order = np.lexsort((v_ids, products))
     products, v_ids, sims = products[order], v_ids[order], sims[:, order]
     starts = np.flatnonzero(np.append(True, products[1:] != products[:-1]))
@@ -37,11 +46,11 @@ def _best_in_block(q_ids, _, v_ids, products, sims):
 _FOUND = "query_id long, product_id long, vector_id long, distance double"
 
 
-def _nearest_in_block(pool: int):
-    """The ``pool`` nearest vectors of each query, ties to the smaller vector id; a query's own vector is left out."""
+def _nearest_in_cell(pool: int):
+    """The ``pool`` nearest vectors of each query, ties to the smaller vector id."""
 
-    def pick(q_ids, _, v_ids, products, sims):
-        sims = np.where(q_ids[:, None] == v_ids[None, :], -np.inf, sims)
+    def pick(_, q_ids, __, bounds, v_ids, products, sims):
+        sims = _open(q_ids, bounds, v_ids, sims)
         order = np.lexsort((np.broadcast_to(v_ids, sims.shape), -sims), axis=1)[:, :pool]
         q = np.repeat(np.arange(len(q_ids)), order.shape[1])
         v = order.reshape(-1)
@@ -57,9 +66,35 @@ def _best(found: DataFrame) -> DataFrame:
     return found.groupBy("query_id", "product_id").agg(best).select("query_id", "product_id", "best.vector_id", "best.distance")
 
 
+class Search:
+    """Queries against the cells of ``refs``."""
+
+    def __init__(self, queries: DataFrame, refs: DataFrame):
+        self.cells = Cells(refs, "vector_id", "product_id", "vec")
+        self.asked = queries.select(F.col("query_id").cast("long").alias("id"), F.lit(-1).alias("grp"), F.lit(None).cast("double").alias("bound"), "vec")
+
+    def rounds(self, need: int, bounds_of: Callable[[DataFrame], DataFrame], pick: Callable, schema: str) -> tuple[DataFrame, DataFrame]:
+        """The visits of the second round, and what both rounds found; ``bounds_of`` what the first one found is ``(query_id, bound)``."""
+        first = written(self.cells.meet(self.cells.visits(self.asked, need=need), pick, schema), "first-round")
+        bounds = bounds_of(first).select(F.col("query_id").alias("id"), "bound")
+        visits = self.cells.visits(self.asked.drop("bound").join(bounds, "id", "left"), beyond=need)
+        return visits, first.unionByName(self.cells.meet(visits, pick, schema))
+
+
+def _kth(found: DataFrame, k: int) -> DataFrame:
+    """``(query_id, bound)``: the distance of the last of ``found``'s k rows; null where there are fewer."""
+    return found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("bound"))
+
+
+def _room(k: int) -> int:
+    """Vectors in the cells of the first round: enough for k products in most cases."""
+    return 8 * k + 64
+
+
 def best_per_product(queries: DataFrame, refs: DataFrame) -> DataFrame:
-    """``(query_id, product_id, vector_id, distance)``: the nearest vector of each product."""
-    return _best(in_blocks(queries, refs, _best_in_block, _FOUND, _Q, _R))
+    """``(query_id, product_id, vector_id, distance)``: the nearest vector of each product, whatever its distance."""
+    search = Search(queries, refs)
+    return _best(search.cells.meet(search.cells.visits(search.asked), _best_in_cell, _FOUND))
 
 
 def top(df: DataFrame, k: int, *order) -> DataFrame:
@@ -70,15 +105,29 @@ def top(df: DataFrame, k: int, *order) -> DataFrame:
 
 def nearest_products(queries: DataFrame, refs: DataFrame, k: int, without: DataFrame | None = None) -> DataFrame:
     """The ``k`` nearest products, each by its nearest vector; ties to the smaller product id; those of ``without(query_id, product_id)`` are left out."""
-    best = best_per_product(queries, refs)
-    if without is not None:
-        best = best.join(without, ["query_id", "product_id"], "left_anti")
-    return top(best, k, "distance", "product_id")
+
+    def first(found: DataFrame) -> DataFrame:
+        best = _best(found)
+        if without is not None:
+            best = best.join(without, ["query_id", "product_id"], "left_anti")
+        return top(best, k, "distance", "product_id")
+
+    return first(Search(queries, refs).rounds(_room(k), lambda found: _kth(first(found), k), _best_in_cell, _FOUND)[1])
+
+
+def cells_visited(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """``(query_id, first, second, cells)``: how many cells each query visits for its ``k`` nearest products, of how many."""
+    search = Search(queries, refs)
+    second, _ = search.rounds(_room(k), lambda found: _kth(top(_best(found), k, "distance", "product_id"), k), _best_in_cell, _FOUND)
+    count = lambda visits, name: visits.groupBy(F.col("id").alias("query_id")).agg(F.countDistinct("cell").alias(name))
+    both = count(search.cells.visits(search.asked, need=_room(k)), "first").join(count(second, "second"), "query_id", "full")
+    return both.select("query_id", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("second", F.lit(0)).alias("second"), F.lit(int((search.cells.sizes > 0).sum())).cast("long").alias("cells"))
 
 
 def nearest_vectors(queries: DataFrame, refs: DataFrame, pool: int) -> DataFrame:
     """The ``pool`` nearest vectors of each query, whatever their products."""
-    return top(in_blocks(queries, refs, _nearest_in_block(pool), _FOUND, _Q, _R), pool, "distance", "vector_id")
+    first = lambda found: top(found, pool, "distance", "vector_id")
+    return first(Search(queries, refs).rounds(_room(pool), lambda found: _kth(first(found), pool), _nearest_in_cell(pool), _FOUND)[1])
 
 
 def _votes(pool: DataFrame) -> DataFrame:
@@ -99,15 +148,22 @@ def nearest_with_votes(queries: DataFrame, refs: DataFrame, k: int, pool: int, s
     if scope is not None:
         refs = refs.join(scope.select("product_id").distinct(), "product_id", "left_semi")
 
-    def pick(q_ids, groups, v_ids, products, sims):
+    def pick(*found):
         """Both in one pass: a vector that is the best of its product and among the nearest is there twice."""
-        near, best = _nearest_in_block(pool)(q_ids, groups, v_ids, products, sims), _best_in_block(q_ids, groups, v_ids, products, sims)
+        near, best = _nearest_in_cell(pool)(*found), _best_in_cell(*found)
         return [np.concatenate(x) for x in zip((*near, np.ones(len(near[0]), bool)), (*best, np.zeros(len(best[0]), bool)), strict=True)]
 
-    found = written(in_blocks(queries, refs, pick, f"{_FOUND}, near boolean", _Q, _R), "votes")
-    votes = _votes(top(found.where("near"), pool, "distance", "vector_id")).select("query_id", "product_id", "votes")
-    ranked = top(_best(found), k, "distance", "product_id").join(votes, ["query_id", "product_id"], "left")
-    return ranked.withColumn("votes", F.coalesce("votes", F.lit(1)))
+    pooled = lambda found: top(found.where("near"), pool, "distance", "vector_id")
+    ranked = lambda found: top(_best(found), k, "distance", "product_id")
+
+    def bounds(found: DataFrame) -> DataFrame:
+        """The farther of the last product and the last vector of the pool; none unless there are enough of both."""
+        both = _kth(ranked(found), k).withColumnRenamed("bound", "a").join(_kth(pooled(found), pool).withColumnRenamed("bound", "b"), "query_id")
+        return both.select("query_id", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.greatest("a", "b")).alias("bound"))
+
+    found = written(Search(queries, refs).rounds(_room(max(k, pool)), bounds, pick, f"{_FOUND}, near boolean")[1], "votes")
+    votes = _votes(pooled(found)).select("query_id", "product_id", "votes")
+    return ranked(found).join(votes, ["query_id", "product_id"], "left").withColumn("votes", F.coalesce("votes", F.lit(1)))
 
 
 def max_similarity_by_product(queries: DataFrame, refs: DataFrame, candidates: DataFrame, shared: list[str] | None = None, own: list[str] | None = None) -> DataFrame:

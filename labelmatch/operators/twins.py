@@ -7,32 +7,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelmatch import config as C
-from labelmatch.functions.vectors import in_blocks
+from labelmatch.functions.cells import Cells, usable
+from labelmatch.functions.storage import written
 from labelmatch.operators.components import connected_components
 
 
-def similar_pairs(refs: DataFrame, least: float) -> DataFrame:
-    """``refs(product_id, vec)`` -> ``(p1, p2, similarity)`` with p1 < p2 and similarity >= least, exact, block by block."""
+def _close(cell, own_ids, own_cells, ids, sims, least):
+    """Which pairs of a visit are similar enough; within a cell each pair is met once, from the smaller id, and a row of the same id is no partner."""
+    once = np.where((own_cells == cell)[:, None], own_ids[:, None] < ids[None, :], own_ids[:, None] != ids[None, :])
+    return (sims >= least) & once
 
-    def pick(a_ids, _, b_ids, __, sims):
-        i, j = np.nonzero((sims >= least) & (a_ids[:, None] < b_ids[None, :]))
-        return a_ids[i], b_ids[j], sims[i, j]
 
-    cols = ("product_id", "product_id", "vec")
-    return in_blocks(refs, refs, pick, "p1 long, p2 long, similarity double", cols, cols)
+def _visits(cells: Cells, least: float) -> DataFrame:
+    """Each vector visits the cells from its own on that can hold one of the similarity."""
+    return cells.visits(cells.rows.select("id", F.col("cell").alias("grp"), F.lit(1 - least).alias("bound"), "vec"))
+
+
+def _cells(refs: DataFrame) -> Cells:
+    return Cells(refs.where(F.exists("vec", lambda x: x != 0)), "product_id", "product_id", "vec")
+
+
+def similar_pairs(refs: DataFrame, least: float, most: int | None = None) -> DataFrame:
+    """``refs(product_id, vec)`` -> ``(p1, p2, similarity)`` with p1 < p2 and similarity >= least, exact; by the triangle inequality cells without such pairs are skipped.
+
+    With ``most``, pairs of a visit that can't be among so many most similar ones are left out. Null ids and vectors, and
+    those with null or non-finite components or zeros only, have no pairs.
+    """
+
+    def pick(cell, own_ids, own_cells, _, ids, __, sims):
+        i, j = np.nonzero(_close(cell, own_ids, own_cells, ids, sims, least))
+        values = sims[i, j]
+        if most is not None and len(values) > most:
+            kept = np.flatnonzero(values >= np.partition(values, -most)[-most])
+            i, j, values = i[kept], j[kept], values[kept]
+        return np.minimum(own_ids[i], ids[j]), np.maximum(own_ids[i], ids[j]), values
+
+    cells = _cells(refs)
+    return cells.meet(_visits(cells, least), pick, "p1 long, p2 long, similarity double")
+
+
+def spanning(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``mask`` that connect the rows and columns which all of its places connect, without a ring."""
+    rows, cols = mask.any(axis=1), mask.any(axis=0)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while rows.any():
+        front = np.flatnonzero(rows)[:1]
+        rows[front] = False
+        while len(front):
+            new = np.flatnonzero(cols & mask[front].any(axis=0))
+            a.append(front[mask[np.ix_(front, new)].argmax(axis=0)])
+            b.append(new)
+            cols[new] = False
+            front = np.flatnonzero(rows & mask[:, new].any(axis=1))
+            a.append(front)
+            b.append(new[mask[np.ix_(front, new)].argmax(axis=1)] if len(front) else new[:0])
+            rows[front] = False
+    return np.concatenate(a), np.concatenate(b)
+
+
+def linking_pairs(refs: DataFrame, least: float) -> DataFrame:
+    """Some of ``similar_pairs``: enough to connect all that these connect, and the most similar one of each product.
+
+    Products of equal vectors are one vector, its copies linked to the smallest of them: k copies give k - 1 pairs. A visit
+    gives pairs without rings, and each vector's most similar partner, so no more than three for each of its vectors.
+    """
+
+    def pick(cell, own_ids, own_cells, _, ids, __, sims):
+        mask = _close(cell, own_ids, own_cells, ids, sims, least)
+        i, j = spanning(mask)
+        best = np.where(mask, sims, -np.inf)
+        u, v = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
+        if len(u):
+            i, j = np.concatenate([i, u, best[:, v].argmax(axis=0)]), np.concatenate([j, best[u].argmax(axis=1), v])
+        return np.minimum(own_ids[i], ids[j]), np.maximum(own_ids[i], ids[j]), sims[i, j]
+
+    known = usable(refs.select(F.col("product_id").cast("long").alias("product_id"), F.col("vec").cast("array<double>").alias("vec")), "vec", "product_id").where(F.exists("vec", lambda x: x != 0))
+    first = written(known.groupBy("vec").agg(F.min("product_id").alias("first"), F.count("*").alias("n")), "twin-vectors")
+    copies = known.join(first.where("n > 1"), "vec").where("product_id <> first").select(F.col("first").alias("p1"), F.col("product_id").alias("p2"), F.lit(1.0).alias("similarity"))
+    cells = _cells(first.select(F.col("first").alias("product_id"), "vec"))
+    return cells.meet(_visits(cells, least), pick, "p1 long, p2 long, similarity double").unionByName(copies)
+
+
+def cells_skipped(refs: DataFrame, least: float) -> DataFrame:
+    """``(vectors, cells, visits, skipped)``: of all vectors with the cells from their own on, how many visits the triangle inequality leaves, and the share it spares."""
+    cells = _cells(refs)
+    made = _visits(cells, least).agg(F.count("*").alias("visits"))
+    number = np.arange(len(cells.sizes))
+    every = int((cells.sizes * np.array([cells.pieces[c:].sum() for c in number])).sum())
+    return made.select(F.lit(int(cells.sizes.sum())).alias("vectors"), F.lit(int((cells.sizes > 0).sum())).alias("cells"), "visits", (1 - F.col("visits") / max(1, every)).alias("skipped"))
 
 
 def twin_pairs(refs: DataFrame, least: float = C.TWIN_SIMILARITY, limit: int = C.TWIN_LIMIT) -> DataFrame:
     """The ``limit`` most similar pairs, ties by their ids."""
     if not 0 < least <= 0.999 or not 10 <= limit <= 5000:
         raise ValueError("least must be in (0, 0.999], limit 10 to 5000")
-    return similar_pairs(refs, least).orderBy(F.desc("similarity"), "p1", "p2").limit(limit)
+    return similar_pairs(refs, least, limit).orderBy(F.desc("similarity"), "p1", "p2").limit(limit)
 
 
 def twin_clusters(pairs: DataFrame, products: DataFrame) -> DataFrame:
     """Connected products: ``(cluster_id, size, max_similarity, manufacturer, members)``.
 
-    The id is the smallest member. Members without a product are dropped, then clusters below two.
+    ``pairs`` need only connect each cluster and hold its most similar pair (``linking_pairs``). The id is the smallest member. Members without a product are dropped, then clusters below two.
     The manufacturer is the one most members share, ties to the first by name; members are in order of title.
     """
     parts = connected_components(pairs.select(F.col("p1").alias("u"), F.col("p2").alias("v")))
@@ -46,6 +121,13 @@ def twin_clusters(pairs: DataFrame, products: DataFrame) -> DataFrame:
     return joined.select(F.col("component").alias("cluster_id"), "size", top.alias("max_similarity"), F.coalesce("m.manufacturer", F.lit("unknown")).alias("manufacturer"), "members")
 
 
+def twin_members(pairs: DataFrame, products: DataFrame) -> DataFrame:
+    """``(cluster_id, product_id, title, manufacturer)``, a row for each member of a cluster of two or more: no cluster is gathered."""
+    known = connected_components(pairs.select(F.col("p1").alias("u"), F.col("p2").alias("v"))).join(products.select(F.col("product_id").alias("node"), "title", "manufacturer"), "node")
+    large = known.groupBy("component").count().where("count >= 2").select("component")
+    return known.join(large, "component").select(F.col("component").alias("cluster_id"), F.col("node").alias("product_id"), "title", "manufacturer")
+
+
 def near_duplicate_audit(refs: DataFrame, products: DataFrame, least: float = C.AUDIT_SIMILARITY) -> DataFrame:
     """All pairs at or above ``least`` of each product's first vector, with whether they share a manufacturer."""
     first = refs.groupBy("product_id").agg(F.min(F.struct("vector_id", "vec")).alias("v")).select("product_id", "v.vec")

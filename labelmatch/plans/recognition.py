@@ -115,10 +115,23 @@ def twin_pairs(spark: SparkSession, d: str) -> DataFrame:
 def twin_clusters(spark: SparkSession, d: str) -> DataFrame:
     from labelmatch.functions.storage import written
 
-    pairs = written(twins.similar_pairs(twin_refs(spark, d), TWINS), "twin-pairs")  # all of them: LIMIT is the report's
+    pairs = written(twins.linking_pairs(twin_refs(spark, d), TWINS), "twin-pairs")  # without LIMIT, which is the report's
     return twins.twin_clusters(pairs, twin_products(spark, d))
 
 
+def twin_members(spark: SparkSession, d: str) -> DataFrame:
+    return twins.twin_members(twins.linking_pairs(twin_refs(spark, d), TWINS), twin_products(spark, d))
+
+
+def cells_visited(spark: SparkSession, d: str) -> DataFrame:
+    rows = refs(spark, d)
+    return retrieve.cells_visited(queries_of(rows), rows, K)
+
+
+def cells_skipped(spark: SparkSession, d: str) -> DataFrame:
+    return twins.cells_skipped(twin_refs(spark, d), TWINS)
+
+
 def near_duplicate_audit(spark: SparkSession, d: str) -> DataFrame:
     out = twins.near_duplicate_audit(twin_refs(spark, d), twin_products(spark, d), AUDIT)
     return out.select("p1", "p2", "title1", "title2", "same_manufacturer", F.round("similarity", 6).alias("similarity"))
@@ -240,6 +253,9 @@ SQL = {
   makers AS (SELECT c, m, count(*) AS n FROM known GROUP BY ALL), maker AS (SELECT c, m FROM makers QUALIFY row_number() OVER (PARTITION BY c ORDER BY n DESC, m) = 1), best AS (SELECT c, max(s) AS s FROM top JOIN comp ON node = p1 GROUP BY c)
   SELECT k.c AS cluster_id, count(*) AS size, round(least(1.0, greatest(0.0, any_value(best.s))), 4) AS max_similarity, any_value(maker.m) AS manufacturer, string_agg(node::VARCHAR, ',' ORDER BY title, node) AS members
   FROM known k JOIN best USING (c) JOIN maker USING (c) GROUP BY k.c HAVING count(*) >= 2""",
+    "twin_members": f"""WITH RECURSIVE {_TWINS}, edges AS (SELECT p1 AS u, p2 AS v FROM top UNION SELECT p2, p1 FROM top), reach AS (SELECT u, v FROM edges UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u),
+  comp AS (SELECT u AS node, least(u, min(v)) AS c FROM reach GROUP BY u)
+  SELECT c AS cluster_id, node AS product_id, p_name AS title, p_brand AS manufacturer FROM comp JOIN part ON p_partkey = node QUALIFY count(*) OVER (PARTITION BY c) >= 2""",
     "near_duplicate_audit": f"""WITH {_E}, {_PAIRS} SELECT p1, p2, a.p_name AS title1, b.p_name AS title2, a.p_brand IS NOT DISTINCT FROM b.p_brand AS same_manufacturer, round(s, 6) AS similarity
   FROM pairs JOIN part a ON a.p_partkey = p1 JOIN part b ON b.p_partkey = p2 WHERE s >= {AUDIT}""",
     "hit_at_1": f"""WITH {_E}, {_near("", 1)}, {_TRUTH}, l AS (SELECT *, floor(dist * 1000)::BIGINT AS ms FROM near) SELECT count(*) AS total, count(*) FILTER (product_id = expected) AS correct, round(avg(ms), 4) AS avg_ms, min(ms) AS min_ms, max(ms) AS max_ms
@@ -268,4 +284,4 @@ SQL = {
   SELECT query_id, product_id, rk::INT AS rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN first >= 0.35 THEN -ev ELSE 0 END, rk)::INT AS new_rank, round(ev::DECIMAL(18, 9), 6)::DOUBLE AS evidence FROM t""",
 }
 
-QUERIES = {f.__name__: f for f in (nearest_products, average_views, votes_pool, votes_scoped, max_similarity, fusion_rank, cascade_answers, predict_top1, twin_pairs, twin_clusters, near_duplicate_audit, approx_twin_pairs, hit_at_1, recall_at_pool, recognition_report, diff_runs, calibrate, confusable_pairs, text_rerank, evidence_rerank)}
+QUERIES = {f.__name__: f for f in (nearest_products, average_views, votes_pool, votes_scoped, max_similarity, fusion_rank, cascade_answers, predict_top1, twin_pairs, twin_clusters, twin_members, cells_visited, cells_skipped, near_duplicate_audit, approx_twin_pairs, hit_at_1, recall_at_pool, recognition_report, diff_runs, calibrate, confusable_pairs, text_rerank, evidence_rerank)}

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +113,101 @@ def test_clusters_are_built_from_all_pairs(spark, tmp_path):
     spark.createDataFrame([(i, f"n{i:03}", "m") for i, _ in rows], "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
     got = {r.cluster_id: r["size"] for r in recognition.twin_clusters(spark, str(tmp_path)).collect()}
     assert got == {0: 70, 100: 2}
+
+
+def groups_of_vectors(n_groups, each, dim=12, width=0.05, seed=5):
+    """Vectors close to a few directions, exact copies, a zero vector and odd rows among them, as (id, vec)."""
+    rng = np.random.default_rng(seed)
+    centers = rng.standard_normal((n_groups, dim))
+    rows = [c + rng.standard_normal(dim) * width for c in centers for _ in range(each)]
+    rows += [rows[0]] * 6
+    data = [(i, [float(x) for x in r]) for i, r in enumerate(rows)]
+    return data, [(5000, [0.0] * dim), (5001, None), (None, [1.0] * dim), (5002, [float("nan")] * dim), (5003, [1.0, 2.0]), (5004, [None] * dim)]
+
+
+def plain_pairs(data, least):
+    unit = np.array([v for _, v in data])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    return {(data[i][0], data[j][0]): sims[i, j] for i, j in zip(*np.nonzero(np.triu(sims >= least, 1)), strict=True)}
+
+
+@pytest.mark.parametrize("piece", [2048, 7])
+def test_twins_skip_cells_and_miss_no_pair(spark, monkeypatch, piece):
+    from labelmatch.functions import cells
+
+    monkeypatch.setattr(cells, "PIECE", piece)
+    data, odd = groups_of_vectors(8, 60)
+    refs = spark.createDataFrame(data + odd, "product_id long, vec array<double>").repartition(3)
+    want = plain_pairs(data, 0.97)
+    got = [(r.p1, r.p2, r.similarity) for r in twins.similar_pairs(refs, 0.97).collect()]
+    assert len(got) == len(want) and {(a, b): pytest.approx(s) for a, b, s in got} == want
+    told = twins.cells_skipped(refs, 0.97).first()
+    assert told.vectors == len(data) and told.skipped > 0.5
+    best = sorted(want.items(), key=lambda x: (-round(x[1], 9), x[0]))[:50]
+    assert sorted(round(r.similarity, 9) for r in twins.twin_pairs(refs, 0.97, 50).collect()) == sorted(round(s, 9) for _, s in best)
+    few = {(r.p1, r.p2): r.similarity for r in twins.linking_pairs(refs, 0.97).collect()}
+    assert few.keys() <= want.keys() and len(few) < 0.6 * len(want)
+    edges = lambda pairs: spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "u long, v long")
+    parts = [{r.node: r.component for r in connected_components(edges(p)).collect()} for p in (few, want)]
+    assert parts[0] == parts[1]
+    for c in set(parts[1].values()):
+        assert max(s for (a, _), s in few.items() if parts[1][a] == c) == pytest.approx(max(s for (a, _), s in want.items() if parts[1][a] == c))
+
+
+def test_copies_are_linked_once(spark):
+    refs = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)] + [(100, [2.0, -1.0])], "product_id long, vec array<double>")
+    assert sorted((r.p1, r.p2) for r in twins.linking_pairs(refs, 0.9).collect()) == [(0, i) for i in range(1, 40)]
+    names = spark.createDataFrame([(i, "t", "m") for i in range(39)], "product_id long, title string, manufacturer string")
+    assert sorted((r.cluster_id, r.product_id) for r in twins.twin_members(twins.linking_pairs(refs, 0.9), names).collect()) == [(0, i) for i in range(39)]
+
+
+def test_spanning_places_connect_what_all_do():
+    rng = np.random.default_rng(1)
+    for density in (0.01, 0.05, 0.3, 1.0):
+        mask = rng.random((30, 40)) < density
+        i, j = twins.spanning(mask)
+        assert mask[i, j].all()
+
+        def parts(a, b):
+            root = list(range(70))
+            for u, v in zip(a.tolist(), (b + 30).tolist(), strict=True):
+                x, y = root[u], root[v]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+            return root
+
+        every = parts(*np.nonzero(mask))
+        assert parts(i, j) == every and len(i) == 70 - len(set(every))
+
+
+@pytest.mark.parametrize("piece", [2048, 7])
+def test_two_rounds_find_the_nearest_and_spare_cells(spark, monkeypatch, piece):
+    from labelmatch.functions import cells
+
+    monkeypatch.setattr(cells, "PIECE", piece)
+    data, odd = groups_of_vectors(8, 60, width=0.2)
+    refs = spark.createDataFrame([(i, None if i is None else i % 37, v) for i, v in data + odd], "vector_id long, product_id long, vec array<double>")
+    queries = refs.where("vector_id % 9 = 0 or vector_id is null").select(F.col("vector_id").alias("query_id"), "vec")
+    unit = np.array([v for _, v in data])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    away = {i: 1 - unit @ unit[i] for i in range(0, len(data), 9)}
+
+    def plain(i, k, left_out=()):
+        best = {}
+        for j, d in enumerate(away[i].tolist()):
+            if j != i and j % 37 not in left_out:
+                best[j % 37] = min(best.get(j % 37, (9,)), (d, j))
+        best.setdefault(5000 % 37, (1.0, 5000))  # the zero vector
+        return sorted((round(d, 9), p) for p, (d, _) in best.items())[:k]
+
+    listed = lambda rows: {q: sorted((round(r.distance, 9), r.product_id) for r in rows if r.query_id == q) for q in {r.query_id for r in rows}}
+    assert listed(retrieve.nearest_products(queries, refs, 3).collect()) == {i: plain(i, 3) for i in away}
+    without = spark.createDataFrame([(i, i % 37) for i in away], "query_id long, product_id long")
+    assert listed(retrieve.nearest_products(queries, refs, 3, without).collect()) == {i: plain(i, 3, {i % 37}) for i in away}
+    pool = retrieve.nearest_vectors(queries, refs, 5).collect()
+    assert {q: [round(r.distance, 9) for r in sorted(pool, key=lambda r: r["rank"]) if r.query_id == q] for q in away} == {i: sorted(round(d, 9) for j, d in enumerate(away[i].tolist()) if j != i)[:5] for i in away}
+    votes = retrieve.nearest_with_votes(queries, refs, 3, 20).collect()
+    near = {i: Counter(j % 37 for _, j in sorted((round(d, 12), j) for j, d in enumerate(away[i].tolist()) if j != i)[:20]) for i in away}
+    assert listed(votes) == {i: plain(i, 3) for i in away} and all(r.votes == max(1, near[r.query_id][r.product_id]) for r in votes)
+    told = retrieve.cells_visited(queries, refs, 3).collect()
+    assert {r.query_id for r in told} == set(away) and sum(r["first"] + r.second for r in told) < 0.8 * sum(r.cells for r in told)
