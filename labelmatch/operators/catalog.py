@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelmatch.functions.storage import written
+
 
 def list_page(products: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """A page, newest first, ties by id; ``total`` is in each row."""
@@ -12,19 +14,47 @@ def list_page(products: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return products.orderBy(F.desc("created_at"), "product_id").offset(offset).limit(limit).crossJoin(F.broadcast(total))
 
 
-def search_catalog(products: DataFrame, terms: DataFrame, columns: list[str], limit: int) -> DataFrame:
-    """For each term of ``terms(term)``: the first ``limit`` products, by title, with the term in any of the columns, and how many there are.
+#: Letters of a gram, and the rarest grams of a term whose postings are intersected.
+GRAM, RAREST = 3, 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of ``n`` letters."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def search_catalog(products: DataFrame, terms: DataFrame, columns: list[str], limit: int, offset: int = 0) -> DataFrame:
+    """For each term of ``terms(term)``: ``limit`` products from ``offset`` on, by title and id, with the term in any of the columns; their ``rank``, and how many there are.
 
-    ``%`` and ``_`` in a term are wildcards. Terms are the small side; each product is looked at once for each.
+    ``%`` and ``_`` in a term are wildcards, a backslash is a letter, and case does not matter. What stands between a term's
+    wildcards is cut into runs of three letters (its longest piece itself, where that is shorter; a term of wildcards only has the empty one).
+    Each run has the columns that hold it as its postings; those of a term's rarest runs are intersected, and LIKE decides.
+    Null terms find nothing; a null column holds nothing; equal terms are one; no rows give no rows.
     """
-    pattern = F.lower(F.concat(F.lit("%"), F.col("term"), F.lit("%")))
-    cond = F.lit(False)
+    pieces = F.filter(F.split(F.lower("term"), "[%_]"), lambda p: p != "")
+    longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    long = F.array_distinct(F.flatten(F.transform(pieces, lambda p: _grams(p, GRAM))))
+    grams = F.when(F.size(long) > 0, long).otherwise(F.array(F.coalesce(longest, F.lit(""))))
+    asked = terms.where("term is not null").select("term").distinct().withColumn("gram", F.explode(grams))
+    wanted = written(asked.groupBy("gram").count().select("gram"), "search-grams")
+    lengths = sorted(r[0] for r in wanted.select(F.length("gram")).distinct().collect())  # 0 to GRAM
+    texts = products.select("product_id", F.explode(F.array(*[F.struct(F.lit(i).alias("column"), F.lower(c).alias("text")) for i, c in enumerate(columns)])).alias("c")).where("c.text is not null")
+    every = F.array_distinct(F.flatten(F.array(*[F.array(F.lit("")) if n == 0 else _grams(F.col("c.text"), n) for n in lengths] or [F.array().cast("array<string>")])))
+    posted = texts.select("product_id", "c.column", F.explode(every).alias("gram")).join(wanted, "gram", "left_semi").distinct()
+    posted = written(posted, "search-postings")
+    often = posted.groupBy("gram").count()
+    order = Window.partitionBy("term").orderBy(F.coalesce("count", F.lit(0)), "gram")
+    rare = asked.join(often, "gram", "left").withColumn("r", F.row_number().over(order)).where(F.col("r") <= RAREST).select("term", "gram")
+    needed = rare.groupBy("term").agg(F.count("*").alias("needed"))
+    met = rare.join(posted, "gram").groupBy("term", "product_id", "column").agg(F.count("*").alias("n")).join(needed, "term").where("n = needed")
+    pattern = F.concat(F.lit("%"), F.replace(F.lower("term"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    has = F.lit(False)
     for c in columns:
-        cond = cond | F.coalesce(F.expr(f"lower(`{c}`) like lower(concat('%', term, '%'))"), F.lit(False))
-    met = products.join(terms.select("term").distinct().withColumn("pattern", pattern), cond)
-    w = Window.partitionBy("term")
-    ranked = met.withColumn("total", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("title", "product_id")))
-    return ranked.where(F.col("rank") <= limit).drop("pattern")
+        has = has | F.coalesce(F.expr(f"lower(`{c}`) like pattern"), F.lit(False))
+    verified = written(met.select("term", "product_id").distinct().join(products, "product_id").withColumn("pattern", pattern).where(has).drop("pattern"), "search-found")
+    total = verified.groupBy("term").agg(F.count("*").alias("total"))
+    ranked = verified.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy("title", "product_id"))).where(F.col("rank") <= offset + limit)
+    return ranked.where(F.col("rank") > offset).join(total, "term")
 
 
 def by_id(products: DataFrame, product_id: object) -> DataFrame:
@@ -44,19 +74,3 @@ def by_slugs(products: DataFrame, slugs: DataFrame) -> DataFrame:
 
 def with_media_urls(products: DataFrame, columns: list[str], prefix: str = "/api/media/") -> DataFrame:
     return products.withColumns({f"{c}_url": F.concat(F.lit(prefix), F.col(c)) for c in columns})
-
-
-def ratio(a: Column, b: Column) -> Column:
-    """1 less the edit distance by the longer length."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
-
-
-def name_lookup(texts: DataFrame, products: DataFrame, key: str, text: str, least: float = 0.6) -> DataFrame:
-    """The longest name of more than five letters inside a text; else the most similar name, at ``least`` or more."""
-    names = products.select("product_id", F.lower("title").alias("name")).where("length(name) > 5")
-    rows = texts.select(key, F.lower(text).alias("t"))
-    inside = rows.join(names, F.contains("t", "name")).groupBy(key).agg(F.max(F.struct(F.length("name").alias("n"), (-F.col("product_id")).alias("p"))).alias("m")).select(key, (-F.col("m.p")).alias("product_id"), F.lit(1.0).alias("similarity"))
-    rest = rows.join(inside, key, "left_anti")
-    near = rest.join(names, F.abs(F.length("t") - F.length("name")) <= (1 - least) * F.greatest(F.length("t"), F.length("name"))).withColumn("s", ratio(F.col("t"), F.col("name")))
-    best = near.where(F.col("s") >= least).groupBy(key).agg(F.max(F.struct("s", (-F.col("product_id")).alias("p"))).alias("m"))
-    return inside.unionByName(best.select(key, (-F.col("m.p")).alias("product_id"), F.col("m.s").alias("similarity")))

@@ -83,9 +83,10 @@ def grapes_in(requests: DataFrame, vocabulary: DataFrame, key: str, text: str) -
     stems = F.transform(F.filter(F.split(F.translate(norm(F.col("grape")), "-", " "), " "), lambda w: w != ""), lambda w: F.substring(w, F.lit(1), F.greatest(F.lit(4), F.length(w) - 2)))
     vocab = vocabulary.select("grape").distinct().withColumn("stems", stems).where("size(stems) > 0").withColumn("first", F.col("stems")[0])
     words = requests.select(key, F.concat(F.lit(" "), F.regexp_replace(norm(F.col(text)), r"(?U)[^\w]+", " ")).alias("t"))
-    heads = vocab.select("first", F.length("first").alias("n")).distinct()
+    lengths = [r.n for r in vocab.select(F.length("first").alias("n")).distinct().collect()]  # of stems: as many as the longest has letters
     spoken = words.select(key, "t", F.explode(F.split("t", " ")).alias("w")).where("w <> ''")
-    met = spoken.join(F.broadcast(heads.select("n").distinct()), F.length("w") >= F.col("n")).select(key, "t", F.substring("w", F.lit(1), F.col("n")).alias("first")).distinct()
+    begins = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("w")) if lengths else F.array().cast("array<int>")
+    met = spoken.select(key, "t", "w", F.explode(begins).alias("n")).select(key, "t", F.substring("w", F.lit(1), F.col("n")).alias("first")).distinct()
     named = met.join(vocab, "first").withColumn("full", (F.size("stems") > 1) & F.forall("stems", lambda s: F.contains(F.col("t"), F.concat(F.lit(" "), s))))
     from pyspark.sql import Window
 

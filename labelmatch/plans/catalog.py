@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmatch.functions.storage import table
-from labelmatch.operators import catalog, evaluate, ingest
+from labelmatch.operators import catalog, evaluate, ingest, names
 from labelmatch.sources import files
 from labelmatch.streaming import sessions
 
@@ -56,13 +56,43 @@ def catalog_lookup(spark: SparkSession, d: str) -> DataFrame:
     return catalog.with_media_urls(catalog.by_slugs(p, asked), ["image_path"])
 
 
+def catalog_search_page(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of every kind: short ones, wildcards, empty ones, backslashes, and names of parts; the second page of each."""
+    n = F.col("n_nationkey")
+    odd = F.element_at(F.array(*map(F.lit, ["", "%", "_", "r_n", "B%#1_", "\\\\a", "ING", "e", "zz%", "d w"])), (n % 10 + 1).cast("int"))
+    terms = table(spark, d, "nation").select(F.when(n < 10, odd).otherwise(F.substring("n_name", 1, 2)).alias("term")).unionByName(table(spark, d, "part").where("p_partkey % 50 = 7").select(F.substring("p_name", 3, 6).alias("term")))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("manufacturer"), F.concat("p_type", F.lit("\\a"), "p_size").alias("slug"))
+    return catalog.search_catalog(p, terms, ["title", "manufacturer", "slug"], 10, 5).select("term", "rank", "product_id", "total")
+
+
+def part_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"))
+
+
 def name_lookup(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("a "), F.element_at(F.array(*map(F.lit, ["small ring", "red widgit", "old gear", "blue", "large bolt set"])), (F.col("n_nationkey") % 5 + 1).cast("int"))).alias("text"))
-    p = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("product_id")).select("product_id", F.col("p_name").alias("title"))
-    out = catalog.name_lookup(texts, p, "n_nationkey", "text")
+    out = names.name_lookup(texts, part_names(spark, d), "n_nationkey", "text")
     return out.select("n_nationkey", "product_id", F.round("similarity", 6).alias("similarity"))
 
 
+def name_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every part asked for by its name without a letter, with its words turned, with a sign in it, or within a sentence."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    less = F.concat(F.substring(name, F.lit(1), (k % 7).cast("int")), F.substring(name, (k % 7 + 2).cast("int"), F.lit(99)))
+    turned = F.concat_ws(" ", F.reverse(F.split(name, " ")))
+    said = F.when(k % 4 == 0, less).when(k % 4 == 1, turned).when(k % 4 == 2, F.concat(F.upper(name), F.lit("!?"), k % 10)).otherwise(F.concat(F.lit("is the "), name, F.lit(" a good one?")))
+    out = names.name_lookup(table(spark, d, "part").select(k, said.alias("said")), part_names(spark, d), "p_partkey", "said")
+    return out.select("p_partkey", "product_id", F.round("similarity", 6).alias("similarity"), "inside")
+
+
+def names_in_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The longest of some documents' openings inside each whole document."""
+    docs = table(spark, d, "documents")
+    titles = docs.where("doc_id % 25 = 0").select(F.col("doc_id").alias("product_id"), F.substring("text", 1, 16).alias("title"))
+    out = names.name_lookup(docs, titles, "doc_id", "text")
+    return out.where("inside").select("doc_id", "product_id")
+
+
 def manifest_errors(spark: SparkSession, d: str) -> DataFrame:
     out = ingest.manifest_errors(feed(spark, d), images(spark, d))
     return out.select("row_number", F.array_join("errors", "; ").alias("errors"))
@@ -235,14 +265,28 @@ _BOXES = """bx AS (SELECT l_orderkey AS image_id, l_linenumber * 1000000 + l_par
   gp AS (SELECT *, x1 + 60 AS x2, y1 + 90 AS y2, CASE WHEN x1 <= 400 AND 400 <= x1 + 60 THEN 0.0 ELSE least(abs(x1 - 400), abs(x1 + 60 - 400)) END AS gx, CASE WHEN y1 <= 300 AND 300 <= y1 + 90 THEN 0.0 ELSE least(abs(y1 - 300), abs(y1 + 90 - 300)) END AS gy FROM bx),
   bb AS (SELECT * FROM gp QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY gx, CASE WHEN gx = 0 THEN gy ELSE 0 END, conf DESC, box_id) = 1), best AS (SELECT * FROM bb WHERE gx <= 0.15 * 800)"""
 
+#: The longest name inside, else the largest ratio by matching blocks: the longest common piece, first in the name, then in the text, and what lies left and right of it anew.
+_BEST_NAME = """t AS (SELECT k, lower(said) AS t, regexp_replace(lower(said), '[^\\w\\s]', '', 'g') AS w FROM ({texts})), n AS (SELECT min(p_partkey) AS product_id, lower(p_name) AS name FROM part GROUP BY ALL),
+  i AS (SELECT k, product_id, 1.0::DOUBLE AS similarity, true AS inside FROM t JOIN n ON length(name) > 5 AND contains(t, name) QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(name) DESC, product_id) = 1),
+  pairs AS (SELECT DISTINCT w, name FROM t JOIN n ON 2.0 * least(length(w), length(name)) / greatest(1, length(w) + length(name)) >= 0.6 WHERE k NOT IN (SELECT k FROM i)),
+  blocks AS (SELECT w, name, name AS x, w AS y, 0::BIGINT AS size FROM pairs UNION ALL
+    SELECT w, name, unnest([substr(x, 1, b.i - 1), substr(x, b.i - b.k)]), unnest([substr(y, 1, b.j - 1), substr(y, b.j - b.k)]), unnest([-b.k, 0]) FROM (SELECT w, name, x, y, list_min(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, length(y) + 1), lambda j:
+      {{'k': -len(list_filter(range(1, least(length(x) - i, length(y) - j) + 2), lambda k: substr(x, i, k) = substr(y, j, k))), 'i': i, 'j': j}})))) AS b FROM blocks WHERE length(x) > 0 AND length(y) > 0) WHERE b.k < 0),
+  r AS (SELECT w, name, 2.0 * sum(size) / (length(w) + length(name)) AS s FROM blocks GROUP BY w, name),
+  best AS (SELECT * FROM i UNION ALL SELECT k, product_id, s, false FROM t JOIN r USING (w) JOIN n USING (name) WHERE s >= 0.6 AND k NOT IN (SELECT k FROM i) QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC, name DESC) = 1)"""
+
 SQL = {
     "catalog_page": "SELECT o_orderkey AS product_id, o_orderdate AS created_at, o_orderpriority AS title, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40",
     "catalog_search": "WITH m AS (SELECT n_nationkey::VARCHAR AS term, p_partkey AS product_id, p_name AS title FROM nation, part WHERE p_name ILIKE '%' || n_nationkey || '%' OR p_brand ILIKE '%' || n_nationkey || '%') SELECT term, row_number() OVER (PARTITION BY term ORDER BY title, product_id)::INT AS rank, product_id, count(*) OVER (PARTITION BY term) AS total FROM m QUALIFY rank <= 20",
     "catalog_lookup": "SELECT p_partkey::VARCHAR AS slug, p_partkey || '.jpg' AS image_path, '/api/media/' || p_partkey || '.jpg' AS image_path_url FROM part WHERE p_partkey IN (SELECT l_partkey * 2 FROM lineitem WHERE l_quantity >= 49)",
-    "name_lookup": """WITH t AS (SELECT n_nationkey, 'a ' || ['small ring', 'red widgit', 'old gear', 'blue', 'large bolt set'][n_nationkey % 5 + 1] AS t FROM nation), n AS (SELECT min(p_partkey) AS product_id, lower(p_name) AS name FROM part GROUP BY p_name HAVING length(lower(p_name)) > 5),
-  i AS (SELECT n_nationkey, product_id, 1.0::DOUBLE AS similarity FROM t JOIN n ON contains(t, name) QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY length(name) DESC, product_id) = 1),
-  f AS (SELECT n_nationkey, product_id, 1 - levenshtein(t, name) / greatest(length(t), length(name), 1) AS s FROM t JOIN n ON true WHERE n_nationkey NOT IN (SELECT n_nationkey FROM i) AND 1 - levenshtein(t, name) / greatest(length(t), length(name), 1) >= 0.6 QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY s DESC, product_id) = 1)
-  SELECT * FROM i UNION ALL SELECT n_nationkey, product_id, round(s, 6) FROM f""",
+    "catalog_search_page": r"""WITH t AS (SELECT CASE WHEN n_nationkey < 10 THEN ['', '%', '_', 'r_n', 'B%#1_', '\\a', 'ING', 'e', 'zz%', 'd w'][n_nationkey % 10 + 1] ELSE substr(n_name, 1, 2) END AS term FROM nation UNION SELECT substr(p_name, 3, 6) FROM part WHERE p_partkey % 50 = 7),
+  m AS (SELECT term, p_partkey AS product_id, p_name AS title FROM t, part WHERE p_name ILIKE '%' || term || '%' OR p_brand ILIKE '%' || term || '%' OR (p_type || '\a' || p_size) ILIKE '%' || term || '%')
+  SELECT term, row_number() OVER (PARTITION BY term ORDER BY title, product_id)::INT AS rank, product_id, count(*) OVER (PARTITION BY term) AS total FROM m QUALIFY rank BETWEEN 6 AND 15""",
+    "name_lookup": "WITH RECURSIVE " + _BEST_NAME.format(texts="SELECT n_nationkey AS k, 'a ' || ['small ring', 'red widgit', 'old gear', 'blue', 'large bolt set'][n_nationkey % 5 + 1] AS said FROM nation") + " SELECT k AS n_nationkey, product_id, round(similarity, 6) AS similarity FROM best",
+    "name_matches": "WITH RECURSIVE " + _BEST_NAME.format(texts="""SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN substr(p_name, 1, (p_partkey % 7)::INT) || substr(p_name, (p_partkey % 7 + 2)::INT) WHEN 1 THEN array_to_string(list_reverse(string_split(p_name, ' ')), ' ')
+    WHEN 2 THEN upper(p_name) || '!?' || p_partkey % 10 ELSE 'is the ' || p_name || ' a good one?' END AS said FROM part""") + " SELECT k AS p_partkey, product_id, round(similarity, 6) AS similarity, inside FROM best",
+    "names_in_texts": """WITH n AS (SELECT min((doc_id, length(substr(text, 1, 16)))) AS m, lower(substr(text, 1, 16)) AS name FROM documents WHERE doc_id % 25 = 0 AND text IS NOT NULL GROUP BY ALL)
+  SELECT doc_id, m[1] AS product_id FROM documents JOIN n ON length(name) > 5 AND contains(lower(text), name) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY m[2] DESC, m[1]) = 1""",
     "manifest_errors": f"WITH {_ERRORS} SELECT row_number, array_to_string(e, '; ') AS errors FROM errs",
     "manifest_first_error": f"WITH {_ERRORS} SELECT row_number, e[1] AS error FROM errs WHERE len(e) > 0 ORDER BY row_number LIMIT 1",
     "vector_counts": "SELECT l_partkey AS product_id, count(*) FILTER (l_returnflag = 'A') AS n_A, count(*) FILTER (l_returnflag = 'N') AS n_N FROM lineitem GROUP BY ALL",
@@ -283,7 +327,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        catalog_page, catalog_search, catalog_lookup, name_lookup, manifest_errors, manifest_first_error, vector_counts, ingest_plan, ingest_summary, apply_ingest, job_ledger, missing_images, url_targets, augmentation_plan, balanced_batches, best_box, crop_audit,
+        catalog_page, catalog_search, catalog_search_page, catalog_lookup, name_lookup, name_matches, names_in_texts, manifest_errors, manifest_first_error, vector_counts, ingest_plan, ingest_summary, apply_ingest, job_ledger, missing_images, url_targets, augmentation_plan, balanced_batches, best_box, crop_audit,
         best_polygon, rectification_summary, insert_unique_slug, latency_p95, batch_summary, pooled_totals, evaluate_pack, demote_unknown, dense_index, augmentation_manifest, feedback_exclusions, session_contexts,
     )
 }
