@@ -222,15 +222,21 @@ def assign_role(rank: Column, common: Column, classic: Column) -> Column:
     return F.when(rank == 1, "best match").when(common <= RARE, "rare").when(common >= classic, "classic").otherwise("other")
 
 
-def share_below() -> Column:
-    """The share of the catalog that scores lower for the same request."""
-    every = Window.partitionBy("r.request_id")
-    return half_up((F.rank().over(every.orderBy("score")) - 1) / F.count("*").over(every), 2)
+def with_share(scored: DataFrame) -> DataFrame:
+    """``scored`` and ``share``, the share of the catalog that scores lower for the same request, and ``best``, the highest score.
+
+    Scores have one digit: they are counted for each request, 1,001 values at most, and the counts are cumulated and joined back.
+    """
+    counts = scored.groupBy(F.col("r.request_id").alias("_request"), F.col("score").alias("_score")).agg(F.count("*").alias("n"))
+    every = Window.partitionBy("_request")
+    below = F.coalesce(F.sum("n").over(every.orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shares = counts.select("_request", "_score", half_up(below / F.sum("n").over(every), 2).alias("share"), F.max("_score").over(every).alias("best"))
+    return scored.join(shares, (F.col("r.request_id") == F.col("_request")) & (F.col("score") == F.col("_score"))).drop("_request", "_score")
 
 
 def dish_rank(scored: DataFrame) -> DataFrame:
     """The share of the catalog that scores lower for the same request, and the best score."""
-    return scored.select(F.col("r.request_id").alias("request_id"), F.col("p.product_id").alias("product_id"), "score", share_below().alias("share"), F.max("score").over(Window.partitionBy("r.request_id")).alias("best"))
+    return with_share(scored.select("r", "p", "score")).select(F.col("r.request_id").alias("request_id"), F.col("p.product_id").alias("product_id"), "score", "share", "best")
 
 
 def best_dishes(scored: DataFrame, k: int = 4, without: DataFrame | None = None) -> DataFrame:
@@ -241,18 +247,29 @@ def best_dishes(scored: DataFrame, k: int = 4, without: DataFrame | None = None)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("product_id").orderBy(F.desc("score"), "request_id"))).where(F.col("rank") <= k)
 
 
+#: What makes products alike. Without a column ``type`` all products of one category and fizz are of one type.
+TRAITS = ["category", "sparkling", "sweetness", "body", "tannin", "acidity", "oak", "region", "type", "grapes", "aroma"]
+#: By which lists like products are found, and the largest likeness of a pair that shares nothing on them and those before.
+LISTS = [("grapes", 0.65), ("aroma", 0.45), ("region", 0.35)]
+
+
+def _close(x: Column, y: Column) -> Column:
+    """1 to 0 over a distance of two; null unless both are known."""
+    return F.greatest(F.lit(0.0), 1 - F.abs(x - y) / 2)
+
+
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: grapes, type, scales, aromas, sweetness, region and oak."""
-    close = lambda x, y, w: F.when(x.isNotNull() & y.isNotNull(), w * F.greatest(F.lit(0.0), 1 - F.abs(x - y) / 2)).otherwise(0.0)
+    scale = lambda name, w: F.coalesce(w * _close(a[name], b[name]), F.lit(0.0))
     union = F.size(F.array_union(a["aroma"], b["aroma"]))
     aroma = F.when(union > 0, 0.2 * F.size(F.array_intersect(a["aroma"], b["aroma"])) / union).otherwise(0.0)
     flag = lambda c, w: F.when(F.coalesce(c, F.lit(False)), w).otherwise(0.0)
     return (
         flag(F.arrays_overlap(a["grapes"], b["grapes"]), 0.35)
-        + F.lit(0.15)
-        + close(a["body"], b["body"], 0.15)
-        + close(a["tannin"], b["tannin"], 0.1)
-        + close(a["acidity"], b["acidity"], 0.05)
+        + flag(a["type"] == b["type"], 0.15)
+        + scale("body", 0.15)
+        + scale("tannin", 0.1)
+        + scale("acidity", 0.05)
         + aroma
         + flag(a["sweetness"] == b["sweetness"], 0.05)
         + flag(a["region"] == b["region"], 0.1)
@@ -260,18 +277,83 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
+def likeness_reasons(a: Column, b: Column) -> Column:
+    """What speaks for an alternative, in the order of the terms: shared grapes, type, near scales, up to three shared aromas, region, oak."""
+    shared = lambda name: F.sort_array(F.array_intersect(a[name], b[name]))
+    named = lambda what, list_: F.when(F.size(list_) > 0, F.concat(F.lit(f"{what}: "), F.array_join(list_, ", ")))
+    scales = [F.when(_close(a[name], b[name]) >= 0.75, name) for name in ("body", "tannin", "acidity")]
+    same = lambda name: F.when(a[name] == b[name], F.concat(F.lit(f"{name}: "), a[name]))
+    return F.array_compact(F.array(named("grapes", shared("grapes")), same("type"), *scales, named("aroma", F.slice(shared("aroma"), 1, 3)), same("region"), F.when(a["oak"] & b["oak"], "oak")))
+
+
+def _with_traits(rows: DataFrame) -> DataFrame:
+    kind = F.col("type") if "type" in rows.columns else F.lit("same")
+    lists = {c: F.sort_array(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))) for c in ("grapes", "aroma")}
+    return rows.withColumn("traits", F.struct(*[(kind if c == "type" else lists.get(c, F.col(c))).alias(c) for c in TRAITS]))
+
+
+def _listed(traits: Column, name: str) -> Column:
+    return F.array_compact(F.array(traits[name])) if name == "region" else traits[name]
+
+
+def _first(rows: DataFrame, by: list, n: int, *order) -> DataFrame:
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
 def alternatives(base: DataFrame, products: DataFrame, k: int = 5, per_winery: int = 2) -> DataFrame:
-    """Products like each of ``base``: same category and sparkling, sweetness at most one level apart, one a (name, winery), ``per_winery`` a winery."""
-    left = base.select(F.col("category").alias("c"), F.col("sparkling").alias("s"), F.struct("*").alias("a"))
-    right = products.select(F.col("category").alias("c"), F.col("sparkling").alias("s"), F.struct("*").alias("b"))
-    apart = F.col("a.sweetness").isNull() | F.col("b.sweetness").isNull() | (F.abs(F.col("a.sweetness") - F.col("b.sweetness")) <= 1)
-    other = (F.col("a.product_id") != F.col("b.product_id")) & ~(F.col("a.name").eqNullSafe(F.col("b.name")) & F.col("a.winery").eqNullSafe(F.col("b.winery")))
-    met = left.join(right, ["c", "s"]).where(apart & other).select(F.col("a.product_id").alias("base_id"), "b", F.round(likeness(F.col("a"), F.col("b")), 6).alias("likeness"))
-    order = [F.desc("likeness"), "b.name", "b.product_id"]
-    once = met.withColumn("n", F.row_number().over(Window.partitionBy("base_id", "b.name", "b.winery").orderBy(*order))).where("n = 1")
-    capped = once.withColumn("n", F.row_number().over(Window.partitionBy("base_id", "b.winery").orderBy(*order))).where(F.col("n") <= per_winery)
-    ranked = capped.withColumn("rank", F.row_number().over(Window.partitionBy("base_id").orderBy(*order))).where(F.col("rank") <= k)
-    return ranked.select("base_id", "rank", F.col("b.product_id").alias("product_id"), "likeness")
+    """``(base_id, rank, product_id, likeness, reasons)``: products like each of ``base``: same category and sparkling, sweetness at most one level apart, one a (name, winery), ``per_winery`` a winery.
+
+    Products of equal traits are one class, of which only the first entries by name can be picked, so a trait that many share
+    costs no pairs of products. Classes meet by lists, of a shared grape, then aroma, then region: after each list only those
+    classes go on whose last entry needed is not better than what a pair without these could reach. Names are compared in lower
+    case without outer blanks; null categories are like none; ties go by name and id; repeated rows are one.
+    """
+    own = _with_traits(products).select("product_id", "name", "winery", "traits", F.lower(F.trim("name")).alias("key"))
+    asked = _with_traits(base).select(F.col("product_id").alias("base_id"), F.lower(F.trim("name")).alias("base_key"), F.col("winery").alias("base_winery"), "traits")
+    classes = own.select("traits").unionByName(asked.select("traits")).distinct()
+    classes = written(classes.where("traits.category is not null and traits.sparkling is not null").select(F.monotonically_increasing_id().alias("class"), "traits"), "alike-classes")
+    numbered = lambda rows: rows.join(classes.select("class", F.struct("traits").alias("t")), F.struct("traits").eqNullSafe(F.col("t"))).drop("t", "traits")
+    # Of a class's entries so many may be taken by a winery's limit, a name picked before, or the base itself.
+    spare = k + 1 + (k // per_winery + 1) * (per_winery + k)
+    order, tie = [F.desc("likeness"), "name", "product_id"], ["name", "product_id"]
+    entries = _first(numbered(own), ["class", "key", "winery"], 1, *tie)
+    entries = written(_first(_first(entries, ["class", "winery"], per_winery + k, *tie), ["class"], k + spare, *tie), "alike-entries")
+    starts = written(numbered(asked), "alike-bases")
+    open_ = starts.select("class").distinct().join(classes, "class")
+    held = entries.select("class").distinct().join(classes, "class")
+    limit = 3 * k + 1
+
+    def first(met: DataFrame) -> DataFrame:
+        """The first entries a class has met: each (name, winery) once, and of a winery one more than its limit, for the base's own."""
+        return _first(_first(_first(met, ["of", "key", "winery"], 1, *order), ["of", "winery"], per_winery + 1, *order), ["of"], limit, *order)
+
+    def meet(left_keys: Column, right_keys: Column, before: list[str]) -> DataFrame:
+        """Entries of the classes that share a key with an open one, and nothing on the lists before."""
+        side = lambda rows, to, n, keys: rows.select(F.col("class").alias(to), F.col("traits").alias(n), F.col("traits.category").alias("c"), F.col("traits.sparkling").alias("s"), F.explode(keys).alias("on"))
+        met = side(open_, "of", "a", left_keys).join(side(held, "class", "b", right_keys), ["c", "s", "on"]).where("a.sweetness is null or b.sweetness is null or abs(a.sweetness - b.sweetness) <= 1")
+        for name in before:
+            met = met.where(~F.coalesce(F.arrays_overlap(_listed(F.col("a"), name), _listed(F.col("b"), name)), F.lit(False)))
+        return met.dropDuplicates(["of", "class"]).select("of", "class", F.round(likeness(F.col("a"), F.col("b")), 6).alias("likeness")).join(entries, "class")
+
+    # Classes that share nothing on the lists meet by sweetness, which for an unknown one is any.
+    level = F.coalesce(F.col("traits.sweetness").cast("int"), F.lit(-1))
+    sweet = F.when(level < 0, F.array(F.lit(-2))).otherwise(F.array(F.lit(-1), level - 1, level, level + 1))
+    found, before = None, []
+    for name, bound in [*LISTS, (None, 0.0)]:
+        shared = _listed(F.col("traits"), name) if name else None
+        new = meet(shared, shared, before) if name else meet(F.array_distinct(sweet), F.array(level, F.lit(-2)), before)
+        found = written(first(new if found is None else found.unionByName(new)), "alike-found")
+        before.append(name)
+        done = found.groupBy("of").agg(F.count("*").alias("n"), F.min("likeness").alias("last")).where((F.col("n") >= limit) & (F.col("last") > bound + 1e-6)).select(F.col("of").alias("class"))
+        open_ = written(open_.join(done, "class", "left_anti"), "alike-open")
+        if not name or open_.isEmpty():
+            break
+    met = starts.join(found.withColumnRenamed("class", "other"), F.col("class") == F.col("of"))
+    other = (F.col("base_id") != F.col("product_id")) & ~(F.col("base_key").eqNullSafe(F.col("key")) & F.col("base_winery").eqNullSafe(F.col("winery")))
+    capped = _first(met.where(other), ["base_id", "winery"], per_winery, *order)
+    picked = capped.withColumn("rank", F.row_number().over(Window.partitionBy("base_id").orderBy(*order))).where(F.col("rank") <= k)
+    a, b = classes.select("class", F.col("traits").alias("a")), classes.select(F.col("class").alias("other"), F.col("traits").alias("b"))
+    return picked.join(a, "class").join(b, "other").select("base_id", "rank", "product_id", "likeness", likeness_reasons(F.col("a"), F.col("b")).alias("reasons"))
 
 
 def type_fit(scored: DataFrame, least: int = 5) -> DataFrame:
@@ -341,6 +423,17 @@ def compare_groups(products: DataFrame, group: str, a: str, b: str, names: str =
     return both.withColumn("difference", F.round(F.col("share_a") - F.col("share_b"), 4)).where(F.abs("difference") >= least).orderBy(F.desc(F.abs("difference")), "name").limit(top)
 
 
+def side_by_side(products: DataFrame, group: str, a: str, b: str, small: int = 10) -> DataFrame:
+    """``(trait, value_a, value_b, difference, n_a, n_b, small_sample)``: means of the known scales and shares of traits of two groups; a group of fewer than ``small`` products is flagged. A group without products has no values."""
+    share = lambda cond: F.count_if(cond) / F.count("*")
+    traits = {**{x: F.avg(x) for x in ("body", "acidity", "tannin")}, "dry": share(F.col("sweetness") == 0), "sweet": share(F.col("sweetness") >= 2), "oak": share(F.col("oak")), "sparkling": share(F.col("sparkling"))}
+    rows = products.where(F.col(group).isin(a, b)).groupBy(group).agg(F.count("*").alias("n"), *[half_up(v, 2).alias(t) for t, v in traits.items()])
+    long = rows.select(group, "n", F.explode(F.array(*[F.struct(F.lit(t).alias("trait"), F.col(t).alias("value")) for t in traits])).alias("x"))
+    of = lambda value, c: F.max(F.when(F.col(group) == value, F.col(c)))
+    wide = long.groupBy("x.trait").agg(of(a, "x.value").alias("value_a"), of(b, "x.value").alias("value_b"), F.coalesce(of(a, "n"), F.lit(0)).alias("n_a"), F.coalesce(of(b, "n"), F.lit(0)).alias("n_b"))
+    return wide.withColumns({"difference": F.round(F.col("value_a") - F.col("value_b"), 4), "small_sample": F.least("n_a", "n_b") < small})
+
+
 def pairing_verdict(share: Column, contributions: Column) -> Column:
     """By the share of the catalog that scores lower; a strong clash of sweetness makes it poor."""
     clash = F.exists(contributions, lambda c: (c["rule"] == "sweet") & (c["value"] <= -0.6))

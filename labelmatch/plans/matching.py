@@ -68,7 +68,17 @@ def best_dishes(spark: SparkSession, d: str) -> DataFrame:
 
 def alternatives(spark: SparkSession, d: str) -> DataFrame:
     rows = products(spark, d)
-    return M.alternatives(rows, rows)
+    return M.alternatives(rows, rows).drop("reasons")
+
+
+def alternative_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Alternatives with their reasons, where products are of types."""
+    rows = products(spark, d).withColumn("type", F.concat(F.lit("T"), F.col("product_id") % 3))
+    return M.alternatives(rows, rows, 4, 1).select("base_id", "rank", "product_id", "likeness", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def side_by_side(spark: SparkSession, d: str) -> DataFrame:
+    return M.side_by_side(products(spark, d), "winery", "Brand#2", "Brand#17")
 
 
 def type_fit(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +102,7 @@ def compare_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def explain_pick(spark: SparkSession, d: str) -> DataFrame:
     pros, cons = M.explain_pick(F.col("contributions"))
-    ranked = scored(spark, d).withColumn("share", M.share_below())
+    ranked = M.with_share(scored(spark, d))
     return ranked.select(F.col("r.request_id").alias("request_id"), F.col("p.product_id").alias("product_id"), F.array_join(pros, ",").alias("pros"), F.array_join(cons, ",").alias("cons"), M.pairing_verdict(F.col("share"), F.col("contributions")).alias("verdict"))
 
 
@@ -182,6 +192,17 @@ SQL = {
     WHERE (a.sweetness IS NULL OR b.sweetness IS NULL OR abs(a.sweetness - b.sweetness) <= 1) AND a.product_id <> b.product_id AND NOT (a.name = b.name AND a.winery = b.winery)),
   once AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY base_id, name, winery ORDER BY likeness DESC, name, product_id) = 1), capped AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY base_id, winery ORDER BY likeness DESC, name, product_id) <= 2)
   SELECT base_id, row_number() OVER (PARTITION BY base_id ORDER BY likeness DESC, name, product_id)::INT AS rank, product_id, likeness FROM capped QUALIFY rank <= 5""",
+    "alternative_reasons": f"""WITH {_P}, met AS (SELECT a.product_id AS base_id, b.product_id, b.name, b.winery, a, b, round(({_LIKE} - CASE WHEN a.product_id % 3 = b.product_id % 3 THEN 0 ELSE 0.15 END)::DOUBLE, 6) AS likeness FROM p a JOIN p b ON a.category = b.category AND a.sparkling = b.sparkling
+    WHERE (a.sweetness IS NULL OR b.sweetness IS NULL OR abs(a.sweetness - b.sweetness) <= 1) AND a.product_id <> b.product_id AND NOT (a.name = b.name AND a.winery = b.winery)),
+  once AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY base_id, name, winery ORDER BY likeness DESC, name, product_id) = 1), capped AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY base_id, winery ORDER BY likeness DESC, name, product_id) <= 1),
+  picked AS (SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY likeness DESC, name, product_id)::INT AS rank FROM capped QUALIFY rank <= 4)
+  SELECT base_id, rank, product_id, likeness, concat_ws('; ', CASE WHEN len(list_intersect(a.grapes, b.grapes)) > 0 THEN 'grapes: ' || array_to_string(list_sort(list_distinct(list_intersect(a.grapes, b.grapes))), ', ') END, CASE WHEN base_id % 3 = product_id % 3 THEN 'type: T' || (base_id % 3) END,
+    {", ".join(f"CASE WHEN greatest(0.0, 1 - abs(a.{x} - b.{x}) / 2) >= 0.75 AND a.{x} IS NOT NULL AND b.{x} IS NOT NULL THEN '{x}' END" for x in ("body", "tannin", "acidity"))},
+    CASE WHEN a.aroma = b.aroma THEN 'aroma: ' || a.aroma END, CASE WHEN a.region = b.region THEN 'region: ' || a.region END, CASE WHEN a.oak AND b.oak THEN 'oak' END) AS reasons FROM picked""",
+    "side_by_side": f"""WITH {_P}, s AS (SELECT winery, count(*) AS n, {", ".join(f"round(({v})::DECIMAL(18, 9), 2)::DOUBLE AS {t}" for t, v in (("body", "avg(body)"), ("acidity", "avg(acidity)"), ("tannin", "avg(tannin)"), ("dry", "count(*) FILTER (sweetness = 0) / count(*)"), ("sweet", "count(*) FILTER (sweetness >= 2) / count(*)"), ("oak", "count(*) FILTER (oak) / count(*)"), ("sparkling", "count(*) FILTER (sparkling) / count(*)")))} FROM p WHERE winery IN ('Brand#2', 'Brand#17') GROUP BY winery),
+  l AS (SELECT winery, n, unnest(['body', 'acidity', 'tannin', 'dry', 'sweet', 'oak', 'sparkling']) AS trait, unnest([body, acidity, tannin, dry, sweet, oak, sparkling]) AS v FROM s),
+  w AS (SELECT trait, max(v) FILTER (winery = 'Brand#2') AS value_a, max(v) FILTER (winery = 'Brand#17') AS value_b, coalesce(max(n) FILTER (winery = 'Brand#2'), 0) AS n_a, coalesce(max(n) FILTER (winery = 'Brand#17'), 0) AS n_b FROM l GROUP BY trait)
+  SELECT *, round(value_a - value_b, 4) AS difference, least(n_a, n_b) < 10 AS small_sample FROM w""",
     "type_fit": f"""WITH {_P}, {_BARE}, {_STATS}, {_rules_sql('true')}, rk AS (SELECT *, row_number() OVER (PARTITION BY request_id, category, fizz, sweetness ORDER BY score DESC, product_id) AS i, count(*) OVER (PARTITION BY request_id, category, fizz, sweetness) AS n FROM sc WHERE sweetness IS NOT NULL),
   tp AS (SELECT * FROM rk WHERE i <= 5 AND n >= 5), mn AS (SELECT request_id, category, fizz, sweetness, round(avg(score)::DECIMAL(18, 9), 1)::DOUBLE AS mean, max(n) AS n FROM tp GROUP BY ALL), cs1 AS (SELECT request_id, category, fizz, sweetness, unnest(cs) AS c FROM tp),
   ag AS (SELECT request_id, category, fizz, sweetness, c.rule AS rule, sum(c.v * c.w / 5) FILTER (c.v < 0) AS neg, sum(c.v * c.w / 5) FILTER (c.v >= 0) AS pos FROM cs1 GROUP BY ALL),
@@ -212,4 +233,4 @@ SQL = {
     CASE WHEN acid >= 2 THEN 'acid' END, CASE WHEN sweet >= 1.5 THEN 'sweet' END, CASE WHEN salt >= 3 THEN 'salty' END, CASE WHEN heat >= 2.5 THEN 'hot' WHEN heat >= 1.2 THEN 'peppery' END) END AS traits FROM r""",
 }
 
-QUERIES = {f.__name__: f for f in (catalog_stats, hard_filter_reasons, score_rules, recommend_topk, dish_rank, best_dishes, alternatives, type_fit, group_profile, group_summary, compare_groups, explain_pick, assign_role, traits)}
+QUERIES = {f.__name__: f for f in (catalog_stats, hard_filter_reasons, score_rules, recommend_topk, dish_rank, best_dishes, alternatives, alternative_reasons, type_fit, group_profile, group_summary, compare_groups, side_by_side, explain_pick, assign_role, traits)}
