@@ -249,8 +249,9 @@ def best_dishes(scored: DataFrame, k: int = 4, without: DataFrame | None = None)
 
 #: What makes products alike. Without a column ``type`` all products of one category and fizz are of one type.
 TRAITS = ["category", "sparkling", "sweetness", "body", "tannin", "acidity", "oak", "region", "type", "grapes", "aroma"]
-#: By which lists like products are found, and the largest likeness of a pair that shares nothing on them and those before.
-LISTS = [("grapes", 0.65), ("aroma", 0.45), ("region", 0.35)]
+#: What each trait is worth, and by which lists like products are found, in this order.
+WORTH = {"grapes": 0.35, "type": 0.15, "body": 0.15, "tannin": 0.1, "acidity": 0.05, "aroma": 0.2, "sweetness": 0.05, "region": 0.1, "oak": 0.05}
+LISTS = ["grapes", "aroma", "region"]
 
 
 def _close(x: Column, y: Column) -> Column:
@@ -259,22 +260,19 @@ def _close(x: Column, y: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: grapes, type, scales, aromas, sweetness, region and oak."""
-    scale = lambda name, w: F.coalesce(w * _close(a[name], b[name]), F.lit(0.0))
+    """The worth of the traits that two products share: whole for equal ones and for any grape, by nearness for scales, by the share of all for aromas."""
+    scale = lambda name: F.coalesce(WORTH[name] * _close(a[name], b[name]), F.lit(0.0))
     union = F.size(F.array_union(a["aroma"], b["aroma"]))
-    aroma = F.when(union > 0, 0.2 * F.size(F.array_intersect(a["aroma"], b["aroma"])) / union).otherwise(0.0)
-    flag = lambda c, w: F.when(F.coalesce(c, F.lit(False)), w).otherwise(0.0)
-    return (
-        flag(F.arrays_overlap(a["grapes"], b["grapes"]), 0.35)
-        + flag(a["type"] == b["type"], 0.15)
-        + scale("body", 0.15)
-        + scale("tannin", 0.1)
-        + scale("acidity", 0.05)
-        + aroma
-        + flag(a["sweetness"] == b["sweetness"], 0.05)
-        + flag(a["region"] == b["region"], 0.1)
-        + flag(a["oak"] & b["oak"], 0.05)
-    )
+    aroma = F.when(union > 0, WORTH["aroma"] * F.size(F.array_intersect(a["aroma"], b["aroma"])) / union).otherwise(0.0)
+    flag = lambda name, c: F.when(F.coalesce(c, F.lit(False)), WORTH[name]).otherwise(0.0)
+    same = lambda name: flag(name, a[name] == b[name])
+    return flag("grapes", F.arrays_overlap(a["grapes"], b["grapes"])) + same("type") + scale("body") + scale("tannin") + scale("acidity") + aroma + same("sweetness") + same("region") + flag("oak", a["oak"] & b["oak"])
+
+
+def reach(a: Column, without: list[str]) -> Column:
+    """The largest likeness of a product with one that shares nothing on the lists ``without``."""
+    known = {**{t: a[t].isNotNull() for t in ("type", "body", "tannin", "acidity", "sweetness", "region")}, **{t: F.size(a[t]) > 0 for t in ("grapes", "aroma")}, "oak": F.coalesce(a["oak"], F.lit(False))}
+    return sum((F.when(known[t], w).otherwise(0.0) for t, w in WORTH.items() if t not in without), F.lit(0.0))
 
 
 def likeness_reasons(a: Column, b: Column) -> Column:
@@ -304,8 +302,8 @@ def alternatives(base: DataFrame, products: DataFrame, k: int = 5, per_winery: i
     """``(base_id, rank, product_id, likeness, reasons)``: products like each of ``base``: same category and sparkling, sweetness at most one level apart, one a (name, winery), ``per_winery`` a winery.
 
     Products of equal traits are one class, of which only the first entries by name can be picked, so a trait that many share
-    costs no pairs of products. Classes meet by lists, of a shared grape, then aroma, then region: after each list only those
-    classes go on whose last entry needed is not better than what a pair without these could reach. Names are compared in lower
+    costs no pairs of products. Classes meet by lists, of a shared grape, then aroma, then region, and at last by sweetness: after each list
+    only those classes go on whose last entry needed is not better than what they could reach without these. Names are compared in lower
     case without outer blanks; null categories are like none; ties go by name and id; repeated rows are one.
     """
     own = _with_traits(products).select("product_id", "name", "winery", "traits", F.lower(F.trim("name")).alias("key"))
@@ -325,32 +323,35 @@ def alternatives(base: DataFrame, products: DataFrame, k: int = 5, per_winery: i
 
     def first(met: DataFrame) -> DataFrame:
         """The first entries a class has met: each (name, winery) once, and of a winery one more than its limit, for the base's own."""
-        return _first(_first(_first(met, ["of", "key", "winery"], 1, *order), ["of", "winery"], per_winery + 1, *order), ["of"], limit, *order)
+        return _first(_first(_first(met.repartition("of"), ["of", "key", "winery"], 1, *order), ["of", "winery"], per_winery + 1, *order), ["of"], limit, *order)
 
-    def meet(left_keys: Column, right_keys: Column, before: list[str]) -> DataFrame:
-        """Entries of the classes that share a key with an open one, and nothing on the lists before."""
+    def meet(left_keys: Column, right_keys: Column, name: str | None, before: list[str]) -> DataFrame:
+        """Entries of the classes that share a key with an open one, and nothing on the lists before; a pair meets at the first key it shares."""
         side = lambda rows, to, n, keys: rows.select(F.col("class").alias(to), F.col("traits").alias(n), F.col("traits.category").alias("c"), F.col("traits.sparkling").alias("s"), F.explode(keys).alias("on"))
         met = side(open_, "of", "a", left_keys).join(side(held, "class", "b", right_keys), ["c", "s", "on"]).where("a.sweetness is null or b.sweetness is null or abs(a.sweetness - b.sweetness) <= 1")
-        for name in before:
-            met = met.where(~F.coalesce(F.arrays_overlap(_listed(F.col("a"), name), _listed(F.col("b"), name)), F.lit(False)))
-        return met.dropDuplicates(["of", "class"]).select("of", "class", F.round(likeness(F.col("a"), F.col("b")), 6).alias("likeness")).join(entries, "class")
+        for x in before:
+            met = met.where(~F.coalesce(F.arrays_overlap(_listed(F.col("a"), x), _listed(F.col("b"), x)), F.lit(False)))
+        if name:
+            met = met.where(F.array_min(F.array_intersect(_listed(F.col("a"), name), _listed(F.col("b"), name))) == F.col("on"))
+        return met.select("of", "class", F.round(likeness(F.col("a"), F.col("b")), 6).alias("likeness")).join(entries, "class")
 
     # Classes that share nothing on the lists meet by sweetness, which for an unknown one is any.
     level = F.coalesce(F.col("traits.sweetness").cast("int"), F.lit(-1))
     sweet = F.when(level < 0, F.array(F.lit(-2))).otherwise(F.array(F.lit(-1), level - 1, level, level + 1))
     found, before = None, []
-    for name, bound in [*LISTS, (None, 0.0)]:
+    for name in [*LISTS, None]:
         shared = _listed(F.col("traits"), name) if name else None
-        new = meet(shared, shared, before) if name else meet(F.array_distinct(sweet), F.array(level, F.lit(-2)), before)
+        new = meet(shared, shared, name, before) if name else meet(F.array_distinct(sweet), F.array(level, F.lit(-2)), None, before)
         found = written(first(new if found is None else found.unionByName(new)), "alike-found")
         before.append(name)
-        done = found.groupBy("of").agg(F.count("*").alias("n"), F.min("likeness").alias("last")).where((F.col("n") >= limit) & (F.col("last") > bound + 1e-6)).select(F.col("of").alias("class"))
+        ends = found.groupBy(F.col("of").alias("class")).agg(F.count("*").alias("n"), F.min("likeness").alias("last")).where(F.col("n") >= limit)
+        done = ends.join(open_, "class").where(F.col("last") > reach(F.col("traits"), before) + 1e-6).select("class")
         open_ = written(open_.join(done, "class", "left_anti"), "alike-open")
         if not name or open_.isEmpty():
             break
     met = starts.join(found.withColumnRenamed("class", "other"), F.col("class") == F.col("of"))
     other = (F.col("base_id") != F.col("product_id")) & ~(F.col("base_key").eqNullSafe(F.col("key")) & F.col("base_winery").eqNullSafe(F.col("winery")))
-    capped = _first(met.where(other), ["base_id", "winery"], per_winery, *order)
+    capped = _first(met.where(other).repartition("base_id"), ["base_id", "winery"], per_winery, *order)
     picked = capped.withColumn("rank", F.row_number().over(Window.partitionBy("base_id").orderBy(*order))).where(F.col("rank") <= k)
     a, b = classes.select("class", F.col("traits").alias("a")), classes.select(F.col("class").alias("other"), F.col("traits").alias("b"))
     return picked.join(a, "class").join(b, "other").select("base_id", "rank", "product_id", "likeness", likeness_reasons(F.col("a"), F.col("b")).alias("reasons"))
