@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from labelmatch.functions.storage import written
 
 
-def deal(rows: DataFrame, keys: list[str], member: str, chunk: int) -> DataFrame:
+def deal(rows: DataFrame, keys: list[str], member: str, chunk: int, sizes: DataFrame | None = None) -> DataFrame:
     """``rows`` by list, each list together and in order: ``keys``, then the chunks ``c`` and ``d``.
 
     A list of up to ``chunk`` rows is one piece. A longer one is cut into n chunks by a hash of ``member``, and each
     pair of chunks is a piece of its own; ``mine`` tells the rows of the first chunk, so that a piece of two
-    chunks compares across them only.
+    chunks compares across them only. ``sizes(*keys, count)`` are the lists' numbers of rows, where they are known already.
     """
     spark = rows.sparkSession
-    long = written(rows.groupBy(*keys).count().where(F.col("count") > chunk), "long-lists")
+    sizes = rows.groupBy(*keys).count() if sizes is None else sizes
+    long = written(sizes.where(F.col("count") > chunk), "long-lists")
     cut = rows.join(long, keys, "left").withColumn("n", F.coalesce(F.ceil(F.col("count") / chunk), F.lit(1)).cast("int")).drop("count")
     paired = cut.withColumn("m", F.pmod(F.xxhash64(member), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = paired.withColumns({"c": F.least("m", "other"), "d": F.greatest("m", "other"), "mine": F.col("m") <= F.col("other")}).drop("n", "m", "other")

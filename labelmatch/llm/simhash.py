@@ -207,8 +207,9 @@ def close_sets(reps: DataFrame, similarity: float) -> DataFrame:
     Each hash of the openings has a list of its owners. Owners of one list are a candidate if, by the numbers of their
     shingles and by their sketches, their sets can be so similar.
     """
-    owned = reps.select("node", F.explode("opening").alias("h")).withColumn("owners", F.count("*").over(Window.partitionBy("h"))).where("owners > 1").select("h", "node")
-    rows = owned.join(reps.select("node", "size", *_SKETCH), "node")
+    owned = reps.select("node", F.explode("opening").alias("h"))
+    sizes = written(owned.groupBy("h").count().where("count > 1"), "simhash-lists")  # counted in the tasks first: a shingle that many texts hold is no task's alone
+    rows = owned.join(sizes.select("h"), "h", "left_semi").join(reps.select("node", "size", *_SKETCH), "node")
     few = 48
 
     def verify(part: pa.Table, bounds: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +242,7 @@ def close_sets(reps: DataFrame, similarity: float) -> DataFrame:
             vs.append(ids[i + d])
         yield _pairs(us, vs)
 
-    dealt = deal(rows, ["h"], "node", SHORT)
+    dealt = deal(rows, ["h"], "node", SHORT, sizes)
     return dealt.mapInArrow(lambda b: walk(b, ["h"], verify), "u long, v long").distinct()
 
 
@@ -301,7 +302,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     linked with, and what that leaves apart is compared pair by pair, so that no link between groups is lost.
 
     Texts of equal sets are one text. Null and empty texts are linked with each other; of rows with one id in a
-    group, repeated rows among them, one stays; a group of null ids keeps one; no rows give no rows; further columns
+    group, repeated rows among them, one stays, and of those with one id and text the first by its other columns; a group of null ids keeps one; no rows give no rows; further columns
     are carried along; a text of any length is compared whole.
     """
     row_key = lambda a, b: [F.xxhash64(F.lit(7), a, b).alias("k1"), F.xxhash64(F.lit(11), b, a).alias("k2")]
@@ -342,7 +343,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = reps.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("g")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(F.col(id_col), F.col(text_col)))
-    numbered = whole.join(kept, ["k1", "k2"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0))))
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col("row").getField(c).alias(c) for c in docs.columns if c not in (id_col, text_col)]))
+    numbered = whole.join(kept, ["k1", "k2"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(others)))
     return numbered.where("n = 1").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

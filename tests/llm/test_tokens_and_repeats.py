@@ -258,3 +258,11 @@ def test_sketches_turn_away_no_pair_of_the_similarity():
             tried += 1
             apart += not sets.close(np.array([0]), np.array([2]))[0]
     assert kept > 200 and apart > 0.9 * tried
+
+
+def test_of_rows_with_one_id_and_text_the_first_by_its_other_columns_stays(spark):
+    rows = [(1, "a b c d e f", "de", "web"), (1, "a b c d e f", "en", "web"), (1, "a b c d e f", "de", "news"), (2, "other words that stand here alone", None, None), (2, "other words that stand here alone", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for n in (1, 4):
+        got = sorted((r.doc_id, r.lang, r.source) for r in simhash.drop_near_duplicates(docs.repartition(n, "source", "lang")).collect())
+        assert got == [(1, "de", "news"), (2, "en", None)]
