@@ -36,7 +36,7 @@ from labelmatch.functions.storage import written
 from labelmatch.llm.tokens import trimmed
 
 #: Bytes of text in a block, bytes of words whose lattices are held at once, and the prior's weight in pieces.
-BLOCK_BYTES, LATTICE_BYTES, PRIOR = 8_000_000, 200_000, 1000.0
+BLOCK_BYTES, LATTICE_BYTES, PRIOR = 24_000_000, 200_000, 1000.0
 #: The prior's share of an end.
 END = 1e-3
 LN10 = math.log(10)
