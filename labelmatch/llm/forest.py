@@ -1,14 +1,16 @@
-"""Nearest neighbours by one hash-prefix forest over all rows (after LSH Forest, Bawa et al., 2005).
+"""Nearest neighbours by a hash-prefix forest over all rows (after LSH Forest, Bawa et al., 2005).
 
-Every tree gives a vector a long string of symbols: a symbol is the one of PLANES random directions that the vector
-lies along most, with its sign. The strings of a tree are kept sorted, in lists by their first symbol, and what is
-in a list are strings and places only; the vectors stay in shards. A query is sent to the lists of its own first
-symbols. There it first descends to the rows next to it in order, which share the longest prefixes; their cosines
-give its k-th best so far. Then all trees ascend together to the prefix length at which a row as near as that would
-be missed in all trees with probability at most ``miss``, and the rows that share so much are verified too. Length
-0 is every row: a query whose neighbours are that far is answered by all shards.
+Every tree gives a vector a string of SYMBOLS symbols of SYMBOL bits: a symbol is the one of PLANES orthogonal directions that the
+vector lies along most, with its sign. A tree is its strings in order, with places of the vectors; the vectors stay in shards.
+Trees are cut into lists by so many first symbols that a list is of bounded size, mostly none.
 
-Every candidate is verified by cosine in double precision.
+A query first descends in every tree to the rows that share the longest prefix with it, which tells how many rows share how
+many symbols. The largest length that brings enough rows from all trees together is where it begins. From there
+all trees ascend at once, one symbol at a time: the rows that share so many symbols, and no more, are compared with the query by
+cosine in double precision. A query ends when a row as near as its k-th best so far would be missed in all trees with
+probability ``miss`` at most. Length 0 is every row: a query whose neighbours are that far is answered by all shards.
+
+Lists and shards are written once, in buckets; a step moves the open queries and what is asked for them.
 """
 
 from __future__ import annotations
@@ -20,35 +22,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelmatch.functions.storage import written
+from labelmatch.functions.storage import bucketed, written
 from labelmatch.llm.vectors import matrix, norms, typed, usable
 
-#: Directions of a symbol, and the bits of one.
-PLANES, SYMBOL = 64, 7
-#: Trees, vectors in a shard, strings of a list that one task takes, and the probability that a row is missed.
-TREES, SHARD, CHUNK, MISS, SEED = 48, 8192, 65_536, 0.15, 7
-
-
-def length_of_strings(n: int) -> int:
-    """Symbols that tell n rows apart."""
-    return min(9, max(1, int(np.ceil(np.log(max(n, 2)) / np.log(2 * PLANES)))))
-
-
-def strings(rows: np.ndarray, trees: int, symbols: int, seed: int) -> np.ndarray:
-    """(rows, trees) strings, the first symbol highest."""
-    planes = np.random.default_rng([seed, rows.shape[1]])
-    out = np.zeros((len(rows), trees), np.int64)
-    at = np.arange(len(rows))
-    for t in range(trees):
-        for _ in range(symbols):
-            along = rows @ planes.standard_normal((rows.shape[1], PLANES))
-            best = np.abs(along).argmax(axis=1)
-            out[:, t] = out[:, t] << SYMBOL | best << 1 | (along[at, best] > 0)
-    return out
-
-
-def thresholds(trees: int, symbols: int, miss: float, seed: int) -> list[float]:
-    """For the lengths 1, 2, ...: the least cosine at which a row is missed, with no prefix so long shared in any tree, with probability ``miss`` at most."""
+#: Directions of a symbol, the bits of one, symbols of a string, and functions that give symbols, of which each tree takes its own.
+PLANES, SYMBOL, SYMBOLS, POOL = 16, 5, 12, 256
+#: Trees, vectors in a shard, strings in a list, and the probability that a row is missed.
+TREES, SHARD, CHUNK, MISS, SEED = 128, 8192, 65_536, 0.3, 7
+
+
+class Hashes:
+    """The strings of vectors of one length."""
+
+    def __init__(self, dim: int, trees: int, seed: int):
+        rng = np.random.default_rng([seed, dim])
+        self.planes = min(PLANES, dim)
+        self.directions = np.concatenate([np.linalg.qr(rng.standard_normal((dim, self.planes)))[0] for _ in range(POOL)], axis=1).astype(np.float32)
+        # The first and second symbols of the trees are functions of their own as far as there are enough; the others are drawn.
+        order = np.concatenate([rng.permutation(POOL) for _ in range(-(-2 * trees // POOL))])
+        self.chosen = np.concatenate([order[: 2 * trees].reshape(2, trees).T, rng.integers(0, POOL, (trees, SYMBOLS - 2))], axis=1)
+
+    def strings(self, rows: np.ndarray) -> np.ndarray:
+        """(rows, trees) strings, the first symbol highest."""
+        out = np.zeros((len(rows), len(self.chosen)), np.int64)
+        for at in range(0, len(rows), 512):
+            part = rows[at : at + 512]
+            along = (part / np.abs(part).max(axis=1, keepdims=True)).astype(np.float32) @ self.directions
+            along = along.reshape(len(part), POOL, self.planes)
+            best = np.abs(along).argmax(axis=2)
+            signs = np.take_along_axis(along, best[:, :, None], axis=2)[:, :, 0] > 0
+            symbols = (best << 1 | signs).astype(np.int64)
+            for j in range(SYMBOLS):
+                out[at : at + 512] = out[at : at + 512] << SYMBOL | symbols[:, self.chosen[:, j]]
+        return out
+
+
+def thresholds(trees: int, miss: float, seed: int) -> list[float]:
+    """For the lengths 1 to SYMBOLS: the least cosine at which a row is missed, with no prefix so long shared in any tree, with probability ``miss`` at most."""
     rng = np.random.default_rng(seed)
     cosines, at = np.linspace(0, 1, 41), np.arange(8000)
     a, more = rng.standard_normal((8000, PLANES)), rng.standard_normal((8000, PLANES))
@@ -58,7 +68,7 @@ def thresholds(trees: int, symbols: int, miss: float, seed: int) -> list[float]:
         i, j = np.abs(a).argmax(axis=1), np.abs(b).argmax(axis=1)
         agree.append(np.mean((i == j) & (a[at, i] * b[at, j] > 0)))
     agree = np.maximum.accumulate(agree)
-    return [float(np.interp((1 - miss ** (1 / trees)) ** (1 / x), agree, cosines)) for x in range(1, symbols + 1)]
+    return [float(np.interp((1 - miss ** (1 / trees)) ** (1 / x), agree, cosines)) for x in range(1, SYMBOLS + 1)]
 
 
 def _batched(out: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -76,147 +86,218 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[
                 yield tuple(c[s].item() for c in cols), batch.slice(s, e - s)
 
 
-def _number(batches: Iterator[pa.RecordBatch], trees: int, symbols: dict[int, int], seed: int) -> Iterator[pa.RecordBatch]:
+def _number(batches: Iterator[pa.RecordBatch], trees: int, seed: int) -> Iterator[pa.RecordBatch]:
     """Rows by shard: each gets its number in the shard and its strings."""
-    now, n = None, 0
+    now, n, hashes = None, 0, {}
     for (shard, dim), part in _runs(batches, ["shard", "dim"]):
         n = 0 if shard != now else n
         now = shard
-        found = strings(matrix(part.column(part.schema.get_field_index("vec"))), trees, symbols[dim], seed)
+        if dim not in hashes:
+            hashes[dim] = Hashes(dim, trees, seed)
+        found = hashes[dim].strings(matrix(part.column(part.schema.get_field_index("vec"))))
         held = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, trees), pa.int32()), pa.array(found.reshape(-1)))
         yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.arange(n, n + len(part)), pa.int32()), held], names=[*part.schema.names, "slot", "strings"])
         n += len(part)
 
 
-_ASKED = [("shard", pa.int32()), ("q", pa.int64()), ("slots", pa.binary())]
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each list, whose rows come in order, as one row of arrays."""
+    now, held = None, []
 
+    def row() -> pa.RecordBatch:
+        s, shard, slot = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([now]), *(pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((s, "<i8"), (shard, "<i4"), (slot, "<i4")))], names=["list", "s", "shard", "slot"])
 
-def _look(batches: Iterator[pa.RecordBatch], symbols: dict[int, int], around: int | None) -> Iterator[pa.RecordBatch]:
-    """Lists, each as its rows in order and then its queries -> the rows that each query has to be compared with, by shard.
+    for batch in batches:
+        keys = batch.column(0)
+        change = np.flatnonzero(keys.dictionary_encode().indices.to_numpy()[1:] != keys.dictionary_encode().indices.to_numpy()[:-1]) + 1
+        for start, stop in zip([0, *change.tolist()], [*change.tolist(), len(batch)], strict=True):
+            if start == stop:
+                continue
+            key = keys[start].as_py()
+            if key != now and held:
+                yield row()
+                held = []
+            now = key
+            held.append([batch.column(c).slice(start, stop - start).to_numpy() for c in (1, 2, 3)])
+    if held:
+        yield row()
+
+
+def _opened(lists: pa.Table) -> list[np.ndarray]:
+    """A list's strings, in order, their shards and slots."""
+    return [np.frombuffer(lists.column(c)[0].as_py(), t) for c, t in (("s", "<i8"), ("shard", "<i4"), ("slot", "<i4"))]
+
+
+def _bounds(strings: np.ndarray, asked: np.ndarray, symbols: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Between which places of a list the strings share so many first symbols with the asked ones."""
+    cut = SYMBOL * (SYMBOLS - symbols)
+    low = asked >> cut << cut
+    return np.searchsorted(strings, low, "left"), np.searchsorted(strings, low + (np.int64(1) << cut) - 1, "right")
+
+
+def _descend(lists: pa.Table, asked: pa.Table) -> pa.Table:
+    """How many rows of a list share 1, 2, ... symbols with each query."""
+    out = []
+    if len(lists) and len(asked):
+        strings, s, q = _opened(lists)[0], asked.column("s").to_numpy(), asked.column("q").to_numpy()
+        for x in range(1, SYMBOLS + 1):
+            low, high = _bounds(strings, s, x)
+            some = np.flatnonzero(high > low)
+            out.append((q[some], np.full(len(some), x), (high - low)[some]))
+            if not len(some):
+                break
+    q, x, n = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (zip(*out, strict=True) if out else [(), (), ()]))
+    return pa.table([pa.array(q.astype(np.int64)), pa.array(x.astype(np.int32)), pa.array(n.astype(np.int64))], names=["q", "symbols", "n"])
 
-    ``around``: so many rows on either side of the query in order; else the rows that share the query's ``level`` of symbols.
-    """
-    now, rows, held = None, [], None
-    for key, part in _runs(batches, ["dim", "tree", "first", "chunk", "asks"]):
-        if key[:4] != now:
-            now, rows, held = key[:4], [], None
-        get = lambda c: part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-        if not key[4]:
-            rows.append((get("s"), get("shard"), get("slot")))
-            continue
-        if not rows:
-            continue
-        held = held or [np.concatenate(x) for x in zip(*rows, strict=True)]
-        s, shard, slot = held
-        asked = get("s")
-        if around is None:
-            cut = SYMBOL * (symbols[key[0]] - get("level").astype(np.int64))
-            low, high = np.searchsorted(s, asked >> cut << cut, "left"), np.searchsorted(s, (asked >> cut) + 1 << cut, "left")
-        else:
-            place = np.searchsorted(s, asked, "left")
-            low, high = np.maximum(place - around, 0), np.minimum(place + around, len(s))
-        out = []
-        for q, a, z in zip(get("q").tolist(), low.tolist(), high.tolist(), strict=True):
-            if z > a:
-                order = np.argsort(shard[a:z], kind="stable")
-                where, begin = np.unique(shard[a:z][order], return_index=True)
-                out += [(int(w), q, p.astype("<i4").tobytes()) for w, p in zip(where, np.split(slot[a:z][order], begin[1:]), strict=True)]
-        if out:
-            yield _batched(out, _ASKED)
-
-
-def _verify(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Shards, each as its rows by number and then what is asked of it -> the ``k`` best rows of each query."""
-    now, parts, held = None, [], None
-    kinds = [("q", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]
-    for (shard, asks), part in _runs(batches, ["shard", "asks"]):
-        if shard != now:
-            now, parts, held = shard, [], None
-        get = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
-        if not asks:
-            parts.append((get("id").to_numpy(), matrix(get("vec"))))
-            continue
-        if not parts:
-            continue
-        if held is None:
-            ids, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
-            held, parts = (ids, rows, norms(rows)), [(ids, rows)]
-        ids, rows, lengths = held
-        asked = matrix(get("vec"))
+
+_ASKED = [("shard", pa.int32()), ("q", pa.int64()), ("slots", pa.binary())]
+
+
+def _ascend(lists: pa.Table, asked: pa.Table) -> pa.Table:
+    """By shard, the rows of a list that share ``level`` symbols with each query, without those that share ``seen`` or more."""
+    out = []
+    if len(lists) and len(asked):
+        strings, shards, slots = _opened(lists)
+        s, level, seen = asked.column("s").to_numpy(), asked.column("level").to_numpy().astype(np.int64), asked.column("seen").to_numpy().astype(np.int64)
+        low, high = _bounds(strings, s, level)
+        known = seen <= SYMBOLS
+        inner_low, inner_high = _bounds(strings, s, np.minimum(seen, SYMBOLS))
+        inner_low, inner_high = np.where(known, inner_low, low), np.where(known, inner_high, low)
+        for q, a, b, c, d in zip(asked.column("q").to_pylist(), low.tolist(), inner_low.tolist(), inner_high.tolist(), high.tolist(), strict=True):
+            at = np.concatenate([np.arange(a, b), np.arange(c, d)])
+            if len(at):
+                order = at[np.argsort(shards[at], kind="stable")]
+                where, begin = np.unique(shards[order], return_index=True)
+                out += [(int(w), q, p.tobytes()) for w, p in zip(where, np.split(slots[order], begin[1:]), strict=True)]
+    return pa.Table.from_batches([_batched(out, _ASKED)])
+
+
+def _verify(k: int):
+    """What is asked of a shard -> how many rows each query was compared with, and the ``k`` best of them."""
+    kinds = [("q", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("score", pa.float64()), ("compared", pa.int64())]
+
+    def run(held: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
-        for i, (q, own, length) in enumerate(zip(get("q").to_pylist(), get("id").to_pylist(), norms(asked).tolist(), strict=True)):
-            slots = get("slots")[i].as_py()
-            at = np.arange(len(ids)) if slots is None else np.unique(np.frombuffer(b"".join(slots), "<i4"))
-            at = at[ids[at] != own]
-            cosines = (rows[at] * asked[i]).sum(axis=1) / (lengths[at] * length)
-            if len(at) > k:
-                best = np.flatnonzero(cosines >= np.partition(cosines, -k)[-k])
-                at, cosines = at[best], cosines[best]
-            best = np.lexsort((ids[at], -cosines))[:k]
-            out += [(q, now << 32 | r, i, c) for r, i, c in zip(at[best].tolist(), ids[at[best]].tolist(), cosines[best].tolist(), strict=True)]
-        yield _batched(out, kinds)
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, miss: float = MISS, trees: int = TREES, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
+        if len(held) and len(asked):
+            held = held.sort_by("slot")
+            ids, rows, slots = held.column("id").to_numpy(), matrix(held.column("vec").combine_chunks()), held.column("slot").to_numpy()
+            lengths, vectors = norms(rows), matrix(asked.column("vec").combine_chunks())
+            shard = held.column("shard")[0].as_py()
+            for i, (q, own, length) in enumerate(zip(asked.column("q").to_pylist(), asked.column("id").to_pylist(), norms(vectors).tolist(), strict=True)):
+                wanted = asked.column("slots")[i].as_py()
+                at = np.arange(len(ids)) if wanted is None else np.unique(np.frombuffer(b"".join(wanted), "<i4"))
+                at = at[ids[at] != own]
+                cosines = (rows[at] * vectors[i]).sum(axis=1) / (lengths[at] * length)
+                compared = len(at)
+                if len(at) > k:
+                    best = np.flatnonzero(cosines >= np.partition(cosines, -k)[-k])
+                    at, cosines = at[best], cosines[best]
+                best = np.lexsort((ids[at], -cosines))[:k]
+                out += [(q, shard << 32 | r, j, c, compared) for r, j, c in zip(slots[at[best]].tolist(), ids[at[best]].tolist(), cosines[best].tolist(), strict=True)]
+        return pa.Table.from_batches([_batched(out, kinds)])
+
+    return run
+
+
+class Forest:
+    """Lists and shards of all rows, and the queries among them."""
+
+    def __init__(self, vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_col: str, shard: int, trees: int, seed: int, chunk: int):
+        self.spark, self.k, self.trees = vectors.sparkSession, k, trees
+        self.parts = parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = typed(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), "vec").where(usable("vec") & F.col("id").isNotNull())
+        # Of equal rows no more than k can be among the k best of a query, so a large group of them is not moved.
+        same = rows.groupBy("id", "vec").agg(F.count("*").alias("n")).withColumn("dim", F.size("vec"))
+        same = same.select("dim", "id", "vec", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k + 1)).cast("int"))).alias("copy"))
+        same = written(same, "forest-rows")
+        sizes = {r["dim"]: r["count"] for r in same.groupBy("dim").count().orderBy("dim").collect()}  # a row for each length of vector
+        shards, first = F.lit(0), 0
+        for dim, n in sizes.items():
+            count = -(-n // shard)
+            shards = F.when(F.col("dim") == dim, first + F.pmod(F.xxhash64("id", "vec", "copy"), F.lit(count))).otherwise(shards)
+            first += count
+        named = same.withColumn("shard", shards.cast("int")).drop("copy").repartition(max(first, parts), "shard").sortWithinPartitions("shard", "id")
+        kinds = f"dim int, id long, vec {dict(named.dtypes)['vec']}, shard int, slot int, strings array<long>"
+        index = written(named.mapInArrow(lambda b: _number(b, trees, seed), kinds), "forest-index")
+        self.shards = bucketed(index.select("shard", "slot", "dim", "id", "vec"), "forest_shards", "shard", parts)
+        queries = index.where(is_query).groupBy("dim", "id").agg(F.min(F.struct("shard", "slot", "vec", "strings")).alias("m"))
+        self.queries = written(queries.select(F.shiftleft(F.col("m.shard").cast("long"), 32).bitwiseOR(F.col("m.slot").cast("long")).alias("q"), "dim", "id", "m.vec", "m.strings"), "forest-queries")
+        # Symbols that name a list, by length of vector: as many as leave about ``chunk`` strings.
+        self.named = {dim: max(0, int(np.log(max(1, n / chunk)) / np.log(2 * min(PLANES, dim)))) for dim, n in sizes.items()}
+        at = F.coalesce(*[F.when(F.col("dim") == dim, F.lit(x)) for dim, x in self.named.items()], F.lit(0))
+        part = F.when(at > 0, F.expr(f"shiftright(s, {SYMBOL} * ({SYMBOLS} - at))")).otherwise(0)
+        placed = index.select("dim", "shard", "slot", F.posexplode("strings").alias("tree", "s")).withColumn("at", at).withColumn("part", part).drop("at")
+        key = ["dim", "tree", "part"]
+        self.large = written(placed.groupBy(*key).count().where(F.col("count") > 2 * chunk).select(*key, F.ceil(F.col("count") / chunk).cast("int").alias("pieces")), "forest-large")
+        piece = F.pmod(F.xxhash64("shard", "slot"), F.coalesce("pieces", F.lit(1)))
+        listed = placed.join(self.large, key, "left").select(F.concat_ws(":", *key, piece).alias("list"), "s", "shard", "slot")
+        packed = listed.repartition(parts, "list").sortWithinPartitions("list", "s").mapInArrow(_pack, "list string, s binary, shard binary, slot binary")
+        self.lists = bucketed(packed, "forest_lists", "list", parts)
+
+    def ask(self, level: Column, steps: DataFrame | None = None) -> DataFrame:
+        """``(list, q, s, ...)``: the lists that hold the strings which share ``level`` symbols with a query's, or as many as name a list."""
+        rows = self.queries.select("dim", "q", F.posexplode("strings").alias("tree", "s"))
+        rows = rows.withColumns({"level": F.lit(SYMBOLS), "seen": F.lit(SYMBOLS + 1)}) if steps is None else rows.join(steps.where("level > 0"), "q")
+        at = F.coalesce(*[F.when(F.col("dim") == dim, F.lit(x)) for dim, x in self.named.items()], F.lit(0))
+        rows = rows.withColumn("at", at).withColumn("short", F.greatest(F.lit(0), F.col("at") - level))
+        begin = F.when(F.col("at") > 0, F.expr(f"shiftleft(shiftright(s, {SYMBOL} * ({SYMBOLS} - at + short)), {SYMBOL} * short)")).otherwise(0)
+        last = begin + F.expr(f"shiftleft(1L, {SYMBOL} * short)") - 1
+        rows = rows.withColumn("part", F.explode(F.sequence(begin, last)))
+        pieces = F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece")
+        key = ["dim", "tree", "part"]
+        return rows.join(self.large, key, "left").select(*key, pieces, "q", "s", "level", "seen").select(F.concat_ws(":", *key, "piece").alias("of"), "q", "s", "level", "seen")
+
+    def begin(self) -> DataFrame:
+        """``(q, level, seen)``: the largest number of symbols that ``k`` other rows share with a query for certain, as a tree has each row once; 0 where no number is."""
+        told = self.lists.groupBy("list").cogroup(self.ask(F.lit(SYMBOLS)).groupBy("of")).applyInArrow(_descend, "q long, symbols int, n long")
+        enough = told.groupBy("q", "symbols").agg(F.sum("n").alias("n")).where(F.col("n") >= (self.k + 1) * self.trees)
+        deepest = enough.groupBy("q").agg(F.max("symbols").alias("level"))
+        return written(self.queries.select("q").join(deepest, "q", "left").select("q", F.coalesce("level", F.lit(0)).alias("level"), F.lit(SYMBOLS + 1).alias("seen")), "forest-steps")
+
+    def step(self, steps: DataFrame) -> DataFrame:
+        """``(q, row, id, score, compared)`` of the rows at the queries' levels; at level 0 all rows of the query's length."""
+        asked = self.ask(F.col("level"), steps)
+        found = self.lists.groupBy("list").cogroup(asked.groupBy("of")).applyInArrow(_ascend, "shard int, q long, slots binary")
+        wanted = found.groupBy("shard", "q").agg(F.collect_list("slots").alias("slots"))  # at most one a list
+        every = self.shards.select("dim", "shard").distinct()
+        whole = steps.where("level = 0").join(self.queries.select("q", "dim"), "q").join(every, "dim").select("shard", "q", F.lit(None).cast("array<binary>").alias("slots"))
+        sent = wanted.unionByName(whole).join(self.queries.select("q", "id", "vec"), "q").withColumnRenamed("shard", "of")
+        return self.shards.drop("dim").groupBy("shard").cogroup(sent.groupBy("of")).applyInArrow(_verify(self.k), "q long, row long, id long, score double, compared long")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, miss: float = MISS, trees: int = TREES, seed: int = SEED, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """``nearest``, and ``(query_id, symbols, compared)``: at how many symbols each query ended, and with how many rows it was compared."""
+    forest = Forest(vectors, is_query, k, id_col, vec_col, shard, trees, seed, chunk)
+    ends = F.array(*[F.lit(t) for t in thresholds(trees, miss, seed)])
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "id", "row")
+    steps, found, done = forest.begin(), None, None
+    for _ in range(SYMBOLS + 1):
+        new = written(forest.step(steps), "forest-new")
+        rows = new.drop("compared") if found is None else new.drop("compared").unionByName(found)
+        found = written(rows.dropDuplicates(["q", "row"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "forest-found")
+        last = found.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("last"))
+        compared = new.groupBy("q", F.shiftright("row", 32).alias("shard")).agg(F.max("compared").alias("n")).groupBy("q").agg(F.sum("n").alias("compared"))
+        state = steps.join(last, "q", "left").join(compared, "q", "left").withColumn("ends", (F.col("level") == 0) | F.coalesce(F.col("last") >= F.get(ends, F.col("level") - 1), F.lit(False)))
+        state = written(state.select("q", "level", F.coalesce("compared", F.lit(0)).alias("compared"), "ends"), "forest-state")
+        done = state if done is None else done.unionByName(state)
+        steps = state.where("not ends").select("q", (F.col("level") - 1).alias("level"), F.col("level").alias("seen"))
+        if steps.isEmpty():
+            break
+    named = forest.queries.select("q", F.col("id").alias("query_id"))
+    ranked = found.withColumn("rank", F.row_number().over(order)).join(named, "q").select("query_id", "rank", "id", "score")
+    told = done.groupBy("q").agg(F.min("level").alias("symbols"), F.sum("compared").alias("compared")).join(named, "q").select("query_id", "symbols", "compared")
+    return ranked, told
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", **options) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` rows of largest cosine that each query finds, ties to the smaller id.
 
     ``is_query`` is a condition on ``id``. A query's own id is no candidate. Vectors that are null, zero, or hold null
     or non-finite components, and null ids, take no part; vectors are compared with vectors of their length; repeated
     rows are candidates of their own, and a repeated query is one query; no rows give no rows; further columns are ignored.
     """
-    spark = vectors.sparkSession
-    rows = typed(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), "vec").where(usable("vec") & F.col("id").isNotNull())
-    # Of equal rows no more than k can be among the k best of a query, so a large group of them is not moved.
-    same = rows.groupBy("id", "vec").agg(F.count("*").alias("n")).withColumn("dim", F.size("vec"))
-    same = same.select("dim", "id", "vec", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k + 1)).cast("int"))).alias("copy"))
-    same = written(same, "forest-rows")
-    sizes = {r["dim"]: r["count"] for r in same.groupBy("dim").count().orderBy("dim").collect()}  # a row for each length of vector
-    symbols = {dim: length_of_strings(n) for dim, n in sizes.items()}
-    shards, first = F.lit(0), 0
-    for dim, n in sizes.items():
-        count = -(-n // shard)
-        shards = F.when(F.col("dim") == dim, first + F.pmod(F.xxhash64("id", "vec", "copy"), F.lit(count))).otherwise(shards)
-        first += count
-    parts = max(first, 1)
-    named = same.withColumn("shard", shards.cast("int")).drop("copy").repartition(parts, "shard").sortWithinPartitions("shard", "id")
-    kinds = f"dim int, id long, vec {dict(named.dtypes)['vec']}, shard int, slot int, strings array<long>"
-    index = written(named.mapInArrow(lambda b: _number(b, trees, symbols, seed), kinds), "forest-index")
-    queries = index.where(is_query).groupBy("dim", "id").agg(F.min(F.struct("shard", "slot", "vec", "strings")).alias("m"))
-    queries = written(queries.select(F.shiftleft(F.col("m.shard").cast("long"), 32).bitwiseOR(F.col("m.slot").cast("long")).alias("q"), "dim", "id", "m.vec", "m.strings"), "forest-queries")
-
-    first_of = lambda: F.coalesce(*[F.when(F.col("dim") == dim, F.shiftright("s", SYMBOL * (x - 1))) for dim, x in symbols.items()], F.lit(0)).cast("int")
-    key = ["dim", "tree", "first"]
-    placed = index.select("dim", "shard", "slot", F.posexplode("strings").alias("tree", "s")).withColumn("first", first_of())
-    asking = queries.select("dim", "q", F.posexplode("strings").alias("tree", "s")).withColumn("first", first_of())
-    large = written(placed.groupBy(*key).count().where(F.col("count") > chunk).select(*key, F.ceil(F.col("count") / chunk).cast("int").alias("n")), "forest-large")
-    n = F.coalesce("n", F.lit(1))
-    none = lambda kind: F.lit(None).cast(kind)
-    listed = placed.join(large, key, "left").select(*key, F.pmod(F.xxhash64("shard", "slot"), n).cast("int").alias("chunk"), F.lit(False).alias("asks"), "s", "shard", "slot", none("long").alias("q"), none("int").alias("level"))
-
-    def ask(levels: DataFrame | None, around: int | None) -> DataFrame:
-        """``(q, row, id, score)`` of the rows that the lists name for the queries."""
-        mine = asking.withColumn("level", F.lit(0)) if levels is None else asking.join(levels.where("level > 0"), "q")
-        sent = mine.join(large, key, "left").select(*key, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"), F.lit(True).alias("asks"), "s", none("int").alias("shard"), none("int").alias("slot"), "q", "level")
-        by = [*key, "chunk"]
-        met = listed.unionByName(sent).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by, "asks", "s")
-        wanted = met.mapInArrow(lambda b: _look(b, symbols, around), "shard int, q long, slots binary").groupBy("shard", "q").agg(F.collect_list("slots").alias("slots"))  # at most one a tree and chunk
-        if levels is not None:  # those whose neighbours are too far ask all shards of their length
-            every = index.select("dim", "shard").distinct()
-            wanted = wanted.unionByName(levels.where("level = 0").join(queries.select("q", "dim"), "q").join(every, "dim").select("shard", "q", none("array<binary>").alias("slots")))
-        asked = wanted.join(queries.select("q", "id", "vec"), "q").select("shard", F.lit(True).alias("asks"), none("int").alias("slot"), "q", "id", "vec", "slots")
-        held = index.select("shard", F.lit(False).alias("asks"), "slot", none("long").alias("q"), "id", "vec", none("array<binary>").alias("slots"))
-        return held.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", "asks", "slot").mapInArrow(lambda b: _verify(b, k), "q long, row long, id long, score double")
-
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    best = lambda found: found.dropDuplicates(["q", "row"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    near = written(best(ask(None, 2 * k)), "forest-near")
-    last = near.groupBy("q").agg(F.when(F.count("*") == k, F.min("score")).alias("last"))
-    bounds = thresholds(trees, max(symbols.values(), default=1), miss, seed)
-    level = sum((F.coalesce((F.col("last") >= t).cast("int"), F.lit(0)) for t in bounds), F.lit(0))
-    longest = F.coalesce(*[F.when(F.col("dim") == dim, F.lit(x)) for dim, x in symbols.items()], F.lit(0))
-    levels = written(queries.select("q", "dim").join(last, "q", "left").select("q", F.least(level, longest).cast("int").alias("level")), "forest-levels")
-    found = best(near.drop("rank").unionByName(ask(levels, None))).join(queries.select("q", F.col("id").alias("query_id")), "q")
-    return found.select("query_id", "rank", "id", "score")
+    return search(vectors, is_query, k, id_col, vec_col, **options)[0]
 
 
 def op10_nearest(vectors: DataFrame) -> DataFrame:

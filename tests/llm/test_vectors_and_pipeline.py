@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,8 +61,12 @@ def test_near_embeddings_edges(spark, cloud):
     assert pivots.op7_near_embeddings(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_forest_recall_and_scores(spark, cloud):
-    out = forest.nearest(spark.createDataFrame(cloud, SCHEMA), F.col("id") % 50 == 0, shard=200).collect()
+@pytest.mark.parametrize("chunk", [65_536, 20])
+def test_forest_recall_and_scores(spark, cloud, chunk):
+    """Also with lists cut by first symbols, and those of copies in pieces."""
+    out, told = forest.search(spark.createDataFrame(cloud, SCHEMA), F.col("id") % 50 == 0, shard=200, chunk=chunk)
+    out = out.collect()
+    assert len(told.collect()) == 14
     good = [(i, np.array(v, float)) for i, v, _, _, _ in cloud if i < 800]
     rows = np.stack([v for _, v in good])
     ids = np.array([i for i, _ in good])
@@ -79,6 +84,26 @@ def test_forest_recall_and_scores(spark, cloud):
     assert [r.id for r in sorted(out, key=lambda r: r.rank) if r.query_id == 0] == [500, 501, 502, 503, 504]  # ties to the smaller id
 
 
+def test_strings_share_prefixes_and_ascending_adds_the_ring(spark):
+    rng = np.random.default_rng(0)
+    rows = rng.standard_normal((50, 16))
+    rows[1] = rows[0] * 3
+    strings = forest.Hashes(16, 8, 1).strings(rows)
+    assert (strings[0] == strings[1]).all() and strings.max() < 1 << forest.SYMBOL * forest.SYMBOLS
+    tree = np.sort(strings[:, 3])
+    order = np.argsort(strings[:, 3], kind="stable")
+    held = pa.table({"list": ["x"], "s": [tree.tobytes()], "shard": [np.zeros(50, "<i4").tobytes()], "slot": [order.astype("<i4").tobytes()]})
+    shared = lambda a, b: next((x for x in range(forest.SYMBOLS, 0, -1) if a >> forest.SYMBOL * (forest.SYMBOLS - x) == b >> forest.SYMBOL * (forest.SYMBOLS - x)), 0)
+    own = int(strings[0, 3])
+    lengths = [shared(own, int(s)) for s in strings[:, 3]]
+    told = forest._descend(held, pa.table({"of": ["x"], "q": [9], "s": [own]}))
+    assert dict(zip(told["symbols"].to_pylist(), told["n"].to_pylist(), strict=True)) == {x: sum(n >= x for n in lengths) for x in range(1, forest.SYMBOLS + 1)}
+    for level, seen in ((1, 2), (2, 13), (1, 13)):
+        got = forest._ascend(held, pa.table({"of": ["x"], "q": [9], "s": [own], "level": [level], "seen": [seen]}))
+        slots = sorted(x for s in got["slots"].to_pylist() for x in np.frombuffer(s, "<i4").tolist())
+        assert slots == [i for i, n in enumerate(lengths) if level <= n < seen]
+
+
 def test_forest_with_few_or_no_candidates(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 1, "x", "y"), (7, [1.0, 1.0], 1, "x", "y"), (50, [0.0, 2.0], 1, "x", "y"), (100, None, 1, "x", "y")], SCHEMA)
     got = [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in forest.op10_nearest(few).orderBy("query_id", "rank").collect()]
