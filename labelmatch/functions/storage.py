@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
 _MADE: list[tuple[str, str | None]] = []
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, which ``release`` deletes too."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append((path, None))
+    return path
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: later reads survive lost executors."""
     spark = df.sparkSession

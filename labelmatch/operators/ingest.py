@@ -39,7 +39,8 @@ def manifest_errors(rows: DataFrame, images: DataFrame | None = None, required:
             out = out.join(images.select(F.col("path").alias("image_path"), F.lit(True).alias("_there")).distinct(), "image_path", "left")
             found.append(F.when(F.col("image_path").isNotNull() & F.col("_there").isNull(), "image is not in the batch"))
     if "slug" in rows.columns:
-        found.append(F.when(F.col("slug").isNotNull() & (F.count("*").over(Window.partitionBy("slug")) > 1), "slug is repeated"))
+        own = F.coalesce("slug", F.concat(F.lit("\0"), F.col("row_number").cast("string")))  # rows without a slug are groups of their own
+        found.append(F.when(F.col("slug").isNotNull() & (F.count("*").over(Window.partitionBy(own)) > 1), "slug is repeated"))
     return out.withColumn("errors", F.array_compact(F.array(*found))).drop("_there")
 
 
@@ -72,7 +73,7 @@ def plan_ingest(feed: DataFrame, products: DataFrame, counts: DataFrame, models:
     for m in models:
         whole = whole & (F.coalesce(f"n_{m}", F.lit(0)) == complete)
     invalid = F.col("title").isNull() | F.col("manufacturer").isNull()
-    key = F.coalesce(F.col("product_id").cast("string"), F.concat(F.lit("s:"), "slug"), F.concat(F.lit("n:"), F.lower("title"), F.lit("|"), F.lower("manufacturer")))
+    key = F.coalesce(F.col("product_id").cast("string"), F.concat(F.lit("s:"), "slug"), F.concat(F.lit("n:"), F.lower("title"), F.lit("|"), F.lower("manufacturer")), F.concat(F.lit("\0"), F.col("row_number").cast("string")))
     usable = ~invalid & F.col("has_image")
     again = F.row_number().over(Window.partitionBy(key, usable).orderBy("row_number")) > 1
     action = F.when(invalid, "invalid").when(~F.col("has_image"), "missing_image").when(again, "skip").when(F.col("product_id").isNull(), "new").when(F.lit(force), "force").when(whole, "skip").otherwise("repair")
@@ -80,7 +81,7 @@ def plan_ingest(feed: DataFrame, products: DataFrame, counts: DataFrame, models:
 
 
 def apply_ingest(old: DataFrame, plan: DataFrame, new: DataFrame) -> DataFrame:
-    """The vectors after the plan: those of repaired products are replaced, those of new ones added. Write it beside the old snapshot, then switch."""
+    """The vectors after the plan: those of repaired products are replaced, those of new ones added. ``streaming.imports.changes`` does this, and the product rows, in one version of the catalog."""
     touched = plan.where("action in ('new', 'repair', 'force')").select("product_id").distinct()
     return old.join(touched, "product_id", "left_anti").unionByName(new.join(touched, "product_id", "left_semi"))
 

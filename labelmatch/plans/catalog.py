@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmatch.functions.storage import table
+from labelmatch.functions.storage import folder, table, written
 from labelmatch.operators import catalog, evaluate, ingest, names
 from labelmatch.sources import files
-from labelmatch.streaming import sessions
+from labelmatch.sources.versions import Change, Versions
+from labelmatch.streaming import imports, sessions
 
 MODELS, COMPLETE = ["A", "N"], 8
 
@@ -131,6 +132,35 @@ def apply_ingest(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("product_id").agg(F.count("*").alias("n"))
 
 
+def imported(spark: SparkSession, d: str) -> Versions:
+    """A catalog of products and their vectors, and the feed applied to it as a second version."""
+    li = table(spark, d, "lineitem")
+    vectors = lambda flag: li.where(f"l_linestatus = '{flag}'").select(F.col("l_partkey").alias("product_id"), F.col("l_returnflag").alias("model"), "l_orderkey", "l_linenumber")
+    catalog = Versions(spark, folder(spark, "catalog"), imports.KEYS, 16)
+    old = products(spark, d).select("product_id", "slug", "title", "manufacturer", F.lit("as it was").alias("description"), F.lit(None).cast("string").alias("image_path"))
+    catalog.commit({"products": Change(old), "vectors": Change(vectors("O"), append=True)})
+    plan = written(imports.planned(feed(spark, d), catalog.read("products"), li.select(F.col("l_partkey").alias("product_id"), F.col("l_returnflag").alias("model")), images(spark, d), MODELS, COMPLETE), "import-plan")
+    _, made = imports.changes(plan, F.col("row_number"), lambda rows: vectors("F").join(rows.select("product_id"), "product_id", "left_semi"))
+    catalog.commit(made)
+    return catalog
+
+
+def import_products(spark: SparkSession, d: str) -> DataFrame:
+    """The product rows after an import: updated, inserted, or as they were."""
+    return imported(spark, d).read("products")
+
+
+def import_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """How many vectors each product has after the same import."""
+    return imported(spark, d).read("vectors").groupBy("product_id").agg(F.count("*").alias("n"))
+
+
+def job_items(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    items = li.select(F.col("l_orderkey").alias("job_id"), (F.col("l_linenumber") * 100 + F.col("l_quantity").cast("int")).alias("row_number"), F.col("l_returnflag").alias("status"))
+    return imports.last_items(items, 2).select("job_id", "rank", "row_number", "status")
+
+
 def job_ledger(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     status = F.when(F.col("l_returnflag") == "R", "failed").when((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 45), "pending").otherwise("completed")
@@ -293,6 +323,12 @@ SQL = {
     "ingest_plan": f"WITH {_PLAN} SELECT * FROM plan",
     "ingest_summary": f"WITH {_PLAN} SELECT action, count(*) AS n FROM plan GROUP BY ALL",
     "apply_ingest": f"WITH {_PLAN}, tc AS (SELECT DISTINCT product_id FROM plan WHERE action IN ('new', 'repair', 'force') AND product_id IS NOT NULL) SELECT l_partkey AS product_id, count(*) AS n FROM lineitem WHERE (l_linestatus = 'O' AND l_partkey NOT IN (FROM tc)) OR (l_linestatus = 'F' AND l_partkey IN (FROM tc)) GROUP BY ALL",
+    "import_products": f"""WITH {_PLAN}, tc AS (SELECT coalesce(p.product_id, p.row_number) AS product_id, f.slug, f.title, f.manufacturer, f.description, f.image_path FROM plan p JOIN feed f ON f.row_number = p.row_number WHERE action IN ('new', 'repair', 'force'))
+  SELECT * FROM tc UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '-') || '-' || p_partkey END, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' ' || p_partkey, p_brand, 'as it was', NULL
+  FROM part WHERE p_partkey % 3 <> 0 AND p_partkey NOT IN (SELECT product_id FROM tc)""",
+    "import_vectors": f"""WITH {_PLAN}, tc AS (SELECT coalesce(product_id, row_number) AS product_id FROM plan WHERE action IN ('new', 'repair', 'force'))
+  SELECT l_partkey AS product_id, count(*) AS n FROM lineitem WHERE (l_linestatus = 'O' AND l_partkey NOT IN (FROM tc)) OR (l_linestatus = 'F' AND l_partkey IN (FROM tc)) GROUP BY ALL""",
+    "job_items": "SELECT l_orderkey AS job_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 100 + l_quantity::INT DESC, l_returnflag)::INT AS rank, l_linenumber * 100 + l_quantity::INT AS row_number, l_returnflag AS status FROM lineitem QUALIFY rank <= 2",
     "job_ledger": """WITH i AS (SELECT l_orderkey AS job_id, l_linenumber * 100 + l_quantity::INT AS rn, CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_returnflag = 'A' AND l_quantity > 45 THEN 'pending' ELSE 'completed' END AS st, CASE WHEN l_returnflag = 'R' THEN 'no image for ' || lpad(l_partkey::VARCHAR, 8, '0') END AS er FROM lineitem)
   SELECT job_id, count(*) AS total, count(*) FILTER (st = 'completed') AS completed, count(*) FILTER (st = 'failed') AS failed, count(*) FILTER (st = 'pending') AS pending, CASE WHEN bool_or(st IN ('failed', 'pending')) THEN 'failed' ELSE 'completed' END AS status, min((rn, er)) FILTER (er IS NOT NULL)[2] AS error FROM i GROUP BY ALL""",
     "missing_images": f"""WITH {_FEED} SELECT f.row_number, f.title FROM feed f JOIN part p ON p.p_partkey = f.row_number WHERE title IS NOT NULL AND manufacturer IS NOT NULL AND NOT coalesce(image_path IN (SELECT p_partkey || '.jpg' FROM part WHERE p_size % 3 = 1), false)
@@ -327,7 +363,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        catalog_page, catalog_search, catalog_search_page, catalog_lookup, name_lookup, name_matches, names_in_texts, manifest_errors, manifest_first_error, vector_counts, ingest_plan, ingest_summary, apply_ingest, job_ledger, missing_images, url_targets, augmentation_plan, balanced_batches, best_box, crop_audit,
+        catalog_page, catalog_search, catalog_search_page, catalog_lookup, name_lookup, name_matches, names_in_texts, manifest_errors, manifest_first_error, vector_counts, ingest_plan, ingest_summary, apply_ingest, import_products, import_vectors, job_items, job_ledger, missing_images, url_targets, augmentation_plan, balanced_batches, best_box, crop_audit,
         best_polygon, rectification_summary, insert_unique_slug, latency_p95, batch_summary, pooled_totals, evaluate_pack, demote_unknown, dense_index, augmentation_manifest, feedback_exclusions, session_contexts,
     )
 }
