@@ -186,7 +186,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
 
 def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
-    """``tokens`` and the bytes of each row's ids, in order; null ids give no bytes, an unknown id is an error."""
+    """``tokens`` and the bytes of each row's ids, in order, as column ``to``, which takes the place of one of that name.
+
+    Null and empty ids give no bytes, an unknown id is an error; repeated rows stay; no rows give no rows; further columns pass through.
+    """
+    tokens = tokens.drop(to) if to != ids_col else tokens
     spark = tokens.sparkSession
     by_id = sorted((rank, token) for token, rank in read_ranks(ranks_path).items())
     sizes = np.zeros(by_id[-1][0] + 1, np.int64)

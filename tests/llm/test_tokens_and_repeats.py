@@ -44,6 +44,12 @@ def test_bpe_query_digests_and_empty_table(spark, prose, tokenizer):
     assert bpe.op5_bpe(frame(spark, [])).count() == 0
 
 
+def test_decoding_replaces_a_column_of_its_name(spark):
+    tokens = spark.createDataFrame([(1, [64, 65], "old"), (2, None, "old"), (3, [], None)], "id long, ids array<int>, decoded string")
+    out = bpe.decode(tokens, RANKS)
+    assert out.columns == ["id", "ids", "decoded"] and [len(r.decoded) for r in out.orderBy("id").collect()] == [2, 0, 0]
+
+
 def test_decode_refuses_unknown_ids(spark):
     rows = spark.createDataFrame([(1, [10**6])], "id long, ids array<int>")
     with pytest.raises(Exception, match="not in the vocabulary"):
