@@ -93,7 +93,7 @@ def replay(queries: DataFrame, refs_a: DataFrame, refs_b: DataFrame, labels: Dat
     """``(query_id, kind, similarity, status, correct)``: the cascade's answers to labelled queries, once as they are and once without their own products.
 
     ``labels(query_id, kind in|out, accepted)``, ``accepted`` holding the products that are right. Queries of kind in with a product are
-    ``positive``, and ``left_out`` with these products taken out of their pools; the others are ``negative``.
+    ``positive``, and ``left_out`` with these products taken out of their pools; the others are ``negative``. A query left without candidates is not_in_catalog.
     """
     known = labels.where((F.col("kind") == "in") & (F.size("accepted") > 0)).select("query_id", "accepted")
     own = known.select("query_id", F.explode("accepted").alias("product_id")).distinct()
@@ -102,10 +102,10 @@ def replay(queries: DataFrame, refs_a: DataFrame, refs_b: DataFrame, labels: Dat
     for asked, without in ((queries.join(kinds, "query_id", "left_semi"), None), (queries.join(known, "query_id", "left_semi"), own)):
         ranked = cascade(asked, refs_a, refs_b, pool=pool, weight=weight, without=without)
         margin = F.round(F.col("fusion") - F.lead("fusion").over(Window.partitionBy("query_id").orderBy("rank")), 4)
-        first = ranked.withColumn("margin", margin).where("rank = 1").join(kinds, "query_id")
+        first = asked.select("query_id").distinct().join(kinds, "query_id").join(ranked.withColumn("margin", margin).where("rank = 1"), "query_id", "left")
         similarity = F.coalesce("best_b", "best_a")
         kind = F.col("kind") if without is None else F.lit("left_out")
-        part = first.select("query_id", kind.alias("kind"), similarity.alias("similarity"), classify(similarity, F.col("margin"), found, gap, reject).alias("status"), F.coalesce(F.array_contains("accepted", F.col("product_id")), F.lit(False)).alias("correct"))
+        part = first.select("query_id", kind.alias("kind"), similarity.alias("similarity"), F.when(F.col("product_id").isNull(), "not_in_catalog").otherwise(classify(similarity, F.col("margin"), found, gap, reject)).alias("status"), F.coalesce(F.array_contains("accepted", F.col("product_id")), F.lit(False)).alias("correct"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -183,6 +183,11 @@ def coverage_report(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return row.selectExpr("_all", f"stack({len(columns)}, {pairs}) as (feature, n)").select("feature", "n", F.round(100 * F.col("n") / F.greatest("_all", F.lit(1)), 1).alias("percent"))
 
 
+def frequencies(df: DataFrame, column: str, top: int = 20) -> DataFrame:
+    """``(value, n)``: the ``top`` most frequent values of a column, ties by value; null is one of them."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(top)
+
+
 def split_sections(df: DataFrame, key: str, text: str, sections: list[tuple[str, str]], default: str, headings: list[tuple[str, str, bool]] = (), label: str | None = None) -> DataFrame:
     """``(key, place, section, text)``: the sentences of each section in order; ``place`` is that of the section, ``default`` the last.
 

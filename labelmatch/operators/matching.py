@@ -170,20 +170,28 @@ def final_score(total: Column, applicable: Column) -> Column:
     return half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + 50 * total / F.greatest(applicable, F.lit(3.0)))), 1)
 
 
+def unknown_features(r: Column, p: Column, red_tannin: Column) -> Column:
+    """What rules ask of a product that does not say it, sorted; the tannin of a red one is estimated then."""
+    dish, lacks = r["dish"], lambda name: p[name].isNull()
+    asked = [("acidity", dish & (r["axes"]["fat"] >= 2) & lacks("acidity")), ("body", dish & lacks("body")), ("sweetness", dish & lacks("sweetness")), ("tannin", dish & lacks("tannin") & (p["category"] == "Красное") & red_tannin.isNotNull())]
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), name) for name, c in asked]))
+
+
 def score(requests: DataFrame, products: DataFrame, keep_dropped: bool = False) -> DataFrame:
-    """``(r, p, total, n_rules, contributions, score)`` of the pairs that pass the hard filter.
+    """``(r, p, total, n_rules, contributions, unknown, score)`` of the pairs that pass the hard filter.
 
-    The score is a sum of columns; ``contributions``, an array of ``(rule, value, weight)``, is only built where it is asked for.
+    The score is a sum of columns; ``contributions``, an array of ``(rule, value, weight)``, and ``unknown``, the features that rules ask
+    for and the product does not state, are only built where they are asked for.
     """
     stats = F.broadcast(catalog_stats(products).select("red_tannin", "classic"))  # one row
     met = hard_filter(prepared(requests), with_common(products))
     met = (met if keep_dropped else met.where("reason is null")).crossJoin(stats)
     values = rules(F.col("r"), F.col("p"), F.col("red_tannin"), F.col("classic"))
-    said = met.select("r", "p", *[v.alias(f"v{i}") for i, (_, v) in enumerate(values)])
+    said = met.select("r", "p", unknown_features(F.col("r"), F.col("p"), F.col("red_tannin")).alias("unknown"), *[v.alias(f"v{i}") for i, (_, v) in enumerate(values)])
     total = sum((F.coalesce(F.col(f"v{i}") * RULES[name], F.lit(0.0)) for i, (name, _) in enumerate(values)), F.lit(0.0))
     count = sum((F.col(f"v{i}").isNotNull().cast("long") for i in range(len(values))), F.lit(0).cast("long"))
     each = [F.when(F.col(f"v{i}").isNotNull(), F.struct(F.lit(name).alias("rule"), F.col(f"v{i}").alias("value"), F.lit(RULES[name]).alias("weight"))) for i, (name, _) in enumerate(values)]
-    summed = said.select("r", "p", total.alias("total"), count.alias("n_rules"), F.array_compact(F.array(*each)).alias("contributions"))
+    summed = said.select("r", "p", total.alias("total"), count.alias("n_rules"), F.array_compact(F.array(*each)).alias("contributions"), "unknown")
     return summed.withColumn("score", final_score(F.col("total"), F.col("r.applicable")))
 
 

@@ -53,6 +53,10 @@ def score_rules(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).select(F.col("r.request_id").alias("request_id"), F.col("p.product_id").alias("product_id"), "score", "n_rules", F.round("total", 6).alias("total"))
 
 
+def unknown_features(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d).select(F.col("r.request_id").alias("request_id"), F.col("p.product_id").alias("product_id"), F.array_join("unknown", ",").alias("unknown"))
+
+
 def recommend_topk(spark: SparkSession, d: str) -> DataFrame:
     return M.recommend(scored(spark, d)).select("request_id", "rank", "product_id", "score")
 
@@ -186,6 +190,7 @@ SQL = {
     "catalog_stats": f"WITH {_P}, {_STATS} SELECT classic, red_tannin, n_grapes FROM st",
     "hard_filter_reasons": f"WITH {_P}, {_R} SELECT request_id, coalesce({_REASON}, 'kept') AS reason, count(*) AS n FROM r, p GROUP BY ALL",
     "score_rules": f"{_SCORED} SELECT request_id, product_id, score, len(cs) AS n_rules, round(total, 6) AS total FROM sc",
+    "unknown_features": f"{_SCORED} SELECT request_id, product_id, concat_ws(',', CASE WHEN fat >= 2 AND acidity IS NULL THEN 'acidity' END, CASE WHEN dish AND body IS NULL THEN 'body' END, CASE WHEN dish AND sweetness IS NULL THEN 'sweetness' END, CASE WHEN dish AND tannin IS NULL AND t IS NOT NULL THEN 'tannin' END) AS unknown FROM sc",
     "dish_rank": f"{_SCORED} SELECT request_id, product_id, score, round(((rank() OVER (PARTITION BY request_id ORDER BY score) - 1) / count(*) OVER (PARTITION BY request_id))::DECIMAL(18, 9), 2)::DOUBLE AS share, max(score) OVER (PARTITION BY request_id) AS best FROM sc",
     "best_dishes": f"WITH {_P}, {_R}, {_STATS}, {_rules_sql('true')} SELECT product_id, request_id, row_number() OVER (PARTITION BY product_id ORDER BY score DESC, request_id)::INT AS rank, score FROM sc WHERE request_id <> product_id % 25 QUALIFY rank <= 4",
     "alternatives": f"""WITH {_P}, met AS (SELECT a.product_id AS base_id, b.product_id, b.name, b.winery, round(({_LIKE})::DOUBLE, 6) AS likeness FROM p a JOIN p b ON a.category = b.category AND a.sparkling = b.sparkling
@@ -233,4 +238,4 @@ SQL = {
     CASE WHEN acid >= 2 THEN 'acid' END, CASE WHEN sweet >= 1.5 THEN 'sweet' END, CASE WHEN salt >= 3 THEN 'salty' END, CASE WHEN heat >= 2.5 THEN 'hot' WHEN heat >= 1.2 THEN 'peppery' END) END AS traits FROM r""",
 }
 
-QUERIES = {f.__name__: f for f in (catalog_stats, hard_filter_reasons, score_rules, recommend_topk, dish_rank, best_dishes, alternatives, alternative_reasons, type_fit, group_profile, group_summary, compare_groups, side_by_side, explain_pick, assign_role, traits)}
+QUERIES = {f.__name__: f for f in (catalog_stats, hard_filter_reasons, score_rules, unknown_features, recommend_topk, dish_rank, best_dishes, alternatives, alternative_reasons, type_fit, group_profile, group_summary, compare_groups, side_by_side, explain_pick, assign_role, traits)}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmatch.functions.storage import spread, table
+from labelmatch.functions.vectors import embed_in_batches
 from labelmatch.operators import dishes as D
 from labelmatch.operators import features as X
 from labelmatch.operators import requests as R
@@ -101,6 +102,18 @@ def coverage_report(spark: SparkSession, d: str) -> DataFrame:
     return X.coverage_report(rows, {c: F.when(F.col(c).isNotNull(), True) for c in ("sweetness", "acidity", "tannin", "body")} | {c: F.col(c) for c in ("sparkling", "oak")} | {"aroma": F.when(F.col("aroma") != "", True)})
 
 
+def type_frequency(spark: SparkSession, d: str) -> DataFrame:
+    kinds = table(spark, d, "part").select(F.when(F.col("p_size") % 10 != 3, F.concat_ws(" ", "p_type", F.col("p_size") % 7)).alias("type"))
+    return X.frequencies(kinds, "type")
+
+
+def embed_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A model that gives the numbers of letters and of words of whole texts, over chunks of rows."""
+    rows = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = embed_in_batches(rows, lambda texts: [[len(t), t.count(" ") + 1] for t in texts], "text", 2)
+    return out.select("doc_id", *[F.round(F.col("embedding")[i], 6).alias(f"x{i}") for i in (0, 1)])
+
+
 def split_sections(spark: SparkSession, d: str) -> DataFrame:
     out = X.split_sections(docs(spark, d), "doc_id", "text", SECTIONS, "about")
     return out.select("doc_id", "section", F.length("text").cast("long").alias("n"), F.md5("text").alias("text"))
@@ -274,6 +287,8 @@ SQL = {
   q AS (SELECT p_partkey, unnest(range(1, 4)) AS i, unnest(g) AS g FROM p), r AS (SELECT p_partkey, i, CASE lower(g) WHEN 'small (old)' THEN 'Petit' ELSE CASE regexp_replace(lower(g), '\\s*\\(.*?\\)', '') WHEN 'red' THEN 'Rouge' ELSE regexp_replace(g, '\\s*\\(.*?\\)', '') END END AS g FROM q WHERE trim(g) <> '' AND lower(g) <> 'bolt'),
   s AS (SELECT p_partkey, g, min(i) AS i FROM r GROUP BY ALL) SELECT p_partkey, coalesce(string_agg(g, '|' ORDER BY s.i), '') AS grapes FROM part LEFT JOIN s USING (p_partkey) GROUP BY p_partkey""",
     "extract_features": f"{_ALL} SELECT doc_id, sweetness, sparkling, acidity, tannin, oak, body, aroma, food, {_TYPE} AS type FROM every",
+    "type_frequency": "SELECT CASE WHEN p_size % 10 <> 3 THEN p_type || ' ' || p_size % 7 END AS value, count(*) AS n FROM part GROUP BY ALL ORDER BY n DESC, value NULLS LAST LIMIT 20",
+    "embed_texts": "WITH c AS (SELECT doc_id, length(coalesce(text, ''))::DOUBLE AS a, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) + 1)::DOUBLE AS b FROM documents) SELECT doc_id, round(a / sqrt(a * a + b * b), 6) AS x0, round(b / sqrt(a * a + b * b), 6) AS x1 FROM c",
     "coverage_report": f"""{_ALL}, n AS (SELECT count(*) AS n FROM every), c AS (SELECT 'sweetness' AS feature, count(sweetness) AS k FROM every UNION ALL SELECT 'acidity', count(acidity) FROM every UNION ALL SELECT 'tannin', count(tannin) FROM every
   UNION ALL SELECT 'body', count(body) FROM every UNION ALL SELECT 'sparkling', count(*) FILTER (sparkling) FROM every UNION ALL SELECT 'oak', count(*) FILTER (oak) FROM every UNION ALL SELECT 'aroma', count(*) FILTER (aroma <> '') FROM every)
   SELECT feature, k AS n, round(100.0 * k / greatest(n, 1), 1) AS percent FROM c, n""",
@@ -309,4 +324,4 @@ SQL = {
     WHEN regexp_matches(t, 'ouon|ungen') AND n >= 1 THEN 'profile' WHEN dish OR n >= 1 THEN 'recommend' ELSE 'clarify' END) AS intent FROM f""",
 }
 
-QUERIES = {f.__name__: f for f in (feature_sweetness, feature_levels, feature_body, aroma_tags, food_mentions, serve_and_alcohol, clean_grapes, extract_features, coverage_report, split_sections, scales_and_snippets, guardrail_code, parse_dish, route_intent, parse_context, grapes_in, grape_wishes, merge_contexts)}
+QUERIES = {f.__name__: f for f in (feature_sweetness, feature_levels, feature_body, aroma_tags, food_mentions, serve_and_alcohol, clean_grapes, extract_features, coverage_report, type_frequency, embed_texts, split_sections, scales_and_snippets, guardrail_code, parse_dish, route_intent, parse_context, grapes_in, grape_wishes, merge_contexts)}

@@ -211,3 +211,11 @@ def test_two_rounds_find_the_nearest_and_spare_cells(spark, monkeypatch, piece):
     assert listed(votes) == {i: plain(i, 3) for i in away} and all(r.votes == max(1, near[r.query_id][r.product_id]) for r in votes)
     told = retrieve.cells_visited(queries, refs, 3).collect()
     assert {r.query_id for r in told} == set(away) and sum(r["first"] + r.second for r in told) < 0.8 * sum(r.cells for r in told)
+
+
+def test_a_labelled_query_left_without_candidates_is_rejected(spark):
+    refs = spark.createDataFrame([(10, 1, [1.0, 0.0])], "vector_id long, product_id long, vec array<double>")
+    queries = spark.createDataFrame([(q, v, m, [1.0, 0.1]) for q in (1, 2) for v in (1, 2) for m in "AB"], "query_id long, view int, model string, vec array<double>")
+    labels = spark.createDataFrame([(1, "in", [1]), (2, "out", [])], "query_id long, kind string, accepted array<long>")
+    got = {(r.kind, r.query_id): r.status for r in evaluate.replay(queries, refs, refs, labels, 0.9, 0.1, 0.5).collect()}
+    assert got == {("positive", 1): "found", ("negative", 2): "found", ("left_out", 1): "not_in_catalog"}
