@@ -143,24 +143,36 @@ MORE_SETS, NOTES = ["grapes_like", "grapes_avoid", "excluded_ids"], "notes"
 def merge_contexts(turns: DataFrame, session: str, turn: str, context: str = "context") -> DataFrame:
     """``(session, context)``: sets are joined over the turns; of scalars the last that is stated stays (not false, not novice); likewise the dish; notes follow each other, each once.
 
-    All turns of a session meet in one row, so a session has to be of bounded length, as ``session_numbers`` cuts it.
+    Nothing holds the turns of a session together: the last of what is stated is a maximum by turn, and of sets and notes
+    each value is one row, however often it is said, so a session may be of any length. Of equal turns what is stated last by its text stays.
     """
-    rows = F.transform(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("n"), F.col(context).alias("c")))), lambda r: r["c"])
-    held = turns.groupBy(session).agg(rows.alias("rows"))
     have = turns.select(f"{context}.*").columns
-
-    def every(name: str) -> Column:
-        return F.array_distinct(F.flatten(F.array_compact(F.transform("rows", lambda c: c[name]))))
+    said = lambda name: F.col(f"{context}.{name}")
 
     def last(name: str) -> Column:
-        said = F.filter(F.transform("rows", lambda c: c[name]), lambda v: v.isNotNull() & (v.cast("string") != "") & ((v.cast("string") != "novice") if name == "experience" else F.lit(True)) & ((v.cast("string") != "false") if name == "avoid_oak" else F.lit(True)))
-        value = F.get(said, F.size(said) - 1)
-        return (F.coalesce(value, F.lit("novice")) if name == "experience" else value).alias(name)
-
-    dish = F.filter(F.transform("rows", lambda c: c["dish"]), lambda d: d.isNotNull())
-    sets = [F.sort_array(every(s)).alias(s) for s in [*SETS, *MORE_SETS] if s in have]
-    notes = [every(NOTES).alias(NOTES)] if NOTES in have else []
-    return held.select(session, F.struct(F.get(dish, F.size(dish) - 1).alias("dish"), *sets, *[last(s) for s in SCALARS], *notes).alias("context"))
+        value = said(name)
+        text = value.cast("string")
+        empty = {"experience": text == "novice", "avoid_oak": text == "false"}.get(name, F.lit(False))
+        stated = value.isNotNull() & (F.lit(True) if name == "dish" else (text != "") & ~empty)
+        return F.max_by(value, F.when(stated, F.struct(F.col(turn).alias("turn"), F.lit("") if name == "dish" else text))).alias(name)
+
+    sets, notes = [s for s in [*SETS, *MORE_SETS] if s in have], [NOTES] if NOTES in have else []
+    ends = turns.groupBy(session).agg(last("dish"), *[last(s) for s in SCALARS])
+    kinds = {n: turns.select(said(n)).schema[0].dataType.simpleString() for n in [*sets, *notes]}
+
+    def entries(name: str) -> Column:
+        items = F.coalesce(said(name).cast("array<string>"), F.array().cast("array<string>"))
+        return F.transform(items, lambda v, i: F.struct(F.lit(name).alias("name"), v.alias("value"), F.struct(F.col(turn).alias("turn"), i.alias("i")).alias("at")))
+
+    listed = ends
+    if kinds:
+        each = turns.select(session, F.explode(F.concat(*map(entries, kinds))).alias("x")).groupBy(session, "x.name", "x.value").agg(F.min("x.at").alias("at"))
+        of = lambda n: F.sort_array(F.collect_list(F.when(F.col("name") == n, F.struct("at", "value"))))  # noqa: E731 distinct values only
+        merged = each.groupBy(session).agg(*[F.transform(of(n), lambda x: x["value"]).cast(kinds[n]).alias(n) for n in kinds])
+        listed = ends.join(merged, session, "left")
+    none = lambda n: F.coalesce(n, F.array().cast(kinds[n]))
+    scalars = [(F.coalesce(s, F.lit("novice")) if s == "experience" else F.col(s)).alias(s) for s in SCALARS]
+    return listed.select(session, F.struct("dish", *[F.sort_array(none(s)).alias(s) for s in sets], *scalars, *[none(n).alias(n) for n in notes]).alias("context"))
 
 
 def route_intent(text: Column, has_dish: Column, n_groups: Column, feedback: str, label_info: str, profile: str, rules: dict[str, str] | None = None) -> Column:

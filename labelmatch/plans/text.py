@@ -143,10 +143,10 @@ ASKED = ["Хочу красное сухое на день рождения, л
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    """Each message, and a request in Russian by the number of its words."""
+    """Each whole message, followed by a request in Russian by the number of its words."""
     c = table(spark, d, "conversations")
     at = F.pmod(F.size(F.split("text", " ")), F.lit(len(ASKED)))
-    return c.select("conv_id", "turn", F.get(F.array(*map(F.lit, ASKED)), at).alias("text"))
+    return c.select("conv_id", "turn", F.concat("text", F.lit(". "), F.get(F.array(*map(F.lit, ASKED)), at)).alias("text"))
 
 
 def parse_context(spark: SparkSession, d: str) -> DataFrame:
@@ -301,7 +301,7 @@ SQL = {
     CASE WHEN length(t) <= 120 THEN t WHEN e > 60 THEN substr(h, 1, e) ELSE regexp_replace(h, '\s+\S*\z', '') || '…' END AS snippet FROM h""",
     "guardrail_code": f"WITH {_C} SELECT conv_id, turn, {_case('t', [(p, n) for n, p in RULES.items()])} AS code, array_to_string(list_filter([{', '.join(f'''CASE WHEN regexp_matches(t, '{p}') THEN '{p}' END''' for p in ('thoning', 'schte', 'aiel'))}], lambda x: x IS NOT NULL), ',') AS tone FROM c",
     "parse_dish": f"WITH {_C} SELECT conv_id, turn, {', '.join(f'CASE WHEN len({_MAINS}) > 0 THEN round({_axis_sql(a)}, 1) END AS {a}' for a in R.AXES)}, CASE WHEN len({_MAINS}) > 0 THEN {_DISH_TAGS} END AS tags, CASE WHEN len({_MAINS}) > 0 THEN array_to_string({_MAINS}, ',') END AS mains FROM c",
-    "parse_context": f"""WITH a AS (SELECT conv_id, turn, {_N.format(f"{ASKED!r}[len(string_split(text, ' ')) % {len(ASKED)} + 1]")} AS t0, replace(t0, 'не сух', 'не_сух') AS t FROM conversations)
+    "parse_context": f"""WITH a AS (SELECT conv_id, turn, {_N.format(f"(text || '. ' || {ASKED!r}[len(string_split(text, ' ')) % {len(ASKED)} + 1])")} AS t0, replace(t0, 'не сух', 'не_сух') AS t FROM conversations)
   SELECT conv_id, turn, {_listed([(f"regexp_matches(t, '{_re2(p)}') AND NOT list_contains(regexp_extract_all(t, 'не (?:люблю|хочу|надо|нужно) (красн|бел|розов|оранжев)', 1), '{stem}')", f"'{n}'") for n, p, stem in D.COLORS], sort=False)} AS colors,
     nullif(array_to_string(list_sort(list_distinct(flatten([{", ".join(f"CASE WHEN regexp_matches(t, '{_re2(p)}') THEN {list(levels)} ELSE [] END" for levels, p in D.SWEET_WISHES)}]))), ','), '') AS sweet_ok,
     {_listed([("contains(t, 'росси')", "'Россия'"), ("contains(t, 'долин') OR regexp_matches(t, 'донск|долина дона')", "'Долина Дона'")], sort=False)} AS regions, CASE WHEN regexp_matches(t, '{_re2(D.BUDGET)}') THEN '{D.BUDGET_NOTE}' ELSE '' END AS notes,
