@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmatch.functions.storage import folder, table, written
-from labelmatch.operators import catalog, evaluate, ingest, names
+from labelmatch.operators import catalog, evaluate, ingest, names, sampling
 from labelmatch.sources import files
 from labelmatch.sources.versions import Change, Versions
 from labelmatch.streaming import imports, sessions
@@ -187,6 +187,12 @@ def balanced_batches(spark: SparkSession, d: str) -> DataFrame:
     return ingest.balanced_batches(m, 8, 120, 20)
 
 
+def sampled_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches over the lines of an order book, suppliers as groups."""
+    m = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("group_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("image_id"))
+    return sampling.sampled_batches(m, 8, 64, 40)
+
+
 def boxes(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     x, y = F.floor(F.col("l_quantity") * 17 % 700), F.floor(F.col("l_extendedprice") % 500)
@@ -291,6 +297,15 @@ _PLAN = f"""{_FEED}, cnt AS (SELECT l_partkey AS product_id, count(*) FILTER (l_
   ag AS (SELECT *, row_number() OVER (PARTITION BY k, usable ORDER BY row_number) > 1 AS again FROM ky),
   plan AS (SELECT ag.row_number, ag.product_id, CASE WHEN invalid THEN 'invalid' WHEN NOT has_image THEN 'missing_image' WHEN again THEN 'skip' WHEN ag.product_id IS NULL THEN 'new' WHEN coalesce(n_A, 0) = {COMPLETE} AND coalesce(n_N, 0) = {COMPLETE} THEN 'skip' ELSE 'repair' END AS action
     FROM ag LEFT JOIN cnt USING (product_id))"""
+
+
+def _permuted(x: str, n: str, key: str) -> str:
+    """``x`` among 0..n-1 after the rounds of a keyed permutation, in SQL."""
+    keyed = lambda *parts: f"('0x' || substr(md5(concat_ws(':', {', '.join((key, *parts))})), 1, 15))::BIGINT"
+    mirror = f"(({keyed('r')} % {n} - x + {n}) % {n})"
+    return f"list_reduce(range({sampling.ROUNDS}), lambda x, r: CASE WHEN {keyed('r', f'greatest(x, {mirror})')} % 2 = 1 THEN {mirror} ELSE x END, {x}::BIGINT)"
+
+
 _BOXES = """bx AS (SELECT l_orderkey AS image_id, l_linenumber * 1000000 + l_partkey AS box_id, floor((l_quantity * 17) % 700)::BIGINT AS x1, floor(l_extendedprice % 500)::BIGINT AS y1, l_discount AS conf FROM lineitem),
   gp AS (SELECT *, x1 + 60 AS x2, y1 + 90 AS y2, CASE WHEN x1 <= 400 AND 400 <= x1 + 60 THEN 0.0 ELSE least(abs(x1 - 400), abs(x1 + 60 - 400)) END AS gx, CASE WHEN y1 <= 300 AND 300 <= y1 + 90 THEN 0.0 ELSE least(abs(y1 - 300), abs(y1 + 90 - 300)) END AS gy FROM bx),
   bb AS (SELECT * FROM gp QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY gx, CASE WHEN gx = 0 THEN gy ELSE 0 END, conf DESC, box_id) = 1), best AS (SELECT * FROM bb WHERE gx <= 0.15 * 800)"""
@@ -339,6 +354,12 @@ SQL = {
     "balanced_batches": """WITH g AS (SELECT DISTINCT p_brand AS group_id FROM part), s AS (SELECT group_id, unnest(range(20))::INT AS step FROM g), d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY step ORDER BY md5('batch:' || step || ':' || group_id), group_id) <= 8),
   i AS (SELECT step, group_id, p_partkey AS image_id, row_number() OVER (PARTITION BY step, group_id ORDER BY md5('batch:' || step || ':' || p_partkey), p_partkey) - 1 AS i, count(*) OVER (PARTITION BY step, group_id) AS n FROM d JOIN part ON p_brand = group_id), k AS (SELECT unnest(range(120))::INT AS slot)
   SELECT step, group_id, image_id, slot FROM i JOIN k ON slot % n = i""",
+    "sampled_batches": f"""WITH i AS (SELECT l_suppkey AS group_id, l_orderkey * 10 + l_linenumber AS image_id FROM lineitem WHERE l_suppkey IS NOT NULL AND l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY image_id) - 1 AS no FROM i), g AS (SELECT group_id, count(*) AS n, row_number() OVER (ORDER BY group_id) - 1 AS no, count(*) OVER () AS all_groups FROM i GROUP BY group_id),
+  s AS (SELECT unnest(range(40)) AS step), p AS (SELECT step, unnest(range(least(8, (SELECT count(*) FROM g)))) AS place, (SELECT count(*) FROM g) AS n FROM s),
+  c AS (SELECT step, {_permuted("place", "n", "'batch:' || step")} AS no FROM p), k AS (SELECT step, group_id, n, unnest(range(least(64, n))) AS kth FROM c JOIN g USING (no)),
+  q AS (SELECT *, {_permuted("kth", "n", "'batch:' || step || ':' || group_id")} AS no FROM k)
+  SELECT step::INT AS step, q.group_id, image_id, unnest(range(kth, 64, n))::INT AS slot FROM q JOIN r ON r.group_id = q.group_id AND r.no = q.no""",
     "best_box": f"WITH {_BOXES} SELECT image_id, box_id, greatest(0, least(800, x1))::INT AS cx1, greatest(0, least(600, y1))::INT AS cy1, greatest(0, least(800, x2))::INT AS cx2, greatest(0, least(600, y2))::INT AS cy2 FROM best",
     "crop_audit": f"WITH {_BOXES} SELECT count(*) AS images, count(*) FILTER (box_id IS NULL) AS no_box, count(*) FILTER (NOT (x1 <= 400 AND 400 <= x2)) AS off_centre FROM (SELECT DISTINCT o_orderkey AS image_id FROM orders) o LEFT JOIN best USING (image_id)",
     "best_polygon": """WITH a AS (SELECT l_orderkey AS image_id, l_linenumber * 1000000 + l_partkey AS polygon_id, abs(l_quantity * (l_quantity + l_linenumber) + l_quantity * l_quantity) / 2 AS area FROM lineitem WHERE NOT l_tax > 0.06)
@@ -363,7 +384,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        catalog_page, catalog_search, catalog_search_page, catalog_lookup, name_lookup, name_matches, names_in_texts, manifest_errors, manifest_first_error, vector_counts, ingest_plan, ingest_summary, apply_ingest, import_products, import_vectors, job_items, job_ledger, missing_images, url_targets, augmentation_plan, balanced_batches, best_box, crop_audit,
+        catalog_page, catalog_search, catalog_search_page, catalog_lookup, name_lookup, name_matches, names_in_texts, manifest_errors, manifest_first_error, vector_counts, ingest_plan, ingest_summary, apply_ingest, import_products, import_vectors, job_items, job_ledger, missing_images, url_targets, augmentation_plan, balanced_batches, sampled_batches, best_box, crop_audit,
         best_polygon, rectification_summary, insert_unique_slug, latency_p95, batch_summary, pooled_totals, evaluate_pack, demote_unknown, dense_index, augmentation_manifest, feedback_exclusions, session_contexts,
     )
 }
