@@ -9,7 +9,7 @@ from labelmatch.functions.storage import folder, table, written
 from labelmatch.operators import catalog, evaluate, ingest, names, sampling
 from labelmatch.sources import files
 from labelmatch.sources.versions import Change, Versions
-from labelmatch.streaming import imports, sessions
+from labelmatch.streaming import imports, sessions, wishes
 
 MODELS, COMPLETE = ["A", "N"], 8
 
@@ -277,6 +277,14 @@ def feedback_exclusions(spark: SparkSession, d: str) -> DataFrame:
     return sessions.feedback_exclusions(e).select("session", F.array_join(F.col("excluded").cast("array<string>"), ",").alias("excluded"))
 
 
+def wish_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of the users of ``events``: kinds of events as wishes, errors as resets; the events are days apart, so five days end a session."""
+    kind = F.when(F.col("event_type") == "error", wishes.RESET).when(F.col("event_type") != "view", F.col("event_type"))
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("wish"), F.when(F.col("event_id") % 7 != 0, (F.col("event_id") % 50).cast("string")).alias("value"))
+    stated = F.array_join(F.transform("wishes", lambda w: F.concat_ws("=", w["wish"], w["value"])), ",")
+    return wishes.wish_sessions(e, 5 * 86400).select("session_id", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "turns", stated.alias("wishes"))
+
+
 def session_contexts(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of a user by gaps in time, and what each holds."""
     e = sessions.session_numbers(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts")
@@ -377,6 +385,12 @@ SQL = {
     "dense_index": "SELECT l_partkey AS product_id, dense_rank() OVER (ORDER BY l_partkey) - 1 AS index, count(*) AS n FROM lineitem GROUP BY l_partkey",
     "augmentation_manifest": "SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 'catalog' WHEN 1 THEN 'odd-name' ELSE replace(p_name, ' ', '_') END AS aug_name, CASE WHEN p_partkey % 10 < 2 THEN 0 ELSE p_size END::BIGINT AS aug_seed FROM part",
     "feedback_exclusions": "SELECT user_id AS session, array_to_string(list_sort(list_distinct(list(event_id % 50))), ',') AS excluded FROM events WHERE event_type = 'error' GROUP BY ALL",
+    "wish_sessions": """WITH e AS (SELECT user_id::VARCHAR AS session_id, epoch_us(ts) AS us, CASE event_type WHEN 'error' THEN 'reset' WHEN 'view' THEN NULL ELSE event_type END AS wish, CASE WHEN event_id % 7 <> 0 THEN (event_id % 50)::VARCHAR END AS value FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+  g AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY session_id ORDER BY us) > 432000000000, false)::INT AS new FROM e), s AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY us) AS n FROM g),
+  w AS (SELECT session_id, n, min(us) AS first, max(us) AS last, count(*) AS turns, max(us) FILTER (wish = 'reset') AS reset FROM s GROUP BY ALL),
+  l AS (SELECT session_id, n, wish, value FROM s JOIN w USING (session_id, n) WHERE wish <> 'reset' AND (reset IS NULL OR us > reset) QUALIFY row_number() OVER (PARTITION BY session_id, n, wish ORDER BY us DESC, value DESC NULLS LAST) = 1),
+  t AS (SELECT session_id, n, string_agg(concat_ws('=', wish, value), ',' ORDER BY wish) AS wishes FROM l GROUP BY ALL)
+  SELECT session_id, first, last, turns, coalesce(wishes, '') AS wishes FROM w LEFT JOIN t USING (session_id, n)""",
     "session_contexts": """WITH g AS (SELECT user_id, event_type, ts, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 3600000000, false)::INT AS new FROM events),
   s AS (SELECT user_id, event_type, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g) SELECT user_id, session, count(*) AS n, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS types FROM s GROUP BY ALL""",
 }
@@ -385,6 +399,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         catalog_page, catalog_search, catalog_search_page, catalog_lookup, name_lookup, name_matches, names_in_texts, manifest_errors, manifest_first_error, vector_counts, ingest_plan, ingest_summary, apply_ingest, import_products, import_vectors, job_items, job_ledger, missing_images, url_targets, augmentation_plan, balanced_batches, sampled_batches, best_box, crop_audit,
-        best_polygon, rectification_summary, insert_unique_slug, latency_p95, batch_summary, pooled_totals, evaluate_pack, demote_unknown, dense_index, augmentation_manifest, feedback_exclusions, session_contexts,
+        best_polygon, rectification_summary, insert_unique_slug, latency_p95, batch_summary, pooled_totals, evaluate_pack, demote_unknown, dense_index, augmentation_manifest, feedback_exclusions, session_contexts, wish_sessions,
     )
 }
