@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelmatch import config as C
 from labelmatch.functions.cells import Cells, usable
 from labelmatch.functions.storage import written
+from labelmatch.functions.vectors import l2_normalize
 from labelmatch.operators.components import connected_components
 
 
@@ -136,16 +138,73 @@ def near_duplicate_audit(refs: DataFrame, products: DataFrame, least: float = C.
     return pairs.join(side(1), "p1").join(side(2), "p2").withColumn("same_manufacturer", F.col("maker1").eqNullSafe(F.col("maker2")))
 
 
-def approx_twin_pairs(refs: DataFrame, least: float, tables: int = 8, bucket: float = 1.0) -> DataFrame:
-    """The form that scales: random projections of unit vectors bring near pairs together, cosine decides. Some pairs may be missed."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+#: Most vectors of a bucket on one side of a comparison, and vectors of a group of buckets.
+PIECE, LOT = 2048, 8192
 
-    from labelmatch.functions.vectors import l2_normalize
 
-    unit = refs.select("product_id", array_to_vector(l2_normalize(F.col("vec"))).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=bucket, seed=1).fit(unit)
-    near = lsh.approxSimilarityJoin(unit, unit, float(np.sqrt(2 * (1 - least))) + 1e-9, "d").where("datasetA.product_id < datasetB.product_id")
-    return near.select(F.col("datasetA.product_id").alias("p1"), F.col("datasetB.product_id").alias("p2"), (1 - F.col("d") ** 2 / 2).alias("similarity")).where(F.col("similarity") >= least)
+def signature_plan(n: int, least: float, recall: float = 0.95, most_bits: int = 40) -> tuple[int, int]:
+    """(bits, tables) of sign signatures that bring a pair of similarity ``least`` together with probability ``recall`` at the least cost for ``n`` vectors.
 
+    A plane parts two vectors with probability angle / pi. A table costs its n rows, each moved with its vector (about 8 comparisons), and the pairs of unlike vectors that meet in it, n^2 / 2^(bits + 1).
+    """
+    same = 1 - np.arccos(np.clip(least, -1, 1)) / np.pi
+    plans = []
+    for bits in range(1, most_bits + 1):
+        together = min(same**bits, 1 - 1e-12)
+        tables = max(1, int(np.ceil(np.log(1 - recall) / np.log1p(-together))))
+        plans.append((tables * (8 * n + n * n / 2.0 ** (bits + 1)), bits, tables))
+    return min(plans)[1:]
+
+
+def approx_twin_pairs(refs: DataFrame, least: float, recall: float = 0.95, seed: int = 1) -> DataFrame:
+    """The pairs of ``similar_pairs`` by signatures: those that agree in all signs of some table meet, cosine decides; a pair may be missed with probability 1 - ``recall`` at most.
 
+    For similarities of 0.8 and more: few tables of many bits do then. Below about 0.6 nearly unlike vectors meet too, and the exact form is as good.
+    Null ids and vectors, and those with null or non-finite components or zeros only, have no pairs; all vectors have one length.
+    """
+    known = usable(refs.select(F.col("product_id").cast("long").alias("product_id"), F.col("vec").cast("array<double>").alias("vec")), "vec", "product_id").where(F.exists("vec", lambda x: x != 0))
+    rows = written(known.select("product_id", l2_normalize(F.col("vec")).alias("vec")), "twin-units")
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    bits, tables = signature_plan(size.n, least, recall)
+
+    def sign(parts):
+        planes = np.random.default_rng(seed).standard_normal((size.dim or 0, tables * bits))
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for part in parts:
+            keys = ((np.stack(part["vec"]) @ planes > 0).reshape(len(part), tables, bits) * weights).sum(axis=2) if len(part) else []
+            part["keys"] = list(keys)
+            yield part
+
+    signed = written(rows.mapInPandas(sign, "product_id long, vec array<double>, keys array<long>").select("product_id", "vec", F.posexplode("keys").alias("t", "key")), "twin-signatures")
+    pieces = F.ceil(F.col("count") / PIECE)
+    sizes = written(signed.groupBy("t", "key").count().where("count > 1").withColumn("pieces", pieces), "twin-buckets")
+    lots = -(-(sizes.agg(F.sum(F.col("count") * F.col("pieces"))).first()[0] or 1) // LOT)
+    dealt = signed.join(sizes, ["t", "key"]).withColumn("a", F.pmod(F.xxhash64("product_id"), "pieces")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    cells = dealt.select("product_id", "vec", "t", "key", "a", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+
+    def meet(part):
+        part = part.sort_values(["t", "key", "low", "high"], kind="stable")
+        cell = part[["t", "key", "low", "high"]].to_numpy()
+        ends = np.flatnonzero(np.append((cell[1:] != cell[:-1]).any(axis=1), True)) + 1
+        ids, vecs, piece = part["product_id"].to_numpy(), np.stack(part["vec"]), part["a"].to_numpy()
+        out = [np.empty((2, 0), np.int64)], [np.empty(0)]
+        for begin, end in zip(np.append(0, ends[:-1]), ends):
+            at = np.arange(begin, end)
+            one, two = at[piece[at] == cell[begin, 2]], at[piece[at] == cell[begin, 3]]
+            sims = vecs[one] @ vecs[two].T
+            i, j = np.nonzero((sims >= least) & ((ids[one][:, None] < ids[two][None, :]) if cell[begin, 2] == cell[begin, 3] else (ids[one][:, None] != ids[two][None, :])))
+            found = np.stack([ids[one][i], ids[two][j]])
+            out[0].append(np.stack([found.min(axis=0), found.max(axis=0)]))
+            out[1].append(sims[i, j])
+        pairs = np.concatenate(out[0], axis=1)
+        return pd.DataFrame({"p1": pairs[0], "p2": pairs[1], "similarity": np.concatenate(out[1])})
+
+    met = cells.withColumn("lot", F.pmod(F.xxhash64("t", "key", "low", "high"), F.lit(lots))).groupBy("lot").applyInPandas(meet, "p1 long, p2 long, similarity double")
+    return met.groupBy("p1", "p2").agg(F.max("similarity").alias("similarity"))
+
+
+def twin_recall(refs: DataFrame, least: float, recall: float = 0.95) -> DataFrame:
+    """``(least, exact, found, recall)``: how many of the exact pairs the signatures find; null recall where there are none."""
+    pairs = lambda df: df.select("p1", "p2").distinct()
+    exact = pairs(similar_pairs(refs, least)).join(pairs(approx_twin_pairs(refs, least, recall)).withColumn("met", F.lit(1)), ["p1", "p2"], "left")
+    return exact.agg(F.count("*").alias("exact"), F.count("met").alias("found")).select(F.lit(least).alias("least"), "exact", "found", (F.col("found") / F.nullif("exact", F.lit(0))).alias("recall"))

@@ -141,6 +141,10 @@ def approx_twin_pairs(spark: SparkSession, d: str) -> DataFrame:
     return twins.approx_twin_pairs(twin_refs(spark, d), TWINS).select("p1", "p2", F.round("similarity", 6).alias("similarity"))
 
 
+def twin_recall(spark: SparkSession, d: str) -> DataFrame:
+    return twins.twin_recall(twin_refs(spark, d), TWINS)
+
+
 def hit_at_1(spark: SparkSession, d: str) -> DataFrame:
     first = nearest(spark, d, k=1).select("query_id", F.col("product_id").alias("predicted"), F.floor(F.col("distance") * 1000).alias("latency_ms"))
     return evaluate.hit_at_1(first, truth(spark, d))
@@ -284,4 +288,4 @@ SQL = {
   SELECT query_id, product_id, rk::INT AS rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN first >= 0.35 THEN -ev ELSE 0 END, rk)::INT AS new_rank, round(ev::DECIMAL(18, 9), 6)::DOUBLE AS evidence FROM t""",
 }
 
-QUERIES = {f.__name__: f for f in (nearest_products, average_views, votes_pool, votes_scoped, max_similarity, fusion_rank, cascade_answers, predict_top1, twin_pairs, twin_clusters, twin_members, cells_visited, cells_skipped, near_duplicate_audit, approx_twin_pairs, hit_at_1, recall_at_pool, recognition_report, diff_runs, calibrate, confusable_pairs, text_rerank, evidence_rerank)}
+QUERIES = {f.__name__: f for f in (nearest_products, average_views, votes_pool, votes_scoped, max_similarity, fusion_rank, cascade_answers, predict_top1, twin_pairs, twin_clusters, twin_members, cells_visited, cells_skipped, near_duplicate_audit, approx_twin_pairs, twin_recall, hit_at_1, recall_at_pool, recognition_report, diff_runs, calibrate, confusable_pairs, text_rerank, evidence_rerank)}

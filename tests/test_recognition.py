@@ -97,6 +97,37 @@ def test_twins_leave_singletons_out_and_the_approximate_form_finds_near_pairs(sp
     assert near == {(r.p1, r.p2) for r in pairs.collect()}
 
 
+def test_signatures_find_near_pairs_with_the_probability_asked_for(spark):
+    rng = np.random.default_rng(3)
+    rows, angle = [], np.arccos(0.881)
+    for i in range(600):  # pairs of similarity 0.881, just above the bound, among unlike vectors
+        a, b = rng.standard_normal((2, 48))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (3 * (np.cos(angle) * a + np.sin(angle) * b / np.linalg.norm(b))).tolist())]
+    odd = [(None, rows[0][1]), (5000, None), (5001, [0.0] * 48), (5002, [float("nan")] * 48)]
+    refs = spark.createDataFrame(rows + odd, "product_id long, vec array<double>")
+    row = twins.twin_recall(refs, 0.88, 0.99).first()
+    assert row.exact == 600 and row.found >= 585  # 594 expected; below 585 once in 10,000
+    assert twins.twin_recall(refs.limit(0), 0.88).first()[1:] == (0, 0, None)
+
+
+def test_copies_in_one_bucket_are_met_in_pieces_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(twins, "PIECE", 7)
+    monkeypatch.setattr(twins, "LOT", 20)
+    copies = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)], "product_id long, vec array<double>")
+    got = [(r.p1, r.p2) for r in twins.approx_twin_pairs(copies, 0.9).collect()]
+    assert sorted(got) == [(i, j) for i in range(30) for j in range(i + 1, 30)]
+
+
+def test_more_vectors_take_more_bits():
+    plans = [twins.signature_plan(n, 0.88, 0.99) for n in (10**3, 10**6, 10**9)]
+    assert plans[0][0] < plans[1][0] < plans[2][0]
+    for bits, tables in plans:
+        same = 1 - np.arccos(0.88) / np.pi
+        assert 1 - (1 - same**bits) ** tables >= 0.99
+
+
 def test_p95_and_upper_median_are_index_rules(spark):
     rows = spark.createDataFrame([("a", i) for i in range(1, 11)] + [("b", 5)], "g string, v int")
     p95 = {r.g: r.x for r in evaluate.at_index(rows, ["g"], "v", evaluate.p95_index(), "x").collect()}
