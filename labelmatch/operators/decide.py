@@ -128,3 +128,13 @@ def ratio_test(matches: DataFrame) -> DataFrame:
     """``matches(query_id, product_id, d1, d2)`` -> good matches of each pair; fewer than LEAST_MATCHES count no inliers."""
     good = F.count(F.when(F.col("d2").isNotNull() & (F.col("d1") < C.RATIO * F.col("d2")), 1))
     return matches.groupBy("query_id", "product_id").agg(good.alias("good")).withColumn("usable", F.col("good") >= C.LEAST_MATCHES)
+
+
+def threshold_errors(settings: DataFrame) -> DataFrame:
+    """``settings(name, reject_below, found_similarity)`` -> ``(name, error)`` of those that ``config.check_thresholds`` would refuse, or that lack a bound.
+
+    A zone of rejection that just meets the zone of acceptance is allowed; NaN is a bound that is missing.
+    """
+    low, high = (F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) for c in ("reject_below", "found_similarity"))
+    error = F.when(low.isNull() | high.isNull(), "missing").when(low > high, "exceeds")
+    return settings.select("name", error.alias("error")).where("error is not null")

@@ -102,6 +102,21 @@ def feedback_file(spark: SparkSession, d: str) -> DataFrame:
     return files.read_feedback(spark, path).groupBy("wine", "liked").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"))
 
 
+def image_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as files of up to 16, with lengths and hashes of their bytes; what has another extension is not listed."""
+    path = folder(spark, "images")
+    p = table(spark, d, "pages").where("page_id is not null and html is not null").select(F.expr("page_id div 16").alias("lot"), "page_id", F.col("html").alias("value"))
+    p.repartition("lot").sortWithinPartitions("lot", "page_id", "value").select("lot", "value").write.partitionBy("lot").text(path)
+    found = files.image_inventory(spark, path, "*.txt")
+    return found.select(F.regexp_extract("path", r"lot=(-?[0-9]+)", 1).cast("long").alias("lot"), "length", "sha256")
+
+
+def threshold_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Discounts and taxes as bounds, some of them missing."""
+    k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return decide.threshold_errors(table(spark, d, "lineitem").select(k.alias("name"), F.when(k % 13 != 0, F.col("l_discount")).alias("reject_below"), F.col("l_tax").alias("found_similarity")))
+
+
 def ratio_test(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("product_id"), F.col("l_tax").alias("d1"), F.when(F.col("l_linenumber") != 7, F.col("l_discount")).alias("d2"))
     m = m.withColumns({"product_id": F.col("product_id") % 2, "query_id": F.col("query_id") % 1000})
@@ -135,9 +150,11 @@ SQL = {
     "report_file": f"SELECT p_partkey::VARCHAR AS id, coalesce(replace({_NAME}, chr(10), ' '), '') AS name, p_brand AS brand FROM part",
     "snapshot": "SELECT 'part' AS name, count(*) AS n, sum(p_partkey)::BIGINT AS total FROM part UNION ALL SELECT 'supplier', count(*), sum(s_suppkey)::BIGINT FROM supplier UNION ALL SELECT 'customer', count(*), sum(c_custkey)::BIGINT FROM customer",
     "feedback_file": "SELECT 'w' || l_partkey AS wine, l_quantity > 25 AS liked, count(*) AS n, round(sum(round(l_discount, 2)::DOUBLE), 6) AS score FROM lineitem GROUP BY ALL",
+    "image_inventory": "WITH f AS (SELECT page_id // 16 AS lot, string_agg(html || chr(10), '' ORDER BY page_id, html) AS content FROM pages WHERE page_id IS NOT NULL AND html IS NOT NULL GROUP BY ALL) SELECT lot, octet_length(encode(content)) AS length, sha256(content) AS sha256 FROM f",
+    "threshold_errors": f"SELECT {_K} AS name, CASE WHEN {_K} % 13 = 0 OR l_discount IS NULL OR l_tax IS NULL THEN 'missing' ELSE 'exceeds' END AS error FROM lineitem WHERE {_K} % 13 = 0 OR l_discount IS NULL OR l_tax IS NULL OR l_discount > l_tax",
     "ratio_test": """SELECT l_orderkey % 1000 AS query_id, l_suppkey % 2 AS product_id, count(*) FILTER (l_linenumber <> 7 AND l_tax < 0.75 * l_discount) AS good, count(*) FILTER (l_linenumber <> 7 AND l_tax < 0.75 * l_discount) >= 4 AS usable FROM lineitem GROUP BY ALL""",
     "dimension_check": "SELECT vec_id, coalesce(vec_id % 10 NOT IN (3, 7) AND len(embedding) = 64, false) AS fits FROM embeddings",
     "product_by_key": "SELECT p_partkey AS product_id, 's-' || p_partkey AS slug, p_name AS title FROM part WHERE p_partkey IN (7, 11)",
 }
 
-QUERIES = {f.__name__: f for f in (feed_file, manifest_file, predictions_file, label_files, query_manifest_file, vectors_by_model, report_file, snapshot, feedback_file, ratio_test, dimension_check, product_by_key)}
+QUERIES = {f.__name__: f for f in (feed_file, manifest_file, predictions_file, label_files, query_manifest_file, vectors_by_model, report_file, snapshot, feedback_file, image_inventory, threshold_errors, ratio_test, dimension_check, product_by_key)}

@@ -128,6 +128,12 @@ def test_more_vectors_take_more_bits():
         assert 1 - (1 - same**bits) ** tables >= 0.99
 
 
+def test_settings_whose_zones_overlap_or_lack_a_bound(spark):
+    rows = [("met", 0.5, 0.5), ("good", 0.4, 0.5), ("over", 0.6, 0.5), ("none", None, 0.5), ("nan", 0.2, float("nan"))]
+    got = decide.threshold_errors(spark.createDataFrame(rows, "name string, reject_below double, found_similarity double")).collect()
+    assert {tuple(r) for r in got} == {("over", "exceeds"), ("none", "missing"), ("nan", "missing")}
+
+
 def test_p95_and_upper_median_are_index_rules(spark):
     rows = spark.createDataFrame([("a", i) for i in range(1, 11)] + [("b", 5)], "g string, v int")
     p95 = {r.g: r.x for r in evaluate.at_index(rows, ["g"], "v", evaluate.p95_index(), "x").collect()}
