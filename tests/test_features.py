@@ -118,3 +118,10 @@ def test_sparkling_is_sought_in_the_whole_text(spark, tmp_path):
     rows = [(1, "x" * 80 + " whst"), (2, "x" * 80), (3, "whst")]
     spark.createDataFrame([(i, t, "src9", "en") for i, t in rows], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.sparkling for r in text.feature_sweetness(spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_window_keeps_its_own_last_line_break(spark):
+    """As the SQL of feature_levels: the word cut by the end goes, a line break that is the window's last letter stays."""
+    rows = spark.createDataFrame([("xx ab cd\nefgh ijkl",), ("xx ab cde\nfgh ijkl",), ("xx ab c\x0bd efgh",)], "t string")
+    got = [r[0] for r in rows.select(X.window_level(F.col("t"), "xx", "lo", "mi", "hi", 7)["quote"]).collect()]
+    assert got == ["xx ab\n", "xx ab", "xx ab"]
