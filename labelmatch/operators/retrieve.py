@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelmatch.functions.cells import Cells
+from labelmatch.functions.cells import SLICE, Cells
 from labelmatch.functions.storage import written
 from labelmatch.functions.vectors import unit_rows
 
@@ -166,24 +166,57 @@ def nearest_with_votes(queries: DataFrame, refs: DataFrame, k: int, pool: int, s
     return ranked(found).join(votes, ["query_id", "product_id"], "left").withColumn("votes", F.coalesce("votes", F.lit(1)))
 
 
+#: References of one product that one task holds at a time.
+HELD = 8192
+
+
 def max_similarity_by_product(queries: DataFrame, refs: DataFrame, candidates: DataFrame, shared: list[str] | None = None, own: list[str] | None = None) -> DataFrame:
     """``(query_id, product_id, *shared, *own, similarity)`` for the candidates ``(query_id, product_id)`` only.
 
-    Each query meets the vectors of its candidates by an equality join, not those of other products. ``shared`` columns
-    (a model) must be equal in ``queries`` and ``refs``; ``own`` ones (a view) are of the queries.
+    Each query meets the vectors of its candidates, not those of other products. ``shared`` columns (a model) must be
+    equal in ``queries`` and ``refs``; ``own`` ones (a view) are of the queries. The vectors of a product lie together, in pieces of
+    HELD at most; the queries stream past them in slices, so that a pair costs a product of two matrices its share and is no row.
     """
     shared, own = shared or [], own or []
-    keys = ["query_id", "product_id", *shared, *own]
-    wanted = candidates.select("query_id", "product_id").distinct().join(queries.select("query_id", *shared, *own, F.col("vec").alias("q_vec")), "query_id")
-    pairs = wanted.join(refs.select("product_id", "vector_id", *shared, "vec"), ["product_id", *shared]).where("query_id <> vector_id").select(*keys, "q_vec", "vec")
-    kinds = [pairs.schema[k] for k in keys]
+    by, keys = ["product_id", *shared], ["query_id", "product_id", *shared, *own]
+    sizes = written(refs.groupBy(*by).agg(F.ceil(F.count("*") / HELD).cast("int").alias("pieces")), "product-sizes")
+    wanted = candidates.select("query_id", "product_id").distinct().join(queries.select("query_id", *shared, *own, "vec"), "query_id")
+    asked = wanted.join(sizes, by).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    held = refs.where("vector_id is not null").join(candidates.select("product_id").distinct(), "product_id", "left_semi").join(sizes, by).withColumn("piece", F.pmod(F.xxhash64("vector_id"), "pieces").cast("int"))
+    place = [*by, "piece"]
+    held = held.select(*place, F.lit(0).alias("kind"), F.col("vector_id").alias("query_id"), *[F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in own], "vec")
+    dealt = held.unionByName(asked.select(*place, F.lit(1).alias("kind"), "query_id", *own, "vec"))
+    dealt = dealt.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), *place).sortWithinPartitions(*place, "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, ids, rows = None, [], None, None
         for batch in batches:
-            a, b = (unit_rows(batch.column(batch.schema.get_field_index(c))) for c in ("q_vec", "vec"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array((a * b).sum(axis=1), pa.float64())], names=[*keys, "similarity"])
-
-    scored = pairs.mapInArrow(run, T.StructType([*kinds, T.StructField("similarity", T.DoubleType())]))
+            marks = [batch.column(c).to_pylist() for c in [*place, "kind"]]
+            edges = [0, *(i for i in range(1, len(batch)) if any(m[i] != m[i - 1] for m in marks)), len(batch)]
+            for start, stop in zip(edges, edges[1:], strict=False):
+                if start == stop:
+                    continue
+                *key, kind = (m[start] for m in marks)
+                if key != now:
+                    now, kept, ids = key, [], None
+                if not kind:
+                    kept.append(batch.slice(start, stop - start))
+                    continue
+                if ids is None and kept:
+                    ids = np.concatenate([k.column("query_id").to_numpy() for k in kept])
+                    rows = np.concatenate([unit_rows(k.column("vec")) for k in kept])
+                for at in range(start, stop if kept else start, SLICE):
+                    part = batch.slice(at, min(SLICE, stop - at))
+                    mine = unit_rows(part.column("vec"))
+                    sims = np.where(part.column("query_id").to_numpy()[:, None] == ids[None, :], -np.inf, mine @ rows.T)
+                    best = sims.argmax(axis=1)
+                    # The value by its own two vectors, whatever stands around them: equal vectors have equal similarities.
+                    value = (mine * rows[best]).sum(axis=1)
+                    some = pa.array(sims[np.arange(len(part)), best] > -np.inf)
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(value, pa.float64())], names=[*keys, "similarity"]).filter(some)
+
+    kinds = [dealt.schema[k] for k in keys]
+    scored = dealt.mapInArrow(run, T.StructType([*kinds, T.StructField("similarity", T.DoubleType())]))
     return scored.groupBy(*keys).agg(F.max("similarity").alias("similarity"))
 
 

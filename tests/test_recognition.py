@@ -256,3 +256,25 @@ def test_a_labelled_query_left_without_candidates_is_rejected(spark):
     labels = spark.createDataFrame([(1, "in", [1]), (2, "out", [])], "query_id long, kind string, accepted array<long>")
     got = {(r.kind, r.query_id): r.status for r in evaluate.replay(queries, refs, refs, labels, 0.9, 0.1, 0.5).collect()}
     assert got == {("positive", 1): "found", ("negative", 2): "found", ("left_out", 1): "not_in_catalog"}
+
+
+def test_similarities_of_candidates_by_pieces_equal_brute_force(spark, monkeypatch):
+    """Products in several pieces, two models and views, a query among the vectors, a product of that query alone: no row for a pair is made."""
+    monkeypatch.setattr(retrieve, "HELD", 3)
+    rng = np.random.default_rng(5)
+    vecs = {m: rng.standard_normal((40, 8)) for m in "AB"}
+    refs = [(i, 39 if i == 39 else i % 4, m, vecs[m][i].tolist()) for m in "AB" for i in range(40)]
+    asked = {(q, v, m): rng.standard_normal(8) for q in (3, 7, 39) for v in (1, 2) for m in "AB"}
+    wanted = [(3, 3), (3, 1), (7, 3), (7, 9), (39, 39), (39, 0)]
+    queries = spark.createDataFrame([(q, v, m, x.tolist()) for (q, v, m), x in asked.items()], "query_id long, view int, model string, vec array<double>")
+    out = retrieve.max_similarity_by_product(queries, spark.createDataFrame(refs, "vector_id long, product_id long, model string, vec array<double>"), spark.createDataFrame(wanted, "query_id long, product_id long"), ["model"], ["view"])
+    assert "CartesianProduct" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "NOT (query_id" not in plan  # queries and vectors are not joined row by row
+    got = {(r.query_id, r.product_id, r.model, r["view"]): r.similarity for r in out.collect()}
+    unit = lambda x: x / np.linalg.norm(x)
+    want = {}
+    for (q, v, m), x in asked.items():
+        for _, p in (w for w in wanted if w[0] == q):
+            sims = [unit(x) @ unit(vecs[m][i]) for i in range(40) if (39 if i == 39 else i % 4) == p and i != q]
+            if sims:
+                want[q, p, m, v] = pytest.approx(max(sims))
+    assert got == want
