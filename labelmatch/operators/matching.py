@@ -9,11 +9,16 @@ and are broadcast only if their number is within MAX_REQUESTS.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmatch.config import RULES
 from labelmatch.functions.storage import written
+from labelmatch.llm.lists import deal, sides, walk
 from labelmatch.operators.evaluate import upper_median_index, value_at
 from labelmatch.operators.requests import aroma_links, dish_food_tags
 
@@ -306,11 +311,69 @@ def _first(rows: DataFrame, by: list, n: int, *order) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+#: Entries, for each one needed, in the nearest profiles that a class looks into: at first, and where these do not settle it.
+LOOKS, CHUNK = (12, 96), 2000
+
+
+def _without_grapes(rest: str) -> Column:
+    return F.struct(*[F.col(f"{rest}.{t}").alias(t) for t in TRAITS if t != "grapes"], F.array().cast("array<string>").alias("grapes"))
+
+
+def near_profiles(profiles: DataFrame, need: int) -> DataFrame:
+    """``(a, b, least)``: the profiles ``b`` nearest to each asking ``a`` of ``profiles(profile, rest, n, asks)`` that together have ``need`` entries.
+
+    A profile is the traits without grapes, ``n`` its entries. No other profile is nearer than ``least``, which is -1 where all are there. Nearness is the
+    likeness without grapes, aromas by the most that their numbers allow; profiles of one category and fizz are compared chunk by chunk.
+    """
+    number = lambda c: F.coalesce(F.col(f"rest.{c}").cast("double"), F.lit(float("nan"))).alias(c)
+    scales, hashed = ["body", "tannin", "acidity", "sweetness"], ["type", "region"]
+    marks = [F.when(F.col(f"rest.{c}").isNotNull(), F.xxhash64(f"rest.{c}")).alias(c) for c in hashed]
+    flat = profiles.select(F.xxhash64("rest.category", "rest.sparkling").alias("g"), "profile", F.col("n").alias("entries"), "asks", *[number(c) for c in scales], *[F.coalesce(m, F.lit(0)).alias(c) for m, c in zip(marks, hashed, strict=True)], F.coalesce("rest.oak", F.lit(False)).alias("oak"), F.xxhash64("rest.aroma").alias("aroma"), F.size("rest.aroma").cast("double").alias("scents"))
+
+    def look(part: pa.Table, bounds: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        x = {c: part.column(c).to_numpy(zero_copy_only=False) for c in part.column_names}
+
+        def nearest(left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+            left, right = left[x["asks"][left]], right[x["entries"][right] > 0]
+            for at in range(0, len(left), 128) if len(right) else ():
+                i, j = left[at : at + 128][:, None], right[None, :]
+                total = np.where(x["oak"][i] & x["oak"][j], WORTH["oak"], 0.0)
+                for c in ("body", "tannin", "acidity"):
+                    total += WORTH[c] * np.nan_to_num(np.maximum(0.0, 1 - np.abs(x[c][i] - x[c][j]) / 2))
+                for c in hashed:
+                    total += np.where((x[c][i] == x[c][j]) & (x[c][i] != 0), WORTH[c], 0.0)
+                total += np.where(x["sweetness"][i] == x["sweetness"][j], WORTH["sweetness"], 0.0)
+                low, high = np.minimum(x["scents"][i], x["scents"][j]), np.maximum(x["scents"][i], x["scents"][j])
+                same = np.where(x["aroma"][i] == x["aroma"][j], 1.0, np.where(low == high, (low - 1) / (low + 1), low / np.maximum(high, 1)))
+                total += np.where(low > 0, WORTH["aroma"] * same, 0.0)
+                total[i == j] = -1.0  # stands below
+                total[np.abs(x["sweetness"][i] - x["sweetness"][j]) > 1] = -1.0  # never an alternative; unknown ones always are
+                order = np.argsort(-total, axis=1, kind="stable")
+                total = np.take_along_axis(total, order, axis=1)
+                n = x["entries"][right][order]
+                keep = (np.cumsum(n, axis=1) - n < need) & (total >= 0)
+                a, b = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(x["profile"][i[a, 0]]), pa.array(x["profile"][right[order[a, b]]]), pa.array(total[a, b]), pa.array(n[a, b])], names=["a", "b", "near", "n"])
+
+        for s, e in bounds:
+            left, right = sides(x["mine"][s:e])
+            yield from nearest(s + left, s + right)
+            if not x["mine"][s:e].all():
+                yield from nearest(s + right, s + left)
+
+    met = deal(flat, ["g"], "profile", CHUNK).mapInArrow(lambda rows: walk(rows, ["g"], look), "a long, b long, near double, n long")
+    own = profiles.where("asks and n > 0").select(F.col("profile").alias("a"), F.col("profile").alias("b"), reach(_without_grapes("rest"), []).alias("near"), "n")
+    order = Window.partitionBy("a").orderBy(F.desc("near"), "b")
+    kept = met.unionByName(own).withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") - F.col("n") < need)
+    return kept.withColumn("least", F.when(F.max("upto").over(Window.partitionBy("a")) >= need, F.min("near").over(Window.partitionBy("a"))).otherwise(-1.0)).select("a", "b", "least")
+
+
 def alternatives(base: DataFrame, products: DataFrame, k: int = 5, per_winery: int = 2) -> DataFrame:
     """``(base_id, rank, product_id, likeness, reasons)``: products like each of ``base``: same category and sparkling, sweetness at most one level apart, one a (name, winery), ``per_winery`` a winery.
 
     Products of equal traits are one class, of which only the first entries by name can be picked, so a trait that many share
-    costs no pairs of products. Classes meet by lists, of a shared grape, then aroma, then region, and at last by sweetness: after each list
+    costs no pairs of products. Classes first look up their grapes' entries in the nearest profiles (``near_profiles``), few where products are many; that settles
+    those whose last entry needed is better than all others could be. The rest meet by lists, of a shared grape, then aroma, then region, and at last by sweetness: after each list
     only those classes go on whose last entry needed is not better than what they could reach without these. Names are compared in lower
     case without outer blanks; null categories are like none; ties go by name and id; repeated rows are one.
     """
@@ -343,11 +406,41 @@ def alternatives(base: DataFrame, products: DataFrame, k: int = 5, per_winery: i
             met = met.where(F.array_min(F.array_intersect(_listed(F.col("a"), name), _listed(F.col("b"), name))) == F.col("on"))
         return met.select("of", "class", F.round(likeness(F.col("a"), F.col("b")), 6).alias("likeness")).join(entries, "class")
 
+    # Profiles: what all but the grapes say. Entries of a profile that share a grape with a class are equally like it.
+    rest = F.struct(*[F.col(f"traits.{t}").alias(t) for t in TRAITS if t != "grapes"])
+    bare = classes.select("class", F.col("traits.grapes").alias("grapes"), rest.alias("rest"))
+    kinds = written(bare.select("rest").distinct().select(F.monotonically_increasing_id().alias("profile"), "rest"), "alike-kinds")
+    bare = written(bare.join(kinds.select("profile", F.struct("rest").alias("t")), F.struct("rest").eqNullSafe(F.col("t"))).select("class", "profile", "grapes"), "alike-profiles")
+    listed = entries.join(bare, "class").select("profile", F.explode("grapes").alias("on"), "class", "key", "winery", "name", "product_id")
+    listed = _first(_first(_first(listed, ["profile", "on", "key", "winery"], 1, *tie), ["profile", "on", "winery"], per_winery + k, *tie), ["profile", "on"], k + spare, *tie)
+    listed = written(listed, "alike-listed")
+    sizes = entries.join(bare, "class").groupBy("profile").agg(F.count("*").alias("n"))
+    settled = None
+    for looks in LOOKS:
+        asking = open_.join(bare, "class").select(F.col("class").alias("of"), F.col("profile").alias("a"), "grapes")
+        rows = kinds.join(sizes, "profile", "left").join(asking.select(F.col("a").alias("profile")).distinct().withColumn("asks", F.lit(True)), "profile", "left").na.fill({"n": 0, "asks": False})
+        near = near_profiles(rows, looks * limit).join(kinds.select(F.col("profile").alias("a"), F.col("rest").alias("x")), "a").join(kinds.select(F.col("profile").alias("b"), F.col("rest").alias("y")), "b")
+        near = near.where("x.category = y.category and x.sparkling = y.sparkling").select("a", "b", "least", likeness(_without_grapes("x"), _without_grapes("y")).alias("f"))
+        near = written(near, "alike-near")
+        met = asking.select("of", "a", F.explode("grapes").alias("on")).join(near, "a").join(listed.withColumnRenamed("profile", "b"), ["b", "on"])
+        met = met.select("of", "class", F.round(F.col("f") + WORTH["grapes"], 6).alias("likeness"), "key", "winery", "name", "product_id")
+        new = written(first(met), "alike-looked")
+        ends = new.groupBy("of").agg(F.count("*").alias("n"), F.min("likeness").alias("last")).where(F.col("n") >= limit)
+        unseen = near.groupBy("a").agg(F.max("least").alias("least"))
+        ends = ends.join(asking.select("of", "a"), "of").join(unseen, "a").join(open_.withColumnRenamed("class", "of"), "of")
+        sure = ends.where(F.col("last") > F.greatest(F.col("least") + WORTH["grapes"], reach(F.col("traits"), ["grapes"])) + 1e-6).select("of")
+        sure = written(sure, "alike-sure")
+        done = new.join(sure, "of")
+        settled = done if settled is None else settled.unionByName(done)
+        open_ = written(open_.join(sure.withColumnRenamed("of", "class"), "class", "left_anti"), "alike-open")
+
     # Classes that share nothing on the lists meet by sweetness, which for an unknown one is any.
     level = F.coalesce(F.col("traits.sweetness").cast("int"), F.lit(-1))
     sweet = F.when(level < 0, F.array(F.lit(-2))).otherwise(F.array(F.lit(-1), level - 1, level, level + 1))
     found, before = None, []
     for name in [*LISTS, None]:
+        if found is not None and open_.isEmpty():
+            break
         shared = _listed(F.col("traits"), name) if name else None
         new = meet(shared, shared, name, before) if name else meet(F.array_distinct(sweet), F.array(level, F.lit(-2)), None, before)
         found = written(first(new if found is None else found.unionByName(new)), "alike-found")
@@ -355,8 +448,7 @@ def alternatives(base: DataFrame, products: DataFrame, k: int = 5, per_winery: i
         ends = found.groupBy(F.col("of").alias("class")).agg(F.count("*").alias("n"), F.min("likeness").alias("last")).where(F.col("n") >= limit)
         done = ends.join(open_, "class").where(F.col("last") > reach(F.col("traits"), before) + 1e-6).select("class")
         open_ = written(open_.join(done, "class", "left_anti"), "alike-open")
-        if not name or open_.isEmpty():
-            break
+    found = found.unionByName(settled.select(found.columns))
     met = starts.join(found.withColumnRenamed("class", "other"), F.col("class") == F.col("of"))
     other = (F.col("base_id") != F.col("product_id")) & ~(F.col("base_key").eqNullSafe(F.col("key")) & F.col("base_winery").eqNullSafe(F.col("winery")))
     capped = _first(met.where(other).repartition("base_id"), ["base_id", "winery"], per_winery, *order)

@@ -51,3 +51,20 @@ def test_roles(spark):
     assert list(spark.range(1).select(role(1, 100), role(2, 3), role(2, 100), role(2, 20)).first()) == ["best match", "rare", "classic", "other"]
     products = spark.createDataFrame([(i, ["a"] if i else ["a", "b"]) for i in range(5)] + [(9, [])], "product_id long, grapes array<string>")
     assert {r.product_id: r.common for r in M.with_common(products).collect()} == {**{i: 5 for i in range(5)}, 9: None}
+
+
+def test_near_profiles_leave_none_out_that_is_nearer(spark, monkeypatch):
+    """Chunks of a few profiles; whatever is nearer than ``least`` is there, so a class that finds enough above it needs no list of all that share a grape."""
+    monkeypatch.setattr(M, "CHUNK", 9)
+    traits = M._with_traits(plans.products(spark, SMALL)).select(F.struct(*[F.col(f"traits.{t}").alias(t) for t in M.TRAITS if t != "grapes"]).alias("rest")).distinct()
+    rows = traits.select(F.monotonically_increasing_id().alias("profile"), "rest", F.lit(2).cast("long").alias("n"), F.lit(True).alias("asks")).localCheckpoint()
+    side = lambda n: rows.select(F.col("profile").alias(n), F.col("rest").alias(f"r{n}"))
+    both = side("a").crossJoin(side("b")).where("ra.category = rb.category and ra.sparkling = rb.sparkling and (ra.sweetness is null or rb.sweetness is null or abs(ra.sweetness - rb.sweetness) <= 1)")
+    want = {(r.a, r.b): r.f for r in both.select("a", "b", M.likeness(M._without_grapes("ra"), M._without_grapes("rb")).alias("f")).collect()}
+    for need, cut in ((6, True), (10**6, False)):
+        got = M.near_profiles(rows, need).collect()
+        least = {r.a: r.least for r in got}
+        assert {r.a for r in got} == {a for a, _ in want} and any(x > 0 for x in least.values()) == cut
+        pairs = {(r.a, r.b) for r in got}
+        assert pairs <= set(want) and len(pairs) == len(got)
+        assert all(p in pairs for p, f in want.items() if f > least[p[0]] + 1e-9)
