@@ -9,8 +9,8 @@ flipped, which halves the ball and finds each pair once. A table value with more
 owners is not listed: its owners enumerate the ball around the other segment instead and meet
 at equal keys, which at most 65 fingerprints can share, so no list is hot and no pair is lost.
 
-The corpus pipeline's stage asks for the similarity of shingle sets, which no fingerprint decides;
-its candidates are found by the openings of ordered sets.
+The corpus pipeline's stage asks for the similarity of shingle sets, which no fingerprint decides: it links
+by fingerprints first, and finds by the openings of ordered sets what two bits don't reach.
 """
 
 from __future__ import annotations
@@ -44,7 +44,11 @@ def simhash(text: str | None, shingle: int = 3) -> int:
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, SEED) for g in grams], dtype="<u8")
+    return bits_of(np.array([digest(g, SEED) for g in grams], dtype="<u8"))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """Signed 64 bits, each 1 if it is set in over half the hashes; 0 without any."""
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
@@ -246,20 +250,41 @@ def close_sets(reps: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(lambda b: walk(b, ["h"], verify), "u long, v long").distinct()
 
 
-def unsettled(members: DataFrame, similarity: float) -> DataFrame:
-    """All pairs ``(u, v)``, u > v, of ``members(list, node, known, size, f0..)`` that may have the similarity, within a list but not of one ``known`` component."""
+def unsettled(members: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links ``(u, v)``, u > v, of the similarity within a list of ``members(list, node, known, size, f0.., text)`` but not within one ``known`` component; enough to connect all that have it.
+
+    The texts of a piece are compared where they lie, and two that a chain of links joins already are not compared, so a piece gives fewer links than it has rows.
+    """
 
     def look(part: pa.Table, bounds: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         ids, mine, sets = _columns(part, similarity)
-        known = part.column("known").to_numpy()
+        known, texts = part.column("known").to_numpy(), part.column("text")
         for s, e in bounds:
             left, right = sides(mine[s:e])
-            for at in range(0, len(left), 256):
-                a, b = (s + left[at : at + 256])[:, None], (s + right)[None, :]
-                i, j = np.nonzero((known[a] != known[b]) & sets.close(a, b))
-                yield _pairs([ids[a[i, 0]]], [ids[b[0, j]]])
+            held: dict[int, np.ndarray] = {}
+            _, group = np.unique(known[s:e], return_inverse=True)
+            us, vs = [], []
 
-    return deal(members, ["list"], "node", SHORT).mapInArrow(lambda b: walk(b, ["list"], look), "u long, v long").distinct()
+            def hashes(i: int) -> np.ndarray:
+                if i not in held:
+                    held[i] = shingle_hashes(texts[s + i].as_py(), shingle)  # noqa: B023
+                return held[i]
+
+            for i in left:
+                js = right[(group[right] != group[i]) & sets.close(np.array([s + i]), s + right)]
+                for j in js:
+                    if group[i] == group[j]:
+                        continue
+                    a, b = hashes(i), hashes(j)
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    every = len(a) + len(b) - both
+                    if not every or both / every >= similarity:
+                        us.append(ids[s + i : s + i + 1])
+                        vs.append(ids[s + j : s + j + 1])
+                        group[group == group[j]] = group[i]
+            yield _pairs(us, vs)
+
+    return deal(members, ["list"], "node", STAR).mapInArrow(lambda b: walk(b, ["list"], look), "u long, v long").distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -294,12 +319,22 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int)
     return dealt.mapInArrow(trimmed(compare), "u long, v long")
 
 
+def fingerprint_pairs(reps: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)``, u > v, of nodes of ``reps(node, fp)`` by multi-index hashing: of one fingerprint, or of two at two or fewer differing bits; enough to connect all that are."""
+    owners = written(reps.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "simhash-prints")
+    same = reps.select("node", "fp").join(owners.where("n > 1"), "fp").where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    end = lambda n: owners.select(F.col("fp").alias(n), F.col("least").alias(f"n{n}"))
+    near = links(owners.select("fp")).join(end("u"), "u").join(end("v"), "v")
+    return written(same.unionByName(near.select(F.greatest("nu", "nv").alias("u"), F.least("nu", "nv").alias("v"))), "simhash-bits")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which one of each group stays: that of least id.
 
-    Texts are linked if the Jaccard similarity of their shingle sets is ``similarity`` or more. Openings of the ordered
-    sets and sketches find the candidates; of each group of candidates, every text is compared with the first it may be
-    linked with, and what that leaves apart is compared pair by pair, so that no link between groups is lost.
+    Texts are linked if the Jaccard similarity of their shingle sets is ``similarity`` or more. Fingerprints of the sets link
+    the closest first, by multi-index hashing, and the sets decide. Two bits don't reach all pairs of the similarity: openings of the ordered
+    sets and sketches find the other candidates; of each group of candidates, every text is compared with the first it may be
+    linked with, and what that leaves apart is compared within its pieces, so that no link between groups is lost.
 
     Texts of equal sets are one text. Null and empty texts are linked with each other; of rows with one id in a
     group, repeated rows among them, one stays, and of those with one id and text the first by its other columns; a group of null ids keeps one; no rows give no rows; further columns
@@ -319,26 +354,32 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 keys = [pa.array([xxhash.xxh64_intdigest(h.tobytes(), seed) for h in sets], pa.uint64()).view(pa.int64()) for seed in (3, 5)]
                 sizes = pa.array([len(h) for h in sets], pa.int64())
                 words = np.array([sketch(h) for h in sets])
+                prints = pa.array([bits_of(h) for h in sets], pa.int64())
                 openings = pa.array([opening(h, similarity, *shared.value).view("<i8") for h in sets], pa.list_(pa.int64()))
                 kept = [part.column(part.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*kept, *keys, sizes, *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)), openings], names=[*names, "s1", "s2", "size", *_SKETCH, "opening"])
+                yield pa.RecordBatch.from_arrays([*kept, *keys, sizes, *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)), prints, openings], names=[*names, "s1", "s2", "size", *_SKETCH, "fp", "opening"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("k1", "k2", "s1", "s2", "size", *_SKETCH)], T.StructField("opening", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("k1", "k2", "s1", "s2", "size", *_SKETCH, "fp")], T.StructField("opening", T.ArrayType(T.LongType()))])
     marks = written(keyed.mapInArrow(trimmed(run), schema), "simhash-rows")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("first")
     # Equal sets, merged before the shuffle.
-    texts = marks.groupBy("s1", "s2").agg(least, *[F.first(c).alias(c) for c in ("size", *_SKETCH, "opening")])
-    reps = written(texts.select(F.monotonically_increasing_id().alias("node"), "first", "size", *_SKETCH, "opening"), "simhash-texts")
-    pairs = written(close_sets(reps, similarity), "simhash-pairs")
+    texts = marks.groupBy("s1", "s2").agg(least, *[F.first(c).alias(c) for c in ("size", *_SKETCH, "fp", "opening")])
+    reps = written(texts.select(F.monotonically_increasing_id().alias("node"), "first", "size", *_SKETCH, "fp", "opening"), "simhash-texts")
+    bits = fingerprint_pairs(reps)
+    pairs = written(close_sets(reps, similarity).unionByName(bits), "simhash-pairs")
     near = written(connected_components(pairs).withColumnRenamed("component", "list"), "simhash-near")
     row = docs.select(F.col(text_col).cast("string").alias("text"), *row_key(F.col(id_col), F.col(text_col)))
     candidates = near.join(reps, "node").select("node", "first.k1", "first.k2").join(row, ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
     candidates = written(candidates, "simhash-candidates")
-    links = written(similar(pairs.groupBy("u").agg(F.min("v").alias("v")), candidates, similarity, shingle), "simhash-links")
+    by_bits = written(similar(bits, candidates, similarity, shingle), "simhash-by-bits")
+    apart = connected_components(by_bits)
+    root = lambda n: apart.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
+    pairs = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left").where("cu is null or cv is null or cu <> cv").select("u", "v")
+    links = written(by_bits.unionByName(similar(pairs.groupBy("u").agg(F.min("v").alias("v")), candidates, similarity, shingle)), "simhash-links")
     known = near.join(connected_components(links), "node", "left").select("node", "list", F.coalesce("component", "node").alias("known"))
     apart = known.groupBy("list").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a <> b").select("list")
     left = known.join(apart, "list").join(reps.select("node", "size", *_SKETCH), "node")
-    more = similar(written(unsettled(left, similarity), "simhash-unsettled"), candidates, similarity, shingle)
+    more = unsettled(left.join(candidates, "node"), similarity, shingle)
     found = connected_components(links.unionByName(more))
     kept = reps.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("g")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))

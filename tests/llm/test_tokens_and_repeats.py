@@ -272,3 +272,22 @@ def test_of_rows_with_one_id_and_text_the_first_by_its_other_columns_stays(spark
     for n in (1, 4):
         got = sorted((r.doc_id, r.lang, r.source) for r in simhash.drop_near_duplicates(docs.repartition(n, "source", "lang")).collect())
         assert got == [(1, "de", "news"), (2, "en", None)]
+
+
+def test_what_stars_leave_apart_is_linked_without_a_row_for_each_pair(spark, monkeypatch):
+    """A list of texts that are all alike gives fewer links than rows, in one piece and in several, and these connect all of it."""
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(0, 120, 4)] + ["quite another text of some words here"]
+    sets = [simhash.shingle_hashes(t, 5) for t in texts]
+    rows = [(0, i, i, len(h), *simhash.sketch(h).tolist(), t) for i, (h, t) in enumerate(zip(sets, texts, strict=True))]
+    members = spark.createDataFrame(rows, "list long, node long, known long, size long, " + ", ".join(f"{f} long" for f in simhash._SKETCH) + ", text string")
+    for star in (400, 7):
+        monkeypatch.setattr(simhash, "STAR", star)
+        found = [(r.u, r.v) for r in simhash.unsettled(members, 0.8, 5).collect()]
+        assert len(found) < len(texts) * (1 if star == 400 else 6)
+        assert {r.component for r in simhash.connected_components(spark.createDataFrame(found, "u long, v long")).collect()} == {0} and 30 not in {x for p in found for x in p}
+    prints = [simhash.bits_of(h) for h in sets]
+    reps = spark.createDataFrame([*enumerate(prints), (31, prints[3])], "node long, fp long")
+    pairs = [(r.u, r.v) for r in simhash.fingerprint_pairs(reps).collect()]
+    whole = [*prints, prints[3]]
+    assert any(31 in p for p in pairs) and all(u > v and ((whole[u] ^ whole[v]) & (2**64 - 1)).bit_count() <= 2 for u, v in pairs)
