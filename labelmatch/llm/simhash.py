@@ -75,7 +75,8 @@ def links(distinct_fps: DataFrame, long: int | None = None) -> DataFrame:
     ball = f"transform({segments}, k -> struct(k as key, filter(transform(sequence(0, 31), i -> k & ~shiftleft(1L, i)), x -> x <> k) as near))"
     seen = distinct_fps.select(F.col("fp").alias("u"), F.expr(f"explode({ball})").alias("b")).select("u", F.expr("explode(concat(array(struct(b.key as key, true as own)), transform(b.near, x -> struct(x as key, false as own))))").alias("p"))
     probes = seen.select("u", "p.*")
-    met = written(probes.join(listed, "key").where("hot or (if(own, u > v, true) and bit_count(u ^ v) <= 2)"), "simhash-met")
+    # A plan takes the size of the balls for that of the fingerprints, so it would send all of them to the driver where these are few.
+    met = written(probes.join(listed.hint("merge"), "key").where("hot or (if(own, u > v, true) and bit_count(u ^ v) <= 2)"), "simhash-met")
     other = "if(key < 4294967296L, shiftrightunsigned(u, 32), u & 4294967295L)"
     around = f"if(own, concat(array({other}), transform(sequence(0, 31), i -> {other} ^ shiftleft(1L, i))), array({other}))"
     shared = met.where("hot").select("key", "u", F.expr(f"explode({around})").alias("x")).groupBy("key", "x").agg(F.min("u").alias("v"), F.collect_set("u").alias("us"))  # at most 65
@@ -296,7 +297,7 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int)
     stars = pairs.join(large, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce(F.ceil(F.col("count") / STAR), F.lit(1))).cast("int").alias("c"))
     ends = stars.select("v", "c", F.col("u").alias("node"), F.lit(False).alias("head"))
     heads = stars.select("v", "c").distinct().select("v", "c", F.col("v").alias("node"), F.lit(True).alias("head"))
-    rows = ends.unionByName(heads).join(texts, "node").withColumn("d", F.lit(0))
+    rows = ends.unionByName(heads).join(texts.hint("merge"), "node").withColumn("d", F.lit(0))  # like texts take little room in a table and much in memory
     by = ["v", "c", "d"]
     dealt = rows.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by, F.desc("head"))
 
@@ -379,7 +380,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     known = near.join(connected_components(links), "node", "left").select("node", "list", F.coalesce("component", "node").alias("known"))
     apart = known.groupBy("list").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a <> b").select("list")
     left = known.join(apart, "list").join(reps.select("node", "size", *_SKETCH), "node")
-    more = unsettled(left.join(candidates, "node"), similarity, shingle)
+    more = unsettled(left.join(candidates.hint("merge"), "node"), similarity, shingle)
     found = connected_components(links.unionByName(more))
     kept = reps.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("g")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))

@@ -120,6 +120,14 @@ def shingles(text, n=5):
     return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else ({b" ".join(words)} if words else set())
 
 
+def test_balls_of_fingerprints_are_not_sent_to_the_driver(spark, monkeypatch):
+    plans, written = {}, simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and written(df, name))
+    marks = written(spark.range(2000).selectExpr("xxhash64(id) as fp"), "marks")  # far below the size of tables that are broadcast; its balls are not
+    simhash.links(marks).count()
+    assert "SortMergeJoin [key" in plans["simhash-met"]
+
+
 @pytest.mark.parametrize("short", [200, 1])
 def test_near_copies_leave_one_of_each_group(spark, prose, monkeypatch, short):
     monkeypatch.setattr(simhash, "SHORT", short)  # 1: every table row goes the way of the long lists
