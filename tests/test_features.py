@@ -125,3 +125,21 @@ def test_window_keeps_its_own_last_line_break(spark):
     rows = spark.createDataFrame([("xx ab cd\nefgh ijkl",), ("xx ab cde\nfgh ijkl",), ("xx ab c\x0bd efgh",)], "t string")
     got = [r[0] for r in rows.select(X.window_level(F.col("t"), "xx", "lo", "mi", "hi", 7)["quote"]).collect()]
     assert got == ["xx ab\n", "xx ab", "xx ab"]
+
+
+def test_alternatives_of_letters_are_searched_for_and_find_the_same(spark):
+    patterns = [r"a[|]b|c", r"\||ab", r"ab(c|d)|e\b", r"(?<!x)ab\b|bcd", r"abcd?|x", r"abc*|(?i)Q", r"abc{2}|zz", "abc|bcd", r"abc.|\.", "a|", r"[\s-]*q|yyy"]
+    texts = ["", "a", "ab", "abc", "abcc", "x ab", "xab", "bcd", "a|b", "e", "yyy", "abcx", "q", ".", "abd zz", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in patterns:
+        assert rows.where(~X.found(F.col("t"), p).eqNullSafe(F.col("t").rlike(f"(?U){p}"))).count() == 0, p
+    assert "RLIKE" not in rows.select(X.found(F.col("t"), "abc|bcd"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_messages_are_put_in_lower_case_once_a_wish_and_meet_varieties_without_windows(spark):
+    rows = spark.createDataFrame([(1, "Люблю мерло"), (2, "каберне совиньон")], "k long, t string")
+    plan = rows.select(R.parse_context(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(coalesce(t") < 25
+    got = R.grapes_in(rows, spark.createDataFrame([("Мерло",), ("Каберне Совиньон",), ("Каберне Фран",)], "grape string"), "k", "t")
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, "Мерло"), (2, "Каберне Совиньон")]
