@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmatch.functions.storage import folder, table, written
+from labelmatch.functions.storage import folder, spread, table, written
 from labelmatch.operators import catalog, evaluate, ingest, names, sampling
 from labelmatch.sources import files
 from labelmatch.sources.versions import Change, Versions
@@ -179,7 +179,7 @@ def url_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def augmentation_plan(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.augmentation_plan(table(spark, d, "part").select(F.col("p_partkey").alias("product_id")))
+    return ingest.augmentation_plan(spread(table(spark, d, "part")).select(F.col("p_partkey").alias("product_id")))
 
 
 def balanced_batches(spark: SparkSession, d: str) -> DataFrame:
