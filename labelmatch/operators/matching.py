@@ -249,7 +249,8 @@ def with_share(scored: DataFrame) -> DataFrame:
 
 def dish_rank(scored: DataFrame) -> DataFrame:
     """The share of the catalog that scores lower for the same request, and the best score."""
-    return with_share(scored.select("r", "p", "score")).select(F.col("r.request_id").alias("request_id"), F.col("p.product_id").alias("product_id"), "score", "share", "best")
+    kept = written(scored.select(F.struct("r.request_id").alias("r"), F.struct("p.product_id").alias("p"), "score"), "dish-scores")  # the rules are read once, not for the counts and again
+    return with_share(kept).select(F.col("r.request_id").alias("request_id"), F.col("p.product_id").alias("product_id"), "score", "share", "best")
 
 
 def best_dishes(scored: DataFrame, k: int = 4, without: DataFrame | None = None) -> DataFrame:
@@ -462,8 +463,10 @@ def type_fit(scored: DataFrame, least: int = 5) -> DataFrame:
     kind = [F.col("r.request_id").alias("request_id"), F.col("p.category").alias("category"), F.col("p.sparkling").alias("sparkling"), F.col("p.sweetness").alias("sweetness")]
     keys = ["request_id", "category", "sparkling", "sweetness"]
     rows = scored.where("p.sweetness is not null").select(*kind, "score", "contributions", F.col("p.ord").alias("ord"))
-    ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "ord"))).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    top = ranked.where((F.col("i") <= 5) & (F.col("n") >= least))
+    # Counted apart, so that each task keeps five rows of a type and no more are sorted; a type may be of null category.
+    sizes = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    first = rows.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "ord"))).where(F.col("i") <= 5)
+    top = first.join(sizes, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
     means = top.groupBy(*keys).agg(half_up(F.avg("score"), 1).alias("mean"), F.max("n").alias("n"))
     each = top.select(*keys, F.explode("contributions").alias("c")).groupBy(*keys, "c.rule").agg(
         F.sum(F.when(F.col("c.value") < 0, F.col("c.value") * F.col("c.weight") / 5)).alias("against"), F.sum(F.when(F.col("c.value") >= 0, F.col("c.value") * F.col("c.weight") / 5)).alias("for")
