@@ -133,7 +133,9 @@ def test_alternatives_of_letters_are_searched_for_and_find_the_same(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     for p in patterns:
         assert rows.where(~X.found(F.col("t"), p).eqNullSafe(F.col("t").rlike(f"(?U){p}"))).count() == 0, p
-    assert "RLIKE" not in rows.select(X.found(F.col("t"), "abc|bcd"))._jdf.queryExecution().optimizedPlan().toString()
+    plan = lambda c: rows.select(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan(X.found(F.col("t"), "abc|bcd")) and "RLIKE" not in plan(X.let(X.norm(F.col("t")), lambda t: X.found(t, "abc|bcd")))
+    assert "Contains" not in plan(X.found(X.norm(F.col("t")), "abc|bcd"))  # the text would be worked out for each alternative
 
 
 def test_messages_are_put_in_lower_case_once_a_wish_and_meet_varieties_without_windows(spark):
