@@ -119,7 +119,7 @@ def cells_visited(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """``(query_id, first, second, cells)``: how many cells each query visits for its ``k`` nearest products, of how many."""
     search = Search(queries, refs)
     second, _ = search.rounds(_room(k), lambda found: _kth(top(_best(found), k, "distance", "product_id"), k), _best_in_cell, _FOUND)
-    count = lambda visits, name: visits.groupBy(F.col("id").alias("query_id")).agg(F.countDistinct("cell").alias(name))
+    count = lambda visits, name: visits.select(F.col("id").alias("query_id"), F.explode("cells").alias("cell")).groupBy("query_id").agg(F.countDistinct("cell").alias(name))
     both = count(search.cells.visits(search.asked, need=_room(k)), "first").join(count(second, "second"), "query_id", "full")
     return both.select("query_id", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("second", F.lit(0)).alias("second"), F.lit(int((search.cells.sizes > 0).sum())).cast("long").alias("cells"))
 

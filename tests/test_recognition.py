@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from labelmatch import config as C
 from labelmatch.functions.vectors import average_views, check_dimension, cosine_distance, embed_in_batches
-from labelmatch.operators import decide, evaluate, retrieve, twins
+from labelmatch.operators import components, decide, evaluate, retrieve, twins
 from labelmatch.operators.components import connected_components
 
 
@@ -86,6 +86,16 @@ def test_components_chain_pair_and_hub(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_end_with_the_round_that_makes_stars(spark, monkeypatch):
+    made = []
+    keep = components.written
+    monkeypatch.setattr(components, "written", lambda *a: made.append(0) or keep(*a))
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, 60, 2)] + [(100, 100 + i) for i in range(1, 9)], "u long, v long")
+    got = {r.node: r.component for r in connected_components(pairs).collect()}
+    assert got == {i: i - i % 2 for i in range(60)} | {100 + i: 100 for i in range(9)}
+    assert len(made) == 2  # the edges, and one round
+
+
 def test_twins_leave_singletons_out_and_the_approximate_form_finds_near_pairs(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.05, 0.0]), (3, [1.0, 0.1, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [0.0, 1.0, 0.02]), (6, [0.0, 0.0, 1.0])]
     refs = spark.createDataFrame(rows, "product_id long, vec array<double>")
@@ -120,6 +130,39 @@ def test_copies_in_one_bucket_are_met_in_pieces_each_pair_once(spark, monkeypatc
     assert sorted(got) == [(i, j) for i in range(30) for j in range(i + 1, 30)]
 
 
+def test_signatures_that_cost_less_than_all_pairs_find_the_near_ones(spark, monkeypatch):
+    monkeypatch.setattr(twins, "MOVED", 1)
+    monkeypatch.setattr(twins, "PIECE", 7)
+    monkeypatch.setattr(twins, "LOT", 20)
+    assert twins.signature_plan(330, 0.97)[0] > 0
+    data, _ = groups_of_vectors(5, 60)
+    rows = data + [(9000 + i, [1.0] + [2.0] * (len(data[0][1]) - 1)) for i in range(30)]
+    refs = spark.createDataFrame(rows, "product_id long, vec array<double>")
+    want = plain_pairs(data + rows[-30:], 0.97)
+    got = {(r.p1, r.p2): r.similarity for r in twins.approx_twin_pairs(refs, 0.97).collect()}
+    assert got.keys() <= want.keys() and len(got) > 0.9 * len(want) and sum(a >= 9000 for a, _ in got) == 435
+
+
+def test_unlike_vectors_are_compared_and_not_moved_into_many_tables(spark):
+    assert twins.signature_plan(600_000, 0.4) == (0, 1)  # 14 bits and 1,888 tables, each vector moved for each of them
+    assert twins.signature_plan(600_000, 0.93)[1] < 20
+
+
+def test_a_vector_is_sent_once_to_a_lot_of_cells(spark, monkeypatch):
+    from labelmatch.functions import cells
+
+    monkeypatch.setattr(cells, "PIECE", 7)
+    monkeypatch.setattr(cells, "SHARES", 1)
+    data, _ = groups_of_vectors(8, 60)
+    refs = spark.createDataFrame(data, "product_id long, vec array<double>")
+    held = twins._cells(refs)
+    sent = twins._visits(held, -1.0)  # all cells from its own on
+    per = sent.groupBy("id").agg(F.count("*").alias("lots"), F.sum(F.size("cells")).alias("pieces"), F.count_distinct("lot").alias("once")).collect()
+    lots = int(held.lots.max()) + 1
+    assert len(held.lots) == held.pieces.sum() > 2 * lots and held.sizes.sum() == len(data)
+    assert all(r.lots == r.once <= lots for r in per) and max(r.pieces for r in per) == len(held.lots)
+
+
 def test_more_vectors_take_more_bits():
     plans = [twins.signature_plan(n, 0.88, 0.99) for n in (10**3, 10**6, 10**9)]
     assert plans[0][0] < plans[1][0] < plans[2][0]
