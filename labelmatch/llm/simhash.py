@@ -377,12 +377,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     root = lambda n: apart.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
     pairs = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left").where("cu is null or cv is null or cu <> cv").select("u", "v")
     links = written(by_bits.unionByName(similar(pairs.groupBy("u").agg(F.min("v").alias("v")), candidates, similarity, shingle)), "simhash-links")
-    known = near.join(connected_components(links), "node", "left").select("node", "list", F.coalesce("component", "node").alias("known"))
+    linked = connected_components(links)
+    known = near.join(linked, "node", "left").select("node", "list", F.coalesce("component", "node").alias("known"))
     apart = known.groupBy("list").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a <> b").select("list")
     left = known.join(apart, "list").join(reps.select("node", "size", *_SKETCH), "node")
     more = unsettled(left.join(candidates.hint("merge"), "node"), similarity, shingle)
-    found = connected_components(links.unionByName(more))
-    kept = reps.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("g")).agg(F.min("first").alias("first"))
+    # Components are joined by what links them: their own links are settled.
+    group = lambda n: known.select(F.col("node").alias(n), F.col("known").alias(f"k{n}"))
+    joined = connected_components(more.join(group("u"), "u").join(group("v"), "v").select(F.col("ku").alias("u"), F.col("kv").alias("v")).distinct())
+    named = reps.join(linked, "node", "left").select("first", F.coalesce("component", "node").alias("known"))
+    joined = joined.select(F.col("node").alias("known"), F.col("component").alias("g"))
+    kept = named.join(joined, "known", "left").groupBy(F.coalesce("g", "known").alias("g")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(F.col(id_col), F.col(text_col)))
     others = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col("row").getField(c).alias(c) for c in docs.columns if c not in (id_col, text_col)]))
