@@ -1,4 +1,5 @@
 import re
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -6,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from labelmatch.operators import features as X
+from labelmatch.operators import lexicon as L
 from labelmatch.operators import requests as R
 from labelmatch.operators.lexicon import BANNED_TONE, GUARDRAILS
 
@@ -145,3 +147,18 @@ def test_messages_are_put_in_lower_case_once_a_wish_and_meet_varieties_without_w
     got = R.grapes_in(rows, spark.createDataFrame([("Мерло",), ("Каберне Совиньон",), ("Каберне Фран",)], "grape string"), "k", "t")
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, got.collect())) == [(1, "Мерло"), (2, "Каберне Совиньон")]
+
+
+def test_a_pattern_is_looked_for_only_where_letters_it_needs_stand(spark):
+    assert X.needed(r"(the|der|de) [a-z]*(ande|theon)[a-z]*") == ["ande", "theon"]
+    assert [X.needed(p) for p in (r"(вино|игристое)?\s*(сухое|брют\w*)", r"((сухое) )?вино", r"(?!сухое)x", r"(вино){0,2}", r"a|(вино)", r"\(вино)", r"(?i)(вино)")] == [[]] * 7
+    texts = ["the brande", "the brand", "ande the", "de xtheony", None, "der ande theon"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    pattern = r"(the|der|de) [a-z]*(ande|theon)[a-z]*"
+    got = {r.i: (r.a, r.b) for r in rows.select("i", X.found(F.col("t"), pattern).alias("a"), F.col("t").rlike(f"(?U){pattern}").alias("b")).collect()}
+    assert all(a == b for a, b in got.values()) and [i for i, (a, _) in got.items() if a] == [0, 3, 5]
+
+
+def test_a_description_is_read_once_for_all_rules_of_sweetness(spark):
+    one, many = (str(X.sweetness(F.col("n"), F.col("s"), F.col("d"), replace(L.RUSSIAN, sweetness=L.SWEETNESS[-1:] * k))[0]).count(L.SWEETNESS_PHRASES[1]) for k in (1, 6))
+    assert one == many
