@@ -538,14 +538,35 @@ def side_by_side(products: DataFrame, group: str, a: str, b: str, small: int = 1
     return wide.withColumns({"difference": F.round(F.col("value_a") - F.col("value_b"), 4), "small_sample": F.least("n_a", "n_b") < small})
 
 
-def pairing_verdict(share: Column, contributions: Column) -> Column:
+def sweet_clash(contributions: Column) -> Column:
+    """Whether sweetness speaks strongly against the pair."""
+    return F.exists(contributions, lambda c: (c["rule"] == "sweet") & (c["value"] <= -0.6))
+
+
+def verdict_by_share(share: Column, clash: Column) -> Column:
     """By the share of the catalog that scores lower; a strong clash of sweetness makes it poor."""
-    clash = F.exists(contributions, lambda c: (c["rule"] == "sweet") & (c["value"] <= -0.6))
     return F.when(clash, "poor").when(share >= 0.9, "great").when(share >= 0.7, "good").when(share >= 0.4, "ok").otherwise("poor")
 
 
+def pairing_verdict(share: Column, contributions: Column) -> Column:
+    """``verdict_by_share`` of a pair with its contributions."""
+    return verdict_by_share(share, sweet_clash(contributions))
+
+
 def explain_pick(contributions: Column, pros: int = 3, cons: int = 2) -> tuple[Column, Column]:
-    """The strongest contributions for and against, by value times weight."""
-    order = lambda a, b: F.when(F.abs(a["value"] * a["weight"]) > F.abs(b["value"] * b["weight"]), -1).when(F.abs(a["value"] * a["weight"]) < F.abs(b["value"] * b["weight"]), 1).otherwise(0)
-    pick = lambda keep, n: F.slice(F.array_sort(F.filter(contributions, keep), order), 1, n)["rule"]
+    """The strongest contributions for and against, by value times weight; of equal ones the earlier. Each is turned once into its key, and keys are sorted natively."""
+    size = lambda c: F.abs(c["value"] * c["weight"])
+    key = lambda keep: lambda c, i: F.when(keep(c), F.struct(size(c).alias("size"), (-i).alias("i"), c["rule"].alias("rule")))
+    pick = lambda keep, n: F.slice(F.filter(F.sort_array(F.transform(contributions, key(keep)), False), lambda c: c.isNotNull()), 1, n)["rule"]
     return pick(lambda c: c["value"] > 0.15, pros), pick(lambda c: c["value"] < -0.15, cons)
+
+
+def explained(scored: DataFrame) -> DataFrame:
+    """``(request_id, product_id, pros, cons, verdict)``, the strongest rules comma-joined.
+
+    The rules are read once: what they say is written as two short texts a pair, and only these meet the shares of the catalog.
+    """
+    pros, cons = explain_pick(F.col("contributions"))
+    said = scored.select(F.struct("r.request_id").alias("r"), F.struct("p.product_id").alias("p"), "score", F.array_join(pros, ",").alias("pros"), F.array_join(cons, ",").alias("cons"), sweet_clash(F.col("contributions")).alias("clash"))
+    ranked = with_share(written(said, "explained"))
+    return ranked.select(F.col("r.request_id").alias("request_id"), F.col("p.product_id").alias("product_id"), "pros", "cons", verdict_by_share(F.col("share"), F.col("clash")).alias("verdict"))

@@ -105,9 +105,7 @@ def compare_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def explain_pick(spark: SparkSession, d: str) -> DataFrame:
-    pros, cons = M.explain_pick(F.col("contributions"))
-    ranked = M.with_share(scored(spark, d))
-    return ranked.select(F.col("r.request_id").alias("request_id"), F.col("p.product_id").alias("product_id"), F.array_join(pros, ",").alias("pros"), F.array_join(cons, ",").alias("cons"), M.pairing_verdict(F.col("share"), F.col("contributions")).alias("verdict"))
+    return M.explained(scored(spark, d))
 
 
 def assign_role(spark: SparkSession, d: str) -> DataFrame:
