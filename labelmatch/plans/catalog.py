@@ -47,7 +47,7 @@ def catalog_page(spark: SparkSession, d: str) -> DataFrame:
 
 def catalog_search(spark: SparkSession, d: str) -> DataFrame:
     terms = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("term"))
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("manufacturer"))
+    p = spread(table(spark, d, "part")).select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("manufacturer"))
     return catalog.search_catalog(p, terms, ["title", "manufacturer"], 20).select("term", "rank", "product_id", "total")
 
 
@@ -62,7 +62,7 @@ def catalog_search_page(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_nationkey")
     odd = F.element_at(F.array(*map(F.lit, ["", "%", "_", "r_n", "B%#1_", "\\\\a", "ING", "e", "zz%", "d w"])), (n % 10 + 1).cast("int"))
     terms = table(spark, d, "nation").select(F.when(n < 10, odd).otherwise(F.substring("n_name", 1, 2)).alias("term")).unionByName(table(spark, d, "part").where("p_partkey % 50 = 7").select(F.substring("p_name", 3, 6).alias("term")))
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("manufacturer"), F.concat("p_type", F.lit("\\a"), "p_size").alias("slug"))
+    p = spread(table(spark, d, "part")).select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("manufacturer"), F.concat("p_type", F.lit("\\a"), "p_size").alias("slug"))
     return catalog.search_catalog(p, terms, ["title", "manufacturer", "slug"], 10, 5).select("term", "rank", "product_id", "total")
 
 
