@@ -374,9 +374,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     candidates = written(candidates, "simhash-candidates")
     by_bits = written(similar(bits, candidates, similarity, shingle), "simhash-by-bits")
     apart = connected_components(by_bits)
+    settled = apart.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v")  # connects what by_bits does
     root = lambda n: apart.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
     pairs = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left").where("cu is null or cv is null or cu <> cv").select("u", "v")
-    links = written(by_bits.unionByName(similar(pairs.groupBy("u").agg(F.min("v").alias("v")), candidates, similarity, shingle)), "simhash-links")
+    links = written(settled.unionByName(similar(pairs.groupBy("u").agg(F.min("v").alias("v")), candidates, similarity, shingle)), "simhash-links")
     linked = connected_components(links)
     known = near.join(linked, "node", "left").select("node", "list", F.coalesce("component", "node").alias("known"))
     apart = known.groupBy("list").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a <> b").select("list")

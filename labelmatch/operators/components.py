@@ -2,6 +2,7 @@
 
 Every round is two aggregations and two joins on keyed edges, so a hub costs one partial
 minimum per task and a join that adaptive execution may split; no group is ever collected.
+The driver's memory goes with the tasks of all rounds, so edges are told apart once, at a round's end.
 A round ends with one aggregation that looks for a node which is no leaf or center of a star; the
 driver sees whether there is one.
 """
@@ -15,24 +16,24 @@ from labelmatch.functions.storage import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each neighbour above ``u`` goes to the smallest of ``u`` and its neighbours."""
-    both = edges.select(F.col("u"), F.col("v")).unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    """Each neighbour above ``u`` goes to the smallest of ``u`` and its neighbours; edges that go down, repeats among them."""
+    both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """``u`` and its smaller neighbours go to the smallest of those neighbours."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+def _small_star(down: DataFrame) -> DataFrame:
+    """``u`` and its smaller neighbours go to the smallest of those neighbours, for edges that go down; the edge to that one takes ``u``."""
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return down.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _settled(edges: DataFrame) -> bool:
     """Whether edges that go down are stars: no node has two edges down, and none has an edge down and one from above."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
-    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1 and down > 0").isEmpty()
+    end = lambda c, down: F.struct(F.col(c).alias("node"), F.lit(down).alias("down"), F.lit(1 - down).alias("up"))
+    ends = edges.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not nodes.agg(F.max(F.expr("down + up > 1 and down > 0"))).first()[0]  # one row, in one job
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

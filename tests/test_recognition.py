@@ -86,6 +86,12 @@ def test_components_chain_pair_and_hub(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_a_round_of_components_reads_its_edges_once_an_end(spark):
+    edges = spark.range(9).selectExpr("id + 1 as u", "id as v")
+    plan = components._small_star(components._large_star(edges))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range") == 4 and plan.count("Aggregate") == 4  # the minima of both stars, twice the larger, and what is told apart at the end
+
+
 def test_components_end_with_the_round_that_makes_stars(spark, monkeypatch):
     made = []
     keep = components.written
