@@ -23,8 +23,8 @@ KINDS = ["email", "ip", "card", "phone"]
 GENERALISE, REMOVE = 0.6, 0.9
 #: Letters of a term, and distinct texts an entity needs for its counts to say anything.
 TERM_LETTERS, SUPPORT = 4, 2
-#: Rows up to which a table of entities or terms is broadcast; parts that it is dealt out in beyond.
-MAX_BROADCAST, SALT = 100_000, 16
+#: Rows, and bytes of keys, up to which a table of entities or terms is broadcast; parts that it is dealt out in beyond.
+MAX_BROADCAST, MAX_BYTES, SALT = 100_000, 1 << 24, 16
 
 _LOCAL = r"A-Za-z0-9._%+\x01-"
 #: kind: a cheap test, the text with marks that cannot match replaced, the pattern, the test of a match m.
@@ -84,10 +84,14 @@ def _terms(text: str) -> str:
 
 
 def _met(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-    """``many`` (with ``n``) joined with ``few``, where one key may hold any share of ``many``: ``few`` is broadcast if its rows are within the bound, else dealt out SALT times."""
-    if few.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+    """``many`` (with ``n``) joined with ``few``, where one key may hold any share of ``many``: ``few`` is broadcast if it is within the bounds, else dealt out SALT times and merged.
+
+    The merge is asked for: by the size of its file, in which equal keys are packed, Spark would take the dealt-out table for small and collect it in the driver.
+    """
+    rows, size = few.limit(MAX_BROADCAST + 1).select(F.count("*"), F.sum(sum((F.octet_length(k) for k in keys), F.lit(0)))).first()
+    if rows <= MAX_BROADCAST and (size or 0) <= MAX_BYTES:
         return many.join(F.broadcast(few), keys)
-    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).hint("merge")
     return many.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(SALT)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
 
 

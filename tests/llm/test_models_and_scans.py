@@ -13,6 +13,7 @@ import regex
 from pandas.util import hash_array
 from pyspark.sql import functions as F
 
+from labelmatch.functions.storage import written
 from labelmatch.llm import langid, licenses, mixing, pii, toxicity
 from tests.llm.test_tokens_and_repeats import frame
 
@@ -326,6 +327,20 @@ def test_pii_terms_equal_brute_force_and_sql(spark, monkeypatch):
     assert sorted(map(repr, found.fetchall())) == sorted(repr(tuple(r)) for r in pii.op9_pii(frame(spark, plain)).select(*found.columns).collect())
 
 
+def test_pii_merges_tables_beyond_the_bounds_of_a_broadcast(spark, monkeypatch):
+    """Their files may be small: dealt out, they would still be collected in the driver."""
+    many = spark.range(60).selectExpr("id as n", "concat('email:', id % 3, '@x.org') as entity")
+    few = written(spark.range(3).selectExpr("concat('email:', id, '@x.org') as entity", "id as n_e"), "few")
+    want = sorted((n, f"email:{n % 3}@x.org", n % 3) for n in range(60))
+    for bound in (None, "MAX_BROADCAST", "MAX_BYTES"):
+        if bound:
+            monkeypatch.setattr(pii, bound, 1)
+        met = pii._met(many, few, ["entity"])
+        assert sorted((r.n, r.entity, r.n_e) for r in met.collect()) == want
+        assert ("Broadcast" in met._jdf.queryExecution().executedPlan().toString()) == (bound is None)
+        monkeypatch.undo()
+
+
 def test_pii_keeps_off_python(spark):
     plan = pii.op9_pii(frame(spark, [(1, "a@b.c")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
