@@ -263,9 +263,8 @@ def best_dishes(scored: DataFrame, k: int = 4, without: DataFrame | None = None)
 
 #: What makes products alike. Without a column ``type`` all products of one category and fizz are of one type.
 TRAITS = ["category", "sparkling", "sweetness", "body", "tannin", "acidity", "oak", "region", "type", "grapes", "aroma"]
-#: What each trait is worth, and by which lists like products are found, in this order.
+#: What each trait is worth.
 WORTH = {"grapes": 0.35, "type": 0.15, "body": 0.15, "tannin": 0.1, "acidity": 0.05, "aroma": 0.2, "sweetness": 0.05, "region": 0.1, "oak": 0.05}
-LISTS = ["grapes", "aroma", "region"]
 
 
 def _close(x: Column, y: Column) -> Column:
@@ -304,16 +303,12 @@ def _with_traits(rows: DataFrame) -> DataFrame:
     return rows.withColumn("traits", F.struct(*[(kind if c == "type" else lists.get(c, F.col(c))).alias(c) for c in TRAITS]))
 
 
-def _listed(traits: Column, name: str) -> Column:
-    return F.array_compact(F.array(traits[name])) if name == "region" else traits[name]
-
-
 def _first(rows: DataFrame, by: list, n: int, *order) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-#: Entries, for each one needed, in the nearest profiles that a class looks into: at first, and where these do not settle it.
-LOOKS, CHUNK = (12, 96), 2000
+#: Entries, for each one needed, in the nearest profiles that a class looks into: at first, where these do not settle it, and at last all.
+LOOKS, CHUNK = (48, 768, 1 << 40), 2000
 
 
 def _without_grapes(rest: str) -> Column:
@@ -369,93 +364,71 @@ def near_profiles(profiles: DataFrame, need: int) -> DataFrame:
     return kept.withColumn("least", F.when(F.max("upto").over(Window.partitionBy("a")) >= need, F.min("near").over(Window.partitionBy("a"))).otherwise(-1.0)).select("a", "b", "least")
 
 
-def alternatives(base: DataFrame, products: DataFrame, k: int = 5, per_winery: int = 2) -> DataFrame:
+def alternatives(base: DataFrame, products: DataFrame, k: int = 5, per_winery: int = 2, reasons: bool = True) -> DataFrame:
     """``(base_id, rank, product_id, likeness, reasons)``: products like each of ``base``: same category and sparkling, sweetness at most one level apart, one a (name, winery), ``per_winery`` a winery.
 
     Products of equal traits are one class, of which only the first entries by name can be picked, so a trait that many share
-    costs no pairs of products. Classes first look up their grapes' entries in the nearest profiles (``near_profiles``), few where products are many; that settles
-    those whose last entry needed is better than all others could be. The rest meet by lists, of a shared grape, then aroma, then region, and at last by sweetness: after each list
-    only those classes go on whose last entry needed is not better than what they could reach without these. Names are compared in lower
-    case without outer blanks; null categories are like none; ties go by name and id; repeated rows are one.
+    costs no pairs of products. For each profile (the traits without grapes) and grape asked for, the first entries of the nearest profiles (``near_profiles``)
+    make a list, and one for no grape; a class takes the first of its grapes' lists and of that one. Few entries are looked into at first; classes whose last entry needed is not
+    better than all others could be look into more, at last into all. No pairs of classes are made. Names are compared in lower
+    case without outer blanks; null categories are like none; ties go by name and id; repeated rows are one. Without ``reasons`` that column is left out.
     """
     own = _with_traits(products).select("product_id", "name", "winery", "traits", F.lower(F.trim("name")).alias("key"))
     asked = _with_traits(base).select(F.col("product_id").alias("base_id"), F.lower(F.trim("name")).alias("base_key"), F.col("winery").alias("base_winery"), "traits")
     classes = own.select("traits").unionByName(asked.select("traits")).distinct()
     classes = written(classes.where("traits.category is not null and traits.sparkling is not null").select(F.monotonically_increasing_id().alias("class"), "traits"), "alike-classes")
-    numbered = lambda rows: rows.join(classes.select("class", F.struct("traits").alias("t")), F.struct("traits").eqNullSafe(F.col("t"))).drop("t", "traits")
-    # Of a class's entries so many may be taken by a winery's limit, a name picked before, or the base itself.
-    spare = k + 1 + (k // per_winery + 1) * (per_winery + k)
-    order, tie = [F.desc("likeness"), "name", "product_id"], ["name", "product_id"]
-    entries = _first(numbered(own), ["class", "key", "winery"], 1, *tie)
-    entries = written(_first(_first(entries, ["class", "winery"], per_winery + k, *tie), ["class"], k + spare, *tie), "alike-entries")
+    # Files of packed rows look small: joins with what grows with the catalog are dealt out, else they would be collected in the driver and met in a task or two. Traits are hashed, as sorting by them is slow.
+    numbered = lambda rows: rows.join(classes.select("class", F.struct("traits").alias("t")).hint("shuffle_hash"), F.struct("traits").eqNullSafe(F.col("t"))).drop("t", "traits")
+    order, tie, limit = [F.desc("likeness"), "name", "product_id"], ["name", "product_id"], 3 * k + 1
+
+    def first(rows: DataFrame, by: list[str], *order) -> DataFrame:
+        """Each (name, winery) once, of a winery one more than its limit, for the base's own, and ``limit`` in all. The first of several lists' first rows are those of all their rows."""
+        return _first(_first(_first(rows, [*by, "key", "winery"], 1, *order), [*by, "winery"], per_winery + 1, *order), by, limit, *order)
+
+    entries = written(first(numbered(own), ["class"], *tie), "alike-entries")
     starts = written(numbered(asked), "alike-bases")
-    open_ = starts.select("class").distinct().join(classes, "class")
-    held = entries.select("class").distinct().join(classes, "class")
-    limit = 3 * k + 1
-
-    def first(met: DataFrame) -> DataFrame:
-        """The first entries a class has met: each (name, winery) once, and of a winery one more than its limit, for the base's own."""
-        return _first(_first(_first(met.repartition("of"), ["of", "key", "winery"], 1, *order), ["of", "winery"], per_winery + 1, *order), ["of"], limit, *order)
-
-    def meet(left_keys: Column, right_keys: Column, name: str | None, before: list[str]) -> DataFrame:
-        """Entries of the classes that share a key with an open one, and nothing on the lists before; a pair meets at the first key it shares."""
-        side = lambda rows, to, n, keys: rows.select(F.col("class").alias(to), F.col("traits").alias(n), F.col("traits.category").alias("c"), F.col("traits.sparkling").alias("s"), F.explode(keys).alias("on"))
-        met = side(open_, "of", "a", left_keys).join(side(held, "class", "b", right_keys), ["c", "s", "on"]).where("a.sweetness is null or b.sweetness is null or abs(a.sweetness - b.sweetness) <= 1")
-        for x in before:
-            met = met.where(~F.coalesce(F.arrays_overlap(_listed(F.col("a"), x), _listed(F.col("b"), x)), F.lit(False)))
-        if name:
-            met = met.where(F.array_min(F.array_intersect(_listed(F.col("a"), name), _listed(F.col("b"), name))) == F.col("on"))
-        return met.select("of", "class", F.round(likeness(F.col("a"), F.col("b")), 6).alias("likeness")).join(entries, "class")
-
-    # Profiles: what all but the grapes say. Entries of a profile that share a grape with a class are equally like it.
+
+    # Entries of a profile that share a grape with a class are equally like it, and so are all that share none: those are in the list of no grape, as if all were.
     rest = F.struct(*[F.col(f"traits.{t}").alias(t) for t in TRAITS if t != "grapes"])
-    bare = classes.select("class", F.col("traits.grapes").alias("grapes"), rest.alias("rest"))
+    lists = F.concat(F.array(F.lit("")), F.transform("traits.grapes", lambda g: F.concat(F.lit("="), g)))
+    bare = classes.select("class", lists.alias("lists"), rest.alias("rest"))
     kinds = written(bare.select("rest").distinct().select(F.monotonically_increasing_id().alias("profile"), "rest"), "alike-kinds")
-    bare = written(bare.join(kinds.select("profile", F.struct("rest").alias("t")), F.struct("rest").eqNullSafe(F.col("t"))).select("class", "profile", "grapes"), "alike-profiles")
-    listed = entries.join(bare, "class").select("profile", F.explode("grapes").alias("on"), "class", "key", "winery", "name", "product_id")
-    listed = _first(_first(_first(listed, ["profile", "on", "key", "winery"], 1, *tie), ["profile", "on", "winery"], per_winery + k, *tie), ["profile", "on"], k + spare, *tie)
-    listed = written(listed, "alike-listed")
-    sizes = entries.join(bare, "class").groupBy("profile").agg(F.count("*").alias("n"))
-    settled = None
+    bare = written(bare.join(kinds.select("profile", F.struct("rest").alias("t")), F.struct("rest").eqNullSafe(F.col("t"))).select("class", "profile", "lists"), "alike-profiles")
+    held = entries.join(bare.hint("merge"), "class")
+    listed = written(first(held.select(F.col("profile").alias("b"), F.explode("lists").alias("on"), *entries.columns), ["b", "on"], *tie), "alike-listed")
+    sizes = held.groupBy("profile").agg(F.count("*").alias("n"))
+    open_ = written(bare.join(starts.select("class").distinct().hint("merge"), "class", "left_semi").select(F.col("class").alias("of"), F.col("profile").alias("a"), "lists"), "alike-open")
+    found = None
     for looks in LOOKS:
-        asking = open_.join(bare, "class").select(F.col("class").alias("of"), F.col("profile").alias("a"), "grapes")
-        rows = kinds.join(sizes, "profile", "left").join(asking.select(F.col("a").alias("profile")).distinct().withColumn("asks", F.lit(True)), "profile", "left").na.fill({"n": 0, "asks": False})
+        asks = open_.select(F.col("a").alias("profile")).distinct().withColumn("asks", F.lit(True))
+        rows = kinds.join(sizes, "profile", "left").join(asks, "profile", "left").na.fill({"n": 0, "asks": False})
         near = near_profiles(rows, looks * limit).join(kinds.select(F.col("profile").alias("a"), F.col("rest").alias("x")), "a").join(kinds.select(F.col("profile").alias("b"), F.col("rest").alias("y")), "b")
         near = near.where("x.category = y.category and x.sparkling = y.sparkling").select("a", "b", "least", likeness(_without_grapes("x"), _without_grapes("y")).alias("f"))
         near = written(near, "alike-near")
-        met = asking.select("of", "a", F.explode("grapes").alias("on")).join(near, "a").join(listed.withColumnRenamed("profile", "b"), ["b", "on"])
-        met = met.select("of", "class", F.round(F.col("f") + WORTH["grapes"], 6).alias("likeness"), "key", "winery", "name", "product_id")
-        new = written(first(met), "alike-looked")
-        ends = new.groupBy("of").agg(F.count("*").alias("n"), F.min("likeness").alias("last")).where(F.col("n") >= limit)
-        unseen = near.groupBy("a").agg(F.max("least").alias("least"))
-        ends = ends.join(asking.select("of", "a"), "of").join(unseen, "a").join(open_.withColumnRenamed("class", "of"), "of")
-        sure = ends.where(F.col("last") > F.greatest(F.col("least") + WORTH["grapes"], reach(F.col("traits"), ["grapes"])) + 1e-6).select("of")
-        sure = written(sure, "alike-sure")
-        done = new.join(sure, "of")
-        settled = done if settled is None else settled.unionByName(done)
-        open_ = written(open_.join(sure.withColumnRenamed("of", "class"), "class", "left_anti"), "alike-open")
-
-    # Classes that share nothing on the lists meet by sweetness, which for an unknown one is any.
-    level = F.coalesce(F.col("traits.sweetness").cast("int"), F.lit(-1))
-    sweet = F.when(level < 0, F.array(F.lit(-2))).otherwise(F.array(F.lit(-1), level - 1, level, level + 1))
-    found, before = None, []
-    for name in [*LISTS, None]:
-        if found is not None and open_.isEmpty():
+        wanted = open_.select("of", "a", F.explode("lists").alias("on"))
+        met = wanted.select("a", "on").distinct().join(near, "a").join(listed.hint("merge"), ["b", "on"])
+        met = met.withColumn("likeness", F.round(F.col("f") + F.when(F.col("on") != "", WORTH["grapes"]).otherwise(0.0), 6)).drop("b", "f", "least")
+        met = written(first(met.repartition("a", "on"), ["a", "on"], *order), "alike-lists")
+        new = written(first(wanted.join(met.hint("merge"), ["a", "on"]).drop("a", "on").repartition("of"), ["of"], *order), "alike-looked")
+        if looks == LOOKS[-1]:
+            done = new
+        else:
+            ends = new.groupBy("of").agg(F.count("*").alias("n"), F.min("likeness").alias("last")).join(open_.select("of", "a").hint("merge"), "of").join(near.groupBy("a").agg(F.max("least").alias("least")), "a")
+            sure = written(ends.where((F.col("least") < 0) | (F.col("n") >= limit) & (F.col("last") > F.col("least") + WORTH["grapes"] + 1e-6)).select("of"), "alike-sure")
+            done = new.join(sure.hint("merge"), "of", "left_semi")
+            open_ = written(open_.join(sure.hint("merge"), "of", "left_anti"), "alike-open")
+        found = done if found is None else found.unionByName(done)
+        if open_.isEmpty():
             break
-        shared = _listed(F.col("traits"), name) if name else None
-        new = meet(shared, shared, name, before) if name else meet(F.array_distinct(sweet), F.array(level, F.lit(-2)), None, before)
-        found = written(first(new if found is None else found.unionByName(new)), "alike-found")
-        before.append(name)
-        ends = found.groupBy(F.col("of").alias("class")).agg(F.count("*").alias("n"), F.min("likeness").alias("last")).where(F.col("n") >= limit)
-        done = ends.join(open_, "class").where(F.col("last") > reach(F.col("traits"), before) + 1e-6).select("class")
-        open_ = written(open_.join(done, "class", "left_anti"), "alike-open")
-    found = found.unionByName(settled.select(found.columns))
-    met = starts.join(found.withColumnRenamed("class", "other"), F.col("class") == F.col("of"))
+
+    met = starts.join(found.withColumnRenamed("class", "other").hint("merge"), F.col("class") == F.col("of"))
     other = (F.col("base_id") != F.col("product_id")) & ~(F.col("base_key").eqNullSafe(F.col("key")) & F.col("base_winery").eqNullSafe(F.col("winery")))
     capped = _first(met.where(other).repartition("base_id"), ["base_id", "winery"], per_winery, *order)
     picked = capped.withColumn("rank", F.row_number().over(Window.partitionBy("base_id").orderBy(*order))).where(F.col("rank") <= k)
+    if not reasons:
+        return picked.select("base_id", "rank", "product_id", "likeness")
     a, b = classes.select("class", F.col("traits").alias("a")), classes.select(F.col("class").alias("other"), F.col("traits").alias("b"))
-    return picked.join(a, "class").join(b, "other").select("base_id", "rank", "product_id", "likeness", likeness_reasons(F.col("a"), F.col("b")).alias("reasons"))
+    return picked.join(a.hint("merge"), "class").join(b.hint("merge"), "other").select("base_id", "rank", "product_id", "likeness", likeness_reasons(F.col("a"), F.col("b")).alias("reasons"))
 
 
 def type_fit(scored: DataFrame, least: int = 5) -> DataFrame:

@@ -1,4 +1,5 @@
-from collections import defaultdict
+import random
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -46,6 +47,63 @@ def test_alternatives_keep_their_limits(spark):
     assert named.groupBy("base_id", "name", "winery").count().agg(F.max("count")).first()[0] == 1
 
 
+def odd_products(spark, n, seed):
+    """Products with any number of grapes and aromas, null traits, names and wineries, and names that differ in case and blanks only."""
+    rng = random.Random(seed)
+    some = lambda values: rng.choice([None, *values])
+    few = lambda values, most: None if rng.random() < 0.1 else [rng.choice(values) for _ in range(rng.randrange(most + 1))]
+    rows = [
+        (i, some(["Ab", " ab", "cd", "ef", "gh "]), some(["u", "v", "w", "x"]), some(["r", "w"]), some([True, False, False]), some([0, 1, 2, 3]), some([0.5, 1.0, 2.5, 3.0]), some([1.0, 3.0]), some([1.0, 1.5]),
+         some([True, False]), some(["R1", "R2"]), some(["T1", "T2"]), few(["g1", "g2", "g3", "", None], 3), few(["a1", "a2", "a3"], 3))
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, "product_id long, name string, winery string, category string, sparkling boolean, sweetness int, body double, tannin double, acidity double, oak boolean, region string, type string, grapes array<string>, aroma array<string>")
+
+
+def plain_alternatives(rows, k, per_winery):
+    key = lambda p: (None if p.name is None else p.name.strip(" ").lower(), p.winery)
+    same = lambda x, y: x is not None and x == y
+    close = lambda x, y: 0.0 if x is None or y is None else max(0.0, 1 - abs(x - y) / 2)
+    out = []
+    for a in rows:
+        met = []
+        for b in rows:
+            if not same(a.category, b.category) or not same(a.sparkling, b.sparkling) or a.product_id == b.product_id or key(a) == key(b):
+                continue
+            if a.sweetness is not None and b.sweetness is not None and abs(a.sweetness - b.sweetness) > 1:
+                continue
+            x, y = set(a.aroma or ()), set(b.aroma or ())
+            grapes = (set(a.grapes or ()) & set(b.grapes or ())) - {None}
+            worth = 0.35 * bool(grapes) + 0.15 * same(a.type, b.type) + 0.15 * close(a.body, b.body) + 0.1 * close(a.tannin, b.tannin) + 0.05 * close(a.acidity, b.acidity)
+            worth += (0.2 * len(x & y) / len(x | y) if x | y else 0) + 0.05 * same(a.sweetness, b.sweetness) + 0.1 * same(a.region, b.region) + 0.05 * bool(a.oak and b.oak)
+            met.append((-round(worth, 6), b.name is not None, b.name or "", b.product_id, b))
+        met.sort(key=lambda m: m[:4])
+        seen, wineries, rank = set(), Counter(), 0
+        for near, *_, b in met:
+            if key(b) in seen:
+                continue
+            seen.add(key(b))
+            if wineries[b.winery] < per_winery and rank < k:
+                wineries[b.winery] += 1
+                rank += 1
+                out.append((a.product_id, rank, b.product_id, -near))
+    return sorted(out)
+
+
+def test_alternatives_equal_brute_force_and_compare_profiles_only(spark, monkeypatch):
+    """What few entries do not settle looks into all profiles; no classes are compared pair by pair, which grows with the square of the catalog."""
+    compared, real = [], M.likeness
+    monkeypatch.setattr(M, "likeness", lambda a, b: compared.append(str(a)) or real(a, b))
+    for n, seed, k, per_winery, looks in ((150, 1, 5, 2, None), (150, 2, 4, 1, (1, 2, 1 << 40))):
+        if looks:
+            monkeypatch.setattr(M, "LOOKS", looks)
+        rows = odd_products(spark, n, seed).localCheckpoint()
+        want = plain_alternatives(rows.collect(), k, per_winery)
+        got = M.alternatives(rows, rows, k, per_winery).collect()
+        assert len(want) > n and sorted((r.base_id, r.rank, r.product_id, round(r.likeness, 6)) for r in got) == want
+    assert compared and all("array()" in x for x in compared)  # traits without grapes
+
+
 def test_roles(spark):
     role = lambda rank, n: M.assign_role(F.lit(rank), F.lit(n), F.lit(50))
     assert list(spark.range(1).select(role(1, 100), role(2, 3), role(2, 100), role(2, 20)).first()) == ["best match", "rare", "classic", "other"]
