@@ -72,7 +72,7 @@ def best_dishes(spark: SparkSession, d: str) -> DataFrame:
 
 def alternatives(spark: SparkSession, d: str) -> DataFrame:
     rows = products(spark, d)
-    return M.alternatives(rows, rows).drop("reasons")
+    return M.alternatives(rows, rows, reasons=False)
 
 
 def alternative_reasons(spark: SparkSession, d: str) -> DataFrame:

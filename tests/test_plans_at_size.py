@@ -14,3 +14,9 @@ def test_types_keep_five_rows_a_task_and_tables_of_one_part_are_dealt_out(spark)
 def test_picks_are_explained_by_one_reading_of_the_rules(spark):
     plan = P.explain_pick(spark, DATA)._jdf.queryExecution().toString()
     assert "NestedLoopJoin" not in plan and "contributions" not in plan
+
+
+def test_alternatives_are_met_by_shuffles_and_read_no_traits_again(spark):
+    for query, again in ((P.alternatives, False), (P.alternative_reasons, True)):
+        plan = query(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and ("traits" in plan) == again
